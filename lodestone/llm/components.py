@@ -1,0 +1,39 @@
+"""Connected components by contraction to local minima.
+
+Every node points to the neighbour (or itself) with the least hash; pointers are followed twice, edges are rewritten to
+the nodes pointed at, and loops and repeated edges go. In hash order the forest of pointers is shallow and the number of
+nodes falls by a constant factor each round, chains included, so the rounds grow with the logarithm of the longest chain.
+Hubs are aggregated before the shuffle, and each join has one row per node on one side, so adaptive execution can split
+the other side. Each round ends in a checkpoint.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import materialize
+
+
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """node, component (the least node reachable) for every node that occurs in an edge."""
+    e = materialize(edges.select(F.least(src, dst).alias("a"), F.greatest(src, dst).alias("b")).distinct())
+    nodes = e.select(F.col("a").alias("node")).union(e.select("b")).distinct()
+    e = e.where("a <> b")
+    roots = nodes.select("node", F.col("node").alias("root"))
+    while e.take(1):
+        both = e.select("a", "b").union(e.select("b", "a")).toDF("u", "v")
+        rank = lambda c: F.struct(F.xxhash64(F.lit(11), c).alias("h"), F.col(c).alias("id"))
+        point = both.groupBy("u").agg(F.min(rank("v")).alias("m")).select("u", F.least(F.col("m"), rank("u"))["id"].alias("p"))
+        point = materialize(point)
+        twice = materialize(
+            point.join(point.select(F.col("u").alias("p"), F.col("p").alias("pp")), "p", "left").select("u", F.coalesce("pp", "p").alias("p"))
+        )
+        roots = materialize(
+            roots.join(twice.select(F.col("u").alias("root"), "p"), "root", "left").select("node", F.coalesce("p", "root").alias("root"))
+        )
+        to = lambda c: twice.select(F.col("u").alias(c), F.col("p").alias(f"p{c}"))
+        moved = e.join(to("a"), "a").join(to("b"), "b").where("pa <> pb")
+        e = materialize(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
+    least = roots.groupBy("root").agg(F.min("node").alias("component"))
+    return roots.join(least, "root").select("node", "component")
