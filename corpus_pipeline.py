@@ -1 +1,51 @@
-STAGES = []
+"""The corpus pipeline: quality, language, lines, near-duplicates, packing.
+
+Every stage takes (spark, docs, sf_dir), works on all that the stage before kept, and returns a DataFrame; all but the last
+return the columns of documents. Models are learnt only from labelled rows outside the held-out quarter.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from lodestone.llm import language_id, line_dedup, minhash, packing, quality
+from lodestone.llm.common import held_out, table
+from lodestone.llm.queries import vocabulary
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs, quality.fit(docs, table(spark, sf_dir, "labels"), usable=~held_out("doc_id")))
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return language_id.keep_identified(docs, language_id.fit(docs, usable=~held_out("doc_id")))
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_repeated_lines(docs)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.keep_first_of_class(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pieces(docs, vocabulary("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("language", language_stage),
+    ("lines", line_stage),
+    ("near_duplicates", near_stage),
+    ("packing", packing_stage),
+]
+#: SQL can't express the learnt stages, the signatures or the tokenizer.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+    return docs
