@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.session import materialize  # noqa: F401
+
 #: Code points removed from the ends of lines and from whole texts: space, tab, LF, VT, FF, CR.
 BLANKS = r"[\x20\x09-\x0D]"
 #: Ids of rows that have none sort behind all others.
@@ -19,18 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the folder named by spark.checkpoint.dir.
-
-    The folder is read from the session. Only where it is unset, as in tests, a temporary one is used.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-ckpt-"))
-    return df.checkpoint(eager=True)
-
-
 def held_out(doc_id: str | Column = "doc_id") -> Column:
     """True for ids whose crc32 (of the id as text) has remainder 2 modulo 4; no label of these is learnt from."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LAST_ID, materialize
-from .components import connected_components
+from lodestone.operators.components import connected_components
 from .minhash import mix
 
 COSINE = 0.93

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LAST_ID, materialize, texts_of
-from .components import connected_components
+from lodestone.operators.components import connected_components
 
 SHINGLE = 5
 SIMILARITY = 0.8
