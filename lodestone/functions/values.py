@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ID_MASK = (1 << 53) - 1
 SMALLINT_MAX = 32767
@@ -39,21 +40,21 @@ def small_int(c: Column) -> Column:
     return F.when(c <= SMALLINT_MAX, F.bround(c)).cast("smallint")
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def listing_id(norm_name: pd.Series, norm_desc: pd.Series) -> pd.Series:
     """blake2b-8 of name and description, masked to 53 bits."""
     key = lambda n, d: int.from_bytes(hashlib.blake2b(f"{n}\x1f{d}".encode(), digest_size=8).digest(), "big") & ID_MASK
     return pd.Series([key(n, d) for n, d in zip(norm_name, norm_desc)], dtype="int64")
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def check_hash(norm_name: pd.Series, norm_desc: pd.Series) -> pd.Series:
     """A second, personalised hash, for finding collisions of the first."""
     key = lambda n, d: int.from_bytes(hashlib.blake2b(f"{n}\x1f{d}".encode(), digest_size=8, person=b"check").digest(), "big") >> 1
     return pd.Series([key(n, d) for n, d in zip(norm_name, norm_desc)], dtype="int64")
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def prefix_key(joined: pd.Series) -> pd.Series:
     """Hash of the first 300 characters of normalised name|description."""
     return joined.map(lambda t: int.from_bytes(hashlib.blake2b(t[:300].encode(), digest_size=8).digest(), "big") >> 1).astype("int64")
@@ -71,7 +72,7 @@ def _finish(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def simhash(texts: pd.Series) -> pd.Series:
     """64-bit SimHash over three-word shingles of normalised text (one shingle below three words); null without a word.
 
