@@ -5,8 +5,19 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
+TYPES = {
+    "string": T.StringType(), "double": T.DoubleType(), "float": T.FloatType(), "bigint": T.LongType(), "int": T.IntegerType(),
+    "smallint": T.ShortType(), "boolean": T.BooleanType(), "timestamp_ntz": T.TimestampNTZType(),
+}
+
+
+def of(name: str) -> T.DataType:
+    return T.ArrayType(of(name[6:-1])) if name.startswith("array<") else TYPES[name]
+
+
 def struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+    """`name type, ...`; needs no running session."""
+    return T.StructType([T.StructField(*(lambda n, t: (n, of(t)))(*f.split())) for f in spec.split(",")])
 
 
 RAW = struct(

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.schemas import struct
+
 
 def read_shards(spark: SparkSession, path: str, schema: T.StructType, columns: Sequence[str] | None = None) -> DataFrame:
     """Parquet shards with a fixed schema and only the columns asked for; shard and row number come from file metadata."""
@@ -111,7 +113,7 @@ def check_dimension(df: DataFrame, vector: str, dims: int) -> DataFrame:
 class Manifest:
     """Which outputs are up to date: a small table of (name, fingerprint), kept as JSON lines in the shared folder."""
 
-    SCHEMA = T.StructType.fromDDL("name string, fingerprint string, seq bigint")
+    SCHEMA = struct("name string, fingerprint string, seq bigint")
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
