@@ -72,5 +72,6 @@ def limit_stream(stream: DataFrame, key: str, ts: str, ident: str, per_window: i
             state.setTimeoutTimestamp(max(int((hits[-1] + window) * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"k": str(k[0]), ident: rows["i"], "retry_after": pd.array(out, dtype="Int64")})
 
-    rows = stream.withWatermark(ts, watermark).select(F.col(key).cast("string").alias("k"), ts, F.col(ts).cast("double").alias("t"), F.col(ident).alias("i"))
+    timed = stream.select(F.col(key).cast("string").alias("k"), F.col(ts).alias("at"), F.col(ts).cast("double").alias("t"), F.col(ident).alias("i"))
+    rows = timed.withWatermark("at", watermark)
     return rows.groupBy("k").applyInPandasWithState(step, f"k string, {ident} bigint, retry_after bigint", "hits array<double>", "append", GroupStateTimeout.EventTimeTimeout)
