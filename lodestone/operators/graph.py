@@ -55,29 +55,33 @@ def nodes(g: DataFrame, label: str, amenities: dict[str, str] | None = None) ->
 
 
 def edges(g: DataFrame, amenity_keys: list[str]) -> DataFrame:
-    """All edges of the location, type, month, amenity and project hierarchies."""
-
-    def edge(rows: DataFrame, src_label: str, src: str | Column, kind: str, dst_label: str, dst: str | Column) -> DataFrame:
-        c = lambda x: (F.col(x) if isinstance(x, str) else x).cast("string")
-        return rows.select(F.lit(src_label).alias("src_label"), c(src).alias("src"), F.lit(kind).alias("type"), F.lit(dst_label).alias("dst_label"), c(dst).alias("dst")).where("src IS NOT NULL AND dst IS NOT NULL")
-
-    ofid = "listing_id"
-    tagged = g.select(ofid, F.explode("amenities").alias("a")).where(F.col("a").isin(*amenity_keys)).distinct()
-    parts = [
-        edge(g, "Listing", ofid, "OF_TYPE", "PropertyType", "property_type"),
-        edge(g, "Listing", ofid, "IN_WARD", "Ward", "wk"),
-        edge(g.where("wk IS NULL"), "Listing", ofid, "IN_DISTRICT", "District", "dk"),
-        edge(g.where("dk IS NULL"), "Listing", ofid, "IN_PROVINCE", "Province", "province"),
-        edge(g, "Listing", ofid, "ON_STREET", "Street", "sk"),
-        edge(g, "Listing", ofid, "IN_PROJECT", "Project", "prk"),
-        edge(g, "Listing", ofid, "POSTED_IN", "Month", "month"),
-        edge(tagged, "Listing", ofid, "HAS_AMENITY", "Amenity", "a"),
-        edge(g.where("wk IS NOT NULL").select("wk", "dk").distinct(), "Ward", "wk", "IN_DISTRICT", "District", "dk"),
-        edge(g.where("sk IS NOT NULL").select("sk", "dk").distinct(), "Street", "sk", "IN_DISTRICT", "District", "dk"),
-        edge(top_value(g, "prk", "dk"), "Project", "prk", "IN_DISTRICT", "District", "dk"),
-        edge(g.where("dk IS NOT NULL").select("dk", "province").distinct(), "District", "dk", "IN_PROVINCE", "Province", "province"),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    """All edges of the location, type, month, amenity and project hierarchies.
+
+    Three passes: the edges of a row are exploded from one array, the hierarchy comes from its distinct keys, and projects
+    go to the district that holds most of their rows.
+    """
+    one = lambda sl, s, k, dl, d: F.struct(F.lit(sl).alias("src_label"), F.col(s).cast("string").alias("src"), F.lit(k).alias("type"), F.lit(dl).alias("dst_label"), d.cast("string").alias("dst"))
+    c, ofid = F.col, "listing_id"
+    fixed = F.array(
+        one("Listing", ofid, "OF_TYPE", "PropertyType", c("property_type")),
+        one("Listing", ofid, "IN_WARD", "Ward", c("wk")),
+        one("Listing", ofid, "IN_DISTRICT", "District", F.when(c("wk").isNull(), c("dk"))),
+        one("Listing", ofid, "IN_PROVINCE", "Province", F.when(c("dk").isNull(), c("province"))),
+        one("Listing", ofid, "ON_STREET", "Street", c("sk")),
+        one("Listing", ofid, "IN_PROJECT", "Project", c("prk")),
+        one("Listing", ofid, "POSTED_IN", "Month", c("month")),
+    )
+    levels = F.array(
+        one("Ward", "wk", "IN_DISTRICT", "District", c("dk")),
+        one("Street", "sk", "IN_DISTRICT", "District", c("dk")),
+        one("District", "dk", "IN_PROVINCE", "Province", c("province")),
+    )
+    flat = lambda df, arr: df.select(F.explode(arr).alias("e")).select("e.*").where("src IS NOT NULL AND dst IS NOT NULL")
+    tagged = g.select(ofid, F.explode(F.array_distinct("amenities")).alias("a")).where(F.col("a").isin(*amenity_keys)).distinct()
+    has = flat(tagged, F.array(one("Listing", ofid, "HAS_AMENITY", "Amenity", c("a"))))
+    tree = flat(g.select("province", "dk", "wk", "sk").distinct(), levels).distinct()
+    projects = flat(top_value(g, "prk", "dk"), F.array(one("Project", "prk", "IN_DISTRICT", "District", c("dk"))))
+    return reduce(DataFrame.unionByName, [flat(g, fixed), has, tree, projects])
 
 
 def stat_edges(stats: DataFrame) -> DataFrame:
