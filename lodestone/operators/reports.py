@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import threading
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,3 +59,30 @@ def failures(scores: DataFrame, n: int, skip: str = "llm_only") -> DataFrame:
 def cards(hits: DataFrame) -> DataFrame:
     """Rounded score, joined address, one-line excerpt."""
     return hits.select("listing_id", F.round("score", 3).alias("score"), F.concat_ws(", ", "ward", "district", "province").alias("address"), F.left(F.regexp_replace("description", "\n", " · "), F.lit(70)).alias("excerpt"))
+
+
+def plain(value):
+    """A collected cell as a plain value: NaN, NaT and infinities are null, numpy scalars Python ones, rows dicts."""
+    if value is None or value != value:
+        return None
+    if hasattr(value, "asDict"):
+        return {k: plain(v) for k, v in value.asDict().items()}
+    if isinstance(value, (list, tuple)):
+        return [plain(v) for v in value]
+    if hasattr(value, "item"):
+        value = value.item()
+    return None if isinstance(value, float) and math.isinf(value) else value
+
+
+def collect_within(df: DataFrame, rows: int, seconds: float) -> list[dict]:
+    """At most `rows` plain rows; the job is cancelled on the cluster after `seconds`."""
+    sc = df.sparkSession.sparkContext
+    tag = f"lodestone-{uuid.uuid4().hex}"
+    timer = threading.Timer(seconds, lambda: sc.cancelJobsWithTag(tag))
+    sc.addJobTag(tag)
+    timer.start()
+    try:
+        return [plain(r) for r in df.limit(rows).collect()]
+    finally:
+        timer.cancel()
+        sc.removeJobTag(tag)

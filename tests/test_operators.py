@@ -268,3 +268,22 @@ def test_dangling_edges_are_found(spark):
     e = spark.createDataFrame([("A", "1", "T", "B", "2"), ("A", "1", "T", "B", "9")], schemas.EDGE)
     n = spark.createDataFrame([("A", "1"), ("B", "2")], "label string, key string")
     assert [r["key"] for r in graph.dangling(e, n).collect()] == ["9"]
+
+
+def test_plain_cells_and_row_cap(spark):
+    from lodestone.operators import reports
+
+    df = spark.createDataFrame([(1, float("nan"), [1.0, float("inf")]), (2, 2.0, [])], "a long, b double, c array<double>").orderBy("a")
+    assert reports.collect_within(df, 1, 60) == [{"a": 1, "b": None, "c": [1.0, None]}]
+    with pytest.raises(Exception):
+        reports.collect_within(spark.range(1 << 40).select(F.sum(F.sha2(F.col("id").cast("string"), 256).cast("binary").substr(1, 1).cast("string").try_cast("int")).alias("s")), 1, 2)
+
+
+def test_gold_checks(spark):
+    from lodestone.operators import reports
+
+    spark.createDataFrame([(1, 7, 2.0), (2, 7, None)], "listing_id long, dup_cluster_id long, x double").createOrReplaceTempView("v_listings")
+    assert reports.gold_ids(spark, "SELECT listing_id, dup_cluster_id FROM v_listings") == [7]
+    for bad in ("SELECT count(*) AS n FROM v_listings", "SELECT max(x) AS x FROM v_listings WHERE listing_id = 2", "SELECT x FROM v_listings"):
+        with pytest.raises(ValueError):
+            reports.gold_value(spark, bad)
