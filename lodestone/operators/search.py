@@ -72,8 +72,9 @@ def bm25(df: DataFrame, ident: str, text: str, query: Sequence[str], k: int, whe
     source = df.select(F.col(ident).alias("doc_id"), F.col(text).alias("__text"), (F.lit(True) if where is None else where).alias("__ok"))
     if not terms:
         return source.limit(0).select("doc_id", F.lit(0.0).alias("score"))
-    w = words(F.col("__text"))
-    counted = source.select("doc_id", "__ok", F.size(w).alias("len"), *[occurrences(w, t).alias(f"tf{i}") for i, t in enumerate(terms)])
+    # The tokens are a column of their own: it is used several times, so Catalyst keeps it apart and splits a text once.
+    tokens = source.select("doc_id", "__ok", words(F.col("__text")).alias("w"))
+    counted = tokens.select("doc_id", "__ok", F.size("w").alias("len"), *[occurrences(F.col("w"), t).alias(f"tf{i}") for i, t in enumerate(terms)])
     stats = counted.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     both = counted.where("__ok").join(F.broadcast(stats))
     score = sum((F.when(F.col(f"tf{i}") > 0, bm25_idf(F.col("n"), F.col(f"df{i}")) * bm25_weight(F.col(f"tf{i}"), F.col("len"), F.col("avgdl"))).otherwise(0.0) for i in range(len(terms))), F.lit(0.0))
