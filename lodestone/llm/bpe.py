@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import texts_of
-from .pieces import Encoded, PieceEncoder, encoder
+from .pieces import Encoded, PieceEncoder, byte_letters, encoder
 
 LEAF = 1 << 14
 SPREAD = 1 << 16
@@ -33,13 +33,6 @@ UNSPLIT = 1 << 10
 _TABLES: dict[str, "ByteTables"] = {}
 
 
-def byte_letters() -> dict[str, int]:
-    """The letters that byte-level vocabularies write for each byte: printable ones as they are, the rest from U+0100 on."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 class ByteTables:
     """Bytes, byte lengths and decimal strings of all ids."""
 

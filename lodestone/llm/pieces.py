@@ -10,12 +10,11 @@ from __future__ import annotations
 
 import os
 import re
-from array import array
 from dataclasses import dataclass
 
 import numpy as np
 
-CACHE_PIECES = 600_000
+CACHE_PIECES = 1_200_000
 
 #: Characters up to U+024F (and general punctuation) by class, as in the patterns of both vocabularies.
 LETTER = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
@@ -26,9 +25,19 @@ SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
 BYTE_PIECE = re.compile(f"{SHORT}| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^{SPACE}{LETTER}{NUMBER}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 WORD_PIECE = re.compile(f"{SHORT}|[{LETTER}]+|[{NUMBER}]|[^{SPACE}{LETTER}{NUMBER}]+")
 
+#: Pieces that are handed to the library in one call.
+BATCH = 1000
+
 _LOADED: dict[tuple[str, str], "PieceEncoder"] = {}
 
 
+def byte_letters() -> dict[str, int]:
+    """The letters that byte-level vocabularies write for each byte: printable ones as they are, the rest from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
 @dataclass
 class Encoded:
     """Ids, and the index of the first token of each piece."""
@@ -45,7 +54,7 @@ class PieceEncoder:
 
     def __init__(self, path: str, kind: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
@@ -55,12 +64,28 @@ class PieceEncoder:
         self.special = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.cache: dict[str, bytes] = {}
+        # The same model behind a split at blanks: pieces are in its byte letters already, so none holds a blank.
+        self.model = Tokenizer(self.tok.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.letters = {b: c for c, b in byte_letters().items()}
+        suffix = self.tok.model.end_of_word_suffix or ""
+        vocab = self.tok.get_vocab(with_added_tokens=False)
+        self.lengths = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
+        for token, i in vocab.items():
+            self.lengths[i] = len(token.removesuffix(suffix)) if suffix else len(token)
 
     def _learn(self, pieces: list[str]) -> None:
         if len(self.cache) + len(pieces) > CACHE_PIECES:
             self.cache.clear()
-        for p, e in zip(pieces, self.tok.encode_batch(pieces, add_special_tokens=False)):
-            self.cache[p] = array("I", e.ids).tobytes()
+        for a in range(0, len(pieces), BATCH):
+            part = pieces[a : a + BATCH]
+            mapped = [p.encode("utf-8").decode("latin-1").translate(self.letters) for p in part]
+            ids = np.array(self.model.encode_batch_fast([" ".join(mapped)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(m) for m in mapped])) + 1
+            raw, at = ids.tobytes(), 0
+            for p, end in zip(part, (4 * ends).tolist()):
+                self.cache[p] = raw[at:end]
+                at = end
 
     def _pieces(self, text: str) -> list[bytes]:
         """The ids of each piece, as little-endian bytes, for a text of the checked alphabet."""
