@@ -35,5 +35,5 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         to = lambda c: twice.select(F.col("u").alias(c), F.col("p").alias(f"p{c}"))
         moved = e.join(to("a"), "a").join(to("b"), "b").where("pa <> pb")
         e = materialize(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
-    least = roots.groupBy("root").agg(F.min("node").alias("component"))
+    least = materialize(roots.groupBy("root").agg(F.min("node").alias("component")))
     return roots.join(least, "root").select("node", "component")
