@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pyarrow as pa
@@ -16,6 +18,24 @@ BLANKS = r"[\x20\x09-\x0D]"
 LAST_ID = (1 << 63) - 1
 
 
+_CACHES: dict[str, Callable[[], None]] = {}
+_OWNER: list[str] = []
+
+
+def claim(owner: str, clear: Callable[[], None]) -> None:
+    """Give the worker's memory for caches to one operator: workers live on between stages, so the others' caches are dropped."""
+    _CACHES[owner] = clear
+    if _OWNER != [owner]:
+        for name, drop in _CACHES.items():
+            if name != owner:
+                drop()
+        _OWNER[:] = [owner]
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # not glibc: freed memory goes back later
+            pass
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -31,6 +51,13 @@ def uniform(column: str, seed: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), F.col(column)), F.lit(1 << 30)) / float(1 << 30)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of a few rows, so that a worker holds few texts as Python strings at a time."""
+    for batch in batches:
+        for a in range(0, len(batch), rows):
+            yield batch.slice(a, rows)
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 

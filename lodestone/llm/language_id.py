@@ -26,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, uniform
+from .common import claim, held_out, slices, uniform
 
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 _WORDS: dict[str, tuple[dict[str, int], list[np.ndarray]]] = {}
 
 
@@ -90,6 +90,7 @@ class LanguageModel:
         return z / z.sum(axis=1, keepdims=True)
 
     def _known(self) -> tuple[dict[str, int], list[np.ndarray]]:
+        claim("language", _WORDS.clear)
         if self.name not in _WORDS:
             _WORDS.clear()
             _WORDS[self.name] = ({}, [np.zeros((0, self.embed.shape[1] + 1), dtype=np.float32)])
@@ -208,7 +209,7 @@ def predict_languages(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             lang, score, reject = shared.value.predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(lang, pa.string()), pa.array(score), pa.array(reject)], schema=schema)
 
@@ -222,7 +223,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel, text: str = "text") -
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             _, _, reject = shared.value.predict(batch.column(at).to_pylist())
             yield batch.filter(pa.array(~reject))
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, materialize, texts_of
+from .common import LAST_ID, claim, materialize, slices, texts_of
 
 STRIP = " \t\n\x0b\x0c\r"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -126,7 +126,8 @@ def keys_of(min_points: int):
     schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        claim("none", lambda: None)
+        for batch in slices(batches):
             found, docs = [], []
             for doc, text in zip(batch.column("doc").to_pylist(), texts_of(batch)):
                 keys = {k for line in set(text.split("\n")) if len(line) >= min_points and len(k := line_key(line)) >= min_points}
@@ -218,7 +219,7 @@ def line_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     schema = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept_sha256", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             n, gone, sha = [], [], []
             for text_, drop in zip(texts_of(batch), batch.column("__drop").to_pylist()):
                 lines, total = kept_lines(text_, set(drop or ()), min_points)

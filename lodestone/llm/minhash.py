@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, materialize, texts_of
+from .common import LAST_ID, claim, materialize, slices, texts_of
 from lodestone.operators.components import connected_components
 
 SHINGLE = 5
@@ -167,7 +167,8 @@ def signatures(docs: DataFrame, doc_id: str, text: str, bands: int, rows: int) -
     schema = pa.schema([("doc", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        claim("none", lambda: None)
+        for batch in slices(batches):
             f1, f2, keys = [], [], []
             for t in texts_of(batch):
                 items = shingles(t)
@@ -199,7 +200,7 @@ def verified_edges(docs: DataFrame, members: DataFrame, doc_id: str, text: str,
     schema = pa.schema([("doc", pa.int64()), ("grp", pa.int64()), ("size", pa.int64()), ("units", pa.binary())])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             made = [units(shingles(t)).tobytes() for t in texts_of(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("grp"), batch.column("size"), pa.array(made, pa.binary())], schema=schema)
 

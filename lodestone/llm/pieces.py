@@ -14,7 +14,9 @@ from dataclasses import dataclass
 
 import numpy as np
 
-CACHE_PIECES = 1_200_000
+from .common import claim
+
+CACHE_PIECES = 600_000
 
 #: Characters up to U+024F (and general punctuation) by class, as in the patterns of both vocabularies.
 LETTER = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
@@ -132,6 +134,7 @@ class PieceEncoder:
 
 def encoder(path: str, kind: str) -> PieceEncoder:
     """The worker's own encoder, kept between tasks."""
+    claim(f"pieces {path} {kind}", lambda: _LOADED.pop((path, kind), None))
     if (path, kind) not in _LOADED:
         _LOADED[path, kind] = PieceEncoder(path, kind)
     return _LOADED[path, kind]

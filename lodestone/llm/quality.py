@@ -26,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, texts_of, uniform
+from .common import claim, held_out, slices, texts_of, uniform
 
 THRESHOLD = 0.7
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 UPPER_RUN, CAPITAL, LOWER_RUN, DIGITS = (re.compile(p) for p in ("\x01{2,}", "\x01\x02*", "\x02+", "\x03+"))
 _SHAPES: dict[str, int] = {}
 
@@ -111,6 +111,7 @@ class QualityModel:
         out = np.full(len(texts), self.prior)
         if not len(self.labels):
             return out
+        claim("quality", _SHAPES.clear)
         k = min(self.neighbours, len(self.labels))
         for a in range(0, len(texts), block):
             rows = np.stack([terms(t, len(self.idf)) for t in texts[a : a + block]])
@@ -166,7 +167,7 @@ def score_quality(docs: DataFrame, model: QualityModel, threshold: float = THRES
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             score = shared.value.score(texts_of(batch))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= threshold).astype(np.int32))], schema=schema)
 
@@ -180,7 +181,7 @@ def keep_good(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             score = shared.value.score([t or "" for t in batch.column(at).to_pylist()])
             yield batch.filter(pa.array(score >= threshold))
 
