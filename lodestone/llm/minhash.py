@@ -12,7 +12,9 @@ Two documents agree on a coordinate with the probability of their weighted Jacca
 Plan: documents with equal shingle multisets are one representative (aggregated before the shuffle). `bands` keys of
 `rows_per_band` coordinates tie representatives to the least one of their bucket: one row per member, never pairs. The
 components of these ties are candidate groups; in them every pair is compared exactly, by blocked matrix products over
-shared shingles inside a task. Groups above `block` members are split into block pairs. Only spanning edges leave a task.
+shared shingles inside a task. In groups above `block` members, all are first compared with a few central members; those
+tied by that need no comparison with each other, and only the others are compared with the whole group, in block pairs. So
+a large group of close copies costs one pass over it. Only spanning edges leave a task.
 Missed links: a pair of similarity 0.8 shares no band with probability (1 - 0.8^4)^20 < 0.00003.
 
 Defined cases: null and empty texts and texts without a word have no shingles and are classes of their own; texts of one to four words are one
@@ -28,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LAST_ID, claim, materialize, slices, texts_of
@@ -38,6 +40,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 4
 BLOCK = 384
+PIVOTS, PER_LANE = 8, 8192
 U = np.uint64
 WORD = re.compile(r"\w+")
 
@@ -189,14 +192,61 @@ def signatures(docs: DataFrame, doc_id: str, text: str, bands: int, rows: int) -
     return source.mapInArrow(run, "doc long, f1 long, f2 long, keys array<long>")
 
 
-def verified_edges(docs: DataFrame, members: DataFrame, doc_id: str, text: str, similarity: float, block: int) -> DataFrame:
-    """src, dst: spanning edges of the verified links. `members` has doc and its candidate group."""
-    sizes = members.groupBy("grp").agg(F.count("*").alias("size"))
-    members = materialize(members.join(sizes, "grp"))
-    small = members.where(F.col("size") <= block).count()
-    bundles = max(1, small // block)
+def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Exact comparison of two sorted unit sets."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)) - 1e-9:
+        return False
+    at = np.searchsorted(b, a)
+    inter = int((b[np.minimum(at, len(b) - 1)] == a).sum())
+    return inter >= similarity * (len(a) + len(b) - inter) - 1e-9
+
+
+def pivot_edges(big: DataFrame, keyed: DataFrame, similarity: float, pivots: int, per_lane: int) -> DataFrame:
+    """src, dst: links of the members of large groups to a few central ones of their group.
+
+    The most central members share the most band keys with others. They are repeated for as many lanes as the group's size
+    calls for, and each lane's task reads its members as a stream.
+    """
+    held = keyed.join(big.select("doc", "grp"), "doc")
+    common = materialize(held.groupBy("grp", "key").agg(F.count("*").alias("n")))
+    central = held.join(common, ["grp", "key"]).groupBy("grp", "doc").agg(F.sum("n").alias("score"))
+    order = Window.partitionBy("grp").orderBy(F.desc("score"), "doc")
+    top = central.withColumn("r", F.row_number().over(order)).where(F.col("r") <= pivots).select("doc")
+    lanes = F.ceil(F.col("size") / per_lane).cast("int")
+    heads = big.join(materialize(top), "doc", "left_semi").select(
+        "grp", F.explode(F.sequence(F.lit(0), lanes - 1)).alias("lane"), F.lit(0).alias("kind"), "doc", "units"
+    )
+    rest = big.select("grp", F.pmod(F.xxhash64("doc"), lanes).cast("int").alias("lane"), F.lit(1).alias("kind"), "doc", "units")
+    routed = heads.unionByName(rest).repartition("grp", "lane").sortWithinPartitions("grp", "lane", "kind", "doc")
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grp, own = None, []
+        for batch in batches:
+            src, dst = [], []
+            for g, kind, doc, raw in zip(*[batch.column(c).to_pylist() for c in ("grp", "kind", "doc", "units")]):
+                if g != grp:
+                    grp, own = g, []
+                mine = np.frombuffer(raw, dtype=U)
+                if kind == 0:
+                    if doc not in {d for d, _ in own}:  # several lanes of a group may share a task
+                        own.append((doc, mine))
+                    continue
+                for d, u in own:
+                    if d != doc and similar(mine, u, similarity):
+                        src.append(d)
+                        dst.append(doc)
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
+
+    return routed.mapInArrow(link, "src long, dst long")
+
+
+def verified_edges(
+    docs: DataFrame, members: DataFrame, keyed: DataFrame, doc_id: str, text: str, similarity: float, block: int, pivots: int = PIVOTS, per_lane: int = PER_LANE
+) -> DataFrame:
+    """src, dst: spanning edges of the verified links. `members` has doc and its candidate group, `keyed` doc and band keys."""
+    sizes = materialize(members.groupBy("grp").agg(F.count("*").alias("size")))
+    members = members.join(sizes, "grp")
     source = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("doc"), F.col(text).alias("text"))
-    rows = source.join(members, "doc")
     schema = pa.schema([("doc", pa.int64()), ("grp", pa.int64()), ("size", pa.int64()), ("units", pa.binary())])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,13 +254,29 @@ def verified_edges(docs: DataFrame, members: DataFrame, doc_id: str, text: str,
             made = [units(shingles(t)).tobytes() for t in texts_of(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("grp"), batch.column("size"), pa.array(made, pa.binary())], schema=schema)
 
-    shaped = rows.select("doc", "grp", "size", "text").mapInArrow(sets, "doc long, grp long, size long, units binary")
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    own = F.pmod(F.xxhash64("doc"), blocks).cast("int")
-    pairs = F.when(F.col("size") <= block, F.array(F.struct(F.pmod(F.xxhash64("grp"), F.lit(bundles)).alias("g"), F.lit(-1).alias("i"), F.lit(-1).alias("j")))).otherwise(
-        F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: F.struct(F.col("grp").alias("g"), F.least(b, own).alias("i"), F.greatest(b, own).alias("j")))
-    )
-    dealt = shaped.select("doc", "grp", "units", F.explode(pairs).alias("p")).select("doc", "grp", "units", "p.*")
+    shaped = materialize(source.join(members, "doc").select("doc", "grp", "size", "text").mapInArrow(sets, "doc long, grp long, size long, units binary"))
+    small, big = shaped.where(F.col("size") <= block), shaped.where(F.col("size") > block)
+    bundles = max(1, small.count() // block)
+    dealt = small.select("doc", "grp", "units", F.pmod(F.xxhash64("grp"), F.lit(bundles)).alias("g"), F.lit(-1).alias("i"), F.lit(-1).alias("j"))
+    found = None
+    if big.take(1):
+        found = materialize(pivot_edges(big.dropDuplicates(["doc"]), keyed, similarity, pivots, per_lane))
+        classes = connected_components(found).select(F.col("node").alias("doc"), F.col("component").alias("class"))
+        classed = materialize(big.select("doc", "grp").distinct().join(classes, "doc", "left").select("doc", "grp", F.coalesce("class", "doc").alias("class")))
+        # Members of a group's largest class are tied already: only the others are compared, with all of the group.
+        counts = classed.groupBy("grp", "class").agg(F.count("*").alias("n"))
+        main = counts.groupBy("grp").agg(F.max(F.struct("n", "class")).alias("m"), F.sum("n").alias("all")).select("grp", F.col("m.class").alias("main"), F.col("m.n").alias("s"), (F.col("all") - F.col("m.n")).alias("r"))
+        of = classed.join(materialize(main.where("r > 0")), "grp").select("doc", (F.col("class") == F.col("main")).alias("tied"), F.ceil(F.col("s") / block).cast("int").alias("ns"), F.ceil(F.col("r") / block).cast("int").alias("nr"))
+        own = F.pmod(F.xxhash64("doc"), F.when(F.col("tied"), F.col("ns")).otherwise(F.col("nr"))).cast("int")
+        # Blocks of the others are 0, 1, ...; blocks of the tied ones are -1, -2, ...
+        across = F.transform(F.sequence(F.lit(0), F.col("nr") - 1), lambda i: F.struct(i.alias("i"), (-own - 1).alias("j")))
+        among = F.transform(F.sequence(F.lit(0), F.col("nr") - 1), lambda i: F.struct(F.least(i, own).alias("i"), F.greatest(i, own).alias("j")))
+        with_tied = F.transform(F.sequence(F.lit(0), F.col("ns") - 1), lambda j: F.struct(own.alias("i"), (-j - 1).alias("j")))
+        pairs = F.when(F.col("tied"), across).otherwise(F.concat(among, with_tied))
+        more = big.join(of, "doc").select("doc", "grp", "units", F.explode(pairs).alias("p")).select("doc", "grp", "units", F.col("grp").alias("g"), "p.i", "p.j")
+        dealt = dealt.withColumn("large", F.lit(False)).unionByName(more.withColumn("large", F.lit(True)))
+    else:
+        dealt = dealt.withColumn("large", F.lit(False))
 
     def compare(group: pa.Table) -> pa.Table:
         docs_, grps = group.column("doc").to_numpy(), group.column("grp").to_numpy()
@@ -228,7 +294,8 @@ def verified_edges(docs: DataFrame, members: DataFrame, doc_id: str, text: str,
         none = np.zeros(0, dtype=np.int64)
         return pa.table({"src": np.concatenate(src) if src else none, "dst": np.concatenate(dst) if dst else none})
 
-    return dealt.groupBy("g", "i", "j").applyInArrow(compare, "src long, dst long")
+    compared = dealt.groupBy("g", "large", "i", "j").applyInArrow(compare, "src long, dst long")
+    return compared if found is None else found.unionByName(compared)
 
 
 def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
@@ -237,10 +304,10 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", si
     reps = materialize(sig.where("f1 is not null").groupBy("f1", "f2").agg(F.min("doc").alias("doc")))
     lone = sig.join(reps, ["f1", "f2", "doc"], "left_semi").dropDuplicates(["doc"])
     keyed = materialize(lone.select("doc", F.explode("keys").alias("key")))
-    pivots = keyed.groupBy("key").agg(F.min("doc").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n")
-    ties = keyed.join(pivots, "key").where("doc <> pivot").select(F.col("doc").alias("src"), F.col("pivot").alias("dst"))
+    heads = materialize(keyed.groupBy("key").agg(F.min("doc").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    ties = keyed.join(heads, "key").where("doc <> pivot").select(F.col("doc").alias("src"), F.col("pivot").alias("dst"))
     groups = connected_components(ties).select(F.col("node").alias("doc"), F.col("component").alias("grp"))
-    edges = verified_edges(docs, groups, doc_id, text, similarity, block)
+    edges = verified_edges(docs, groups, keyed, doc_id, text, similarity, block)
     classes = connected_components(edges).select(F.col("node").alias("doc"), F.col("component").alias("class"))
     of_set = reps.join(classes, "doc", "left").select("f1", "f2", F.coalesce("class", "doc").alias("class"))
     out = sig.select("doc", "f1", "f2").join(of_set, ["f1", "f2"], "left")
