@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lodestone.llm import language_id, line_dedup, minhash, packing, quality
 from lodestone.llm.common import held_out, table
 from lodestone.llm.queries import vocabulary
+from lodestone.session import scratch
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +46,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stage's documents are written to the shared folder, so later stages do not compute them again."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        path = scratch(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)
