@@ -1,7 +1,8 @@
 """Quality classification by nearest-neighbour voting among latent-semantic vectors.
 
 A text's terms are the shapes of its words (letter runs shortened to A, Aa or a, digits to 0, other signs kept), pairs of
-neighbouring shapes, and how often words and word pairs come again; terms are hashed into a fixed number of dimensions and
+neighbouring shapes, and how often words and word pairs come again; a word whose shape is longer than SYMBOLS, as texts
+without spaces have, counts as the consecutive pieces it is cut into. Terms are hashed into a fixed number of dimensions and
 weighted by tf-idf. A truncated singular value decomposition of a bounded labelled sample (numpy, randomised range finder
 with a fixed seed) gives the latent space. The labelled vectors, at most `per_class` of each class, are broadcast; for every
 document exact cosines to all of them are computed in blocks, and the `neighbours` nearest vote with weights that grow with
@@ -18,6 +19,7 @@ ignored by the query.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,7 +32,9 @@ from .common import claim, held_out, slices, texts_of, uniform
 
 THRESHOLD = 0.7
 CACHE_WORDS = 250_000
+SYMBOLS = 40
 UPPER_RUN, CAPITAL, LOWER_RUN, DIGITS = (re.compile(p) for p in ("\x01{2,}", "\x01\x02*", "\x02+", "\x03+"))
+UNIT = re.compile("\x01{2,}|\x01\x02*|\x02+|\x03+|(.)\\1*")
 _SHAPES: dict[str, int] = {}
 
 
@@ -51,7 +55,23 @@ def shape(word: str) -> str:
     s = UPPER_RUN.sub("A", s)
     s = CAPITAL.sub(lambda m: "C" if len(m[0]) > 1 else "I", s)
     s = LOWER_RUN.sub("a", s)
-    return re.sub(r"(.)\1+", r"\1+", s[:40])
+    return re.sub(r"(.)\1+", r"\1+", s)
+
+
+def pieces(word: str) -> list[str]:
+    """The word, or if its shape is longer than SYMBOLS its consecutive pieces: each ends behind punctuation or at that length."""
+    if len(word) <= SYMBOLS or len(shape(word)) <= SYMBOLS:
+        return [word]
+    out, start, length, closed = [], 0, 0, False
+    for m in UNIT.finditer(word.translate(CLASSES)):
+        mark = unicodedata.category(word[m.start()])[0] in "PS"
+        size = 2 if m[1] and m.end() - m.start() > 1 else 1
+        if length + size > SYMBOLS or closed and not mark:
+            out.append(word[start : m.start()])
+            start, length = m.start(), 0
+        length += size
+        closed = mark
+    return [*out, word[start:]]
 
 
 def shape_id(word: str) -> int:
@@ -71,8 +91,8 @@ def shapes_of(words: list[str]) -> np.ndarray:
 
 
 def terms(text: str, dims: int) -> np.ndarray:
-    """Term frequencies of a text in the hashed dimensions, as shares of its words."""
-    words = text.split()
+    """Term frequencies of a text in the hashed dimensions, as shares of its words (long ones in pieces)."""
+    words = [p for w in text.split() for p in (pieces(w) if len(w) > SYMBOLS else (w,))]
     out = np.zeros(dims, dtype=np.float32)
     n = len(words)
     if not n:

@@ -92,6 +92,19 @@ def test_quality_odd_rows(spark, odd):
     assert {r["score"] for r in quality.score_quality(odd, quality.fit(odd, labels)).collect()} == {1.0}
 
 
+def test_quality_scores_all_of_a_text_without_spaces():
+    prose, spam = "我们今天去看了一本书，觉得它很好。" * 200, "￥99！@@#买%买￥1！！" * 200
+    model = quality.train([prose] * 10 + [spam] * 10, [1] * 10 + [0] * 10)
+    start = prose[:300]
+    good, bad = model.score([start + prose, start + spam])
+    assert good > 0.7 > bad
+    for w in (prose, spam, "aB3+/x-9Zk" * 500, "กัขิคุ" * 300, "https://a.b/c?d=" * 90, "(" * 90 + "aB1cD2" * 50, "A1" * 41):
+        cut = quality.pieces(w)
+        assert "".join(cut) == w and len(cut) > 1 and max(len(quality.shape(p)) for p in cut) <= quality.SYMBOLS
+    for w in ("x" * 70000, "!" * 50, "Well-known.", "a.b" * 13):
+        assert quality.pieces(w) == [w]
+
+
 # Encoding
 
 
