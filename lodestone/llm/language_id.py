@@ -17,6 +17,7 @@ rows; repeated rows stay repeated; further columns are kept by the filter and ig
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -89,6 +90,13 @@ class LanguageModel:
         z = np.exp(z - z.max(axis=1, keepdims=True))
         return z / z.sum(axis=1, keepdims=True)
 
+    def digest(self) -> str:
+        """A name for what was learnt: workers keep embedded words by it."""
+        h = hashlib.sha256(repr((self.languages, self.embed.shape)).encode())
+        for a in (self.embed, self.out, self.bias):
+            h.update(np.ascontiguousarray(a))
+        return h.hexdigest()
+
     def _known(self) -> tuple[dict[str, int], list[np.ndarray]]:
         claim("language", _WORDS.clear)
         if self.name not in _WORDS:
@@ -145,8 +153,9 @@ def train(texts: list[str], labels: list[str], buckets: int = 1 << 16, dims: int
         return LanguageModel([], np.zeros((1, dims), dtype=np.float32), np.zeros((dims, 0)), np.zeros(0))
     model = LanguageModel(
         languages, (rng.random((buckets, dims)) / dims - 0.5 / dims).astype(np.float32), rng.normal(0, 0.1, (dims, len(languages))), np.zeros(len(languages)),
-        reject_below=reject_below, name=f"{seed}-{rng.integers(1 << 62)}",
+        reject_below=reject_below,
     )
+    rng.integers(1 << 62)  # drawn so that the order of training stays as it was
     feats, ys = [], []
     for t, y in zip(texts, labels):
         ws = WORD.findall((t or "").lower())
@@ -187,6 +196,7 @@ def train(texts: list[str], labels: list[str], buckets: int = 1 << 16, dims: int
             model.temperature = float(t)
             losses.append(-np.log(np.maximum(model.probabilities(v)[np.arange(len(y)), y], 1e-12)).mean())
         model.temperature = float(grid[int(np.argmin(losses))])
+    model.name = model.digest()
     return model
 
 

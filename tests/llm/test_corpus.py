@@ -73,6 +73,19 @@ def test_language_odd_rows(spark, odd):
     assert {r["lang_pred"] for r in language_id.predict_languages(odd, none).collect()} == {"und"}
 
 
+def test_language_models_do_not_share_words():
+    one = language_id.train(["the cat and the dog"] * 20 + ["der hund und die katze"] * 20, ["en"] * 20 + ["de"] * 20)
+    other = language_id.train(["der hund und die katze"] * 20 + ["the cat and the dog"] * 20, ["en"] * 20 + ["de"] * 20)
+    same = language_id.train(["the cat and the dog"] * 20 + ["der hund und die katze"] * 20, ["en"] * 20 + ["de"] * 20)
+    text = ["the cat", "der hund"]
+    language_id._WORDS.clear()
+    lang, score, _ = other.predict(text)
+    assert lang == ["de", "en"] and one.predict(text)[0] == ["en", "de"]
+    again, cached, _ = other.predict(text)
+    assert again == lang and cached.tolist() == score.tolist()
+    assert one.name != other.name and one.name == same.name
+
+
 # Quality
 
 
