@@ -450,10 +450,17 @@ def c23_rule_scoring(spark, d):
 
 @query("SELECT count(*) AS n, true AS inside FROM range(200)")
 def c24_bootstrap(spark, d):
-    b = evaluation.bootstrap_distributed(table(spark, d, "labels").limit(1000), "quality", "doc_id", 200)
+    b = evaluation.bootstrap_counts(table(spark, d, "labels"), "quality", 200)
     return b.agg(F.count("*").alias("n"), (F.min("mean") >= 0).alias("inside"))
 
 
+@query()
+def c24_bootstrap_interval(spark, d):
+    labels = table(spark, d, "labels")
+    b = evaluation.bootstrap_counts(labels, "quality", 10_000).agg(F.percentile("mean", F.lit(0.025)).alias("low"), F.percentile("mean", F.lit(0.975)).alias("high"))
+    return labels.agg(F.count("quality").alias("n"), F.avg("quality").alias("mean")).join(F.broadcast(b))
+
+
 @query("SELECT * FROM (VALUES (0, 'runtime_error'), (1, 'refusal_missing'), (2, 'router_wrong'), (3, 'retrieval_miss'), (4, NULL), (5, 'insufficient_context')) t(id, cause)")
 def c25_error_causes(spark, d):
     rows = [(0, 0, "rag", "", "boom", "lookup", "r", "r", "value"), (1, 0, "rag", "x", "", "unanswerable", "r", "r", "refusal"), (2, 0, "hybrid", "x", "", "lookup", "a", "b", "value"), (3, 0, "rag", "x", "", "lookup", "r", "r", "ids"), (4, 2, "rag", "x", "", "lookup", "r", "r", "value"), (5, 1, "rag", "không có dữ liệu", "", "lookup", "r", "r", "value")]
