@@ -559,6 +559,12 @@ def x09_mask_email(spark, d):
     return table(spark, d, "documents").where(F.col("text").contains("@") & F.col("text").rlike(r"^[\x00-\x7F]*$")).select("doc_id", F.md5(F.regexp_replace("text", X.EMAIL, "[email]").cast("binary")).alias("h"))
 
 
+@query()
+def x09_mask_pii_all(spark, d):
+    """Both patterns over every document; DuckDB's classes differ on non-ASCII text, so brute force is the test."""
+    return table(spark, d, "documents").select("doc_id", F.md5(X.mask_pii(F.col("text")).cast("binary")).alias("h"))
+
+
 @query("SELECT p_partkey, list_filter([CASE WHEN contains(p_name, 'ring') THEN 'ring' END, CASE WHEN regexp_matches(p_name, 'red|blue') THEN 'colour' END], lambda x: x IS NOT NULL) AS keys FROM part")
 def x10_match_dictionary(spark, d):
     return table(spark, d, "part").select("p_partkey", X.match_amenities(F.col("p_name"), {"ring": ["ring"], "colour": ["red", "blue"]}).alias("keys"))
@@ -569,6 +575,11 @@ def x11_clean_controls(spark, d):
     return table(spark, d, "documents").where(F.col("text").rlike(r"^[\x00-\x7F]+$")).select("doc_id", F.md5(X.clean_controls(F.col("text")).cast("binary")).alias("h"))
 
 
+@query()
+def x11_clean_controls_all(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(X.clean_controls(F.col("text")).cast("binary")).alias("h"))
+
+
 @query(with_listings("SELECT listing_id, source_row, concat_ws(chr(10), title, concat_ws(' · ', property_type, concat_ws(', ', ward, district, province), 'giá ' || printf('%.2f', price_vnd / 1e9) || ' tỷ', printf('%g', area_m2) || ' m²', bedrooms || ' phòng ngủ')) AS header FROM v_listings WHERE listing_id < 2000"))
 def x12_listing_header(spark, d):
     c = F.col

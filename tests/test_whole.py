@@ -1,5 +1,8 @@
 """Queries that must take all rows, against brute force."""
 
+import hashlib
+import re
+
 import numpy as np
 
 from lodestone.plans import analytics, extras, relational  # noqa: F401
@@ -17,3 +20,17 @@ def test_bootstrap_takes_all_labels(spark, tmp_path):
     assert abs(r["low"] - low) < 0.002 and abs(r["high"] - high) < 0.002
     c = QUERIES["c24_bootstrap"](spark, str(tmp_path)).first()
     assert (c["n"], c["inside"]) == (200, True)
+
+
+def test_cleaning_takes_all_documents(spark, tmp_path):
+    odd = ["Grüße\x00\x1f an é@müller.de, Tel. 0912 345 678", "", None, "\x07", "plain\x7f a.b@c.org +84-912-345-678\u2028x\x85y", " 1 0912345678 日本 "]
+    sf = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    rows = [(-1 - i, t) for i, t in enumerate(odd)] + [tuple(r) for r in sf]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    phone, email = re.compile(r"(?<![0-9])(?:\+?84|0)(?:[ \t-\r.\-]?[0-9]){8,10}(?![0-9])"), re.compile(r"[\w.+-]+@[\w-]+\.[\w.]+")
+    cleaned = lambda t: re.sub("[\x00-\x1f\x7f\x85\u2028\u2029]+", " ", t).strip(" ") or None
+    masked = lambda t: email.sub("[email]", phone.sub("[phone_number]", t))
+    md5 = lambda t: None if t is None else hashlib.md5(t.encode()).hexdigest()
+    for name, f in (("x11_clean_controls_all", cleaned), ("x09_mask_pii_all", masked)):
+        got = {r["doc_id"]: r["h"] for r in QUERIES[name](spark, str(tmp_path)).collect()}
+        assert got == {i: None if t is None else md5(f(t)) for i, t in rows}
