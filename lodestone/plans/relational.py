@@ -10,7 +10,7 @@ from lodestone.functions import text as X
 from lodestone.functions import values as V
 from lodestone.operators import clean, dedup, filters, graph, market, search
 from lodestone.plans.bindings import AMENITY_NAMES, KEYED, MARKET, listings, table, view, with_listings
-from lodestone.plans.registry import query, r4, rounded
+from lodestone.plans.registry import ORACLES, query, r4, rounded
 from lodestone.session import scratch
 from lodestone.sources import io
 from lodestone.streaming import limiter
@@ -288,7 +288,12 @@ def f24_round_robin(spark, d):
 
 @query(with_listings("SELECT listing_id, source_row, ward, district, province, left(description, 400) AS excerpt, coalesce(dup_cluster_id, listing_id) AS cluster FROM v_listings WHERE listing_id < 400"))
 def f25_cards(spark, d):
-    return view(spark, d).where("listing_id < 400").select("listing_id", "source_row", F.struct("ward", "district", "province").alias("address"), F.left("description", F.lit(400)).alias("excerpt"), F.coalesce("dup_cluster_id", "listing_id").alias("cluster")).select("listing_id", "source_row", "address.*", "excerpt", "cluster")
+    return f25_cards_all(spark, d).where("listing_id < 400")
+
+
+@query(ORACLES["f25_cards"].replace(" WHERE listing_id < 400", ""))
+def f25_cards_all(spark, d):
+    return view(spark, d).select("listing_id", "source_row", F.struct("ward", "district", "province").alias("address"), F.left("description", F.lit(400)).alias("excerpt"), F.coalesce("dup_cluster_id", "listing_id").alias("cluster")).select("listing_id", "source_row", "address.*", "excerpt", "cluster")
 
 
 @query("SELECT event_id, props FROM events ORDER BY event_id LIMIT 50")
@@ -477,6 +482,11 @@ def t10_required_union(spark, d):
     return table(spark, d, "documents").where("doc_id < 50").select("doc_id").union(table(spark, d, "labels").where("doc_id < 100").select("doc_id")).distinct()
 
 
+@query("SELECT doc_id FROM documents UNION SELECT doc_id FROM labels")
+def t10_required_union_all(spark, d):
+    return table(spark, d, "documents").select("doc_id").union(table(spark, d, "labels").select("doc_id")).distinct()
+
+
 @query("SELECT count(*) AS n, 5::BIGINT AS folds FROM documents")
 def t11_folds(spark, d):
     f = table(spark, d, "documents").select(search.folds(F.col("doc_id"), 5).alias("f"))
@@ -582,8 +592,13 @@ def x11_clean_controls_all(spark, d):
 
 @query(with_listings("SELECT listing_id, source_row, concat_ws(chr(10), title, concat_ws(' · ', property_type, concat_ws(', ', ward, district, province), 'giá ' || printf('%.2f', price_vnd / 1e9) || ' tỷ', printf('%g', area_m2) || ' m²', bedrooms || ' phòng ngủ')) AS header FROM v_listings WHERE listing_id < 2000"))
 def x12_listing_header(spark, d):
+    return x12_listing_header_all(spark, d).where("listing_id < 2000")
+
+
+@query(ORACLES["x12_listing_header"].replace(" WHERE listing_id < 2000", ""))
+def x12_listing_header_all(spark, d):
     c = F.col
-    return view(spark, d).where("listing_id < 2000").select("listing_id", "source_row", X.listing_header(c("title"), c("property_type"), c("ward"), c("district"), c("province"), c("price_vnd"), c("area_m2"), c("bedrooms")).alias("header"))
+    return view(spark, d).select("listing_id", "source_row", X.listing_header(c("title"), c("property_type"), c("ward"), c("district"), c("province"), c("price_vnd"), c("area_m2"), c("bedrooms")).alias("header"))
 
 
 @query(r"SELECT doc_id, len(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'))::BIGINT AS n FROM documents")
@@ -644,7 +659,12 @@ def x31_fix_thousand(spark, d):
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, round_even(l_quantity / 2, 0)::SMALLINT AS half FROM lineitem WHERE l_orderkey < 500")
 def x32_small_int(spark, d):
-    return table(spark, d, "lineitem").where("l_orderkey < 500").select("l_orderkey", "l_linenumber", "l_partkey", V.small_int(F.col("l_quantity") / 2).alias("half"))
+    return x32_small_int_all(spark, d).where("l_orderkey < 500")
+
+
+@query(ORACLES["x32_small_int"].replace(" WHERE l_orderkey < 500", ""))
+def x32_small_int_all(spark, d):
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", V.small_int(F.col("l_quantity") / 2).alias("half"))
 
 
 @query("SELECT doc_id, ('0x' || substr(md5(lower(text)), 1, 15))::BIGINT AS key FROM documents")

@@ -4,7 +4,9 @@ import hashlib
 import re
 
 import numpy as np
+import pytest
 
+from compare import connection
 from lodestone.plans import analytics, extras, relational  # noqa: F401
 from lodestone.plans.registry import QUERIES
 
@@ -34,3 +36,10 @@ def test_cleaning_takes_all_documents(spark, tmp_path):
     for name, f in (("x11_clean_controls_all", cleaned), ("x09_mask_pii_all", masked)):
         got = {r["doc_id"]: r["h"] for r in QUERIES[name](spark, str(tmp_path)).collect()}
         assert got == {i: None if t is None else md5(f(t)) for i, t in rows}
+
+
+@pytest.mark.parametrize("name, table", [("x12_listing_header_all", "lineitem"), ("x32_small_int_all", "lineitem"), ("f25_cards_all", "lineitem"), ("t10_required_union_all", "documents")])
+def test_takes_all_rows(spark, name, table):
+    con = connection("/root/testdata/sf0.001")
+    n = con.execute(f"SELECT count(*) FROM {table}").fetchone()[0]
+    assert QUERIES[name](spark, "/root/testdata/sf0.001").count() == n
