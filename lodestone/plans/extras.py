@@ -11,7 +11,7 @@ from lodestone.functions import values as V
 from lodestone.operators import evaluation, graph, market, reports, search, valuation
 from lodestone.plans.analytics import BM25_SQL, KINDS, VEC0
 from lodestone.plans.bindings import AMENITY_NAMES, KEYED, MARKET, listings, table, view, with_listings
-from lodestone.plans.registry import query, r4, rounded
+from lodestone.plans.registry import ORACLES, query, r4, rounded
 from lodestone.plans.relational import PERIOD, literals, values
 from lodestone.sources import io
 
@@ -147,7 +147,12 @@ def x15_truncation(spark, d):
 
 @query(with_listings("SELECT listing_id, round(area_m2 / 7, 3) AS score, concat_ws(', ', ward, district, province) AS address, left(description, 70) AS excerpt FROM listings WHERE listing_id < 300"))
 def x17_hit_cards(spark, d):
-    return reports.cards(listings(spark, d).where("listing_id < 300").withColumn("score", F.col("area_m2") / 7))
+    return x17_hit_cards_all(spark, d).where("listing_id < 300")
+
+
+@query(ORACLES["x17_hit_cards"].replace(" WHERE listing_id < 300", ""))
+def x17_hit_cards_all(spark, d):
+    return reports.cards(listings(spark, d).withColumn("score", F.col("area_m2") / 7))
 
 
 @query("SELECT '<documents>' || chr(10) || '<document index=\"1\">' || chr(10) || 'a <\\/document> b' || chr(10) || '</document>' || chr(10) || '</documents>' AS prompt")
@@ -244,5 +249,10 @@ def g12_areas_with_coordinates(spark, d):
 
 @query("SELECT o_orderkey, o_totalprice::DOUBLE AS price FROM orders WHERE o_orderkey % 100 = 0")
 def s13_declared_schema(spark, d):
+    return s13_declared_schema_all(spark, d).where("o_orderkey % 100 = 0")
+
+
+@query(ORACLES["s13_declared_schema"].replace(" WHERE o_orderkey % 100 = 0", ""))
+def s13_declared_schema_all(spark, d):
     t = spark.read.schema(schemas.struct("o_orderkey bigint, o_totalprice double")).parquet(f"{d}/orders.parquet")
-    return t.where("o_orderkey % 100 = 0").select("o_orderkey", F.col("o_totalprice").alias("price"))
+    return t.select("o_orderkey", F.col("o_totalprice").alias("price"))

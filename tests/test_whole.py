@@ -38,7 +38,7 @@ def test_cleaning_takes_all_documents(spark, tmp_path):
         assert got == {i: None if t is None else md5(f(t)) for i, t in rows}
 
 
-@pytest.mark.parametrize("name, table", [("x12_listing_header_all", "lineitem"), ("x32_small_int_all", "lineitem"), ("f25_cards_all", "lineitem"), ("t10_required_union_all", "documents")])
+@pytest.mark.parametrize("name, table", [("x12_listing_header_all", "lineitem"), ("x32_small_int_all", "lineitem"), ("f25_cards_all", "lineitem"), ("t10_required_union_all", "documents"), ("x17_hit_cards_all", "lineitem"), ("s13_declared_schema_all", "orders")])
 def test_takes_all_rows(spark, name, table):
     con = connection("/root/testdata/sf0.001")
     n = con.execute(f"SELECT count(*) FROM {table}").fetchone()[0]
