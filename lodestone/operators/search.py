@@ -38,6 +38,19 @@ def chunks(df: DataFrame, ident: str, header: Column, text: str, size: int = 400
     )
 
 
+def whole_chunks(df: DataFrame, ident: str, text: str, size: int = 400, overlap: int = 100) -> DataFrame:
+    """As chunks without a header, but of the whole text, however long. The point id is ident * 2^31 + chunk_index as a decimal,
+    which no two chunks share. Windows are cut inside the document's row, so its words are not copied to every chunk."""
+    rows = df.select(F.col(ident).alias("listing_id"), F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+"), lambda w: w != "").alias("__t"))
+    n = F.size("__t")
+    total = F.when(n > size, F.ceil((n - overlap) / (size - overlap))).otherwise(1).cast("int")
+    windows = F.transform(F.sequence(F.lit(0), total - 1), lambda i: F.slice("__t", i * (size - overlap) + 1, size))
+    parts = F.transform(windows, lambda w: F.struct(F.array_join(w, " ").alias("text"), F.size(w).alias("n_tokens")))
+    out = rows.select("listing_id", F.posexplode(parts).alias("chunk_index", "__c"))
+    ident_part = F.col("listing_id").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)")
+    return out.select((ident_part + F.col("chunk_index")).cast("decimal(31,0)").alias("point_id"), "listing_id", "chunk_index", "__c.text", "__c.n_tokens")
+
+
 def postings(df: DataFrame, ident: str, text: str, cap: int = 65535) -> DataFrame:
     """doc_id, term, tf (capped), doc_len: one row per distinct term of a document, counted inside the row."""
     rows = df.select(F.col(ident).alias("doc_id"), words(F.col(text)).alias("w"))

@@ -242,6 +242,14 @@ def c01_chunks(spark, d):
     return c.select("point_id", "chunk_index", F.md5(F.col("text").cast("binary")).alias("h"), "n_tokens", "truncated")
 
 
+@query(r"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS w FROM documents),
+    c AS (SELECT doc_id, w, unnest(range(0, CASE WHEN len(w) > 400 THEN ceil((len(w) - 100) / 300.0)::BIGINT ELSE 1 END)) AS i FROM t)
+    SELECT (doc_id::DECIMAL(20, 0) * 2147483648 + i)::DECIMAL(31, 0) AS point_id, i::INTEGER AS chunk_index, md5(array_to_string(w[i * 300 + 1 : i * 300 + 400], ' ')) AS h, len(w[i * 300 + 1 : i * 300 + 400])::INTEGER AS n_tokens FROM c""")
+def c01_chunks_all(spark, d):
+    c = search.whole_chunks(table(spark, d, "documents"), "doc_id", "text")
+    return c.select("point_id", "chunk_index", F.md5(F.col("text").cast("binary")).alias("h"), "n_tokens")
+
+
 def keyed_documents(spark, d):
     """Documents as raw rows: the id is a hash of the text, the prefix key of its first 60 characters."""
     t = table(spark, d, "documents")

@@ -43,3 +43,15 @@ def test_takes_all_rows(spark, name, table):
     con = connection("/root/testdata/sf0.001")
     n = con.execute(f"SELECT count(*) FROM {table}").fetchone()[0]
     assert QUERIES[name](spark, "/root/testdata/sf0.001").count() == n
+
+
+def test_chunks_take_whole_texts(spark, tmp_path):
+    rows = [(i, " ".join(f"w{k}" for k in range(n))) for i, n in enumerate((0, 1, 400, 401, 700, 701, 30_000))] + [((1 << 60) + 1, "a b"), (7, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = set()
+    for i, t in rows:
+        w = (t or "").split()
+        starts = [0] + list(range(300, max(0, len(w) - 100), 300))
+        want |= {(i * 2**31 + k, k, hashlib.md5(" ".join(w[a : a + 400]).encode()).hexdigest(), len(w[a : a + 400])) for k, a in enumerate(starts)}
+    got = [(int(r["point_id"]), r["chunk_index"], r["h"], r["n_tokens"]) for r in QUERIES["c01_chunks_all"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) > 100 and set(got) == want
