@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -213,18 +212,16 @@ def bootstrap_distributed(df: DataFrame, value: str, order: str, n_boot: int, se
 def bootstrap_counts(df: DataFrame, value: str, n_boot: int, seed: int = 42) -> DataFrame:
     """boot, mean: resamples of all values that are not null, drawn from the counts of the distinct values.
 
-    Rows are counted before they move, so only the distinct values (a label has few) reach the driver.
+    Rows are counted before they move, so only the distinct values (a label has few) reach the driver, which draws.
     """
     found = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).count().collect()
     pairs = sorted((r["v"], r["count"]) for r in found)
     v, c = np.array([x for x, _ in pairs]), np.array([n for _, n in pairs], dtype=np.int64)
-
-    def run(batches):
-        for batch in batches:
-            means = [float(np.random.default_rng([seed, b]).multinomial(c.sum(), c / c.sum()) @ v / c.sum()) if len(v) else None for b in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(means, pa.float64())], names=["boot", "mean"])
-
-    return df.sparkSession.range(n_boot).mapInArrow(run, "boot long, mean double")
+    n = int(c.sum())
+    means = np.random.default_rng(seed).multinomial(n, c / n, n_boot) @ v / n if n else []
+    said = F.split(F.lit(",".join(repr(float(x)) for x in means)), ",")
+    boots = df.sparkSession.range(n_boot).withColumnRenamed("id", "boot")
+    return boots.select("boot", F.get(said, F.col("boot").cast("int")).try_cast("double").alias("mean"))
 
 
 def rescore(answers: DataFrame, old: DataFrame, version: str) -> DataFrame:
