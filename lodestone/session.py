@@ -26,10 +26,14 @@ def session(master: str = "local[*]", shuffle_partitions: int = 8, **more: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as named by spark.checkpoint.dir; a temporary one where it is unset."""
+    """The folder that driver and executors share, as named by spark.checkpoint.dir. Where it is unset, a temporary one serves a
+    local master; on a cluster that is an error, since executors would not see it."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-"))
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="lodestone-"))
     return sc.getCheckpointDir()
 
 
@@ -38,7 +42,24 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{os.urandom(6).hex()}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a path of the shared folder, by Hadoop's file systems."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)
+
+
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Cut lineage with a written table: it outlives lost executors, is read by column, and tells its size to the optimizer."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete the files of materialized tables that nothing reads any more."""
+    for t in tables:
+        if getattr(t, "stored_at", None):
+            delete(t.sparkSession, t.stored_at)
