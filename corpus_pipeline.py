@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lodestone.llm import language_id, line_dedup, minhash, packing, quality
 from lodestone.llm.common import held_out, table
 from lodestone.llm.queries import vocabulary
-from lodestone.session import scratch
+from lodestone.session import materialize, release
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,10 +46,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each stage's documents are written to the shared folder, so later stages do not compute them again."""
+    """Each stage's documents are written to the shared folder, so later stages do not compute them again; once a stage is
+    written, the documents of the stage before are deleted."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        path = scratch(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        kept = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
