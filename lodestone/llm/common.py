@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.session import materialize  # noqa: F401
+from lodestone.session import materialize, release  # noqa: F401
 
 #: Code points removed from the ends of lines and from whole texts: space, tab, LF, VT, FF, CR.
 BLANKS = r"[\x20\x09-\x0D]"
@@ -62,6 +62,23 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """Helper column names that clash with none of the table's (column names do not tell case apart)."""
+    known = {c.lower() for c in taken}
+    out = []
+    for name in names:
+        while name.lower() in known:
+            name = f"_{name}"
+        known.add(name.lower())
+        out.append(name)
+    return out
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns, whatever signs their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def inline(spark: SparkSession, rows: list[tuple], names: list[str], types: list[str]) -> DataFrame:
     """A small fixed table as literals, so that no Python worker takes part."""
     structs = [F.struct(*[F.lit(v).cast(t).alias(n) for v, n, t in zip(r, names, types)]) for r in rows]

@@ -9,17 +9,21 @@ document's weight; darts are thrown up to a time that gives about k (ln k + 3) h
 falls on one of k coordinates, and the earliest per coordinate is kept (with coordinates left empty, the time is doubled).
 Two documents agree on a coordinate with the probability of their weighted Jaccard similarity.
 
-Plan: documents with equal shingle multisets are one representative (aggregated before the shuffle). `bands` keys of
-`rows_per_band` coordinates tie representatives to the least one of their bucket: one row per member, never pairs. The
-components of these ties are candidate groups; in them every pair is compared exactly, by blocked matrix products over
-shared shingles inside a task. In groups above `block` members, all are first compared with a few central members; those
-tied by that need no comparison with each other, and only the others are compared with the whole group, in block pairs. So
-a large group of close copies costs one pass over it. Only spanning edges leave a task.
+Plan: rows with equal shingle multisets are one representative (aggregated before the shuffle); a representative has a number
+of its own, so ids that are null or repeat under other texts lose no link. `bands` keys of `rows_per_band` coordinates tie
+representatives to the least one of their bucket: one row per member, never pairs. The components of these ties are
+candidate groups; in them every pair is compared exactly, by blocked matrix products over shared shingles inside a task.
+That settles the classes of groups of up to `block` members. In larger groups, all are first compared with a few central
+members, in lanes of `per_lane` members; those tied by that need no comparison with each other, and only the others are
+compared with the whole group, in block pairs, and the links found are joined up by components. So a large group of close
+copies costs one pass over it. Only spanning edges leave a task.
 Missed links: a pair of similarity 0.8 shares no band with probability (1 - 0.8^4)^20 < 0.00003.
 
-Defined cases: null and empty texts and texts without a word have no shingles and are classes of their own; texts of one to four words are one
-shingle; null ids count as one id behind all others; repeated rows of an id get the same class; an empty table gives no
-rows; further columns are kept by the filter and ignored by the query.
+Defined cases: null and empty texts and texts without a word have no shingles and are classes of their own, one for each row;
+texts of one to four words are one shingle; every row is judged by its own text, so rows that share an id, or have none, may
+be of different classes; null ids sort behind all others, and a class of such rows only has a null class_id; of a class the
+row with the least id stays, of several with that id (repeated rows, or near-copies under one id) one, always of the same
+text; an empty table gives no rows; further columns, of any name, are kept by the filter and ignored by the query.
 """
 
 from __future__ import annotations
@@ -30,17 +34,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, claim, materialize, slices, texts_of
+from .common import LAST_ID, claim, columns_of, fresh, materialize, release, slices, texts_of
 from lodestone.operators.components import connected_components
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 4
 BLOCK = 384
-PIVOTS, PER_LANE = 8, 8192
+PIVOTS, PER_LANE = 8, 512
 U = np.uint64
 WORD = re.compile(r"\w+")
 
@@ -165,9 +169,16 @@ def local_classes(sets: list[np.ndarray], similarity: float) -> np.ndarray:
         label = new
 
 
+def text_key(text: str, doc_id: str) -> list[Column]:
+    """doc, x1, x2: the id (LAST_ID for null) and two hashes of the text. Rows that agree on them are repeated rows."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    return [F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("doc"), F.xxhash64(t).alias("x1"), F.xxhash64(F.lit(1), t).alias("x2")]
+
+
 def signatures(docs: DataFrame, doc_id: str, text: str, bands: int, rows: int) -> DataFrame:
-    """doc, f1, f2 (hashes of the shingle multiset, null without shingles), keys (one per band)."""
-    schema = pa.schema([("doc", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    """doc, x1, x2, row (a number of its own), f1, f2 (hashes of the shingle multiset, null without shingles), keys (one per band)."""
+    own = [("doc", pa.int64()), ("x1", pa.int64()), ("x2", pa.int64())]
+    schema = pa.schema([*own, ("f1", pa.int64()), ("f2", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("none", lambda: None)
@@ -186,10 +197,11 @@ def signatures(docs: DataFrame, doc_id: str, text: str, bands: int, rows: int) -
                     f2.append(mix(u ^ U(0x2545F4914F6CDD1D)).sum(dtype=U).astype(np.int64))
                 distinct, weight = np.unique(items, return_counts=True)
                 keys.append(band_keys(signature(distinct, weight.astype(np.float64), bands * rows), bands, rows))
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c, _ in own], pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], schema=schema)
 
-    source = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("doc"), F.col(text).alias("text"))
-    return source.mapInArrow(run, "doc long, f1 long, f2 long, keys array<long>")
+    source = docs.select(*text_key(text, doc_id), F.col(text).alias("text"))
+    made = source.mapInArrow(run, "doc long, x1 long, x2 long, f1 long, f2 long, keys array<long>")
+    return made.withColumn("row", F.monotonically_increasing_id())
 
 
 def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
@@ -201,122 +213,173 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return inter >= similarity * (len(a) + len(b) - inter) - 1e-9
 
 
-def pivot_edges(big: DataFrame, keyed: DataFrame, similarity: float, pivots: int, per_lane: int) -> DataFrame:
-    """src, dst: links of the members of large groups to a few central ones of their group.
+def unit_sets(docs: DataFrame, members: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """rep, grp, size, units of every member, from one of the rows with its text. `members` has rep, grp, size, doc, x1, x2."""
+    kinds = [("rep", pa.int64()), ("grp", pa.int64()), ("size", pa.int64()), ("units", pa.binary())]
+    schema = pa.schema(kinds)
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # repeated rows of a member: one for each task is enough
+        for batch in slices(batches):
+            new = [r not in seen and not seen.add(r) for r in batch.column("rep").to_pylist()]
+            part = batch.filter(pa.array(new, pa.bool_()))
+            made = [units(shingles(t)).tobytes() for t in texts_of(part)]
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c, _ in kinds[:3]], pa.array(made, pa.binary())], schema=schema)
+
+    source = docs.select(*text_key(text, doc_id), F.col(text).alias("text"))
+    texts = source.join(members, ["doc", "x1", "x2"]).select("rep", "grp", "size", "text")
+    return texts.mapInArrow(sets, "rep long, grp long, size long, units binary")
+
+
+def pivot_links(big: DataFrame, ties: DataFrame, similarity: float, pivots: int, per_lane: int) -> DataFrame:
+    """grp, rep, mask, linked: the central members of a large group that each member is similar to, as bits and as a list.
 
     The most central members share the most band keys with others. They are repeated for as many lanes as the group's size
     calls for, and each lane's task reads its members as a stream.
     """
-    held = keyed.join(big.select("doc", "grp"), "doc")
-    common = materialize(held.groupBy("grp", "key").agg(F.count("*").alias("n")))
-    central = held.join(common, ["grp", "key"]).groupBy("grp", "doc").agg(F.sum("n").alias("score"))
-    order = Window.partitionBy("grp").orderBy(F.desc("score"), "doc")
-    top = central.withColumn("r", F.row_number().over(order)).where(F.col("r") <= pivots).select("doc")
+    scored = big.select("grp", "rep").join(ties.select("rep", "score"), "rep")
+    order = Window.partitionBy("grp").orderBy(F.desc("score"), "rep")
+    top = materialize(scored.distinct().withColumn("bit", F.row_number().over(order) - 1).where(F.col("bit") < pivots).select("rep", "bit"), "pivots")
     lanes = F.ceil(F.col("size") / per_lane).cast("int")
-    heads = big.join(materialize(top), "doc", "left_semi").select(
-        "grp", F.explode(F.sequence(F.lit(0), lanes - 1)).alias("lane"), F.lit(0).alias("kind"), "doc", "units"
-    )
-    rest = big.select("grp", F.pmod(F.xxhash64("doc"), lanes).cast("int").alias("lane"), F.lit(1).alias("kind"), "doc", "units")
-    routed = heads.unionByName(rest).repartition("grp", "lane").sortWithinPartitions("grp", "lane", "kind", "doc")
+    heads = big.join(top, "rep").dropDuplicates(["rep"]).select("grp", F.explode(F.sequence(F.lit(0), lanes - 1)).alias("lane"), "bit", "rep", "units")
+    rest = big.select("grp", F.pmod(F.xxhash64("rep"), lanes).cast("int").alias("lane"), F.lit(pivots).alias("bit"), "rep", "units")
+    routed = heads.unionByName(rest).repartition("grp", "lane").sortWithinPartitions("grp", "lane", "bit", "rep")
+    schema = pa.schema([("grp", pa.int64()), ("rep", pa.int64()), ("mask", pa.int32()), ("linked", pa.list_(pa.int64()))])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grp, own = None, []
-        for batch in batches:
-            src, dst = [], []
-            for g, kind, doc, raw in zip(*[batch.column(c).to_pylist() for c in ("grp", "kind", "doc", "units")]):
-                if g != grp:
-                    grp, own = g, []
+        at, own, last = None, [], None
+        for batch in slices(batches):
+            out = []
+            for grp, lane, bit, rep, raw in zip(*[batch.column(c).to_pylist() for c in ("grp", "lane", "bit", "rep", "units")]):
+                if (grp, lane) != at:
+                    at, own, last = (grp, lane), [], None
                 mine = np.frombuffer(raw, dtype=U)
-                if kind == 0:
-                    if doc not in {d for d, _ in own}:  # several lanes of a group may share a task
-                        own.append((doc, mine))
-                    continue
-                for d, u in own:
-                    if d != doc and similar(mine, u, similarity):
-                        src.append(d)
-                        dst.append(doc)
-            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
-
-    return routed.mapInArrow(link, "src long, dst long")
-
+                if bit < pivots:
+                    own.append((bit, rep, mine))
+                elif rep != last:
+                    last = rep
+                    near = [(b, r) for b, r, u in own if r == rep or similar(mine, u, similarity)]
+                    out.append((grp, rep, sum(1 << b for b, _ in near), [r for _, r in near if r != rep]))
+            cols = list(zip(*out)) or [[] for _ in schema]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(cols, schema)], schema=schema)
+
+    return materialize(routed.mapInArrow(link, "grp long, rep long, mask int, linked array<long>"), "links")
+
+
+def main_class(masks: pa.Table) -> pa.Table:
+    """grp, mask, tied (of the group's largest class), s and r (members of that class, and others), from the masks of a group.
+    Masks that share a bit are of one class; members with no bit are classes of their own."""
+    mask, n = masks.column("mask").to_numpy(), masks.column("n").to_numpy()
+    joined = mask.copy()
+    while True:
+        new = np.array([np.bitwise_or.reduce(joined[(joined & m) != 0]) if m else 0 for m in joined])
+        if (new == joined).all():
+            break
+        joined = new
+    total = {m: int(n[joined == m].sum()) for m in joined if m}
+    main = min(total, key=lambda m: (-total[m], m)) if total else None
+    tied = joined == main if total else np.zeros(len(mask), dtype=bool)
+    s = int(n[tied].sum())
+    return pa.table({"grp": masks.column("grp"), "mask": mask, "tied": tied, "s": np.full(len(mask), s), "r": np.full(len(mask), int(n.sum()) - s)})
+
+
+def large_blocks(big: DataFrame, linked: DataFrame, block: int) -> DataFrame:
+    """grp, rep, units, i, j: block pairs of the members of large groups that the central members don't tie to the largest class,
+    with each other and with the tied ones."""
+    counts = linked.groupBy("grp", "mask").agg(F.count("*").alias("n"))
+    judged = counts.groupBy("grp").applyInArrow(main_class, "grp long, mask int, tied boolean, s long, r long")
+    judged = materialize(judged.where("r > 0"), "judged")
+    of = linked.join(judged, ["grp", "mask"]).select("rep", "tied", F.ceil(F.col("s") / block).cast("int").alias("ns"), F.ceil(F.col("r") / block).cast("int").alias("nr"))
+    own = F.pmod(F.xxhash64("rep"), F.when(F.col("tied"), F.col("ns")).otherwise(F.col("nr"))).cast("int")
+    # Blocks of the others are 0, 1, ...; blocks of the tied ones are -1, -2, ...
+    across = F.transform(F.sequence(F.lit(0), F.col("nr") - 1), lambda i: F.struct(i.alias("i"), (-own - 1).alias("j")))
+    among = F.transform(F.sequence(F.lit(0), F.col("nr") - 1), lambda i: F.struct(F.least(i, own).alias("i"), F.greatest(i, own).alias("j")))
+    every = F.when(F.col("ns") > 0, F.sequence(F.lit(0), F.col("ns") - 1)).otherwise(F.array().cast("array<int>"))
+    with_tied = F.transform(every, lambda j: F.struct(own.alias("i"), (-j - 1).alias("j")))
+    pairs = F.when(F.col("tied"), across).otherwise(F.concat(among, with_tied))
+    return big.join(of, "rep").select("grp", "rep", "units", F.explode(pairs).alias("p")).select("grp", "rep", "units", F.col("grp").alias("g"), "p.i", "p.j")
+
+
+def compare(similarity: float):
+    """Exact comparison of all members of each candidate group in a table: rep and the first member of its class there."""
+
+    def run(t: pa.Table) -> pa.Table:
+        reps, grps, raw = t.column("rep").to_numpy(), t.column("grp").to_numpy(), t.column("units")
+        order = np.lexsort((reps, grps))
+        src, dst = [], []
+        for own in np.split(order, np.flatnonzero(np.diff(grps[order])) + 1):
+            own = own[np.unique(reps[own], return_index=True)[1]]
+            if len(own) > 1:
+                label = local_classes([np.frombuffer(raw[int(k)].as_buffer(), dtype=U) for k in own], similarity)
+                far = label != np.arange(len(own))
+                src.append(reps[own][far])
+                dst.append(reps[own][label[far]])
+        none = np.zeros(0, dtype=np.int64)
+        return pa.table({"src": np.concatenate(src) if src else none, "dst": np.concatenate(dst) if dst else none})
 
-def verified_edges(
-    docs: DataFrame, members: DataFrame, keyed: DataFrame, doc_id: str, text: str, similarity: float, block: int, pivots: int = PIVOTS, per_lane: int = PER_LANE
-) -> DataFrame:
-    """src, dst: spanning edges of the verified links. `members` has doc and its candidate group, `keyed` doc and band keys."""
-    sizes = materialize(members.groupBy("grp").agg(F.count("*").alias("size")))
-    members = members.join(sizes, "grp")
-    source = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("doc"), F.col(text).alias("text"))
-    schema = pa.schema([("doc", pa.int64()), ("grp", pa.int64()), ("size", pa.int64()), ("units", pa.binary())])
+    return run
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            made = [units(shingles(t)).tobytes() for t in texts_of(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("grp"), batch.column("size"), pa.array(made, pa.binary())], schema=schema)
 
-    shaped = materialize(source.join(members, "doc").select("doc", "grp", "size", "text").mapInArrow(sets, "doc long, grp long, size long, units binary"))
+def verified_classes(docs: DataFrame, members: DataFrame, ties: DataFrame, doc_id: str, text: str, similarity: float, block: int, pivots: int = PIVOTS, per_lane: int = PER_LANE) -> DataFrame:
+    """rep, class (a representative) for members with a verified link; the others are classes of their own."""
+    shaped = materialize(unit_sets(docs, members, doc_id, text), "units")
     small, big = shaped.where(F.col("size") <= block), shaped.where(F.col("size") > block)
+    check, edge = compare(similarity), "src long, dst long"
     bundles = max(1, small.count() // block)
-    dealt = small.select("doc", "grp", "units", F.pmod(F.xxhash64("grp"), F.lit(bundles)).alias("g"), F.lit(-1).alias("i"), F.lit(-1).alias("j"))
-    found = None
-    if big.take(1):
-        found = materialize(pivot_edges(big.dropDuplicates(["doc"]), keyed, similarity, pivots, per_lane))
-        classes = connected_components(found).select(F.col("node").alias("doc"), F.col("component").alias("class"))
-        classed = materialize(big.select("doc", "grp").distinct().join(classes, "doc", "left").select("doc", "grp", F.coalesce("class", "doc").alias("class")))
-        # Members of a group's largest class are tied already: only the others are compared, with all of the group.
-        counts = classed.groupBy("grp", "class").agg(F.count("*").alias("n"))
-        main = counts.groupBy("grp").agg(F.max(F.struct("n", "class")).alias("m"), F.sum("n").alias("all")).select("grp", F.col("m.class").alias("main"), F.col("m.n").alias("s"), (F.col("all") - F.col("m.n")).alias("r"))
-        of = classed.join(materialize(main.where("r > 0")), "grp").select("doc", (F.col("class") == F.col("main")).alias("tied"), F.ceil(F.col("s") / block).cast("int").alias("ns"), F.ceil(F.col("r") / block).cast("int").alias("nr"))
-        own = F.pmod(F.xxhash64("doc"), F.when(F.col("tied"), F.col("ns")).otherwise(F.col("nr"))).cast("int")
-        # Blocks of the others are 0, 1, ...; blocks of the tied ones are -1, -2, ...
-        across = F.transform(F.sequence(F.lit(0), F.col("nr") - 1), lambda i: F.struct(i.alias("i"), (-own - 1).alias("j")))
-        among = F.transform(F.sequence(F.lit(0), F.col("nr") - 1), lambda i: F.struct(F.least(i, own).alias("i"), F.greatest(i, own).alias("j")))
-        with_tied = F.transform(F.sequence(F.lit(0), F.col("ns") - 1), lambda j: F.struct(own.alias("i"), (-j - 1).alias("j")))
-        pairs = F.when(F.col("tied"), across).otherwise(F.concat(among, with_tied))
-        more = big.join(of, "doc").select("doc", "grp", "units", F.explode(pairs).alias("p")).select("doc", "grp", "units", F.col("grp").alias("g"), "p.i", "p.j")
-        dealt = dealt.withColumn("large", F.lit(False)).unionByName(more.withColumn("large", F.lit(True)))
-    else:
-        dealt = dealt.withColumn("large", F.lit(False))
-
-    def compare(group: pa.Table) -> pa.Table:
-        docs_, grps = group.column("doc").to_numpy(), group.column("grp").to_numpy()
-        raw = group.column("units").to_pylist()
-        order = np.lexsort((docs_, grps))
-        src, dst = [], []
-        for own_ in np.split(order, np.flatnonzero(np.diff(grps[order])) + 1):
-            _, first = np.unique(docs_[own_], return_index=True)
-            own_ = own_[first]
-            if len(own_) > 1:
-                label = local_classes([np.frombuffer(raw[k], dtype=U) for k in own_], similarity)
-                far = label != np.arange(len(own_))
-                src.append(docs_[own_][far])
-                dst.append(docs_[own_][label[far]])
-        none = np.zeros(0, dtype=np.int64)
-        return pa.table({"src": np.concatenate(src) if src else none, "dst": np.concatenate(dst) if dst else none})
-
-    compared = dealt.groupBy("g", "large", "i", "j").applyInArrow(compare, "src long, dst long")
-    return compared if found is None else found.unionByName(compared)
+    settled = small.select("grp", "rep", "units", F.pmod(F.xxhash64("grp"), F.lit(bundles)).alias("g")).groupBy("g").applyInArrow(check, edge)
+    # In a small group every pair was compared, so the first member of a class names it.
+    named = settled.select(F.col("src").alias("rep"), F.col("dst").alias("class")).unionByName(settled.select(F.col("dst").alias("rep"), F.col("dst").alias("class")).distinct())
+    if big.isEmpty():
+        out = materialize(named, "classes")
+        release(shaped)
+        return out
+    named = materialize(named, "classes")
+    linked = pivot_links(big, ties, similarity, pivots, per_lane)
+    across = large_blocks(big, linked, block).groupBy("g", "i", "j").applyInArrow(check, edge)
+    found = linked.select(F.col("rep").alias("src"), F.explode("linked").alias("dst")).unionByName(across)
+    joined = connected_components(found, least=False).select(F.col("node").alias("rep"), F.col("component").alias("class"))
+    release(shaped, linked)
+    return named.unionByName(joined)
+
+
+def near_rows(docs: DataFrame, doc_id: str, text: str, similarity: float, bands: int, rows: int, block: int) -> DataFrame:
+    """doc, x1, x2, row and win (the same of the row that stays of its class) for every row."""
+    sig = materialize(signatures(docs, doc_id, text, bands, rows), "signatures")
+    own = F.struct("doc", "x1", "x2", "row")
+    reps = materialize(sig.where("f1 is not null").groupBy("f1", "f2").agg(F.min(own).alias("best"), F.first("keys").alias("keys")).withColumn("rep", F.monotonically_increasing_id()), "reps")
+    keyed = reps.select("rep", F.explode("keys").alias("key"))
+    heads = keyed.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1")
+    ties = materialize(keyed.join(heads, "key").groupBy("rep").agg(F.sum("n").alias("score"), F.collect_set("pivot").alias("pivots")), "ties")
+    groups = connected_components(ties.select("rep", F.explode("pivots").alias("pivot")).where("rep <> pivot"), "rep", "pivot", least=False).select(F.col("node").alias("rep"), F.col("component").alias("grp"))
+    sizes = groups.groupBy("grp").agg(F.count("*").alias("size"))
+    members = materialize(groups.join(sizes, "grp").join(reps.select("rep", "best.doc", "best.x1", "best.x2"), "rep"), "members")
+    classes = verified_classes(docs, members, ties, doc_id, text, similarity, block)
+    release(ties, members)
+    several = materialize(reps.select("rep", "best").join(classes, "rep"), "several")
+    winners = several.groupBy("class").agg(F.min("best").alias("win"))
+    won = several.join(winners, "class").select("rep", "win")
+    of_set = reps.select("rep", "f1", "f2", "best").join(won, "rep", "left").select("f1", "f2", F.coalesce("win", "best").alias("win"))
+    return sig.select(own.alias("own"), "f1", "f2").join(of_set, ["f1", "f2"], "left").select("own.*", F.coalesce("win", "own").alias("win"))
 
 
 def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """doc_id, class_id (least doc_id of the class), kept for every row."""
-    sig = materialize(signatures(docs, doc_id, text, bands, rows))
-    reps = materialize(sig.where("f1 is not null").groupBy("f1", "f2").agg(F.min("doc").alias("doc")))
-    lone = sig.join(reps, ["f1", "f2", "doc"], "left_semi").dropDuplicates(["doc"])
-    keyed = materialize(lone.select("doc", F.explode("keys").alias("key")))
-    heads = materialize(keyed.groupBy("key").agg(F.min("doc").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    ties = keyed.join(heads, "key").where("doc <> pivot").select(F.col("doc").alias("src"), F.col("pivot").alias("dst"))
-    groups = connected_components(ties).select(F.col("node").alias("doc"), F.col("component").alias("grp"))
-    edges = verified_edges(docs, groups, keyed, doc_id, text, similarity, block)
-    classes = connected_components(edges).select(F.col("node").alias("doc"), F.col("component").alias("class"))
-    of_set = reps.join(classes, "doc", "left").select("f1", "f2", F.coalesce("class", "doc").alias("class"))
-    out = sig.select("doc", "f1", "f2").join(of_set, ["f1", "f2"], "left")
-    known = F.when(F.col("doc") != LAST_ID, F.col("doc"))
-    cls = F.coalesce("class", "doc")
-    return out.select(known.alias("doc_id"), F.when(cls != LAST_ID, cls).alias("class_id"), (cls == F.col("doc")).alias("kept"))
-
-
-def keep_first_of_class(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **more) -> DataFrame:
-    """The documents, with their columns, that are the least of their class."""
-    gone = near_classes(docs, doc_id, text, **more).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(doc_id) == F.col("__gone"), "left_anti")
+    found = near_rows(docs, doc_id, text, similarity, bands, rows, block)
+    known = lambda c: F.when(F.col(c) != LAST_ID, F.col(c))
+    return found.select(known("doc").alias("doc_id"), known("win.doc").alias("class_id"), (F.col("row") == F.col("win.row")).alias("kept"))
+
+
+def keep_first_of_class(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
+    """The documents, with their columns, that stay of their class."""
+    found = near_rows(docs, doc_id, text, similarity, bands, rows, block).where(F.col("row") != F.col("win.row"))
+    stays = F.struct("doc", "x1", "x2") == F.struct("win.doc", "win.x1", "win.x2")
+    names = fresh(docs.columns, "doc", "x1", "x2", "again")
+    # again: one of the repeated rows with this key stays; otherwise all go.
+    gone = materialize(found.groupBy("doc", "x1", "x2").agg(F.max(stays).alias("again")).toDF(*names), "gone")
+    key = [c.alias(n) for c, n in zip(text_key(text, doc_id), names)]
+    marked = docs.select("*", *key).join(gone, names[:3], "left")
+    own = columns_of(docs)
+    out = marked.where(F.col(names[3]).isNull()).select(*own)
+    if gone.where(F.col(names[3])).isEmpty():
+        return out
+    return out.unionByName(marked.where(F.col(names[3])).dropDuplicates(names[:3]).select(*own))

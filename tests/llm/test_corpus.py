@@ -286,12 +286,88 @@ def test_near_odd_rows(spark, odd):
     out = minhash.near_classes(odd).collect()
     assert len(out) == len(ODD)
     got = {r["doc_id"]: (r["class_id"], r["kept"]) for r in out if r["doc_id"] is not None}
-    assert got[1] == (1, True) and got[6] == (6, True) and got[7] == (6, False) and got[8] == (8, True) and got[15] == (15, True)
+    assert got[1] == (1, True) and got[6] == (6, True) and got[7] == (6, False) and got[8][0] == 8 and got[15] == (15, True)
     kept = minhash.keep_first_of_class(odd)
     assert kept.columns == odd.columns and 7 not in {r["doc_id"] for r in kept.collect()}
     assert minhash.near_classes(odd.limit(0)).count() == 0
 
 
+def brute_rows(rows, similarity=0.8):
+    """(id, least id of the class, rows of the class) by row, comparing the texts of all rows."""
+    bags = [shingle_bag(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for n, a in enumerate(bags):
+        for m, b in enumerate(bags[:n]):
+            inter = sum((a & b).values())
+            if inter and inter >= similarity * (sum(a.values()) + sum(b.values()) - inter) - 1e-9:
+                root[find(n)] = find(m)
+    groups = defaultdict(list)
+    for n in range(len(rows)):
+        groups[find(n)].append(n)
+    least = {g: min((rows[n][0] is None, rows[n][0] or 0) for n in own) for g, own in groups.items()}
+    return [(rows[n][0], None if least[find(n)][0] else least[find(n)][1], len(groups[find(n)])) for n in range(len(rows))]
+
+
+def words_of(start, n=60):
+    return " ".join(f"w{k}" for k in range(start, start + n))
+
+
+NULL_AND_REPEATED = [
+    (1, words_of(0)), (None, words_of(1000)), (None, words_of(0) + " x"), (4, words_of(1000) + " q"),  # null ids with two texts
+    (7, words_of(2000)), (7, words_of(3000)), (8, words_of(2000) + " x"), (9, words_of(3000) + " x"),  # one id, two texts
+    (None, words_of(4000)), (None, words_of(4000) + " y"),  # a class without ids
+    (20, words_of(5000)), (20, words_of(5000)), (21, words_of(5000)),  # repeated rows
+    (30, words_of(6000)), (30, words_of(6000) + " z"),  # near-copies under one id
+    (40, None), (40, None), (41, ""), (None, "!!!"), (None, None),
+]
+
+
+def test_near_rows_with_null_and_repeated_ids(spark):
+    names = "doc_id long, text string, doc int, x1 int, `a.b` int, again int, _again int, rep int, __gone int"
+    df = spark.createDataFrame([(*r, 1, 2, k, 4, 5, 6, 7) for k, r in enumerate(NULL_AND_REPEATED)], names)
+    want = brute_rows(NULL_AND_REPEATED)
+    for block in (384, 1):
+        out = minhash.near_classes(df, block=block).collect()
+        assert sorted(((r["doc_id"], r["class_id"]) for r in out), key=repr) == sorted(((i, c) for i, c, _ in want), key=repr)
+        # One row of each class stays: classes count by their shares.
+        assert sum(r["kept"] for r in out) == round(sum(1 / n for _, _, n in want))
+        kept = minhash.keep_first_of_class(df, block=block)
+        assert kept.columns == df.columns
+        rows = kept.collect()
+        assert len(rows) == sum(r["kept"] for r in out)
+        assert sorted((r["doc_id"] for r in out if r["kept"]), key=repr) == sorted((r["doc_id"] for r in rows), key=repr)
+        at = [r["a.b"] for r in rows]
+        assert len(set(at)) == len(at) and {0, 4, 5} <= set(at) and len({10, 11} & set(at)) == 1 and {15, 16, 17, 18, 19} <= set(at)
+
+
+def test_large_groups_are_compared_in_lanes_and_blocks(spark):
+    rng = random.Random(9)
+    rows, words = [], [f"v{k}" for k in range(900)]
+    base = [rng.choice(words) for _ in range(300)]
+    for k in range(90):  # copies of one text, of which some drift away from it in steps
+        t = list(base)
+        for j in range(k // 30 * 12 + rng.randint(0, 3)):
+            t[(j * 7) % len(t)] = f"n{k // 30}-{j}"
+        rows.append((k, " ".join(t)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_classes(df, block=8).collect()}
+    assert got == {i: c for i, c, _ in brute_rows(rows)}
+
+
+def test_main_class_of_masks():
+    import pyarrow as pa
+
+    t = pa.table({"grp": pa.array([3] * 5, pa.int64()), "mask": pa.array([0, 1, 3, 6, 8], pa.int32()), "n": pa.array([4, 2, 2, 1, 3], pa.int64())})
+    out = minhash.main_class(t).to_pydict()
+    assert out["tied"] == [False, True, True, True, False] and set(out["s"]) == {5} and set(out["r"]) == {7}
+
+
 def test_dart_signatures_estimate_weighted_jaccard():
     rng = np.random.default_rng(1)
     items = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
