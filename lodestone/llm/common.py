@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +19,9 @@ from lodestone.session import materialize, release  # noqa: F401
 BLANKS = r"[\x20\x09-\x0D]"
 #: Ids of rows that have none sort behind all others.
 LAST_ID = (1 << 63) - 1
+#: Bits of a Bloom filter: 16 for each id, up to 16 MB in all; beyond, more rows pass it than need be.
+BLOOM_BITS, MAX_BLOOM_BITS, BLOOM_HASHES = 16, 1 << 27, 5
+CHUNK = 1 << 19
 
 
 _CACHES: dict[str, Callable[[], None]] = {}
@@ -30,10 +36,16 @@ def claim(owner: str, clear: Callable[[], None]) -> None:
             if name != owner:
                 drop()
         _OWNER[:] = [owner]
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (OSError, AttributeError):  # not glibc: freed memory goes back later
-            pass
+        trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc: freed memory goes back later
+        pass
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,3 +99,57 @@ def inline(spark: SparkSession, rows: list[tuple], names: list[str], types: list
 
 def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
+
+
+def splitmix(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = x * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
+def bloom_places(ids: np.ndarray, bits: int) -> np.ndarray:
+    """[hashes, ids] places of ids in a Bloom filter."""
+    seeds = splitmix(np.arange(1, BLOOM_HASHES + 1, dtype=np.uint64))
+    return np.stack([splitmix(ids.view(np.uint64) ^ s) & np.uint64(bits - 1) for s in seeds]).astype(np.int64)
+
+
+def bloom_of(rows: DataFrame, column: str, bits_each: int = BLOOM_BITS, most: int = MAX_BLOOM_BITS) -> np.ndarray:
+    """A Bloom filter of a column of ids: at most `most` bits, put together from the tasks' filters in chunks."""
+    bits = 1 << max(12, min(most.bit_length() - 1, (rows.count() * bits_each).bit_length()))
+    chunk = min(bits, CHUNK)
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(bits, dtype=bool)
+        for batch in batches:
+            own[bloom_places(batch.column(0).to_numpy(), bits).ravel()] = True
+        at = [k for k in range(bits // chunk) if own[k * chunk : (k + 1) * chunk].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([np.packbits(own[k * chunk : (k + 1) * chunk]).tobytes() for k in at], pa.binary())], names=["at", "part"])
+
+    def both(t: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(x.as_buffer(), dtype=np.uint8) for x in t.column("part")]
+        return pa.table({"at": t.column("at").slice(0, 1), "part": pa.array([np.bitwise_or.reduce(parts).tobytes()], pa.binary())})
+
+    out = np.zeros(bits // 8, dtype=np.uint8)
+    for r in rows.select(column).mapInArrow(fill, "at int, part binary").groupBy("at").applyInArrow(both, "at int, part binary").collect():
+        out[r["at"] * chunk // 8 : (r["at"] + 1) * chunk // 8] = np.frombuffer(bytes(r["part"]), dtype=np.uint8)
+    return out
+
+
+def may_hold(shared, ids: np.ndarray) -> np.ndarray:
+    filter_ = shared.value
+    at = bloom_places(ids, 8 * len(filter_))
+    return ((filter_[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=0)
+
+
+def bloom_filter(rows: DataFrame, column: str, **more) -> Callable[[Column], Column]:
+    """A predicate on ids that is true for all ids of the column, and for few others. It spares rows a shuffle to a join with
+    `rows`; it takes ids only, so the rows' other columns do not pass through Python."""
+    shared = rows.sparkSession.sparkContext.broadcast(bloom_of(rows, column, **more))
+
+    @F.pandas_udf("boolean")
+    def held(ids: pd.Series) -> pd.Series:
+        return pd.Series(may_hold(shared, ids.to_numpy(dtype=np.int64)))
+
+    return held
