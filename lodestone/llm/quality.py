@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, held_out, slices, texts_of, uniform
+from .common import claim, held_out, slices, texts_of, trim, uniform
 
 THRESHOLD = 0.7
 CACHE_WORDS = 250_000
@@ -101,10 +101,11 @@ def terms(text: str, dims: int) -> np.ndarray:
     pair = (s[1:] * 31 + s[:-1]) * 2654435761 % (1 << 31)
     ids = np.concatenate((s, pair)) % (dims - 32)
     out[: dims - 32] = np.bincount(ids, minlength=dims - 32)
-    code = np.fromiter(map(hash, words), dtype=np.int64, count=n)
+    number: dict[str, int] = {}
+    code = np.fromiter((number.setdefault(w, len(number)) for w in words), dtype=np.int64, count=n)
     again = int((code[1:] == code[:-1]).sum())
-    two = len(np.unique(code[1:] ^ (code[:-1] << 1))) if n > 1 else 0
-    for k, x in enumerate((again / n, 1 - len(np.unique(code)) / n, 1 - two / max(1, n - 1))):
+    two = len(np.unique(code[1:] * len(number) + code[:-1])) if n > 1 else 0
+    for k, x in enumerate((again / n, 1 - len(number) / n, 1 - two / max(1, n - 1))):
         out[dims - 32 + 8 * k + min(7, int(x * 8))] = n * (0.25 + x)
     return out / n
 
@@ -178,7 +179,11 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, doc_id
     sample = rows.join(F.broadcast(picked), "doc_id").limit(4 * per_class).collect()
     sample.sort(key=lambda r: (r["y"], r["doc_id"], r["text"]))
     taken = [r for y in (0, 1) for r in [s for s in sample if s["y"] == y][:per_class]]
-    return train([r["text"] for r in taken], [r["y"] for r in taken], counts, **more)
+    del sample
+    model = train([r["text"] for r in taken], [r["y"] for r in taken], counts, **more)
+    del taken
+    trim()
+    return model
 
 
 def score_quality(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
