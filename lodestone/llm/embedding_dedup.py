@@ -5,14 +5,18 @@ once per table, and decoded to the nearest point of the E8 lattice; its cell is
 and probes the `probes` neighbouring cells that its projection is nearest to. Pairs that meet in a cell, at least one of
 them at home there, are compared by exact cosine in double precision, in blocked matrix products.
 
-Equal vectors are one representative (aggregated before the shuffle) and counted by their number. Cells with one vector are
-dropped on ids alone before any vector is shuffled. Cells above `block` vectors are split into block pairs. A pair that
-meets in several cells counts only in the first one, which both rows tell from their own cells, so each task gives one
-row per vector (links counted, spanning edge) and never a row per pair.
+Equal vectors are one representative (aggregated before the shuffle), with a number of its own, and counted by their number.
+Cells with one vector are dropped on ids alone; a Bloom filter of the others spares the rest of the ids a shuffle. What then
+meets in a cell is a sketch of 128 signs of further random projections: a vector stays only if it finds another one in the
+cell within `SKETCH_BITS` differing signs, so whole vectors are shuffled to the cells of likely links alone. Of a pair at
+the threshold 12 % of the signs differ; that more than SKETCH_BITS do has a probability below 1e-7. Cells above `block`
+vectors are split into block pairs. A pair that meets in several cells counts only in the first one, which both rows tell
+from their own cells, so each task gives one row per vector (links counted, spanning edge) and never a row per pair.
 
 Defined cases: null labels, and vectors that are null, empty, zero or hold null or non-finite components link with nothing;
-vectors of unlike length are not compared; null ids count as one id behind all others; repeated rows of an id are vectors of
-their own for the counts; an empty table gives no rows; further columns are ignored.
+vectors of unlike length are not compared; every row is a vector of its own, whatever its id, so rows that share an id or
+have none lose no link; null ids sort behind all others, and a component of such rows only has a null component_id; an empty
+table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,13 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, materialize
+from .common import LAST_ID, bloom_filter, materialize, release
 from lodestone.operators.components import connected_components
 from .minhash import mix
 
 COSINE = 0.93
 TABLES, PROBES, WIDTH = 12, 3, 1.1
 BLOCK = 1024
+SKETCH_BITS = 36
 U = np.uint64
 
 
@@ -102,6 +107,38 @@ def cells(unit: np.ndarray, labels: np.ndarray, tables: int = TABLES, probes: in
     return out
 
 
+def sketches(unit: np.ndarray, seed: int = 5) -> np.ndarray:
+    """[vectors, 2] words of the signs of 128 random projections."""
+    side = np.random.default_rng([seed, unit.shape[1]]).normal(size=(unit.shape[1], 128))
+    return np.packbits(unit @ side > 0, axis=1).view(U)
+
+
+def likely(cell: np.ndarray, rep: np.ndarray, home: np.ndarray, block: np.ndarray | None, words: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
+    """Rows that find another row of their cell within `bits` signs, one of the two at home there; with `block`, in another block.
+    Cells of one size are judged together."""
+    out = np.zeros(len(cell), dtype=bool)
+    if not len(cell):
+        return out
+    order = np.lexsort((rep, cell))
+    starts = np.flatnonzero(np.concatenate(([True], cell[order][1:] != cell[order][:-1])))
+    sizes = np.diff(np.append(starts, len(order)))
+    for n in np.unique(sizes[sizes > 1]).tolist():
+        at = starts[sizes == n]
+        step = max(1, 4_000_000 // (n * n))
+        for a in range(0, len(at), step):
+            k = order[at[a : a + step, None] + np.arange(n)[None, :]]
+            far = np.zeros((len(k), n, n), dtype=np.uint8)
+            for w in range(words.shape[1]):
+                far += np.bitwise_count(words[k, w][:, :, None] ^ words[k, w][:, None, :])
+            near = far <= bits
+            near[:, np.arange(n), np.arange(n)] = False
+            near &= home[k][:, :, None] | home[k][:, None, :]
+            if block is not None:
+                near &= block[k][:, :, None] != block[k][:, None, :]
+            out[k[near.any(axis=2)]] = True
+    return out
+
+
 def matching(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The first cell, in table order, in which each pair of rows of [n, tables, cells] meets; 0 if none."""
     out = np.zeros(len(a), dtype=U)
@@ -130,47 +167,60 @@ def link_vectors(
     tables: int = TABLES, probes: int = PROBES, width: float = WIDTH, block: int = BLOCK,
 ) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row."""
-    rows = vectors.select(F.coalesce(F.col(vec_id).cast("long"), F.lit(LAST_ID)).alias("vec"), F.col(label).cast("long").alias("label"), F.col(embedding).cast("array<double>").alias("x"))
+    rows = vectors.select(F.coalesce(F.col(vec_id).cast("long"), F.lit(LAST_ID)).alias("vec"), F.col(label).cast("long").alias("label"), F.col(embedding).alias("x"))
     # Equal vectors: two 64-bit hashes and the label name them.
     named = rows.withColumn("ok", F.coalesce(usable("x") & F.col("label").isNotNull(), F.lit(False)))
     named = named.withColumns({"h1": F.when(F.col("ok"), F.xxhash64("label", "x")), "h2": F.when(F.col("ok"), F.xxhash64(F.lit(1), "label", "x"))})
-    ids = materialize(named.select("vec", "h1", "h2"))
-    reps = materialize(ids.where("h1 is not null").groupBy("h1", "h2").agg(F.min("vec").alias("rep"), F.count("*").alias("copies")))
+    ids = materialize(named.select("vec", "h1", "h2"), "vector-ids")
+    alike = named.where("ok").groupBy("h1", "h2").agg(F.min("vec").alias("vec"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("x").alias("x"))
     shape = dict(tables=tables, probes=probes, width=width)
+    own = [("h1", pa.int64()), ("h2", pa.int64()), ("vec", pa.int64()), ("copies", pa.int64())]
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("rep", pa.int64()), ("copies", pa.int64()), ("unit", pa.binary()), ("cells", pa.list_(pa.int64()))])
+        schema = pa.schema([*own, ("s1", pa.int64()), ("s2", pa.int64()), ("unit", pa.binary()), ("cells", pa.list_(pa.int64()))])
         for batch in batches:
             xs, label_ = batch.column("x").to_pylist(), batch.column("label").to_numpy()
-            unit, found = [b""] * len(xs), [None] * len(xs)
+            unit, found, signs = [b""] * len(xs), [None] * len(xs), np.zeros((len(xs), 2), dtype=np.int64)
             for dims in {len(x) for x in xs}:
                 at = [i for i, x in enumerate(xs) if len(x) == dims]
                 m = np.array([xs[i] for i in at], dtype=np.float64)
                 m /= np.abs(m).max(axis=1, keepdims=True)
                 m /= np.linalg.norm(m, axis=1, keepdims=True)
                 c = cells(m, label_[at], **shape).reshape(len(at), -1).view(np.int64)
+                signs[at] = sketches(m).view(np.int64)
                 for k, i in enumerate(at):
                     unit[i], found[i] = m[k].tobytes(), c[k]
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("copies"), pa.array(unit, pa.binary()), pa.array(found, pa.list_(pa.int64()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k, _ in own], pa.array(signs[:, 0].copy()), pa.array(signs[:, 1].copy()), pa.array(unit, pa.binary()), pa.array(found, pa.list_(pa.int64()))], schema=schema)
 
-    lone = named.where("ok").join(reps, ["h1", "h2"]).where("vec = rep").dropDuplicates(["h1", "h2"])
-    hashed = materialize(lone.select("rep", "copies", "label", "x").mapInArrow(keys, "rep long, copies long, unit binary, cells array<long>"))
-    each = hashed.select("rep", F.posexplode("cells").alias("pos", "cell")).select("rep", "cell", (F.col("pos") % (1 + probes) == 0).cast("int").alias("home"))
-    busy = each.groupBy("cell").agg(F.count("*").alias("n"), F.sum("home").alias("homes")).where("n > 1 and homes > 0").select("cell", "n")
-    meet = materialize(each.join(busy, "cell"))
+    made = alike.mapInArrow(keys, "h1 long, h2 long, vec long, copies long, s1 long, s2 long, unit binary, cells array<long>")
+    reps = materialize(made.withColumn("rep", F.monotonically_increasing_id()), "vectors")
+    each = reps.select("rep", "s1", "s2", F.posexplode("cells").alias("pos", "cell")).select("rep", "cell", (F.col("pos") % (1 + probes) == 0).alias("home"), "s1", "s2")
+    busy = materialize(each.groupBy("cell").agg(F.count("*").alias("n"), F.sum(F.col("home").cast("int")).alias("homes")).where("n > 1 and homes > 0").select("cell", "n"), "cells")
+    meet = each.where(bloom_filter(busy, "cell")(F.col("cell"))).join(busy.hint("merge"), "cell")
     blocks = F.ceil(F.col("n") / block).cast("int")
-    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    dealt = meet.join(hashed, "rep").select(
-        "cell", "n", "home", "rep", "copies", "unit", "cells",
-        F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: F.struct(F.least(b, own).alias("i"), F.greatest(b, own).alias("j")))).alias("p"), own.alias("own"),
-    ).select("*", "p.*").drop("p")
-    bundles = max(1, meet.count() // block)
-    # Cells of one block share groups, so that there are not as many groups as cells.
-    group = F.when(F.col("n") <= block, F.pmod(F.xxhash64("cell"), F.lit(bundles))).otherwise(F.col("cell"))
-    dealt = dealt.withColumn("grp", group).withColumn("one", F.col("n") <= block)
+    mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
+    pairs = F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: F.struct(F.least(b, F.col("own")).alias("i"), F.greatest(b, F.col("own")).alias("j")))).alias("p")
+
+    def dealt(rows: DataFrame, bundles: int) -> DataFrame:
+        """Rows by cell and block pair; cells of one block share groups, so that there are not as many groups as cells."""
+        group = F.when(F.col("n") <= block, F.pmod(F.xxhash64("cell"), F.lit(bundles))).otherwise(F.col("cell"))
+        return rows.withColumn("own", mine).select("*", pairs).select("*", "p.*").drop("p").withColumn("grp", group).withColumn("one", F.col("n") <= block)
+
+    def sift(t: pa.Table) -> pa.Table:
+        lo, hi = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        cell, rep, blk = (t.column(k).to_numpy() for k in ("cell", "rep", "own"))
+        words = np.column_stack([t.column(k).to_numpy() for k in ("s1", "s2")]).view(U)
+        keep = likely(cell, rep, t.column("home").to_numpy(zero_copy_only=False), blk if lo != hi else None, words)
+        return t.filter(pa.array(keep)).select(["cell", "n", "home", "rep"])
+
+    bundles = max(1, reps.count() * tables // (8 * block))
+    sifted = dealt(meet, bundles).groupBy("grp", "one", "i", "j").applyInArrow(sift, "cell long, n long, home boolean, rep long")
+    links = materialize(sifted.groupBy("cell", "rep").agg(F.max("n").alias("n"), F.max("home").alias("home")), "meetings")
+    whole = links.join(reps.select("rep", "copies", "unit", "cells").hint("merge"), "rep")
+    exact = dealt(whole, max(1, links.count() // block))
 
     def compare(t: pa.Table) -> pa.Table:
-        cell, rep, copies, home, blk = (t.column(k).to_numpy() for k in ("cell", "rep", "copies", "home", "own"))
+        cell, rep, copies, home, blk = (t.column(k).to_numpy(zero_copy_only=False) if k == "home" else t.column(k).to_numpy() for k in ("cell", "rep", "copies", "home", "own"))
         lo, hi = t.column("i")[0].as_py(), t.column("j")[0].as_py()
         unit_raw, cells_raw = t.column("unit").to_pylist(), t.column("cells")
         all_cells = np.asarray(cells_raw.combine_chunks().flatten()).view(U).reshape(len(rep), tables, 1 + probes)
@@ -182,7 +232,7 @@ def link_vectors(
                 if len(k) > 1:
                     m = np.stack([np.frombuffer(unit_raw[x], dtype=np.float64) for x in k])
                     near = np.triu(m @ m.T >= cosine, 1)
-                    at_home = home[k] > 0
+                    at_home = home[k]
                     near &= at_home[:, None] | at_home[None, :]
                     if lo != hi:
                         near &= blk[k][:, None] != blk[k][None, :]
@@ -205,13 +255,16 @@ def link_vectors(
                         got = links > 0
                         out.append((rep[k][got], rep[k][label_[got]], links[got].astype(np.int64)))
         cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, dtype=np.int64)] * 3
-        return pa.table(dict(zip(("vec", "root", "links"), cols)))
+        return pa.table(dict(zip(("rep", "root", "links"), cols)))
 
-    found = materialize(dealt.groupBy("grp", "one", "i", "j").applyInArrow(compare, "vec long, root long, links long"))
-    links = found.groupBy("vec").agg(F.sum("links").alias("links")).withColumnRenamed("vec", "rep")
-    comps = connected_components(found.select(F.col("vec").alias("src"), F.col("root").alias("dst"))).select(F.col("node").alias("rep"), "component")
-    per_rep = reps.join(links, "rep", "left").join(comps, "rep", "left").select(
-        "h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("component", "rep").alias("component")
+    found = materialize(exact.groupBy("grp", "one", "i", "j").applyInArrow(compare, "rep long, root long, links long"), "links")
+    release(busy, links)
+    counted = found.groupBy("rep").agg(F.sum("links").alias("links"))
+    named_by = connected_components(found, "rep", "root", least=False).select(F.col("node").alias("rep"), F.col("component").alias("comp"))
+    several = materialize(reps.select("rep", "vec").join(named_by, "rep").join(counted, "rep", "left"), "linked")
+    least = several.groupBy("comp").agg(F.min("vec").alias("component"))
+    per_rep = reps.select("rep", "h1", "h2", "vec", "copies").join(several.join(least, "comp").select("rep", "links", "component"), "rep", "left").select(
+        "h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("component", "vec").alias("component")
     )
     full = ids.join(per_rep, ["h1", "h2"], "left")
     comp = F.coalesce("component", "vec")
