@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from compare import connection, same_rows
-from lodestone.llm import bpe, chat, embedding_dedup, exact_dedup, language_id, line_dedup, minhash, packing, pieces, quality, urls
+from lodestone.llm import bpe, chat, common, embedding_dedup, exact_dedup, language_id, line_dedup, minhash, packing, pieces, quality, urls
 from lodestone.llm.queries import ORACLE_SQL, QUERIES, RULES, vocabulary
 
 SF = "/root/testdata/sf0.001"
@@ -57,6 +57,64 @@ def test_language_held_out(spark):
     assert sum(r["rejected"] for r in rows) <= 0.01 * len(rows)
 
 
+def plain_language(model, text):
+    """The model's answer by single steps: every n-gram of every word hashed with plain integers, then mean, softmax, thresholds."""
+    top = (1 << 64) - 1
+
+    def bucket(h):
+        h = (h ^ (h >> 31)) * 0x9E3779B97F4A7C15 & top
+        return (h ^ (h >> 29)) % len(model.embed)
+
+    ids = []
+    for w in re.findall(r"[^\W\d_]+", (text or "").lower()):
+        raw = b"<" + w.encode() + b">"
+        for n in (2, 3, 4):
+            for a in range(len(raw) - n + 1):
+                h = 0
+                for b in raw[a : a + n]:
+                    h = (h * 1000003 + b + 1) & top
+                ids.append(bucket((h + (n << 56)) & top))
+        ids.append(bucket((sum((b + 1) * pow(31, k & 0xFFFF, 1 << 64) for k, b in enumerate(raw)) + 1) & top))
+    if not ids:
+        return "und", 0.0, True
+    z = (model.embed[ids].astype(np.float64).mean(axis=0) @ model.out + model.bias) / model.temperature
+    p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    k = int(p.argmax())
+    return model.languages[k], p[k], bool(p[k] < model.least_score[k] or model.met[ids].mean() < model.least_met[k])
+
+
+def test_language_equals_plain_steps(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.fit(docs, usable=~common.held_out("doc_id"))
+    got = {r["doc_id"]: r for r in QUERIES["op1_language_id"](spark, "/root/testdata/sf0.01").collect()}
+    rows = [r for r in docs.where("doc_id % 4 = 1").collect() if len(r["text"] or "") < 6000][:200]
+    for r in rows:
+        lang, score, rejected = plain_language(model, r["text"])
+        mine = got[r["doc_id"]]
+        assert mine["lang_pred"] == lang and abs(mine["score"] - score) < 1e-4 and mine["rejected"] == rejected
+
+
+#: Letters without sense, and words of languages that the tables don't hold.
+FOREIGN = [
+    "asdkj qwlek zxcmn qpwoe rutiy fjdks wqpo vbnm", "sdfg hjkl wert zxcv bnmq lkjh gfds rtzu", "これは日本語の文章です。今日は天気がいい", "Это русский текст о погоде и природе",
+    "Αυτό είναι ένα ελληνικό κείμενο", "Příliš žluťoučký kůň úpěl ďábelské ódy", "Bu bir Türkçe metin örneğidir ve güzel", "Det här är en svensk text om vädret och naturen",
+    "هذا نص عربي عن الطقس", "这是一段关于天气的中文文字", "이것은 날씨에 관한 한국어 글입니다", "xkcd qqqq zzzz wwww jjjj kkkk vvvv", "זהו טקסט בעברית על מזג האוויר", "นี่คือข้อความภาษาไทย",
+]
+
+
+def test_language_rejects_noise_and_foreign_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.fit(docs, usable=~common.held_out("doc_id"))
+    assert 0.01 < model.temperature < 50 and (model.least_score > 0).all() and (model.least_met > 0).all()
+    held = [r["text"] for r in docs.where(common.held_out("doc_id")).collect()]
+    _, _, rejected = model.predict(held)
+    assert rejected.mean() <= 0.01
+    noise = language_id.negatives(held, np.random.default_rng(1))
+    assert np.mean(model.predict(noise)[2]) >= 0.95 and model.predict(FOREIGN)[2].all()
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(FOREIGN)], "doc_id long, text string")
+    assert language_id.keep_identified(df, model).count() == 0
+
+
 def test_language_odd_rows(spark, odd):
     model = language_id.train(["the cat and the dog"] * 20 + ["der hund und die katze"] * 20, ["en"] * 20 + ["de"] * 20)
     got = language_id.predict_languages(odd, model).collect()
@@ -96,6 +154,46 @@ def test_quality_held_out(spark):
     assert np.mean([a == b for a, b in known]) > 0.97 and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in rows)
 
 
+def plain_quality(model, texts):
+    """The vote by single steps: shapes counted one by one, all cosines with float64 vectors, the nearest by sorting."""
+    out = []
+    for text in texts:
+        dims = len(model.idf)
+        words = [p for w in (text or "").split() for p in quality.pieces(w)]
+        tf = np.zeros(dims)
+        ids = [quality.shape_id(w) for w in words]
+        for a in ids:
+            tf[a % (dims - 32)] += 1
+        for a, b in zip(ids, ids[1:]):
+            tf[(b * 31 + a) * 2654435761 % (1 << 31) % (dims - 32)] += 1
+        n = len(words)
+        if not n:
+            out.append(model.prior)
+            continue
+        pairs = list(zip(words, words[1:]))
+        shares = (sum(a == b for a, b in pairs) / n, 1 - len(set(words)) / n, 1 - len(set(pairs)) / max(1, n - 1))
+        for k, x in enumerate(shares):
+            tf[dims - 32 + 8 * k + min(7, int(x * 8))] = n * (0.25 + x)
+        x = np.sqrt(tf / n) * model.idf
+        z = (x / np.linalg.norm(x)) @ model.basis
+        cosine = model.vectors.astype(np.float64) @ (z / np.linalg.norm(z))
+        near = sorted(range(len(cosine)), key=lambda k: -cosine[k])[: model.neighbours]
+        vote = [np.exp(20 * (cosine[k] - cosine[near[0]])) * model.weights[model.labels[k]] for k in near]
+        out.append(sum(v for v, k in zip(vote, near) if model.labels[k] == 1) / sum(vote))
+    return out
+
+
+def test_quality_equals_plain_steps(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = quality.fit(docs, spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), usable=~common.held_out("doc_id"))
+    got = {r["doc_id"]: r for r in QUERIES["op5_quality"](spark, "/root/testdata/sf0.01").collect()}
+    rows = docs.where("doc_id % 4 = 1").collect()
+    want = plain_quality(model, [r["text"] for r in rows])
+    # Ties of the last neighbour may be broken either way, in single precision.
+    off = [abs(got[r["doc_id"]]["score"] - w) for r, w in zip(rows, want)]
+    assert np.mean([x < 1e-3 for x in off]) >= 0.99 and all(got[r["doc_id"]]["predicted"] == int(got[r["doc_id"]]["score"] >= 0.7) for r in rows)
+
+
 def test_quality_odd_rows(spark, odd):
     model = quality.train(["A fine calm text. It goes on and on here."] * 10 + ["BUY!! NOW!! BUY!! NOW!!"] * 10, [1] * 10 + [0] * 10)
     assert quality.score_quality(odd, model).count() == len(ODD)
@@ -192,13 +290,40 @@ def test_lines_equal_brute_force(spark, odd):
 
 
 def test_minimal_perfect_hash():
-    keys = np.random.default_rng(0).integers(0, 1 << 63, 5000, dtype=np.uint64)
-    seeds = line_dedup.build_mphf(keys)
-    assert sorted(line_dedup.mphf_slots(seeds, len(keys), keys)) == list(range(len(keys)))
-    h = np.array([5, 5, 9], dtype=np.uint64)
-    shard = line_dedup.Shard(**line_dedup.build_shard(h, np.array([1, 2, 3]), np.array([2, 2, 2]), np.array([7, 8, 9])))
-    known, first = shard.first_docs(np.array([5, 5, 9, 9]), np.array([1, 2, 3, 4]))
-    assert known.tolist() == [True, True, True, False] and first[:3].tolist() == [7, 8, 9]
+    for n in (0, 1, 2, 5000):
+        keys = np.random.default_rng(n).integers(0, 1 << 63, n, dtype=np.uint64)
+        assert sorted(line_dedup.mphf_slots(line_dedup.build_mphf(keys), keys)) == list(range(n))
+    h = np.array([5, 5, 9, 11], dtype=np.uint64)
+    shard = line_dedup.Shard(**line_dedup.build_shard(h, np.array([1, 2, 3, 6]), np.array([2, 4, 3, 1]), np.array([7, 8, 9, 4])))
+    count, first = shard.probe(np.array([5, 5, 9, 9, 11, 12]), np.array([1, 2, 3, 4, 6, 7]))
+    assert count.tolist() == [2, 4, 3, 0, 1, 0] and first.tolist() == [7, 8, 9, -1, -1, -1]
+    wide = line_dedup.Shard(**line_dedup.build_shard(h[2:], np.array([3, 6]), np.array([1 << 40, 1]), np.array([9, 4])))
+    assert wide.probe(np.array([9, 11]), np.array([3, 6]))[0].tolist() == [1 << 40, 1]
+
+
+def test_line_decisions_come_from_the_count_array(spark, odd, monkeypatch):
+    build = line_dedup.build_shard
+    monkeypatch.setattr(line_dedup, "build_shard", lambda h1, h2, counts, firsts: build(h1, h2, np.ones_like(counts), firsts))
+    assert all(r["n_dropped"] == 0 for r in line_dedup.line_report(odd).collect())
+
+
+def test_bloom_filter_holds_all_its_ids(spark, monkeypatch):
+    monkeypatch.setattr(common, "CHUNK", 1 << 12)
+    ids = spark.range(0, 30000, 3)
+    bits = common.bloom_of(ids, "id")
+
+    class Shared:
+        value = bits
+
+    assert common.may_hold(Shared, np.arange(0, 30000, 3)).all() and common.may_hold(Shared, np.arange(1, 30000, 3)).mean() < 0.01
+    few = common.bloom_of(ids, "id", most=1 << 12)
+    assert len(few) == 512
+
+
+def test_line_filter_with_clashing_names(spark):
+    df = spark.createDataFrame([(1, "one long line here", 1, 2, 3), (2, "one long line here\nx", 1, 2, 3)], "doc_id long, text string, doc int, `drop` int, `a.b` int")
+    out = {r["doc_id"]: r for r in line_dedup.drop_repeated_lines(df).collect()}
+    assert out[2]["text"] == "x" and out[1]["text"] == "one long line here" and list(out[1].asDict()) == df.columns
 
 
 # Chat
@@ -444,6 +569,36 @@ def test_vectors_equal_brute_force(spark):
     assert embedding_dedup.link_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_with_null_and_repeated_ids(spark):
+    rng = np.random.default_rng(8)
+    a, b = rng.normal(size=32), rng.normal(size=32)
+    near = lambda x: (x + rng.normal(size=32) * 0.02).tolist()
+    rows = [(None, a.tolist(), 0), (None, b.tolist(), 0), (3, near(a), 0), (4, near(b), 0), (5, rng.normal(size=32).tolist(), 0), (5, near(a), 0)]
+    out = embedding_dedup.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    got = sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in out), key=repr)
+    assert got == sorted([(None, 2, 3), (None, 1, 4), (3, 2, 3), (4, 1, 4), (5, 0, 5), (5, 2, 3)], key=repr)
+
+
+def test_sketches_keep_pairs_at_the_threshold():
+    rng = np.random.default_rng(1)
+    a = rng.normal(size=(4000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    n = rng.normal(size=a.shape)
+    n -= (n * a).sum(1, keepdims=True) * a
+    b = 0.93 * a + np.sqrt(1 - 0.93**2) * n / np.linalg.norm(n, axis=1, keepdims=True)
+    words = np.concatenate((embedding_dedup.sketches(a), embedding_dedup.sketches(b)))
+    cell, rep, home = np.tile(np.arange(4000), 2), np.arange(8000), np.arange(8000) < 4000
+    assert embedding_dedup.likely(cell, rep, home, None, words).all()
+    assert not embedding_dedup.likely(cell, rep, np.zeros(8000, dtype=bool), None, words).any()
+    other = np.concatenate((words[:4000], np.roll(words[4000:], 1, axis=0)))
+    assert embedding_dedup.likely(cell, rep, home, None, other).mean() < 0.001
+    one = np.zeros(6, dtype=np.int64)
+    block = np.array([0, 0, 0, 1, 1, 1])
+    same = np.repeat(words[:2], 3, axis=0)
+    assert embedding_dedup.likely(one, np.arange(6), np.ones(6, dtype=bool), None, same).all()
+    assert not embedding_dedup.likely(one, np.arange(6), np.ones(6, dtype=bool), block, same).any()
+
+
 def test_lattice_recall_at_the_threshold():
     rng = np.random.default_rng(0)
     unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
