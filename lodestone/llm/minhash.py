@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, claim, columns_of, fresh, materialize, release, slices, texts_of
+from .common import LAST_ID, bloom_filter, claim, columns_of, fresh, materialize, release, slices, texts_of
 from lodestone.operators.components import connected_components
 
 SHINGLE = 5
@@ -226,8 +226,10 @@ def unit_sets(docs: DataFrame, members: DataFrame, doc_id: str, text: str) -> Da
             made = [units(shingles(t)).tobytes() for t in texts_of(part)]
             yield pa.RecordBatch.from_arrays([*[part.column(c) for c, _ in kinds[:3]], pa.array(made, pa.binary())], schema=schema)
 
-    source = docs.select(*text_key(text, doc_id), F.col(text).alias("text"))
-    texts = source.join(members, ["doc", "x1", "x2"]).select("rep", "grp", "size", "text")
+    key = F.xxhash64("doc", "x1", "x2")
+    held = bloom_filter(members.select(key.alias("key")), "key")
+    source = docs.select(*text_key(text, doc_id), F.col(text).alias("text")).where(held(key))
+    texts = source.join(members.hint("merge"), ["doc", "x1", "x2"]).select("rep", "grp", "size", "text")
     return texts.mapInArrow(sets, "rep long, grp long, size long, units binary")
 
 
@@ -348,13 +350,14 @@ def near_rows(docs: DataFrame, doc_id: str, text: str, similarity: float, bands:
     own = F.struct("doc", "x1", "x2", "row")
     reps = materialize(sig.where("f1 is not null").groupBy("f1", "f2").agg(F.min(own).alias("best"), F.first("keys").alias("keys")).withColumn("rep", F.monotonically_increasing_id()), "reps")
     keyed = reps.select("rep", F.explode("keys").alias("key"))
-    heads = keyed.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    ties = materialize(keyed.join(heads, "key").groupBy("rep").agg(F.sum("n").alias("score"), F.collect_set("pivot").alias("pivots")), "ties")
+    heads = materialize(keyed.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1"), "heads")
+    tied = keyed.where(bloom_filter(heads, "key")(F.col("key")))
+    ties = materialize(tied.join(heads.hint("merge"), "key").groupBy("rep").agg(F.sum("n").alias("score"), F.collect_set("pivot").alias("pivots")), "ties")
     groups = connected_components(ties.select("rep", F.explode("pivots").alias("pivot")).where("rep <> pivot"), "rep", "pivot", least=False).select(F.col("node").alias("rep"), F.col("component").alias("grp"))
     sizes = groups.groupBy("grp").agg(F.count("*").alias("size"))
     members = materialize(groups.join(sizes, "grp").join(reps.select("rep", "best.doc", "best.x1", "best.x2"), "rep"), "members")
     classes = verified_classes(docs, members, ties, doc_id, text, similarity, block)
-    release(ties, members)
+    release(ties, heads, members)
     several = materialize(reps.select("rep", "best").join(classes, "rep"), "several")
     winners = several.groupBy("class").agg(F.min("best").alias("win"))
     won = several.join(winners, "class").select("rep", "win")
@@ -377,9 +380,11 @@ def keep_first_of_class(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     # again: one of the repeated rows with this key stays; otherwise all go.
     gone = materialize(found.groupBy("doc", "x1", "x2").agg(F.max(stays).alias("again")).toDF(*names), "gone")
     key = [c.alias(n) for c, n in zip(text_key(text, doc_id), names)]
-    marked = docs.select("*", *key).join(gone, names[:3], "left")
-    own = columns_of(docs)
-    out = marked.where(F.col(names[3]).isNull()).select(*own)
+    held = bloom_filter(gone.select(F.xxhash64(*names[:3]).alias("key")), "key")
+    marked, own = docs.select("*", *key), columns_of(docs)
+    # Only the rows that may go are shuffled.
+    asked = marked.where(held(F.xxhash64(*names[:3]))).join(gone.hint("merge"), names[:3], "left")
+    out = marked.where(~held(F.xxhash64(*names[:3]))).select(*own).unionByName(asked.where(F.col(names[3]).isNull()).select(*own))
     if gone.where(F.col(names[3])).isEmpty():
         return out
-    return out.unionByName(marked.where(F.col(names[3])).dropDuplicates(names[:3]).select(*own))
+    return out.unionByName(asked.where(F.col(names[3])).dropDuplicates(names[:3]).select(*own))
