@@ -76,24 +76,33 @@ def _finish(x: np.ndarray) -> np.ndarray:
 def simhash(texts: pd.Series) -> pd.Series:
     """64-bit SimHash over three-word shingles of normalised text (one shingle below three words); null without a word.
 
-    A bit is set if more shingles have it than not; ties give 0.
+    A bit is set if more shingles have it than not; ties give 0. The distinct words of a batch are hashed once, and shingles
+    and votes are made for the batch as a whole, in parts of bounded size.
     """
-    out = []
-    for t in texts:
-        ws = re.findall(r"\w+", t or "")
-        if not ws:
-            out.append(None)
-            continue
-        h = np.array([int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big") for w in ws], dtype=np.uint64)
-        n = max(1, len(ws) - 2)
-        s = np.zeros(n, dtype=np.uint64)
-        with np.errstate(over="ignore"):
-            for k in range(min(3, len(ws))):
-                s = _finish(s * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n])
-        ones = ((s[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).sum(axis=0)
-        bits = (2 * ones.astype(np.int64) > n).astype(np.uint64)
-        out.append(int((bits << np.arange(64, dtype=np.uint64)).sum(dtype=np.uint64).astype(np.int64)))
-    return pd.Series(out, dtype="Int64")
+    found = [re.findall(r"\w+", t or "") for t in texts]
+    number: dict[str, int] = {}
+    ids = np.fromiter((number.setdefault(w, len(number)) for ws in found for w in ws), dtype=np.int64)
+    names = np.fromiter((int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big") for w in number), dtype=np.uint64, count=len(number))
+    h, size = names[ids], np.array([len(ws) for ws in found], dtype=np.int64)
+    last = np.repeat(np.cumsum(size), size)
+    left = last - np.arange(len(h))  # words of the text from here on
+    s = np.zeros(len(h), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(3):
+            shifted = np.append(h[k:], np.zeros(min(k, len(h)), dtype=np.uint64))[: len(h)]
+            s = np.where(left > k, _finish(s * np.uint64(0x9E3779B97F4A7C15) + shifted), s)
+    owner = np.repeat(np.arange(len(found)), size)
+    starts = (left >= 3) | (left == np.repeat(size, size))  # a shorter text is one shingle
+    s, owner = s[starts], owner[starts]
+    n = np.bincount(owner, minlength=len(found))
+    ones = np.zeros((len(found), 64), dtype=np.int64)
+    for a in range(0, len(s), 1 << 18):
+        part, of = s[a : a + (1 << 18)], owner[a : a + (1 << 18)]
+        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+        ones[of[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int64)
+    votes = np.packbits(2 * ones > n[:, None], axis=1, bitorder="little").view(np.int64).ravel() if len(found) else np.zeros(0, dtype=np.int64)
+    return pd.Series(votes, dtype="Int64").where(n > 0, pd.NA)
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -125,7 +134,7 @@ def unpack_point(c: Column) -> tuple[Column, Column]:
 
 
 def verdict(asking: Column, low: Column, high: Column) -> Column:
-    return F.when(asking.isNull() | low.isNull() | high.isNull(), None).when(asking < low, "below").when(asking > high, "above").otherwise("fair")
+    return F.when(asking.isNull() | low.isNull() | high.isNull(), None).when(asking < low, "below_market").when(asking > high, "above_market").otherwise("fair")
 
 
 def chunk_count(length: Column, size: int, overlap: int) -> Column:

@@ -9,6 +9,13 @@ from lodestone.functions import text as X
 from lodestone.functions import values as V
 
 
+#: The cleaned columns whose non-null number breaks ties between duplicates.
+COUNTED = (
+    "title", "description", "province", "district", "ward", "street", "project", "price_vnd", "area_m2", "floors", "frontage_m", "depth_m",
+    "road_width_m", "bedrooms", "bathrooms", "house_direction", "balcony_direction", "published_at",
+)
+
+
 def drop_reason(title: Column, description: Column, kind: Column, kinds: tuple[str, ...] = X.PROPERTY_TYPES) -> Column:
     """Rows without text go first, then rows of an unknown type; null keeps the row."""
     return F.when(title.isNull() & description.isNull(), "dropped_no_text").when(~F.coalesce(kind.isin(*kinds), F.lit(False)), "dropped_bad_type")
@@ -25,7 +32,8 @@ def clean_frame(raw: DataFrame, provinces: DataFrame | None = None, kinds: tuple
         {
             "listing_id": V.listing_id("__name", "__desc"),
             "key_hash2": V.check_hash("__name", "__desc"),
-            "prefix_key": V.prefix_key(F.concat_ws("|", "__name", "__desc")),
+            # The joined text is normalised, not its parts: blanks around the bar stay one blank.
+            "prefix_key": V.prefix_key(X.nfc(X.norm(F.concat(F.coalesce("name", F.lit("")), F.lit("|"), F.coalesce("description", F.lit("")))))),
             "simhash": V.simhash("__desc"),
             "title": X.mask_pii(title0),
             "masked": X.mask_pii(desc0),
@@ -37,7 +45,8 @@ def clean_frame(raw: DataFrame, provinces: DataFrame | None = None, kinds: tuple
             "street": X.normalize_text(F.col("street_name")),
             "project": X.normalize_text(F.col("project_name")),
             "area_m2": V.positive(F.col("area")),
-            "n_nonnull": sum((F.col(c).isNotNull().cast("int") for c in raw.columns if c not in ("source_shard", "source_row", "published_at")), F.lit(0)),
+            "house_direction": X.normalize_text(F.col("house_direction")),
+            "balcony_direction": X.normalize_text(F.col("balcony_direction")),
         }
     )
     out = out.withColumns({"price_vnd": fixed, "price_fixed_thousand": flag, "published_ts": F.try_to_timestamp(F.col("published_at")).cast("timestamp_ntz")})
@@ -45,9 +54,10 @@ def clean_frame(raw: DataFrame, provinces: DataFrame | None = None, kinds: tuple
     sizes = {n: V.positive(F.col(c)) for n, c in (("frontage_m", "frontage_width"), ("depth_m", "house_depth"), ("road_width_m", "road_width"))}
     out = out.withColumns({**small, **sizes, "amenities": X.match_amenities(F.concat_ws("\n", "title", "masked")), "drop_reason": drop_reason(title0, desc0, F.col("property_type"), kinds)})
     out = out.drop("published_at", "description", "__name", "__desc").withColumnsRenamed({"published_ts": "published_at", "masked": "description"})
+    out = out.withColumn("n_nonnull", sum((F.col(c).isNotNull().cast("int") for c in COUNTED), F.lit(0)))
     if provinces is None:
         return out.withColumn("province_2025", F.col("province"))
-    names = F.broadcast(provinces.toDF("__old", "__new"))
+    names = provinces.toDF("__old", "__new")
     return out.join(names, F.col("province") == F.col("__old"), "left").withColumn("province_2025", F.coalesce("__new", "province")).drop("__old", "__new")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from lodestone.functions.values import hamming
 from lodestone.operators.components import connected_components
 from lodestone.session import materialize
 
+
 def newest() -> list[Column]:
     return [F.col("published_at").desc_nulls_last(), F.col("n_nonnull").desc_nulls_last(), F.col("source_shard").asc(), F.col("source_row").asc()]
 
@@ -61,11 +64,60 @@ def simhash_pairs(df: DataFrame, ident: str, groups: list[str], max_distance: in
     return equal.unionByName(near), skipped
 
 
-def simhash_clusters(df: DataFrame, ident: str = "listing_id", groups: list[str] | None = None, **more) -> DataFrame:
-    """Every id with its cluster: the least id reachable over pairs (transitive), or itself."""
-    pairs, _ = simhash_pairs(materialize(df.select(ident, "simhash", *(groups or []))), ident, groups or [], **more)
-    found = connected_components(pairs, "a", "b")
-    return df.select(ident).distinct().join(found.withColumnRenamed("node", ident), ident, "left").select(ident, F.coalesce("component", ident).alias("dup_cluster_id"))
+def close_hashes(t: pa.Table, max_distance: int) -> pa.Table:
+    """rep, root: spanning edges of the hashes of each bucket that are within the distance and of one group. Buckets of one size
+    are compared together."""
+    bucket, grp, rep, own = (t.column(k).to_numpy() for k in ("bucket", "grp", "rep", "own"))
+    bits = t.column("simhash").to_numpy().view(np.uint64)
+    across = t.column("i")[0].as_py() != t.column("j")[0].as_py()
+    order = np.lexsort((rep, bucket))
+    starts = np.flatnonzero(np.concatenate(([True], bucket[order][1:] != bucket[order][:-1])))
+    sizes = np.diff(np.append(starts, len(order)))
+    src, dst = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for n in np.unique(sizes[sizes > 1]).tolist():
+        at = starts[sizes == n]
+        step = max(1, 4_000_000 // (n * n))
+        for a in range(0, len(at), step):
+            k = order[at[a : a + step, None] + np.arange(n)[None, :]]
+            near = np.bitwise_count(bits[k][:, :, None] ^ bits[k][:, None, :]) <= max_distance
+            near &= grp[k][:, :, None] == grp[k][:, None, :]
+            if across:
+                near &= own[k][:, :, None] != own[k][:, None, :]
+            near[:, np.arange(n), np.arange(n)] = True
+            label = np.broadcast_to(np.arange(n), k.shape)
+            while True:
+                new = np.where(near, label[:, None, :], n).min(axis=2)
+                if (new == label).all():
+                    break
+                label = new
+            far = label != np.arange(n)
+            src.append(rep[k][far])
+            dst.append(rep[np.take_along_axis(k, label, axis=1)][far])
+    return pa.table({"rep": np.concatenate(src), "root": np.concatenate(dst)})
+
+
+def simhash_clusters(df: DataFrame, ident: str = "listing_id", groups: list[str] | None = None, max_distance: int = 3, bands: int = 4, block: int = 1024) -> DataFrame:
+    """Every id with its cluster: the least id reachable over pairs within `max_distance` bits (transitive), or itself.
+
+    Nothing is skipped: a bucket above `block` hashes is compared in block pairs. Only spanning edges leave a task, so no pair
+    is ever a row. simhash_pairs() with its cap tells which buckets a capped run would leave out.
+    """
+    width = 64 // bands
+    rows = materialize(df.select(F.col(ident).alias("id"), "simhash", F.xxhash64(*[F.coalesce(F.col(g).cast("string"), F.lit("\u0000")) for g in groups or []]).alias("grp") if groups else F.lit(0).cast("long").alias("grp")), "hashes")
+    same = materialize(rows.where("simhash IS NOT NULL").groupBy("grp", "simhash").agg(F.min("id").alias("first")).withColumn("rep", F.monotonically_increasing_id()), "distinct")
+    part = lambda b: F.shiftrightunsigned("simhash", b * width).bitwiseAND(F.lit((1 << width) - 1))
+    each = same.select("grp", "rep", "simhash", F.explode(F.array(*[F.xxhash64(F.lit(b), "grp", part(b)) for b in range(bands)])).alias("bucket"))
+    busy = each.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
+    pairs = F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: F.struct(F.least(b, F.col("own")).alias("i"), F.greatest(b, F.col("own")).alias("j")))).alias("p")
+    bundles = max(1, same.count() * bands // (8 * block))
+    group = F.when(F.col("n") <= block, F.pmod(F.xxhash64("bucket"), F.lit(bundles))).otherwise(F.col("bucket"))
+    dealt = each.join(busy, "bucket").withColumn("own", own).select("*", pairs).select("*", "p.*").drop("p").withColumn("g", group).withColumn("one", F.col("n") <= block)
+    edges = dealt.groupBy("g", "one", "i", "j").applyInArrow(lambda t: close_hashes(t, max_distance), "rep long, root long")
+    classes = materialize(same.join(connected_components(edges, "rep", "root", least=False).toDF("rep", "class"), "rep", "left").select("grp", "simhash", "first", F.coalesce("class", "rep").alias("class")), "classes")
+    named = classes.join(classes.groupBy("class").agg(F.min("first").alias("dup_cluster_id")), "class").select("grp", "simhash", "dup_cluster_id")
+    return rows.join(named, ["grp", "simhash"], "left").groupBy(F.col("id").alias(ident)).agg(F.min(F.coalesce("dup_cluster_id", "id")).alias("dup_cluster_id"))
 
 
 def outlier_flags(df: DataFrame, deal: str, kind: str, area_key: str, price: str, area: str, least: int = 200, price_range=(0.05, 2000.0), area_range=(10.0, 10000.0)) -> DataFrame:

@@ -16,6 +16,7 @@ REFUSALS = (
     "ngoai pham vi", "khong the tra loi", "khong co trong du lieu", "chua co du lieu", "khong co so lieu",
     "khong the cung cap", "khong co du thong tin",
 )
+#: Folded words that say which side is higher, or that a value fell.
 UP, DOWN = r"\b(cao hon|dat hon|lon hon|nhieu hon)\b", r"\b(thap hon|giam|re hon|kem)\b"
 
 
@@ -55,6 +56,25 @@ def retrieval_metrics(df: DataFrame, ranked: str = "ranked", relevant: str = "re
     return df.withColumns({"recall_5": recall_at(r, t, 5), "recall_10": recall_at(r, t, 10), "mrr": reciprocal_rank(r, t), "ndcg_10": ndcg_at(r, t, 10)})
 
 
+def ranked_metrics(hits: DataFrame, relevant: DataFrame, *by: str) -> DataFrame:
+    """The same measures from rows: `hits` has the query's columns, rank and hit (whether the row is relevant), `relevant` the
+    query's columns and n_rel. No list is built, so neither rankings nor relevant sets meet in one cell. A query without a hit
+    has zeros; one without relevant items has nulls."""
+    log2 = lambda c: F.log(c) / F.log(F.lit(2.0))
+    at = lambda k: F.count_if(F.col("hit") & (F.col("rank") <= k))
+    found = hits.groupBy(*by).agg(
+        at(5).alias("h5"), at(10).alias("h10"), F.min(F.when(F.col("hit"), F.col("rank"))).alias("first"),
+        F.sum(F.when(F.col("hit") & (F.col("rank") <= 10), 1.0 / log2(F.col("rank") + 1.0))).alias("gain"),
+    )
+    ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n_rel"), F.lit(10)).cast("int")), F.lit(0.0), lambda t, i: t + 1.0 / log2(i + 1.0))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    some = F.col("n_rel") > 0
+    return relevant.join(found, list(by), "left").select(
+        *by, (zero("h5") / F.when(some, F.least(F.col("n_rel"), F.lit(5)))).alias("recall_5"), (zero("h10") / F.when(some, F.least(F.col("n_rel"), F.lit(10)))).alias("recall_10"),
+        F.when(some, F.coalesce(1.0 / F.col("first"), F.lit(0.0))).alias("mrr"), F.when(some, F.coalesce("gain", F.lit(0.0)) / ideal).alias("ndcg_10"),
+    )
+
+
 def run_summary(metrics: DataFrame, *by: str) -> DataFrame:
     return metrics.groupBy(*by).agg(*[F.avg(c).alias(c) for c in ("recall_5", "recall_10", "mrr", "ndcg_10")], F.count("*").alias("n"))
 
@@ -75,17 +95,25 @@ def is_refusal(folded: Column) -> Column:
     return F.exists(F.array(*[F.lit(p) for p in REFUSALS]), lambda p: F.contains(folded, p))
 
 
+#: How answers write months (month and year, year-month) and amounts (one, or a range, with a unit).
+MONTH_YEAR = r"(?<![\d/.-])(\d{1,2}\s*(?:/|-|\.|\s+nam\s+)\s*\d{4})(?!\d)"
+YEAR_MONTH = r"(?<!\d)(\d{4}-\d{1,2})(?![\d-])"
+AMOUNT = r"(\d+(?:[.,]\d+)*)(?:\s*(?:-|–|den|toi)\s*(\d+(?:[.,]\d+)*))?\s*(ty|trieu)\b"
+#: Systems that use filters, and words by which an answer says that it lacks data.
+FILTER_SYSTEMS = ("basic_rag", "hybrid")
+NO_DATA = r"(?U)không (đủ|có) (dữ liệu|thông tin)|không tìm thấy"
+
+
 def answer_months(folded: Column) -> Column:
     """All months in an answer as YYYY-MM."""
-    a = F.transform(F.regexp_extract_all(folded, F.lit(r"(?<![\d/.-])(\d{1,2}\s*(?:/|-|\.|\s+nam\s+)\s*\d{4})(?!\d)"), 1), lambda x: F.concat(F.regexp_extract(x, r"(\d{4})$", 1), F.lit("-"), F.lpad(F.regexp_extract(x, r"^(\d{1,2})", 1), 2, "0")))
-    b = F.transform(F.regexp_extract_all(folded, F.lit(r"(?<!\d)(\d{4}-\d{1,2})(?![\d-])"), 1), lambda x: F.concat(F.left(x, F.lit(4)), F.lit("-"), F.lpad(F.substring_index(x, "-", -1), 2, "0")))
+    a = F.transform(F.regexp_extract_all(folded, F.lit(MONTH_YEAR), 1), lambda x: F.concat(F.regexp_extract(x, r"(\d{4})$", 1), F.lit("-"), F.lpad(F.regexp_extract(x, r"^(\d{1,2})", 1), 2, "0")))
+    b = F.transform(F.regexp_extract_all(folded, F.lit(YEAR_MONTH), 1), lambda x: F.concat(F.left(x, F.lit(4)), F.lit("-"), F.lpad(F.substring_index(x, "-", -1), 2, "0")))
     return F.filter(F.array_distinct(F.concat(a, b)), lambda m: F.right(m, F.lit(2)).between("01", "12"))
 
 
 def forecast_bn(folded: Column) -> Column:
     """The first amount, or the middle of the first range, in billions."""
-    p = r"(\d+(?:[.,]\d+)*)(?:\s*(?:-|–|den|toi)\s*(\d+(?:[.,]\d+)*))?\s*(ty|trieu)\b"
-    low, high, unit = (F.regexp_extract(folded, p, i) for i in (1, 2, 3))
+    low, high, unit = (F.regexp_extract(folded, AMOUNT, i) for i in (1, 2, 3))
     v = (answer_number(low) + F.when(high != "", answer_number(high)).otherwise(answer_number(low))) / 2
     return F.when(unit == "ty", v).when(unit == "trieu", v / 1000)
 
@@ -120,7 +148,7 @@ def score_answers(rows: DataFrame) -> DataFrame:
 
 def error_cause(filters_wrong: Column | None = None, hallucination_below: float = 0.5) -> Column:
     """First rule that fits; null for full points or no score."""
-    said, no_data = F.trim(F.coalesce("answer", F.lit(""))), F.lower("answer").rlike("(?U)không (đủ|có) (dữ liệu|thông tin)|không tìm thấy")
+    said, no_data = F.trim(F.coalesce("answer", F.lit(""))), F.lower("answer").rlike(NO_DATA)
     ids, missed = F.col("gt_kind") == "ids", F.coalesce(F.col("recall_5"), F.lit(0.0)) == 0
     return (
         F.when(F.col("points").isNull() | (F.col("points") == 2), None)
@@ -129,7 +157,7 @@ def error_cause(filters_wrong: Column | None = None, hallucination_below: float
         .when((F.col("system") == "hybrid") & (F.col("route") != F.col("route_gold")), "router_wrong")
         .when(F.col("cypher").isNotNull() & F.col("error").isNotNull(), "cypher_error")
         .when(ids & (F.col("system") == "llm_only"), "insufficient_context")
-        .when(ids & missed & (F.lit(False) if filters_wrong is None else filters_wrong), "filter_wrong")
+        .when(ids & missed & F.col("system").isin(*FILTER_SYSTEMS) & (F.lit(False) if filters_wrong is None else filters_wrong), "filter_wrong")
         .when(ids, "retrieval_miss")
         .when(F.size("unsupported") > 0, "llm_hallucination")
         .when(no_data, "insufficient_context")
@@ -200,15 +228,6 @@ def bootstrap_paired(a: list[float], b: list[float], n_boot: int = 10_000, seed:
     return {"diff": round(diff, 4), "ci95": bootstrap_mean(list(d), n_boot, seed), "p_value": round(p, 4), "n": len(d)}
 
 
-def bootstrap_distributed(df: DataFrame, value: str, order: str, n_boot: int, seed: int = 42) -> DataFrame:
-    """boot, mean: resamples by hashed indexes into an array of the (small) sample; the resamples are spread over tasks."""
-    arr = df.agg(F.transform(F.sort_array(F.collect_list(F.struct(order, value))), lambda s: s[value].cast("double")).alias("x"))
-    n = F.size("x")
-    pick = F.transform(F.sequence(F.lit(1), n), lambda i: F.element_at("x", F.pmod(F.xxhash64(F.lit(seed), F.col("boot"), i), n.cast("bigint")).cast("int") + 1))
-    boots = df.sparkSession.range(n_boot).withColumnRenamed("id", "boot")
-    return boots.join(F.broadcast(arr)).select("boot", (F.aggregate(pick, F.lit(0.0), lambda s, x: s + x) / n).alias("mean"))
-
-
 def bootstrap_counts(df: DataFrame, value: str, n_boot: int, seed: int = 42) -> DataFrame:
     """boot, mean: resamples of all values that are not null, drawn from the counts of the distinct values.
 

@@ -174,7 +174,55 @@ def check_sql(sql: str, relation: str = "v_listings") -> str:
     return sql.strip().rstrip(";")
 
 
+#: Plan leaves beside the published view: a reference to a common table expression, and the one row of a SELECT without FROM.
+LEAVES = ("CTERelationRef", "OneRowRelation")
+FOREIGN = ("ScalaUDF", "PythonUDF", "CurrentDatabase", "CurrentCatalog", "CurrentUser")
+
+
+def check_plan(spark, sql: str, relation: str = "v_listings") -> None:
+    """An error unless the analysed statement is a query whose only table is the published view, with deterministic built-in
+    functions: files, other tables, commands, reflection and user functions are seen in the plan, however they are written."""
+    state = spark._jsparkSession.sessionState()
+    plan = state.analyzer().execute(state.sqlParser().parsePlan(sql))
+    command = spark._jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.plans.logical.Command")
+    subquery = spark._jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.expressions.PlanExpression")
+    each = lambda seq: (seq.apply(i) for i in range(seq.size()))
+    views = 0
+
+    def expression(e) -> None:
+        if subquery.isInstance(e):
+            node(e.plan())
+        name = e.getClass().getSimpleName()
+        if name in FOREIGN or e.children().size() == 0 and not e.deterministic() or name.startswith(("CallMethodViaReflection", "TryReflect", "InputFile")):
+            raise ValueError(f"not allowed: {name}")
+        for child in each(e.children()):
+            expression(child)
+
+    def node(p) -> None:
+        nonlocal views
+        name = p.getClass().getSimpleName()
+        if command.isInstance(p):
+            raise ValueError(f"not a query: {name}")
+        if name == "View":
+            if p.desc().identifier().table().lower() != relation.lower():
+                raise ValueError(f"not the published view: {p.desc().identifier().table()}")
+            views += 1
+            return
+        if p.children().size() == 0 and name not in LEAVES:
+            raise ValueError(f"not allowed: {name}")
+        for e in each(p.expressions()):
+            expression(e)
+        for child in each(p.children()):
+            node(child)
+
+    node(plan)
+    if not views:
+        raise ValueError(f"the statement must read {relation}")
+
+
 def gated_sql(spark, sql: str, relation: str = "v_listings", limit: int | None = None) -> DataFrame:
     """Runs a checked statement; the cap is a Limit node, so it is pushed into the plan."""
-    df = spark.sql(check_sql(sql, relation))
+    text = check_sql(sql, relation)
+    check_plan(spark, text, relation)
+    df = spark.sql(text)
     return df.limit(limit) if limit is not None else df

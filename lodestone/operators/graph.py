@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators.market import area_key
-
+from lodestone.session import materialize, release
 
 
 def keyed(view: DataFrame) -> DataFrame:
@@ -84,6 +84,23 @@ def edges(g: DataFrame, amenity_keys: list[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, [flat(g, fixed), has, tree, projects])
 
 
+def cluster_nodes(g: DataFrame, clusters: DataFrame) -> DataFrame:
+    """key, n_wards, median_price_m2_mil and label (most frequent province, quartiles of the price) of each cluster, from its
+    sales. `clusters` has ward_key, cluster_id."""
+    rows = g.where("deal_type = 'sale'").join(clusters, F.col("wk") == F.col("ward_key"))
+    q = F.percentile("price_m2_mil", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    each = rows.groupBy("cluster_id").agg(F.countDistinct("ward_key").alias("n_wards"), q.alias("q"))
+    whole = lambda i: F.bround(F.col("q")[i]).cast("bigint").cast("string")
+    named = each.join(top_value(rows, "cluster_id", "province"), "cluster_id", "left")
+    label = F.concat(F.col("province"), F.lit(" · "), whole(0), F.lit("–"), whole(2), F.lit(" tr/m²"))
+    return named.select(F.col("cluster_id").cast("string").alias("key"), "n_wards", F.col("q")[1].alias("median_price_m2_mil"), label.alias("label"))
+
+
+def cluster_edges(clusters: DataFrame) -> DataFrame:
+    """Wards to their clusters."""
+    return clusters.select(F.lit("Ward").alias("src_label"), F.col("ward_key").alias("src"), F.lit("IN_CLUSTER").alias("type"), F.lit("Cluster").alias("dst_label"), F.col("cluster_id").cast("string").alias("dst"))
+
+
 def stat_edges(stats: DataFrame) -> DataFrame:
     """MarketStat rows to their areas."""
     key = F.concat_ws("|", "scope", "area_key", "property_type", "month", "deal_type")
@@ -182,21 +199,29 @@ def modularity(pairs: DataFrame, label: DataFrame) -> DataFrame:
     return per.join(F.broadcast(m)).agg(F.sum(F.col("l") / F.col("m") - F.pow(F.col("d") / (2 * F.col("m")), 2)).alias("modularity"))
 
 
-def label_propagation(pairs: DataFrame, rounds: int = 10) -> DataFrame:
-    """node, community: synchronous label propagation with ties to the least label, for a fixed number of rounds."""
-    from lodestone.session import materialize
-
-    both = materialize(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = both.select(F.col("a").alias("node")).distinct().withColumn("community", F.col("node"))
-    for _ in range(rounds):
-        votes = both.join(label.toDF("b", "community"), "b").unionByName(label.select(F.col("node").alias("b"), F.col("node").alias("a"), "community"), allowMissingColumns=True)
-        counts = votes.groupBy("a", "community").agg(F.count("*").alias("n"))
-        new = materialize(counts.groupBy("a").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("community").alias("c")))["c"].alias("community")).toDF("node", "community"))
-        same = new.join(label.toDF("node", "old"), "node").where("community <> old").take(1)
-        label = new
-        if not same:
-            break
-    return label
+def label_propagation(pairs: DataFrame, rounds: int = 100) -> DataFrame:
+    """node, community: label propagation with ties to the least label, until no label changes.
+
+    Half of the nodes (by a hash of node and round) change at a time, so that two sides can't swap labels for ever. A table
+    that has not settled after `rounds` rounds is an error, never a half-done answer.
+    """
+    both = materialize(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "neighbours")
+    label = materialize(both.select(F.col("a").alias("node")).distinct().withColumn("community", F.col("node")), "labels")
+    for r in range(rounds):
+        votes = both.join(label.toDF("b", "community"), "b").groupBy("a", "community").agg(F.count("*").alias("n"))
+        own = label.select(F.col("node").alias("a"), F.col("community").alias("own"))
+        # Of the labels with most votes, the own one stays; else the least one is taken.
+        best = votes.join(own, "a").groupBy("a", "own").agg(F.min(F.struct((-F.col("n")).alias("n"), (F.col("community") != F.col("own")).alias("other"), F.col("community").alias("c")))["c"].alias("new"))
+        turn = F.pmod(F.xxhash64(F.lit(r), "a"), F.lit(2)) == 0
+        new = materialize(best.select(F.col("a").alias("node"), F.when(turn, F.col("new")).otherwise(F.col("own")).alias("community"), (F.col("new") != F.col("own")).alias("open")), "labels")
+        open_ = not new.where("open").isEmpty()
+        release(label)
+        label = new.select("node", "community")
+        label.stored_at = new.stored_at
+        if not open_:
+            release(both)
+            return label
+    raise ValueError(f"communities had not settled after {rounds} rounds")
 
 
 def ward_profiles(g: DataFrame, kinds: list[str], least: int = 8) -> DataFrame:

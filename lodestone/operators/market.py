@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.values import month
+from lodestone.session import materialize
 
 
 def publish_view(df: DataFrame) -> DataFrame:
@@ -36,28 +37,92 @@ def scopes() -> dict[str, Column]:
     }
 
 
-def market_stats(view: DataFrame, least: int = 5, deals: tuple[str, ...] = ("sale", "rent")) -> DataFrame:
+#: A group above this number of rows is not sorted as a whole: its quantiles are looked for in narrow ranges of values.
+SPLIT = 1_000_000
+#: The quantiles of each measure.
+QUANTILES = {"price_m2_mil": (0.25, 0.5, 0.75), "price_vnd": (0.5,), "area_m2": (0.5,)}
+
+
+def slot(measure: str, q: float) -> str:
+    return f"{measure}_{int(100 * q)}"
+
+
+def share(n: Column, rank: Column, q: float) -> Column:
+    """The weight of the value at a rank (from 1) in the interpolated quantile of n values; 0 for all ranks but two."""
+    at = (n - 1) * F.lit(q) + 1
+    return F.greatest(F.lit(0.0), 1.0 - F.abs(rank - at))
+
+
+def narrow(c: Column) -> Column:
+    """A range of values, 64 to a power of two, in the order of the values."""
+    steps = lambda x: F.floor(F.log2(x) * 64)
+    return F.when(c > 0, steps(c) + (1 << 20)).when(c < 0, -steps(-c) - (1 << 20)).otherwise(0)
+
+
+def quantiles_by_sorting(rows: DataFrame, measures: dict[str, tuple[float, ...]]) -> DataFrame:
+    """gid and the quantiles. `rows` has gid, n (rows of the group) and the measures; all is one exchange and a sort a measure,
+    which spill where they must."""
+    ranked = rows.withColumns({f"__{m}": F.row_number().over(Window.partitionBy("gid").orderBy(m)) for m in measures})
+    weight = {(m, q): share(F.col("n"), F.col(f"__{m}"), q) for m, qs in measures.items() for q in qs}
+    needed = reduce(lambda a, b: a | b, (w > 0 for w in weight.values()))
+    return ranked.where(needed).groupBy("gid").agg(*[F.sum(F.when(w > 0, w * F.col(m))).alias(slot(m, q)) for (m, q), w in weight.items()])
+
+
+def quantiles_by_ranges(rows: DataFrame, measures: dict[str, tuple[float, ...]]) -> DataFrame:
+    """As quantiles_by_sorting, for large groups: rows are counted by range of values, the ranges that hold a rank that is asked
+    for are found by running sums, and only their values are counted one by one. Counting starts before the exchange, so no
+    group, and no value that many rows share, meets in one task."""
+    each = rows.select("gid", "n", F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.col(m).cast("double").alias("v")) for m in measures])).alias("x")).select("gid", "n", "x.*").withColumn("r", narrow(F.col("v")))
+    asked = lambda low, high: reduce(
+        lambda a, b: a | b, ((F.col("m") == m) & (F.floor((F.col("n") - 1) * F.lit(q)) + 1 <= high) & (F.ceil((F.col("n") - 1) * F.lit(q)) + 1 >= low) for m, qs in measures.items() for q in qs))
+    upto = Window.partitionBy("gid", "m").orderBy("r").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranges = each.groupBy("gid", "n", "m", "r").agg(F.count("*").alias("c")).withColumn("last", F.sum("c").over(upto))
+    ranges = ranges.where(asked(F.col("last") - F.col("c") + 1, F.col("last"))).select("gid", "m", "r", (F.col("last") - F.col("c")).alias("before"))
+    values = each.join(ranges, ["gid", "m", "r"]).groupBy("gid", "n", "m", "r", "before", "v").agg(F.count("*").alias("c"))
+    within = Window.partitionBy("gid", "m", "r").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    values = values.withColumn("last", F.col("before") + F.sum("c").over(within)).withColumn("first", F.col("last") - F.col("c") + 1)
+    # A value that stands on several ranks has the weight of all of them: the two that count are next to each other.
+    low = lambda q: F.floor((F.col("n") - 1) * F.lit(q)) + 1
+    one = lambda r, q: F.when(r.between(F.col("first"), F.col("last")), share(F.col("n"), r, q)).otherwise(0.0)
+    weight = {(m, q): F.when(F.col("m") == m, one(low(q), q) + one(low(q) + 1, q)).otherwise(0.0) for m, qs in measures.items() for q in qs}
+    return values.groupBy("gid").agg(*[F.sum(F.when(w > 0, w * F.col("v"))).alias(slot(m, q)) for (m, q), w in weight.items()])
+
+
+def market_stats(view: DataFrame, least: int = 5, deals: tuple[str, ...] = ("sale", "rent"), split: int = SPLIT) -> DataFrame:
     """Scope x area x type|ALL x month|ALL x deal, for groups of at least `least` rows.
 
-    The four scopes are exploded into one Expand, so the table is scanned once and its rows shuffle narrow.
+    Groups are counted first, by plain hash aggregates; rows of groups that are too small go no further. A row then travels as
+    the numbers of its groups and three values. Numbers are hashes of the keys; that they are distinct is checked, and another
+    seed is taken if not.
     """
+    parts = ["scope", "area_key", "deal_type", "property_type", "month"]
     rows = view.where(F.col("price_m2_mil").isNotNull() & F.col("deal_type").isin(*deals)).select(
         F.explode(F.array(*[F.struct(F.lit(s).alias("scope"), k.alias("area_key")) for s, k in scopes().items()])).alias("a"),
-        "deal_type", "property_type", "month", "price_m2_mil", "price_vnd", "area_m2",
-    ).select("a.*", "deal_type", "property_type", "month", "price_m2_mil", "price_vnd", "area_m2").where("area_key IS NOT NULL")
-    k = ["scope", "area_key", "deal_type"]
-    sets = [[*k, "property_type", "month"], [*k, "property_type"], [*k, "month"], k]
-    cube = rows.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in (*k, "property_type", "month")]).agg(
-        F.grouping("property_type").alias("__t"), F.grouping("month").alias("__m"), F.count("*").alias("n"),
-        F.percentile("price_m2_mil", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"),
-        F.median("price_vnd").alias("median_price_vnd"), F.median("area_m2").alias("median_area_m2"),
-    )
+        "deal_type", "property_type", "month", *QUANTILES,
+    ).select("a.*", "deal_type", "property_type", "month", *QUANTILES).where("area_key IS NOT NULL")
+    k = [F.col(c) for c in parts[:3]]
+    sets = [[*k, F.col("property_type"), F.col("month")], [*k, F.col("property_type")], [*k, F.col("month")], k]
+    counted = rows.groupingSets(sets, *[F.col(c) for c in parts]).agg(F.grouping("property_type").alias("__t"), F.grouping("month").alias("__m"), F.count("*").alias("n"))
+    text = lambda c: F.coalesce(F.col(c), F.lit("\u0000"))
+    number = lambda seed, t, m: F.xxhash64(F.lit(seed), *k, F.lit("\u0001") if t is None else t, F.lit("\u0001") if m is None else m)
+    groups = materialize(counted.where(F.col("n") >= least), "groups")
+    for seed in range(8):
+        all_ = F.lit("\u0001")
+        own = groups.withColumn("gid", number(seed, F.when(F.col("__t") == 1, all_).otherwise(text("property_type")), F.when(F.col("__m") == 1, all_).otherwise(text("month"))))
+        if own.groupBy("gid").count().where("count > 1").isEmpty():
+            break
+    each = F.array(*[number(seed, t, m) for t in (text("property_type"), None) for m in (text("month"), None)])
+    members = rows.select(F.explode(each).alias("gid"), *QUANTILES).join(own.select("gid", "n").hint("shuffle_hash"), "gid")
+    found = quantiles_by_sorting(members.where(F.col("n") <= split), QUANTILES)
+    if not own.where(F.col("n") > split).isEmpty():
+        found = found.unionByName(quantiles_by_ranges(members.where(F.col("n") > split), QUANTILES))
     kind = F.when(F.col("__t") == 1, "ALL").otherwise(F.col("property_type"))
     mon = F.when(F.col("__m") == 1, "ALL").otherwise(F.col("month"))
-    return cube.select(
-        "scope", "area_key", kind.alias("property_type"), mon.alias("month"), "deal_type", "n", F.col("q")[1].alias("median_price_m2_mil"),
-        F.col("q")[0].alias("p25_price_m2_mil"), F.col("q")[2].alias("p75_price_m2_mil"), "median_price_vnd", "median_area_m2",
-    ).where((F.col("n") >= least) & F.col("month").isNotNull())
+    return own.join(found, "gid").select(
+        "scope", "area_key", kind.alias("property_type"), mon.alias("month"), "deal_type", "n", F.col(slot("price_m2_mil", 0.5)).alias("median_price_m2_mil"),
+        F.col(slot("price_m2_mil", 0.25)).alias("p25_price_m2_mil"), F.col(slot("price_m2_mil", 0.75)).alias("p75_price_m2_mil"),
+        F.col(slot("price_vnd", 0.5)).alias("median_price_vnd"), F.col(slot("area_m2", 0.5)).alias("median_area_m2"),
+    ).where(F.col("month").isNotNull())
 
 
 def missing_rates(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -97,7 +162,7 @@ def top_areas(view: DataFrame, key: str, n: int) -> DataFrame:
 
 def within_top(view: DataFrame, key: str, n: int) -> DataFrame:
     """Rows of the n largest areas: a semi-join with the top-n subquery."""
-    return view.join(F.broadcast(top_areas(view, key, n).select(key)), key, "left_semi")
+    return view.join(top_areas(view, key, n).select(key), key, "left_semi")
 
 
 def filter_options(view: DataFrame) -> DataFrame:
@@ -126,3 +191,46 @@ def comparables(view: DataFrame, area: float, spread: float = 0.2, **equal: str)
 def fingerprint(df: DataFrame, column: str = "price_vnd") -> DataFrame:
     """Row count and an exact sum: decimals make it independent of order."""
     return df.agg(F.count("*").alias("n"), F.sum(F.col(column).cast("decimal(38,6)")).cast("double").alias("checksum"))
+
+
+def eda_summary(view: DataFrame, columns: list[str], pair: tuple[str, str], top: int = 10) -> DataFrame:
+    """section, key, n, value: months of the data, types, largest provinces with their shares, the share of two provinces, months,
+    missing cells in per cent and description lengths."""
+    sale = F.median(F.when(F.col("deal_type") == "sale", F.col("price_m2_mil")))
+    none, whole = F.lit(None).cast("bigint"), F.lit(None).cast("double")
+    row = lambda df, section, key, n=none, value=whole: df.select(F.lit(section).alias("section"), key.cast("string").alias("key"), n.cast("bigint").alias("n"), value.cast("double").alias("value"))
+    all_ = view.agg(F.count("*").alias("total"), F.min("month").alias("low"), F.max("month").alias("high"), F.count_if(F.col("province").isin(*pair)).alias("pair"))
+    provinces = view.where("province IS NOT NULL").groupBy("province").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "province").limit(top)
+    lengths = view.where("description IS NOT NULL").agg(F.percentile(F.length("description"), F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99))).alias("q"))
+    named = F.array(*[F.struct(F.lit(name).alias("key"), F.col("q")[i].alias("v")) for i, name in enumerate(("p50", "p90", "p99"))])
+    parts = [
+        row(all_.select(F.explode(F.array("low", "high")).alias("m")), "period", F.col("m")),
+        row(view.groupBy("property_type").agg(F.count("*").alias("n"), sale.alias("v")), "by_type", F.col("property_type"), F.col("n"), F.col("v")),
+        row(provinces.join(F.broadcast(all_)), "top_provinces", F.col("province"), F.col("n"), F.col("n") / F.greatest("total", F.lit(1))),
+        row(all_, "pair_share", F.lit("+".join(pair)), F.col("pair"), F.col("pair") / F.greatest("total", F.lit(1))),
+        row(view.where("month IS NOT NULL").groupBy("month").agg(F.count("*").alias("n"), sale.alias("v")), "monthly", F.col("month"), F.col("n"), F.col("v")),
+        row(missing_rates(view, columns), "missing_pct", F.col("column"), none, F.col("missing_pct")),
+        row(lengths.select(F.explode(named).alias("x")).select("x.*"), "description_chars", F.col("key"), none, F.col("v")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def eda_plots(view: DataFrame, pair: tuple[str, str], top: int = 10, districts: int = 5) -> DataFrame:
+    """section, key, a, b, c: price quartiles of types, medians of the largest provinces, outliers in per cent, rows by size of
+    their duplicate cluster, largest districts of two provinces."""
+    sale = view.where("deal_type = 'sale' AND price_m2_mil IS NOT NULL")
+    gap = F.lit(None).cast("double")
+    row = lambda df, section, key, a, b=gap, c=gap: df.select(F.lit(section).alias("section"), key.cast("string").alias("key"), *[x.cast("double").alias(n) for x, n in ((a, "a"), (b, "b"), (c, "c"))])
+    q = F.percentile("price_m2_mil", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")
+    size = view.groupBy("dup_cluster_id").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("province").orderBy(F.desc("n"), "district")
+    near = view.where(F.col("province").isin(*pair) & F.col("district").isNotNull()).groupBy("province", "district").agg(F.count("*").alias("n")).withColumn("r", F.row_number().over(w)).where(F.col("r") <= districts)
+    pct = lambda c: 100 * F.avg(F.col(c).cast("int"))
+    parts = [
+        row(sale.groupBy("property_type").agg(q), "type_quartiles", F.col("property_type"), F.col("q")[0], F.col("q")[1], F.col("q")[2]),
+        row(within_top(sale, "province", top).groupBy("province").agg(F.median("price_m2_mil").alias("m")), "province_price", F.col("province"), F.col("m")),
+        row(view.groupBy("property_type").agg(pct("is_price_outlier").alias("p"), pct("is_area_outlier").alias("s")), "outliers", F.col("property_type"), F.col("p"), F.col("s")),
+        row(histogram(size, "n"), "dup_buckets", F.col("bucket"), F.col("n")),
+        row(near, "districts", F.concat_ws("|", "province", "district"), F.col("n")),
+    ]
+    return reduce(DataFrame.unionByName, parts)

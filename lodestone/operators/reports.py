@@ -38,11 +38,14 @@ def gold_ids(spark: SparkSession, sql: str, ident: str = "listing_id", cluster:
     return sorted(found)
 
 
-def fuse_chunks(lists: Sequence[DataFrame], k: int, depth: int = 20) -> DataFrame:
+def fuse_chunks(lists: Sequence[DataFrame], k: int, depth: int = 20, by: Sequence[str] = ()) -> DataFrame:
     """Fusion on chunks, then the first chunk of each listing: doc_id is a point id (listing * 64 + chunk)."""
-    fused = search.hybrid(lists, depth, depth).withColumn("listing_id", F.floor(F.col("doc_id") / 64))
-    best = fused.groupBy("listing_id").agg(F.min(F.struct((-F.col("rrf")).alias("s"), "doc_id")).alias("b"))
-    return best.orderBy("b.s", "b.doc_id").limit(k).select("listing_id", F.col("b.doc_id").alias("point_id"), (-F.col("b.s")).alias("rrf"))
+    fused = search.hybrid(lists, depth, depth, by).withColumn("listing_id", F.floor(F.col("doc_id") / 64))
+    best = fused.groupBy(*by, "listing_id").agg(F.min(F.struct((-F.col("rrf")).alias("s"), "doc_id")).alias("b"))
+    out = best.select(*by, "listing_id", F.col("b.doc_id").alias("point_id"), (-F.col("b.s")).alias("rrf"))
+    if not by:
+        return out.orderBy(F.desc("rrf"), "point_id").limit(k)
+    return search.best_rows(out, k, by, "rrf", "point_id").drop("rank")
 
 
 def retrieve(df: DataFrame, given: dict, period: tuple[str, str], find: Callable[[DataFrame], DataFrame], k: int, kinds: Sequence[str]) -> tuple[DataFrame, str | None]:

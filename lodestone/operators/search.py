@@ -1,20 +1,26 @@
 """Chunking, postings, BM25, dense search, rank fusion and hybrid retrieval over DataFrames.
 
-Filters come before any scoring, so they reach the scan. Queries are small (a set of terms, or a few vectors), so they travel
-as literals or as a broadcast of checked size; documents are never shuffled by text.
+Filters come before any scoring, so they reach the scan. A single query travels as literals. Sets of query vectors are taken
+in slices of a bounded number, each of which is broadcast for one pass over the rows; text queries meet an index of postings
+by term, so documents are tokenised once, when the index is written.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import words
-from lodestone.functions.values import bm25_idf, bm25_weight, cosine, dot, point_id
+from lodestone.functions.values import bm25_idf, bm25_weight, cosine, dot, point_id, sql_key
 
 RRF_K = 60
+#: Query vectors of one pass over the rows, and digits of a score that count for ranking.
+PER_PASS, DIGITS = 4096, 9
 
 
 def chunks(df: DataFrame, ident: str, header: Column, text: str, size: int = 400, overlap: int = 100, header_max: int = 96, cap: int = 64, tokens: Column | None = None) -> DataFrame:
@@ -102,31 +108,158 @@ def dense(df: DataFrame, ident: str, vector: str, query: Sequence[float], k: int
     return rows.select(F.col(ident).alias("doc_id"), score.alias("score")).where("score IS NOT NULL").orderBy(F.desc("score"), "doc_id").limit(k)
 
 
+def best_rows(scored: DataFrame, k: int, by: Sequence[str] = ("q",), score: str = "score", ident: str = "doc_id") -> DataFrame:
+    """Adds rank; the best k rows of each query, ties by id."""
+    w = Window.partitionBy(*by).orderBy(F.desc(score), ident)
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+class Best:
+    """The best k rows of each query so far, over batches of scores."""
+
+    def __init__(self, queries: int, k: int):
+        self.k = k
+        self.scores = np.full((queries, k), -np.inf)
+        self.ids = np.full((queries, k), np.iinfo(np.int64).max)
+
+    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
+        open_ = scores >= self.scores[:, -1:]
+        for q in np.flatnonzero(open_.any(axis=1)):
+            at = np.flatnonzero(open_[q] & (scores[q] > -np.inf))
+            if len(at) > self.k:
+                at = at[scores[q][at] >= np.partition(scores[q][at], -self.k)[-self.k]]
+            s, i = np.concatenate((self.scores[q], scores[q][at])), np.concatenate((self.ids[q], ids[at]))
+            order = np.lexsort((i, -s))[: self.k]
+            self.scores[q], self.ids[q] = s[order], i[order]
+
+
+def unit_rows(vectors: pa.Array | pa.ChunkedArray, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors of those that have `dims` finite components and are not zero, and which these are."""
+    rows = vectors.to_pylist()
+    ok = [i for i, x in enumerate(rows) if x is not None and len(x) == dims and None not in x]
+    m = np.array([rows[i] for i in ok], dtype=np.float64).reshape(-1, dims)
+    with np.errstate(invalid="ignore"):
+        n = np.linalg.norm(m, axis=1)
+    good = np.isfinite(n) & (n > 0)
+    return m[good] / n[good][:, None], np.array(ok, dtype=np.int64)[good]
+
+
+def dense_batch(items: DataFrame, queries: DataFrame, ident: str, vector: str, k: int, where: Column | None = None, others: bool = False, per_pass: int = PER_PASS) -> DataFrame:
+    """q, doc_id, score, rank: for each query row (same column names) its best k items by exact cosine.
+
+    Each task keeps the best k of every query of the pass while it reads its rows in blocks, so k rows a query leave a task.
+    Scores count to nine digits, ties go to the least id; vectors that are null, zero, of another length or not finite have
+    no score. others=True leaves out an item with the query's own id.
+    """
+    spark = items.sparkSession
+    rows = (items if where is None else items.where(where)).select(F.col(ident).cast("long").alias("doc_id"), F.col(vector).alias("x"))
+    asked = queries.select(F.col(ident).cast("long").alias("q"), F.col(vector).cast("array<double>").alias("x")).where("q IS NOT NULL AND x IS NOT NULL")
+    passes = max(1, -(-asked.count() // per_pass))
+    out = None
+    for p in range(passes):
+        part = asked.where(F.pmod(F.xxhash64(F.lit(7), "q"), F.lit(passes)) == p).collect()
+        by_dims = {}
+        for dims in {len(r["x"]) for r in part}:
+            own = [r for r in part if len(r["x"]) == dims]
+            unit, at = unit_rows(pa.array([r["x"] for r in own]), dims)
+            by_dims[dims] = (np.array([own[i]["q"] for i in at], dtype=np.int64), unit)
+        shared = spark.sparkContext.broadcast(by_dims)
+
+        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            best = {d: Best(len(q), k) for d, (q, _) in shared.value.items()}
+            for batch in batches:
+                for a in range(0, len(batch), 1024):
+                    block = batch.slice(a, 1024)
+                    for d, (q, unit) in shared.value.items():
+                        x, at = unit_rows(block.column("x"), d)
+                        ids = block.column("doc_id").to_numpy(zero_copy_only=False)[at]
+                        scores = np.round(unit @ x.T, DIGITS)
+                        if others:
+                            scores[q[:, None] == ids[None, :]] = -np.inf
+                        best[d].add(scores, ids)
+            for d, (q, _) in shared.value.items():
+                at, col = np.nonzero(best[d].scores > -np.inf)
+                yield pa.RecordBatch.from_arrays([pa.array(q[at]), pa.array(best[d].ids[at, col]), pa.array(best[d].scores[at, col])], names=["q", "doc_id", "score"])
+
+        found = rows.where("doc_id IS NOT NULL").mapInArrow(search, "q long, doc_id long, score double")
+        out = found if out is None else out.unionByName(found)
+    return best_rows(out, k)
+
+
+@dataclass
+class TextIndex:
+    """Postings (term, doc_id, tf, doc_len) in buckets of terms, sorted by term, and the corpus's size and mean length."""
+
+    postings: DataFrame
+    documents: int
+    mean_length: float
+    buckets: int
+
+
+def write_index(df: DataFrame, ident: str, text: str, path: str, buckets: int = 16) -> None:
+    """Tokenises the corpus once. Empty documents count for the statistics and have no posting."""
+    rows = postings(df, ident, text)
+    bucket = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(buckets)).cast("int")
+    rows.select("term", "doc_id", "tf", "doc_len", bucket.alias("bucket")).repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(4))).sortWithinPartitions("bucket", "term", "doc_id").write.partitionBy("bucket").parquet(f"{path}/postings")
+    n, avg = corpus_stats(df, text)
+    df.sparkSession.range(1).select(F.lit(n).cast("long").alias("documents"), F.lit(avg).alias("mean_length"), F.lit(buckets).alias("buckets")).coalesce(1).write.parquet(f"{path}/statistics")
+
+
+def read_index(spark, path: str) -> TextIndex:
+    s = spark.read.parquet(f"{path}/statistics").first()
+    return TextIndex(spark.read.parquet(f"{path}/postings"), s["documents"], s["mean_length"], s["buckets"])
+
+
+def bm25_batch(index: TextIndex, queries: DataFrame, k: int, allowed: DataFrame | None = None, few: int = 2000) -> DataFrame:
+    """q, doc_id, score, rank. `queries` has q and terms (array); repeated terms count once. `allowed` (doc_id, once each) is the
+    filter; document frequencies are those of the whole corpus. Up to `few` distinct terms are looked up by a predicate that
+    reaches the scan (buckets and row groups are skipped), more of them by a join."""
+    terms = queries.select("q", F.explode(F.array_distinct("terms")).alias("term"))
+    distinct = terms.select("term").distinct()
+    bucket = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(index.buckets)).cast("int")
+    some = [r["term"] for r in distinct.limit(few + 1).collect()]
+    if len(some) <= few:
+        own = [r["b"] for r in distinct.select(bucket.alias("b")).distinct().collect()]
+        held = index.postings.where(F.col("bucket").isin(own) & F.col("term").isin(some))
+    else:
+        held = index.postings.join(distinct.withColumn("bucket", bucket), ["bucket", "term"], "left_semi")
+    df = held.groupBy("term").agg(F.count("*").alias("df"))
+    asked = terms.join(df, "term").select("q", "term", bm25_idf(F.lit(float(index.documents)), F.col("df")).alias("idf"))
+    own = held if allowed is None else held.join(allowed.select("doc_id"), "doc_id", "left_semi")
+    weight = bm25_weight(F.col("tf"), F.col("doc_len"), F.lit(index.mean_length))
+    scored = own.join(asked, "term").groupBy("q", "doc_id").agg(F.round(F.sum(F.col("idf") * weight), DIGITS).alias("score"))
+    return best_rows(scored, k)
+
+
 def best_chunk(hits: DataFrame, group: str = "listing_id", chunk: str = "chunk_index") -> DataFrame:
     """One row per group: its best chunk."""
     w = Window.partitionBy(group).orderBy(F.desc("score"), chunk)
     return hits.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 
-def ranked(hits: DataFrame, name: int) -> DataFrame:
-    """Positions from 1 on. Rankings are top-k results, so the window over all of one is small."""
-    return hits.withColumns({"list_no": F.lit(name), "rank": F.row_number().over(Window.partitionBy(F.lit(name)).orderBy(F.desc("score"), "doc_id"))})
+def ranked(hits: DataFrame, name: int, by: Sequence[str] = ()) -> DataFrame:
+    """Positions from 1 on, for each query if `by` names its columns. Rankings are top-k results, so a window's rows are few."""
+    return hits.withColumns({"list_no": F.lit(name), "rank": F.row_number().over(Window.partitionBy(*(by or [F.lit(name)])).orderBy(F.desc("score"), "doc_id"))})
 
 
-def rrf(rankings: DataFrame, k: int, c: int = RRF_K) -> DataFrame:
-    """Sum of 1/(c + rank) over lists; ties by first appearance (list, then rank). `rankings`: doc_id, list_no, rank."""
-    fused = rankings.groupBy("doc_id").agg(F.sum(1.0 / (c + F.col("rank"))).alias("rrf"), F.min(F.struct("list_no", "rank")).alias("first"))
-    return fused.orderBy(F.desc("rrf"), "first", "doc_id").limit(k).select("doc_id", "rrf")
+def rrf(rankings: DataFrame, k: int, c: int = RRF_K, by: Sequence[str] = ()) -> DataFrame:
+    """Sum of 1/(c + rank) over lists; ties by first appearance (list, then rank). `rankings`: doc_id, list_no, rank, and the
+    columns of the query in `by`, if there are several."""
+    fused = rankings.groupBy(*by, "doc_id").agg(F.sum(1.0 / (c + F.col("rank"))).alias("rrf"), F.min(F.struct("list_no", "rank")).alias("first"))
+    order = [F.desc("rrf"), "first", "doc_id"]
+    if not by:
+        return fused.orderBy(*order).limit(k).select("doc_id", "rrf")
+    return fused.withColumn("pos", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("pos") <= k).select(*by, "doc_id", "rrf")
 
 
-def hybrid(lists: Sequence[DataFrame], k: int, depth: int = 20) -> DataFrame:
+def hybrid(lists: Sequence[DataFrame], k: int, depth: int = 20, by: Sequence[str] = ()) -> DataFrame:
     """Each ranking cut to max(depth, k), fused by reciprocal rank; best_rank is the best position in any list."""
-    parts = [ranked(h.orderBy(F.desc("score"), "doc_id").limit(max(depth, k)), i) for i, h in enumerate(lists)]
+    parts = [ranked(h, i, by).where(F.col("rank") <= max(depth, k)).select(*by, "doc_id", "list_no", "rank") for i, h in enumerate(lists)]
     both = parts[0]
     for p in parts[1:]:
         both = both.unionByName(p)
-    best = both.groupBy("doc_id").agg(F.min("rank").alias("best_rank"))
-    return rrf(both, k).join(best, "doc_id")
+    best = both.groupBy(*by, "doc_id").agg(F.min("rank").alias("best_rank"))
+    return rrf(both, k, by=by).join(best, [*by, "doc_id"])
 
 
 def rerank(hits: DataFrame, score: Column, top: int = 20, k: int = 5) -> DataFrame:
@@ -140,13 +273,19 @@ def fetch_in_order(df: DataFrame, ident: str, ids: Sequence[int]) -> DataFrame:
     return df.where(F.col(ident).isin(*[int(i) for i in ids])).join(F.broadcast(order), F.col(ident) == F.col("__id")).drop("__id").orderBy("pos")
 
 
+def hashed(ident: Column | str, seed: int) -> Column:
+    """A repeatable 60-bit number of an id, that other engines give as well (a prefix of an MD5)."""
+    c = F.col(ident) if isinstance(ident, str) else ident
+    return sql_key(F.concat_ws(":", F.lit(str(seed)), c.cast("string")))
+
+
 def sample_rows(df: DataFrame, ident: str, n: int, seed: int = 42) -> DataFrame:
     """A repeatable sample without replacement: the n least hashes."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(ident)), ident).limit(n)
+    return df.orderBy(hashed(ident, seed), ident).limit(n)
 
 
 def folds(ident: Column, k: int, seed: int = 42) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), ident), F.lit(k)).cast("int")
+    return F.pmod(hashed(ident, seed), F.lit(k)).cast("int")
 
 
 def mean_vectors(df: DataFrame, group: str, vector: str) -> DataFrame:

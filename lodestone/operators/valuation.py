@@ -9,7 +9,7 @@ from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import PCA, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.values import verdict
@@ -111,18 +111,25 @@ def valuate(rows: DataFrame, interval: DataFrame, kind: str, asking: str) -> Dat
     """Adds low, high and the verdict on the asking price; `rows` has predicted, `interval` is ratio_interval()'s."""
     own = interval.where("kind <> 'ALL'").toDF(kind, "p10", "p90")
     all_ = interval.where("kind = 'ALL'").select(F.col("p10").alias("a10"), F.col("p90").alias("a90"))
-    out = rows.join(F.broadcast(own), kind, "left").join(F.broadcast(all_))
+    out = rows.join(own, kind, "left").join(F.broadcast(all_))
     low, high = F.col("predicted") * F.coalesce("p10", "a10"), F.col("predicted") * F.coalesce("p90", "a90")
     return out.withColumns({"low": low, "high": high, "verdict": verdict(F.col(asking), low, high)}).drop("p10", "p90", "a10", "a90")
 
 
-def permutation_importance(model: PipelineModel, df: DataFrame, numeric: list[str], label: str = "label", seed: int = 42) -> dict[str, float]:
-    """Growth of the error when a feature's values are dealt anew among rows."""
+def dealt(df: DataFrame, column: str, ident: list[str], buckets: int, seed: int) -> DataFrame:
+    """A column's values dealt anew: in each of `buckets` random sets of rows, every row takes the value of the next one in a
+    random order, and the last that of the first. No value is lost or comes twice, and no set is larger than it must be."""
+    w = Window.partitionBy("__set").orderBy(F.xxhash64(F.lit(seed + 1), *ident), *ident)
+    first = F.first(column).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    last = F.lead(F.lit(1)).over(w).isNull()
+    rows = df.withColumn("__set", F.pmod(F.xxhash64(F.lit(seed), *ident), F.lit(buckets)))
+    return rows.withColumns({"__next": F.lead(column).over(w), "__first": first, "__last": last}).withColumn(column, F.when(F.col("__last"), F.col("__first")).otherwise(F.col("__next"))).drop("__set", "__next", "__first", "__last")
+
+
+def permutation_importance(model: PipelineModel, df: DataFrame, numeric: list[str], ident: list[str], label: str = "label", seed: int = 42, per_set: int = 20_000) -> dict[str, float]:
+    """Growth of the error when a feature's values are dealt anew among rows; `ident` names the columns that order rows."""
     ev = RegressionEvaluator(metricName="rmse", labelCol=label)
     base = ev.evaluate(model.transform(df))
-    out = {}
-    for f in numeric:
-        pool = df.agg(F.collect_list(f).alias("__pool"))
-        dealt = df.join(F.broadcast(pool)).withColumn(f, F.element_at("__pool", (F.pmod(F.xxhash64(F.lit(seed), *[F.col(c) for c in numeric]), F.size("__pool")) + 1).cast("int"))).drop("__pool")
-        out[f] = ev.evaluate(model.transform(dealt)) - base
+    buckets = max(1, -(-df.count() // per_set))
+    out = {f: ev.evaluate(model.transform(dealt(df, f, ident, buckets, seed))) - base for f in numeric}
     return dict(sorted(out.items(), key=lambda kv: -kv[1]))

@@ -219,9 +219,12 @@ def a38_count_in_range(spark, d):
     return table(spark, d, "documents").where(F.col("doc_id").between(100, 199)).agg(F.count("*").alias("n"))
 
 
-@query("SELECT count(*) FILTER (WHERE n_chars / 4 > 4000) AS capped FROM documents")
+@query(r"""SELECT count(*) FILTER (WHERE n > 50 AND ceil((n - 10) / 40.0) >= 64) AS capped FROM (
+    SELECT len(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda w: w <> '')) AS n FROM documents)""")
 def a39_capped(spark, d):
-    return table(spark, d, "documents").agg(F.count_if(F.col("n_chars") / 4 > 4000).alias("capped"))
+    """Documents whose last permitted chunk is taken, by chunking them."""
+    c = search.chunks(table(spark, d, "documents"), "doc_id", F.lit(""), "text", size=50, overlap=10, cap=64)
+    return c.agg(F.count_if(F.col("chunk_index") == 63).alias("capped"))
 
 
 @query("SELECT conv_id, round(avg((role = 'user')::INT), 4) AS share FROM conversations GROUP BY 1")
@@ -233,19 +236,10 @@ def a40_mean_verdict(spark, d):
 # Composite dataflows
 
 
-@query(r"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS w FROM documents),
-    n AS (SELECT *, CASE WHEN len(w) > 50 THEN ceil((len(w) - 10) / 40.0)::BIGINT ELSE 1 END AS k FROM t),
-    c AS (SELECT doc_id, w, unnest(range(0, least(k, 64))) AS i, k FROM n)
-    SELECT doc_id * 64 + i AS point_id, i::INTEGER AS chunk_index, md5(array_to_string(w[i * 40 + 1 : i * 40 + 50], ' ')) AS h, len(w[i * 40 + 1 : i * 40 + 50])::INTEGER AS n_tokens, k > 64 AS truncated FROM c""")
-def c01_chunks(spark, d):
-    c = search.chunks(table(spark, d, "documents"), "doc_id", F.lit(""), "text", size=50, overlap=10)
-    return c.select("point_id", "chunk_index", F.md5(F.col("text").cast("binary")).alias("h"), "n_tokens", "truncated")
-
-
 @query(r"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS w FROM documents),
     c AS (SELECT doc_id, w, unnest(range(0, CASE WHEN len(w) > 400 THEN ceil((len(w) - 100) / 300.0)::BIGINT ELSE 1 END)) AS i FROM t)
     SELECT (doc_id::DECIMAL(20, 0) * 2147483648 + i)::DECIMAL(31, 0) AS point_id, i::INTEGER AS chunk_index, md5(array_to_string(w[i * 300 + 1 : i * 300 + 400], ' ')) AS h, len(w[i * 300 + 1 : i * 300 + 400])::INTEGER AS n_tokens FROM c""")
-def c01_chunks_all(spark, d):
+def c01_chunks(spark, d):
     c = search.whole_chunks(table(spark, d, "documents"), "doc_id", "text")
     return c.select("point_id", "chunk_index", F.md5(F.col("text").cast("binary")).alias("h"), "n_tokens")
 
@@ -281,7 +275,7 @@ def c02_kept_rows(spark, d):
 @query()
 def c03_simhash_clusters(spark, d):
     t = table(spark, d, "documents").select(F.col("doc_id").alias("listing_id"), "lang", V.simhash(X.norm(F.col("text"))).alias("simhash"))
-    return dedup.simhash_clusters(t, groups=["lang"], max_bucket=None)
+    return dedup.simhash_clusters(t, groups=["lang"])
 
 
 EDGES = "SELECT doc_id AS a, doc_id - doc_id % 7 AS b FROM documents WHERE doc_id % 7 <> 0 AND doc_id % 11 <> 3"
@@ -335,25 +329,70 @@ def c07_month_nodes(spark, d):
     return graph.nodes(graph.keyed(view(spark, d)), "Month")
 
 
-VEC0 = "(SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)"
+CLUSTERS_SQL = "cl AS (SELECT DISTINCT wk AS ward_key, s_nationkey % 4 AS cluster_id FROM g JOIN supplier ON s_name = ward)"
 
 
-@query(f"SELECT vec_id AS doc_id, round(list_cosine_similarity(embedding::DOUBLE[], {VEC0}), 5) AS score FROM embeddings WHERE label < 5 ORDER BY list_cosine_similarity(embedding::DOUBLE[], {VEC0}) DESC, vec_id LIMIT 20")
-def c08_dense_search(spark, d):
+def ward_clusters(spark, d):
+    s = table(spark, d, "supplier").select(F.col("s_name").alias("ward"), (F.col("s_nationkey") % 4).alias("cluster_id"))
+    return graph.keyed(view(spark, d)).where("wk IS NOT NULL").join(s, "ward").select(F.col("wk").alias("ward_key"), "cluster_id").distinct()
+
+
+@query(with_listings("""SELECT cluster_id::VARCHAR AS key, n_wards, round(m, 4) AS med, top || ' · ' || round_even(q1, 0)::BIGINT || '–' || round_even(q3, 0)::BIGINT || ' tr/m²' AS label FROM (
+        SELECT cluster_id, count(DISTINCT ward_key) AS n_wards, median(price_m2_mil) AS m, quantile_cont(price_m2_mil, 0.25) AS q1, quantile_cont(price_m2_mil, 0.75) AS q3 FROM cl JOIN g ON wk = ward_key AND deal_type = 'sale' GROUP BY 1)
+    JOIN (SELECT cluster_id, province AS top FROM cl JOIN g ON wk = ward_key AND deal_type = 'sale' GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY count(*) DESC, province) = 1) USING (cluster_id)""", KEYED, CLUSTERS_SQL))
+def c07_cluster_nodes(spark, d):
+    n = graph.cluster_nodes(graph.keyed(view(spark, d)), ward_clusters(spark, d))
+    return n.select("key", "n_wards", r4("median_price_m2_mil").alias("med"), "label")
+
+
+@query(with_listings("SELECT 'Ward' AS src_label, ward_key AS src, 'IN_CLUSTER' AS type, 'Cluster' AS dst_label, cluster_id::VARCHAR AS dst FROM cl", KEYED, CLUSTERS_SQL))
+def c07_cluster_edges(spark, d):
+    return graph.cluster_edges(ward_clusters(spark, d))
+
+
+#: The stated query set of searches: rows whose id is divisible by 50, against all rows.
+DENSE_SQL = """qv AS (SELECT vec_id AS q, label AS ql, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0),
+    s AS (SELECT q, ql, vec_id AS doc_id, label AS dl, embedding[1] AS x, round(list_cosine_similarity(embedding::DOUBLE[], v), 9) AS score FROM embeddings, qv)"""
+
+
+def vectors(spark, d):
     e = table(spark, d, "embeddings")
-    return search.dense(e, "vec_id", "embedding", e.where("vec_id = 0").first()["embedding"], 20, F.col("label") < 5).select("doc_id", F.round("score", 5).alias("score"))
+    return e, e.where("vec_id % 50 = 0")
+
+
+@query(f"WITH {DENSE_SQL} SELECT q, doc_id, round(score, 5) AS score FROM s WHERE dl < 5 QUALIFY row_number() OVER (PARTITION BY q ORDER BY s.score DESC, doc_id) <= 20")
+def c08_dense_search(spark, d):
+    return search.dense_batch(*vectors(spark, d), "vec_id", "embedding", 20, F.col("label") < 5).select("q", "doc_id", F.round("score", 5).alias("score"))
+
+
+BM25_SQL = r"""toks AS (SELECT doc_id, lang, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS w FROM documents),
+    st AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM toks), qt AS (SELECT DISTINCT doc_id AS q, unnest(w[1:8]) AS term FROM toks WHERE doc_id % 50 = 0),
+    tf AS (SELECT doc_id, lang, term, count(*) AS tf, dl FROM (SELECT doc_id, lang, len(w) AS dl, unnest(w) AS term FROM toks) GROUP BY ALL),
+    df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+    bm AS (SELECT q, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 9) AS score FROM tf JOIN df USING (term) JOIN qt USING (term), st WHERE lang IN ('en', 'de') GROUP BY 1, 2)"""
 
 
-BM25_SQL = r"""toks AS (SELECT doc_id, lang, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents),
-    st AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM toks), q AS (SELECT unnest(['the', 'and', 'that']) AS term),
-    tf AS (SELECT doc_id, lang, term, len(list_filter(w, lambda x: x = term)) AS tf, len(w) AS dl FROM toks, q),
-    df AS (SELECT term, count(*) FILTER (WHERE tf > 0) AS df FROM tf GROUP BY 1),
-    bm AS (SELECT doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM tf JOIN df USING (term), st WHERE tf > 0 AND lang IN ('en', 'de') GROUP BY 1)"""
+def text_hits(spark, d, k):
+    """The first eight words of every fiftieth document against the index of all documents, which is written once for a table."""
+    docs = table(spark, d, "documents")
+    path = io.cached(spark, "text-index", [f"{d}/documents.parquet"], lambda to: search.write_index(docs, "doc_id", "text", to))
+    queries = docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("q"), F.slice(X.words(F.col("text")), 1, 8).alias("terms"))
+    return search.bm25_batch(search.read_index(spark, path), queries, k, docs.where(F.col("lang").isin("en", "de")).select("doc_id"))
 
 
-@query(f"WITH {BM25_SQL} SELECT doc_id, round(score, 5) AS score FROM bm ORDER BY bm.score DESC, doc_id LIMIT 10")
+@query(f"WITH {BM25_SQL} SELECT q, doc_id, round(score, 5) AS score FROM bm QUALIFY row_number() OVER (PARTITION BY q ORDER BY bm.score DESC, doc_id) <= 10")
 def c09_bm25_search(spark, d):
-    return search.bm25(table(spark, d, "documents"), "doc_id", "text", ["the", "and", "that", "the"], 10, F.col("lang").isin("en", "de")).select("doc_id", F.round("score", 5).alias("score"))
+    return text_hits(spark, d, 10).select("q", "doc_id", F.round("score", 5).alias("score"))
+
+
+@query(f"WITH {BM25_SQL} SELECT doc_id, round(sum(tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 5) AS weight FROM tf, st GROUP BY 1")
+def r05_weights_behind_a_barrier(spark, d):
+    """Weights need the mean length of the whole corpus, so postings are written before any of them is made."""
+    docs = table(spark, d, "documents")
+    path = io.cached(spark, "text-index", [f"{d}/documents.parquet"], lambda to: search.write_index(docs, "doc_id", "text", to))
+    index = search.read_index(spark, path)
+    weight = V.bm25_weight(F.col("tf"), F.col("doc_len"), F.lit(index.mean_length))
+    return index.postings.groupBy("doc_id").agg(F.round(F.sum(weight), 5).alias("weight"))
 
 
 @query("SELECT * FROM (VALUES ('Y', 0.03252::DOUBLE), ('X', 0.03227), ('Z', 0.032)) t(doc_id, rrf)")
@@ -362,22 +401,22 @@ def c10_rrf(spark, d):
     return search.rrf(literals(spark, rows, ["doc_id", "list_no", "rank"]), 3).select("doc_id", F.round("rrf", 5).alias("rrf"))
 
 
-@query(f"""WITH {BM25_SQL}, a AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM bm QUALIFY r <= 20),
-    b AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY list_cosine_similarity(embedding::DOUBLE[], {VEC0}) DESC, vec_id) AS r FROM embeddings QUALIFY r <= 20),
-    u AS (SELECT doc_id, 0 AS l, r FROM a UNION ALL SELECT doc_id, 1, r FROM b)
-    SELECT doc_id, round(sum(1.0 / (60 + r)), 6) AS rrf, min(r)::INTEGER AS best_rank FROM u GROUP BY 1 ORDER BY sum(1.0 / (60 + r)) DESC, min((l, r)), doc_id LIMIT 10""")
+@query(f"""WITH {BM25_SQL}, {DENSE_SQL}, a AS (SELECT q, doc_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS r FROM bm QUALIFY r <= 20),
+    b AS (SELECT q, doc_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS r FROM s QUALIFY r <= 20),
+    u AS (SELECT q, doc_id, 0 AS l, r FROM a UNION ALL SELECT q, doc_id, 1, r FROM b)
+    SELECT q, doc_id, round(sum(1.0 / (60 + r)), 6) AS rrf, min(r)::INTEGER AS best_rank FROM u GROUP BY 1, 2
+    QUALIFY row_number() OVER (PARTITION BY q ORDER BY sum(1.0 / (60 + r)) DESC, min((l, r)), doc_id) <= 10""")
 def c11_hybrid_search(spark, d):
-    e = table(spark, d, "embeddings")
-    a = search.bm25(table(spark, d, "documents"), "doc_id", "text", ["the", "and", "that"], 20, F.col("lang").isin("en", "de"))
-    b = search.dense(e, "vec_id", "embedding", e.where("vec_id = 0").first()["embedding"], 20)
-    return search.hybrid([a, b], 10).select("doc_id", F.round("rrf", 6).alias("rrf"), "best_rank")
+    lists = [text_hits(spark, d, 20), search.dense_batch(*vectors(spark, d), "vec_id", "embedding", 20)]
+    return search.hybrid(lists, 10, by=("q",)).select("q", "doc_id", F.round("rrf", 6).alias("rrf"), "best_rank")
 
 
-@query(f"SELECT vec_id AS doc_id FROM (SELECT * FROM embeddings ORDER BY list_cosine_similarity(embedding::DOUBLE[], {VEC0}) DESC, vec_id LIMIT 20) ORDER BY embedding[1] DESC, vec_id LIMIT 5")
+@query(f"""WITH {DENSE_SQL}, h AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) <= 20)
+    SELECT q, doc_id FROM h QUALIFY row_number() OVER (PARTITION BY q ORDER BY x DESC, doc_id) <= 5""")
 def c13_rerank(spark, d):
-    e = table(spark, d, "embeddings")
-    hits = search.dense(e, "vec_id", "embedding", e.where("vec_id = 0").first()["embedding"], 20).join(e.select(F.col("vec_id").alias("doc_id"), F.col("embedding")[0].alias("x")), "doc_id")
-    return search.rerank(hits, F.col("x")).select("doc_id")
+    e, q = vectors(spark, d)
+    hits = search.dense_batch(e, q, "vec_id", "embedding", 20).drop("rank").join(e.select(F.col("vec_id").alias("doc_id"), F.col("embedding")[0].alias("x")), "doc_id")
+    return search.best_rows(hits, 5, score="x").select("q", "doc_id")
 
 
 @query("""WITH r AS (SELECT *, o_orderkey % 5 AS fold FROM orders), f AS (SELECT o_custkey, fold, sum(o_totalprice) AS s, count(*) AS n FROM r GROUP BY 1, 2), t AS (SELECT o_custkey, sum(s) AS ts, sum(n) AS tn FROM f GROUP BY 1),
@@ -402,11 +441,27 @@ def c17_price_model(spark, d):
     return valuation.predict_price(model, rows.where("is_test"), ["area_m2", "bedrooms"]).select("listing_id", "source_row", "price_m2_mil", "predicted")
 
 
-@query("SELECT o_orderkey, CASE WHEN o_totalprice < p * 0.9 THEN 'below' WHEN o_totalprice > p * 1.1 THEN 'above' ELSE 'fair' END AS verdict FROM (SELECT *, 200000.0 + o_orderkey % 1000 AS p FROM orders)")
+BASE_SQL = """SELECT s.*, coalesce(w.m, dd.m, p.m, (SELECT median(price_m2_mil) FROM tr)) AS base FROM {0} s
+    LEFT JOIN (SELECT province, district, ward, median(price_m2_mil) AS m FROM tr WHERE ward IS NOT NULL GROUP BY ALL HAVING count(*) >= 5) w USING (province, district, ward)
+    LEFT JOIN (SELECT province, district, median(price_m2_mil) AS m FROM tr GROUP BY ALL HAVING count(*) >= 5) dd USING (province, district)
+    LEFT JOIN (SELECT province, median(price_m2_mil) AS m FROM tr GROUP BY ALL HAVING count(*) >= 5) p USING (province)"""
+
+
+@query(with_listings("""SELECT listing_id, source_row, round(base * 1e6 * area_m2, 0) AS predicted_vnd, round(base * coalesce(own.lo, al.lo), 4) AS low, round(base * coalesce(own.hi, al.hi), 4) AS high,
+        CASE WHEN price_m2_mil < base * coalesce(own.lo, al.lo) THEN 'below_market' WHEN price_m2_mil > base * coalesce(own.hi, al.hi) THEN 'above_market' ELSE 'fair' END AS verdict
+    FROM rows_ LEFT JOIN own USING (property_type), al""",
+    "tr AS (SELECT * FROM v_listings WHERE price_m2_mil IS NOT NULL AND month < '2000-01')", "va AS (SELECT * FROM v_listings WHERE price_m2_mil IS NOT NULL AND month >= '2000-01' AND month < '2001-06')",
+    "te AS (SELECT * FROM v_listings WHERE price_m2_mil IS NOT NULL AND month >= '2001-06')", f"past AS ({BASE_SQL.format('va')})", f"rows_ AS ({BASE_SQL.format('te')})",
+    "own AS (SELECT property_type, quantile_cont(price_m2_mil / base, 0.1) AS lo, quantile_cont(price_m2_mil / base, 0.9) AS hi FROM past GROUP BY 1)",
+    "al AS (SELECT quantile_cont(price_m2_mil / base, 0.1) AS lo, quantile_cont(price_m2_mil / base, 0.9) AS hi FROM past)"))
 def c18_valuation(spark, d):
-    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority", (200000 + F.col("o_orderkey") % 1000).cast("double").alias("predicted"))
-    interval = literals(spark, [("ALL", 0.9, 1.1)], ["kind", "p10", "p90"])
-    return valuation.valuate(o, interval, "o_orderpriority", "o_totalprice").select("o_orderkey", "verdict")
+    """Baseline of the place, interval of the ratios of a later period, verdict on the asking price of the last one."""
+    v = view(spark, d).where("price_m2_mil IS NOT NULL")
+    levels = [["province", "district", "ward"], ["province", "district"], ["province"]]
+    train, past, rows = v.where("month < '2000-01'"), v.where("month >= '2000-01' AND month < '2001-06'"), v.where("month >= '2001-06'")
+    interval = valuation.ratio_interval(valuation.baseline(train, past, levels, "price_m2_mil"), "price_m2_mil", "base", "property_type")
+    found = valuation.valuate(valuation.baseline(train, rows, levels, "price_m2_mil").withColumnRenamed("base", "predicted"), interval, "property_type", "price_m2_mil")
+    return found.select("listing_id", "source_row", F.round(F.col("predicted") * 1e6 * F.col("area_m2"), 0).alias("predicted_vnd"), r4("low").alias("low"), r4("high").alias("high"), "verdict")
 
 
 @query()
@@ -423,21 +478,29 @@ def c20_modularity(spark, d):
     return graph.modularity(pairs, label).select(F.round("modularity", 6).alias("modularity"))
 
 
-@query("""WITH q AS (SELECT a.vec_id AS q, a.label AS l, b.vec_id AS o, b.label AS ol, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) AS r FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id IN (1, 2, 3)),
-    rel AS (SELECT a.vec_id AS q, count(*) AS n FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id IN (1, 2, 3) GROUP BY 1)
-    SELECT q.q, round(count(*) FILTER (WHERE r <= 5 AND l = ol) / least(min(n), 5)::DOUBLE, 4) AS recall_5, round(count(*) FILTER (WHERE r <= 10 AND l = ol) / least(min(n), 10)::DOUBLE, 4) AS recall_10,
-           round(1.0 / min(r) FILTER (WHERE l = ol), 4) AS mrr,
-           round(coalesce(sum(1 / log2(r + 1)) FILTER (WHERE r <= 10 AND l = ol), 0) / (SELECT sum(1 / log2(i + 1)) FROM range(1, 1 + least(min(n), 10)::BIGINT) t(i)), 4) AS ndcg_10 FROM q JOIN rel USING (q) GROUP BY 1""".replace("(SELECT sum(1 / log2(i + 1)) FROM range(1, 1 + least(min(n), 10)::BIGINT) t(i))", "4.543559338088346"))
+METRICS_SQL = """SELECT {0} q, ql AS label, round(count(*) FILTER (WHERE hit AND r <= 5) / least(min(n), 5)::DOUBLE, 4) AS recall_5, round(count(*) FILTER (WHERE hit AND r <= 10) / least(min(n), 10)::DOUBLE, 4) AS recall_10,
+        round(coalesce(1.0 / min(r) FILTER (WHERE hit), 0), 4) AS mrr, round(coalesce(sum(1 / log2(r + 1)) FILTER (WHERE hit AND r <= 10), 0) / min(ideal), 4) AS ndcg_10
+    FROM {1} JOIN rel USING (q) GROUP BY ALL"""
+RELEVANT_SQL = """rel AS (SELECT q, n, (SELECT sum(1 / log2(i + 1)) FROM range(1, 11) t(i) WHERE i <= n) AS ideal FROM (SELECT q, count(*) FILTER (WHERE dl = ql AND doc_id <> q) AS n FROM s GROUP BY 1) WHERE n > 0)"""
+
+
+def relevant(e, q):
+    """q, label, n_rel: the number of other vectors of the query's label."""
+    n = e.groupBy("label").agg(F.count("*").alias("all"))
+    return q.select(F.col("vec_id").alias("q"), "label").join(n, "label").where("all > 1").select("q", "label", (F.col("all") - 1).alias("n_rel"))
+
+
+def judged(hits, e, rel):
+    return hits.join(e.select(F.col("vec_id").alias("doc_id"), F.col("label").alias("dl")), "doc_id").join(rel, "q").withColumn("hit", F.col("dl") == F.col("label"))
+
+
+@query(f"WITH {DENSE_SQL}, {RELEVANT_SQL}, h AS (SELECT q, ql, dl = ql AS hit, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS r FROM s WHERE doc_id <> q QUALIFY r <= 50) {METRICS_SQL.format('', 'h')}")
 def c22_retrieval_metrics(spark, d):
-    e = table(spark, d, "embeddings")
-    out = None
-    for q in (1, 2, 3):
-        row = e.where(F.col("vec_id") == q).first()
-        ranked = search.dense(e.where(F.col("vec_id") != q), "vec_id", "embedding", row["embedding"], 1 << 30).agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "doc_id"))), lambda x: x["doc_id"]).alias("ranked"))
-        rel = e.where((F.col("label") == row["label"]) & (F.col("vec_id") != q)).agg(F.collect_list("vec_id").alias("relevant"))
-        one = ranked.join(F.broadcast(rel)).withColumn("q", F.lit(q).cast("bigint"))
-        out = one if out is None else out.unionByName(one)
-    return rounded(evaluation.retrieval_metrics(out).select("q", "recall_5", "recall_10", "mrr", "ndcg_10"))
+    """Every fiftieth vector against all others; rows of its label are relevant."""
+    e, q = vectors(spark, d)
+    rel = relevant(e, q)
+    hits = judged(search.dense_batch(e, q, "vec_id", "embedding", 50, others=True), e, rel)
+    return rounded(evaluation.ranked_metrics(hits, rel, "q", "label"))
 
 
 CASES = [
@@ -456,10 +519,14 @@ def c23_rule_scoring(spark, d):
     return evaluation.score_answers(typed).select("id", "points")
 
 
-@query("SELECT count(*) AS n, true AS inside FROM range(200)")
+@query("SELECT count(quality) AS n, round(avg(quality), 6) AS mean, true AS near_normal FROM labels")
 def c24_bootstrap(spark, d):
-    b = evaluation.bootstrap_counts(table(spark, d, "labels"), "quality", 200)
-    return b.agg(F.count("*").alias("n"), (F.min("mean") >= 0).alias("inside"))
+    """Resamples of all labels; the interval must be that of the normal distribution, to a tenth of its width."""
+    b = evaluation.bootstrap_counts(table(spark, d, "labels"), "quality", 10_000).agg(F.percentile("mean", F.lit(0.025)).alias("low"), F.percentile("mean", F.lit(0.975)).alias("high"))
+    y = table(spark, d, "labels").agg(F.count("quality").alias("n"), F.avg("quality").alias("mean"), F.stddev_pop("quality").alias("sd"))
+    half = 1.96 * F.col("sd") / F.sqrt("n")
+    near = lambda c, to: F.abs(F.col(c) - to) <= 0.2 * half
+    return y.join(F.broadcast(b)).select("n", F.round("mean", 6).alias("mean"), (near("low", F.col("mean") - half) & near("high", F.col("mean") + half)).alias("near_normal"))
 
 
 @query()
@@ -477,15 +544,52 @@ def c25_error_causes(spark, d):
     return t.select("id", evaluation.error_cause().alias("cause"))
 
 
-@query("SELECT lang AS run, quality::BIGINT AS variant, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2")
+#: The grid: whole vectors or their first 16 components, with or without a filter before the search, with or without a
+#: second scoring of the best 20 by whole vectors.
+GRID = [(r, f, again) for r in ("whole", "short") for f in (False, True) for again in (False, True)]
+SHORT_SQL = DENSE_SQL.replace("AS score FROM", "AS whole, round(list_cosine_similarity(embedding[1:16]::DOUBLE[], v[1:16]), 9) AS short FROM")
+
+
+def _run_sql(r, f, again):
+    first = f"SELECT * FROM s WHERE doc_id <> q AND ({'dl < 5' if f else 'true'}) QUALIFY row_number() OVER (PARTITION BY q ORDER BY {r} DESC, doc_id) <= 20"
+    order = "whole" if again else r
+    return f"SELECT '{r}' AS retriever, {f} AS prefilter, {again} AS rerank, q, ql, dl = ql AS hit, row_number() OVER (PARTITION BY q ORDER BY {order} DESC, doc_id) AS r FROM ({first})"
+
+
+@query(f"""WITH {SHORT_SQL}, {RELEVANT_SQL}, h AS ({' UNION ALL '.join(_run_sql(*g) for g in GRID)}), m AS ({METRICS_SQL.format('retriever, prefilter, rerank,', 'h')}),
+    allq AS (SELECT DISTINCT h.retriever, h.prefilter, h.rerank, rel.q FROM h, rel)
+    SELECT retriever, prefilter, rerank, round(avg(coalesce(recall_5, 0)), 3) AS recall_5, round(avg(coalesce(mrr, 0)), 3) AS mrr, round(avg(coalesce(ndcg_10, 0)), 3) AS ndcg_10, count(*) AS n FROM allq LEFT JOIN m USING (retriever, prefilter, rerank, q) GROUP BY ALL""")
 def c26_ablation_grid(spark, d):
-    return table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").groupBy(F.col("lang").alias("run"), F.col("quality").cast("bigint").alias("variant")).agg(F.count("*").alias("n"))
+    e, q = vectors(spark, d)
+    both = [x.withColumn("short", F.slice("embedding", 1, 16)) for x in (e, q)]
+    rel, out = relevant(e, q), None
+    for r, f, again in GRID:
+        hits = search.dense_batch(*both, "vec_id", {"whole": "embedding", "short": "short"}[r], 20, F.col("label") < 5 if f else None, others=True)
+        if again:
+            pair = hits.join(e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("x")), "doc_id").join(q.select(F.col("vec_id").alias("q"), F.col("embedding").alias("v")), "q")
+            hits = search.best_rows(pair.select("q", "doc_id", F.round(V.cosine(F.col("x"), F.col("v")), 9).alias("score")), 20)
+        m = evaluation.ranked_metrics(judged(hits, e, rel), rel, "q", "label")
+        m = rounded(m).agg(*[F.round(F.avg(c), 3).alias(c) for c in ("recall_5", "mrr", "ndcg_10")], F.count("*").alias("n"))
+        m = m.select(F.lit(r).alias("retriever"), F.lit(f).alias("prefilter"), F.lit(again).alias("rerank"), "*")
+        out = m if out is None else out.unionByName(m)
+    return out
 
 
-@query("SELECT * FROM (VALUES ('Brand#1', 0), ('Brand#10', NULL)) t(name, tier) WHERE tier IS NOT NULL")
+@query(with_listings("""SELECT name, tier FROM (SELECT name, min(tier) AS tier, min((tier, outside, -n)) AS r FROM (
+        SELECT street AS name, count(*) AS n, CASE WHEN lower(street) = 'street 1' THEN 0 ELSE 1 END AS tier, (province <> (SELECT min(r_name) FROM region))::INT AS outside
+        FROM listings WHERE street IS NOT NULL AND contains(' ' || lower(street) || ' ', ' street 1 ') GROUP BY street, district, province) GROUP BY 1) ORDER BY r, name LIMIT 20"""))
 def c27_resolve_names(spark, d):
-    v = names.vocabulary(listings(spark, d), "project")
-    return names.resolve(v, "brand 1").select("name", "tier")
+    """A street with its prefix and its province behind it."""
+    top = table(spark, d, "region").agg(F.min("r_name")).first()[0]
+    v = names.vocabulary(listings(spark, d), "street")
+    return names.resolve(v, f"Đường Street 1, {top}", province=top, field="street").select("name", "tier")
+
+
+@query(with_listings("""SELECT name, tier FROM (SELECT project AS name, 2 AS tier, min(((district <> 'x')::INT, -n)) AS r FROM (
+        SELECT project, district, province, count(*) AS n FROM listings WHERE project = 'Brand#12' GROUP BY ALL) GROUP BY 1) ORDER BY r LIMIT 20"""))
+def c27_names_within(spark, d):
+    """A project that stands within the asked text, behind a prefix."""
+    return names.resolve(names.vocabulary(listings(spark, d), "project"), "Chung cư Brand 12 Tower").select("name", "tier")
 
 
 @query(with_listings("SELECT month, n, round(median_price_m2_mil, 4) AS median_price_m2_mil FROM ms WHERE area_key = (SELECT min(r_name) FROM region WHERE r_regionkey = 2) AND month <> 'ALL' AND property_type = 'ALL' AND deal_type = 'sale'", *G_MS))
@@ -512,11 +616,15 @@ def c30_filter_options(spark, d):
     return market.filter_options(view(spark, d))
 
 
-@query("SELECT 'first' AS step, true AS ran UNION ALL SELECT 'again', false UNION ALL SELECT 'changed', true")
+@query("SELECT step, ran, n FROM (VALUES ('first', true, 0), ('again', false, 0), ('changed', true, 100000)) t(step, ran, least), LATERAL (SELECT count(*) AS n FROM orders WHERE o_totalprice > least)")
 def c32_incremental_run(spark, d):
-    m = io.Manifest(spark, scratch(spark, "manifest"))
-    ran = [(step, m.run("clean", fp, lambda: None)) for step, fp in (("first", "a"), ("again", "a"), ("changed", "b"))]
-    return literals(spark, ran, ["step", "ran"])
+    """A stage that writes its output: the second run finds it up to date, a third with another threshold does not."""
+    m, path, ran = io.Manifest(spark, scratch(spark, "manifest")), scratch(spark, "stage"), []
+    for step, least in (("first", 0), ("again", 0), ("changed", 100_000)):
+        state = f"{io.fingerprint(spark, f'{d}/orders.parquet')}-{least}"
+        done = m.run("orders", state, lambda least=least: table(spark, d, "orders").where(F.col("o_totalprice") > least).write.mode("overwrite").parquet(path))
+        ran.append((step, done, spark.read.parquet(path).count()))
+    return literals(spark, ran, ["step", "ran", "n"])
 
 
 @query("SELECT s_suppkey, CASE WHEN abs(s_acctbal - 4000) / 4000 <= 0.1 THEN 2 WHEN abs(s_acctbal - 4000) / 4000 <= 0.2 THEN 1 ELSE 0 END AS points FROM supplier")
@@ -524,10 +632,10 @@ def c33_point_bands(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", evaluation.error_points(F.col("s_acctbal"), F.lit(4000.0), 0.1).alias("points"))
 
 
-@query("SELECT label, round(avg(vec_id % 5 / 4.0), 4) AS recall_5, round(avg(vec_id % 5 / 4.0), 4) AS recall_10, round(avg(vec_id % 3 / 2.0), 4) AS mrr, round(avg(vec_id % 7 / 6.0), 4) AS ndcg_10, count(*) AS n FROM embeddings GROUP BY 1")
+@query(f"""WITH {DENSE_SQL}, {RELEVANT_SQL}, h AS (SELECT q, ql, dl = ql AS hit, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS r FROM s WHERE doc_id <> q QUALIFY r <= 50), m AS ({METRICS_SQL.format('', 'h')})
+    SELECT label, round(avg(recall_5), 3) AS recall_5, round(avg(recall_10), 3) AS recall_10, round(avg(mrr), 3) AS mrr, round(avg(ndcg_10), 3) AS ndcg_10, count(*) AS n FROM m GROUP BY 1""")
 def c34_run_summary(spark, d):
-    e = table(spark, d, "embeddings").select("label", (F.col("vec_id") % 5 / 4).alias("recall_5"), (F.col("vec_id") % 5 / 4).alias("recall_10"), (F.col("vec_id") % 3 / 2).alias("mrr"), (F.col("vec_id") % 7 / 6).alias("ndcg_10"))
-    return rounded(evaluation.run_summary(e, "label"))
+    return rounded(evaluation.run_summary(c22_retrieval_metrics(spark, d), "label"), 3)
 
 
 @query("SELECT conv_id::VARCHAR AS id, role AS system FROM conversations WHERE turn = 0 AND conv_id % 4 <> 0")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
-import os
 from collections.abc import Callable, Sequence
 from datetime import datetime, timezone
 from typing import Any
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.schemas import struct
+from lodestone.session import delete, shared_dir
 
 
 def read_shards(spark: SparkSession, path: str, schema: T.StructType, columns: Sequence[str] | None = None) -> DataFrame:
@@ -73,12 +74,42 @@ def append_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
-def write_json(path: str, body: dict[str, Any], version: int = 1, revision: str = "") -> None:
-    """A small report, written beside and renamed."""
-    tmp = f"{path}.tmp"
-    with open(tmp, "w", encoding="utf-8") as f:
-        json.dump({"schema_version": version, "generated_at": datetime.now(timezone.utc).isoformat(), "git_sha": revision, **body}, f, ensure_ascii=False)
-    os.replace(tmp, path)
+def write_json(spark: SparkSession, path: str, body: dict[str, Any], version: int = 1, revision: str = "") -> None:
+    """A small report under a header, written beside and renamed, by Hadoop's file systems."""
+    text = json.dumps({"schema_version": version, "generated_at": datetime.now(timezone.utc).isoformat(), "git_sha": revision, **body}, ensure_ascii=False)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    tmp, final = hadoop(f"{path}.tmp"), hadoop(path)
+    fs = final.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(tmp, True)
+    out.write(bytearray(text.encode("utf-8")))
+    out.close()
+    if not fs.rename(tmp, final):  # not all file systems rename onto a file
+        fs.delete(final, False)
+        fs.rename(tmp, final)
+
+
+def fingerprint(spark: SparkSession, *paths: str) -> str:
+    """A digest of the names, sizes and times of all files under the paths."""
+    found = []
+    for path in paths:
+        top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        files = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(top, True)
+        while files.hasNext():
+            f = files.next()
+            found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hashlib.sha256(repr(sorted(found)).encode()).hexdigest()
+
+
+def cached(spark: SparkSession, name: str, sources: Sequence[str], build: Callable[[str], None]) -> str:
+    """The path of what `build` wrote for these sources: built once for each state of their files."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{fingerprint(spark, *sources)[:24]}"
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.done")
+    fs = done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(done):
+        delete(spark, path)
+        build(path)
+        fs.create(done, True).close()
+    return path
 
 
 def markdown_block(text: str, name: str, rows: Sequence[dict[str, Any]]) -> str:

@@ -248,7 +248,7 @@ def test_sources(spark, tmp_path):
     assert io.read_jsonl(spark, str(tmp_path / "bad.json"), schemas.struct("id bigint")).count() == 1
     with pytest.raises(ValueError):
         io.check_unique(df.union(df), "id")
-    io.write_json(str(tmp_path / "r.json"), {"n": 1})
+    io.write_json(spark, str(tmp_path / "r.json"), {"n": 1})
     assert '"schema_version": 1' in (tmp_path / "r.json").read_text()
     text = "a\n<!-- t:start -->old<!-- t:end -->\nb"
     assert "| n |" in io.markdown_block(text, "t", [{"n": 1}])
