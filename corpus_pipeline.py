@@ -2,6 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir), works on all that the stage before kept, and returns a DataFrame; all but the last
 return the columns of documents. Models are learnt only from labelled rows outside the held-out quarter.
+
+Defined cases: a null or empty text has no letter, so it goes at the language stage if quality keeps it; rows are judged by
+their own texts, whatever their ids, so null and repeated ids are safe; of repeated rows, and of near-copies, one row stays
+(the least id, null ids last, of several with that id one, always of the same text); with no label at all quality keeps
+every row, and with no language learnt the language stage rejects every row; an empty table gives no rows; further columns, of any
+name, are carried along to packing, which returns its pieces.
 """
 
 from __future__ import annotations
