@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of
+from .common import slices, texts_of
 from .pieces import Encoded, PieceEncoder, byte_letters, encoder
 
 LEAF = 1 << 14
@@ -196,7 +196,7 @@ def encode_documents(
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *emit([encode_text(path, t, leaf) for t in texts_of(part)])], names=names)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             for doc, t in zip(batch.column("doc_id").to_pylist(), texts_of(batch)):
                 key = hashlib.sha256(f"{doc}\n{t}".encode("utf-8", "surrogatepass")).digest()
                 rows = []

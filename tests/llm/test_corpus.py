@@ -196,7 +196,11 @@ def test_quality_equals_plain_steps(spark):
 
 def test_quality_odd_rows(spark, odd):
     model = quality.train(["A fine calm text. It goes on and on here."] * 10 + ["BUY!! NOW!! BUY!! NOW!!"] * 10, [1] * 10 + [0] * 10)
-    assert quality.score_quality(odd, model).count() == len(ODD)
+    got = quality.score_quality(odd, model).collect()
+    assert len(got) == len(ODD)
+    want = plain_quality(model, [t for _, t in ODD])
+    assert sorted(((r["doc_id"], round(r["score"], 3)) for r in got), key=repr) == sorted(((i, round(w, 3)) for (i, _), w in zip(ODD, want)), key=repr)
+    assert all(r["score"] == 0.5 for r in got if r["doc_id"] in (1, 2, 3))  # no term: the share of label 1
     assert quality.score_quality(odd.limit(0), model).count() == 0
     assert quality.keep_good(odd, model).columns == odd.columns
     labels = spark.createDataFrame([(4, None), (5, 7)], "doc_id long, quality int")
@@ -637,6 +641,7 @@ def check_pieces(rows, got, length):
             assert off == at and n > 0
             at += n
         assert at <= length
+    assert Counter(i for i, _ in want.elements()) == Counter(r["doc_id"] for r in got if r["start"] == 0)
     sizes = sorted(sum(n for _, n in s) for s in seqs.values())
     assert sizes[1:] == [length] * (len(sizes) - 1) or sizes[0] <= length and all(x == length for x in sizes[1:])
     return want, docs
@@ -656,6 +661,30 @@ def test_packing_holds_every_token_once(spark, odd):
     assert packing.pieces(odd.limit(0), WORD).count() == 0
 
 
+def test_registered_encoding_and_packing_equal_the_library(spark):
+    docs = texts(spark)
+    tok = reference(BYTE)
+    got = {r["doc_id"]: tuple(r)[1:4] for r in QUERIES["op2_bpe"](spark, SF).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert len(got) == len(docs)
+    for i, t in docs.items():
+        ids = tok.encode(t or "", add_special_tokens=False).ids
+        assert got[i] == (len(ids), sha(",".join(map(str, ids))), sha(tok.decode(ids, skip_special_tokens=False)))
+    pieces_ = QUERIES["op10_packing"](spark, SF).collect()
+    whole, by = check_pieces(list(docs.items()), pieces_, 2048)
+    for i, t in docs.items():
+        check_tokens(t, by[i])
+    assert sum(whole.values()) == len(docs) == len(by)
+
+
+def check_tokens(text, mine):
+    """The pieces of one row hold the library's ids of the text and the end, each once."""
+    ids = reference(WORD).encode(text or "", add_special_tokens=False).ids + [1]
+    mine = sorted(mine, key=lambda r: r["start"])
+    assert [r["start"] for r in mine] == np.cumsum([0, *[r["length"] for r in mine[:-1]]]).tolist() and sum(r["length"] for r in mine) == len(ids)
+    assert all(r["doc_tokens"] == len(ids) and r["ids_crc32"] == zlib.crc32(np.array(ids[r["start"] : r["start"] + r["length"]], dtype="<u4").tobytes()) for r in mine)
+
+
 def test_sequences_are_padded(spark, odd):
     seqs = packing.sequences(odd, WORD, 64).collect()
     assert all(len(r["ids"]) == 64 or len(r["ids"]) & (len(r["ids"]) - 1) == 0 for r in seqs)
@@ -680,3 +709,59 @@ def test_pipeline_runs(spark):
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "language", "lines", "near_duplicates", "packing"]
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def kept_by_pipeline(rows, score, rejected):
+    """The first four stages one after the other, in plain Python, over (id, text) rows."""
+    rows = [r for r, s in zip(rows, score([t or "" for _, t in rows])) if s >= 0.7]
+    rows = [r for r, bad in zip(rows, rejected([t for _, t in rows])) if not bad]
+    key = lambda line: line.strip(" \t\n\x0b\x0c\r").translate(line_dedup.LOWER)
+    last = (1 << 63) - 1
+    held = defaultdict(set)
+    for i, t in rows:
+        for line in (t or "").split("\n"):
+            if len(key(line)) >= 10:
+                held[key(line)].add(last if i is None else i)
+    own = lambda i, line: len(held.get(key(line), ())) < 2 or min(held[key(line)]) == (last if i is None else i)
+    rows = [(i, "\n".join(line for line in t.split("\n") if own(i, line))) for i, t in rows]
+    first = {}
+    for n, (i, c, size) in enumerate(brute_rows(rows)):
+        if size == 1:
+            first[("row", n)] = rows[n]
+        elif i == c:
+            first.setdefault((c, frozenset(shingle_bag(rows[n][1]).items()) if c is None else None), rows[n])
+    return list(first.values())
+
+
+def test_pipeline_equals_plain_composition(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    usable = ~common.held_out("doc_id")
+    q = quality.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"), usable=usable)
+    good = [r for r in docs.collect() if q.score([r["text"] or ""])[0] >= 0.7]
+    lang = language_id.fit(spark.createDataFrame(good, docs.schema), usable=usable)
+    want = kept_by_pipeline([(r["doc_id"], r["text"]) for r in docs.collect()], q.score, lambda t: lang.predict(t)[2])
+    by = defaultdict(list)
+    for r in corpus_pipeline.run(spark, SF).collect():
+        by[r["doc_id"]].append(r)
+    assert set(by) == {i for i, _ in want} and len(want) > 50
+    for i, t in want:
+        check_tokens(t, by[i])
+
+
+def test_pipeline_of_odd_and_empty_tables(spark, odd, tmp_path):
+    import corpus_pipeline
+
+    fine = [(100 + k, f"The {w} cat sat on the mat and looked at the {w} dog, which slept all day long.", "en", "s", 80, "b", 1, 2) for k, w in enumerate("red blue green grey black white brown small large round".split())]
+    for name, rows in (("odd", odd.unionByName(spark.createDataFrame(fine, odd.schema))), ("empty", odd.limit(0))):
+        rows.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(i, 1) for i in range(1, 111)], "doc_id long, quality int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    ids = {r["doc_id"] for r in got}
+    assert ids and ids <= {i for i, _ in ODD} | {r[0] for r in fine} and ids.isdisjoint({1, 2, 3, 12})
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+    docs = spark.read.parquet(f"{tmp_path}/odd/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, f"{tmp_path}/odd")
+        assert docs.columns == odd.columns
