@@ -149,20 +149,25 @@ def month_index(m: Column, year0: int = 2025, month0: int = 6) -> Column:
     return (F.substring(m, 1, 4).cast("int") - year0) * 12 + F.substring(m, 6, 2).cast("int") - month0
 
 
+#: How spoken amounts are written, a number and its unit; the rest may follow billions, with or without a unit.
+NUMBER = r"(\d+(?:[.,]\d+)*)"
+UNITS = {
+    "billion": r"(?U)" + NUMBER + r"\s*(?:tỷ|tỉ|ty)(?!\w)(?:\s*(\d+)\s*(triệu|tr)?(?!\w))?",
+    "million": r"(?U)" + NUMBER + r"\s*(?:triệu|tr)(?!\w)",
+    "thousand": r"(?U)" + NUMBER + r"\s*(?:nghìn|ngàn|k)(?!\w)",
+    "none": r"(?U)" + NUMBER,
+}
+
+
 def money_million(c: Column) -> Column:
     """Spoken amounts to millions: `5 tỷ` 5000, `1 tỷ 2` 1200, `2 tỷ 05` 2050, `1 tỷ 50 triệu` 1050, `500k` 0.5; no digit: null."""
-    t, num = F.trim(F.lower(c)), r"(\d+(?:[.,]\d+)*)"
-    g = lambda p, k: F.regexp_extract(t, "(?U)" + p, k)
-    billions = num + r"\s*(?:tỷ|tỉ|ty)(?!\w)(?:\s*(\d+)\s*(triệu|tr)?(?!\w))?"
-    more, unit = g(billions, 2), g(billions, 3)
-    rest = F.when((more != "") & (unit != ""), more.try_cast("double")).when((more != "") & (F.length(more) <= 3), F.rpad(more, 3, "0").try_cast("double")).otherwise(0.0)
-    bare = spoken_number(g(num, 1))
-    return (
-        F.when(g(billions, 1) != "", spoken_number(g(billions, 1)) * 1000 + rest)
-        .when(g(num + r"\s*(?:triệu|tr)(?!\w)", 1) != "", spoken_number(g(num + r"\s*(?:triệu|tr)(?!\w)", 1)))
-        .when(g(num + r"\s*(?:nghìn|ngàn|k)(?!\w)", 1) != "", spoken_number(g(num + r"\s*(?:nghìn|ngàn|k)(?!\w)", 1)) / 1000)
-        .when(g(num, 1) != "", F.when(bare >= 1e6, bare / 1e6).otherwise(bare))
-    )
+    text = F.trim(F.lower(c))
+    part = lambda unit, k: F.nullif(F.regexp_extract(text, UNITS[unit], k), F.lit(""))
+    value = {unit: spoken_number(part(unit, 1)) for unit in UNITS}
+    more = part("billion", 2)
+    rest = F.when(part("billion", 3).isNotNull(), more.try_cast("double")).when(F.length(more) <= 3, F.rpad(more, 3, "0").try_cast("double")).otherwise(0.0)
+    bare = F.when(value["none"] >= 1e6, value["none"] / 1e6).otherwise(value["none"])
+    return F.coalesce(value["billion"] * 1000 + F.coalesce(rest, F.lit(0.0)), value["million"], value["thousand"] / 1000, bare)
 
 
 def spoken_number(c: Column) -> Column:

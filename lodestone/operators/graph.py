@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators.market import area_key
+from lodestone.operators.search import dense_batch
 from lodestone.session import materialize, release
 
 
@@ -171,21 +172,17 @@ def co_members(members: DataFrame, key: str) -> DataFrame:
 def nearest_neighbours(df: DataFrame, ident: str, features: list[str], k: int = 5) -> DataFrame:
     """Undirected k-nearest-neighbour edges (a < b) by Euclidean distance on standardised features.
 
-    For dimension-sized tables (some thousand rows): the other side is collected into one array of checked size, and each row
-    keeps its k nearest by a sorted slice, so no pair is ever a row of a join.
+    Every row is a query against all others: slices of a bounded number of rows are broadcast, one pass over the table for
+    each, and a task keeps the k nearest of each row of the slice. So memory is bounded for any table, and work is n * n
+    in matrix products; it is meant for dimensions. Ties go to the least id.
     """
-    n = df.count()
-    if n > 50_000:
-        raise ValueError("nearest_neighbours is for tables of up to 50 000 rows")
     s = df.agg(*[x for f in features for x in (F.avg(f).alias(f"m_{f}"), F.stddev_pop(f).alias(f"s_{f}"))]).first()
     z = [((F.col(f).cast("double") - F.lit(s[f"m_{f}"])) / F.lit(s[f"s_{f}"] or 1.0)) for f in features]
-    rows = df.select(F.col(ident).alias("id"), F.array(*z).alias("z"))
-    table = rows.agg(F.sort_array(F.collect_list(F.struct("id", "z"))).alias("all"))
-    far = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x)
-    near = rows.repartition("id").join(F.broadcast(table)).select(
-        "id", F.slice(F.sort_array(F.transform(F.filter("all", lambda o: o["id"] != F.col("id")), lambda o: F.struct(far(F.col("z"), o["z"]).alias("d"), o["id"].alias("o")))), 1, k).alias("near")
-    )
-    pairs = near.select("id", F.explode("near.o").alias("o"))
+    # Numbers in the order of the ids, so that ties are those of the ids whatever their type.
+    rows = materialize(df.select(F.col(ident).alias("id"), F.array(*z).alias("z")).orderBy("id").withColumn("row", F.monotonically_increasing_id()), "profiles")
+    near = dense_batch(rows, rows, "row", "z", k, others=True, metric="euclidean").select("q", "doc_id")
+    ids = rows.select("row", "id")
+    pairs = near.join(ids.toDF("q", "id"), "q").join(ids.toDF("doc_id", "o"), "doc_id")
     return pairs.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
 
 

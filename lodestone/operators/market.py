@@ -102,7 +102,9 @@ def market_stats(view: DataFrame, least: int = 5, deals: tuple[str, ...] = ("sal
     ).select("a.*", "deal_type", "property_type", "month", *QUANTILES).where("area_key IS NOT NULL")
     k = [F.col(c) for c in parts[:3]]
     sets = [[*k, F.col("property_type"), F.col("month")], [*k, F.col("property_type")], [*k, F.col("month")], k]
-    counted = rows.groupingSets(sets, *[F.col(c) for c in parts]).agg(F.grouping("property_type").alias("__t"), F.grouping("month").alias("__m"), F.count("*").alias("n"))
+    # The finest groups are counted, and the others from their counts.
+    finest = rows.groupBy(*parts).agg(F.count("*").alias("c"))
+    counted = finest.groupingSets(sets, *[F.col(c) for c in parts]).agg(F.grouping("property_type").alias("__t"), F.grouping("month").alias("__m"), F.sum("c").alias("n"))
     text = lambda c: F.coalesce(F.col(c), F.lit("\u0000"))
     number = lambda seed, t, m: F.xxhash64(F.lit(seed), *k, F.lit("\u0001") if t is None else t, F.lit("\u0001") if m is None else m)
     groups = materialize(counted.where(F.col("n") >= least), "groups")

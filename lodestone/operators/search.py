@@ -133,25 +133,33 @@ class Best:
             self.scores[q], self.ids[q] = s[order], i[order]
 
 
-def unit_rows(vectors: pa.Array | pa.ChunkedArray, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors of those that have `dims` finite components and are not zero, and which these are."""
+def vector_rows(vectors: pa.Array | pa.ChunkedArray, dims: int, unit: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors that have `dims` finite components (as unit vectors, if they are not zero), and which rows these are."""
     rows = vectors.to_pylist()
     ok = [i for i, x in enumerate(rows) if x is not None and len(x) == dims and None not in x]
-    m = np.array([rows[i] for i in ok], dtype=np.float64).reshape(-1, dims)
-    with np.errstate(invalid="ignore"):
+    m = np.array([rows[i] for i in ok], dtype=np.float64).reshape(len(ok), dims)
+    with np.errstate(invalid="ignore", over="ignore"):
         n = np.linalg.norm(m, axis=1)
-    good = np.isfinite(n) & (n > 0)
-    return m[good] / n[good][:, None], np.array(ok, dtype=np.int64)[good]
+    good = np.isfinite(n) & (n > 0) if unit else np.isfinite(n)
+    m = m[good]
+    return m / n[good][:, None] if unit else m, np.array(ok, dtype=np.int64)[good]
 
 
-def dense_batch(items: DataFrame, queries: DataFrame, ident: str, vector: str, k: int, where: Column | None = None, others: bool = False, per_pass: int = PER_PASS) -> DataFrame:
-    """q, doc_id, score, rank: for each query row (same column names) its best k items by exact cosine.
+def scores_of(a: np.ndarray, b: np.ndarray, unit: bool) -> np.ndarray:
+    """Cosines of unit vectors, or negative squared distances."""
+    dot = a @ b.T
+    return np.round(dot if unit else 2 * dot - (a * a).sum(axis=1)[:, None] - (b * b).sum(axis=1)[None, :], DIGITS)
+
+
+def dense_batch(items: DataFrame, queries: DataFrame, ident: str, vector: str, k: int, where: Column | None = None, others: bool = False, per_pass: int = PER_PASS, metric: str = "cosine") -> DataFrame:
+    """q, doc_id, score, rank: for each query row (same column names) its best k items by exact cosine (or euclidean distance, as
+    negative squares).
 
     Each task keeps the best k of every query of the pass while it reads its rows in blocks, so k rows a query leave a task.
     Scores count to nine digits, ties go to the least id; vectors that are null, zero, of another length or not finite have
     no score. others=True leaves out an item with the query's own id.
     """
-    spark = items.sparkSession
+    spark, cosine_ = items.sparkSession, metric == "cosine"
     rows = (items if where is None else items.where(where)).select(F.col(ident).cast("long").alias("doc_id"), F.col(vector).alias("x"))
     asked = queries.select(F.col(ident).cast("long").alias("q"), F.col(vector).cast("array<double>").alias("x")).where("q IS NOT NULL AND x IS NOT NULL")
     passes = max(1, -(-asked.count() // per_pass))
@@ -161,7 +169,7 @@ def dense_batch(items: DataFrame, queries: DataFrame, ident: str, vector: str, k
         by_dims = {}
         for dims in {len(r["x"]) for r in part}:
             own = [r for r in part if len(r["x"]) == dims]
-            unit, at = unit_rows(pa.array([r["x"] for r in own]), dims)
+            unit, at = vector_rows(pa.array([r["x"] for r in own]), dims, cosine_)
             by_dims[dims] = (np.array([own[i]["q"] for i in at], dtype=np.int64), unit)
         shared = spark.sparkContext.broadcast(by_dims)
 
@@ -171,9 +179,9 @@ def dense_batch(items: DataFrame, queries: DataFrame, ident: str, vector: str, k
                 for a in range(0, len(batch), 1024):
                     block = batch.slice(a, 1024)
                     for d, (q, unit) in shared.value.items():
-                        x, at = unit_rows(block.column("x"), d)
+                        x, at = vector_rows(block.column("x"), d, cosine_)
                         ids = block.column("doc_id").to_numpy(zero_copy_only=False)[at]
-                        scores = np.round(unit @ x.T, DIGITS)
+                        scores = scores_of(unit, x, cosine_)
                         if others:
                             scores[q[:, None] == ids[None, :]] = -np.inf
                         best[d].add(scores, ids)
@@ -201,7 +209,12 @@ def write_index(df: DataFrame, ident: str, text: str, path: str, buckets: int =
     rows = postings(df, ident, text)
     bucket = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(buckets)).cast("int")
     rows.select("term", "doc_id", "tf", "doc_len", bucket.alias("bucket")).repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(4))).sortWithinPartitions("bucket", "term", "doc_id").write.partitionBy("bucket").parquet(f"{path}/postings")
-    n, avg = corpus_stats(df, text)
+    # The lengths are in the postings, so the texts are not split again; documents without a word have none.
+    words_ = df.sparkSession.read.parquet(f"{path}/postings").groupBy("doc_id").agg(F.first("doc_len").alias("len")).agg(F.sum("len")).first()[0]
+    n = df.count()
+    if not n:
+        raise ValueError("no documents")
+    avg = (words_ or 0) / n
     df.sparkSession.range(1).select(F.lit(n).cast("long").alias("documents"), F.lit(avg).alias("mean_length"), F.lit(buckets).alias("buckets")).coalesce(1).write.parquet(f"{path}/statistics")
 
 

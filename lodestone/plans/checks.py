@@ -12,6 +12,7 @@ from lodestone.plans.registry import query, rounded
 from lodestone.plans.relational import literals
 from lodestone.session import scratch
 from lodestone.sources import io
+from lodestone.streaming import events
 
 
 def passes(check, *given) -> bool:
@@ -152,3 +153,30 @@ def c06_eda_summary(spark, d):
     UNION ALL SELECT 'districts', province || '|' || district, n, NULL, NULL FROM (SELECT province, district, count(*) AS n FROM v_listings WHERE province IN {PAIR} GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY province ORDER BY count(*) DESC, district) <= 5))"""))
 def c06_eda_plots(spark, d):
     return rounded(market.eda_plots(view(spark, d), PAIR))
+
+
+# Event streams
+
+
+@query("SELECT user_id, count(*) AS n, CASE WHEN arg_min(event_type, event_id) <> 'view' THEN 'begins without view' WHEN count(*) FILTER (WHERE event_type = 'purchase') = 0 THEN 'no purchase' WHEN count(*) FILTER (WHERE event_type = 'purchase') > 1 THEN 'more than one purchase' WHEN arg_max(event_type, event_id) <> 'purchase' THEN 'goes on after purchase' END AS fault FROM events GROUP BY 1")
+def r03_event_protocol(spark, d):
+    return events.protocol(table(spark, d, "events"), "user_id", ["event_id"], "event_type", "view", "purchase")
+
+
+@query("SELECT event_id, (event_type <> 'view')::INTEGER AS source, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_type <> 'view', event_id)::INTEGER AS pos FROM events")
+def r04_merged_streams(spark, d):
+    e = table(spark, d, "events")
+    return events.merged([e.where("event_type = 'view'"), e.where("event_type <> 'view'")], "user_id", ["ts", "event_id"]).select("event_id", "source", "pos")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN (event_id % 90)::DOUBLE ELSE least(60, 0.5 * 2 ** (event_id % 9)) END::DOUBLE AS seconds FROM events")
+def r06_retry_delay(spark, d):
+    asked = F.when(F.col("event_id") % 5 == 0, F.col("event_id") % 90)
+    return table(spark, d, "events").select("event_id", events.retry_delay(F.col("event_id") % 9, asked, 0.5).alias("seconds"))
+
+
+@query()
+def r02_bounded_slots(spark, d):
+    """Four slots a user; an event asks for one to three of them for an hour and waits at most two."""
+    e = table(spark, d, "events").withColumns({"at": F.col("ts").cast("timestamp").cast("double"), "takes": F.lit(3600.0), "slots": (F.col("event_id") % 3 + 1).cast("int")})
+    return events.bounded_slots(e, "user_id", "at", "takes", "slots", "event_id", 4, 7200.0)

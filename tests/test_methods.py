@@ -14,6 +14,7 @@ from lodestone.functions import text as X
 from lodestone.functions import values as V
 from lodestone.operators import clean, dedup, evaluation, filters, graph, market, names, search, valuation
 from lodestone.sources import io
+from lodestone.streaming import events
 
 SF = "/root/testdata/sf0.01"
 ODD = ["Hà Nội Paragon (Paragon Tower)", "Đường  Số-5", "ĐÀ NẴNG", "Ngô Thì Nhậm", "cafe\u0301 ỆỂ", "**Giá** đất_7", "Quận 1 District", "", "ÅÑü ß İ", "phố"]
@@ -238,3 +239,40 @@ def test_ids_equal_plain_hashes(spark):
         key = hashlib.blake2b(f"{norm(r['t'])}\x1fd".encode(), digest_size=8).digest()
         assert r["i"] == int.from_bytes(key, "big") & V.ID_MASK
         assert r["p"] == int.from_bytes(hashlib.blake2b(norm(r["t"])[:300].encode(), digest_size=8).digest(), "big") >> 1
+
+
+def test_slots_are_given_all_or_none(spark):
+    rng = random.Random(6)
+    rows = [(k, k % 3, float(rng.randint(0, 300)), float(rng.randint(1, 40)), rng.randint(1, 5)) for k in range(200)]
+    df = spark.createDataFrame(rows, "id long, u long, at double, takes double, slots int")
+    got = {r["id"]: r["start"] for r in events.bounded_slots(df, "u", "at", "takes", "slots", "id", 4, 30.0).collect()}
+    for u in range(3):
+        own, ran, before = sorted((r for r in rows if r[1] == u), key=lambda r: (r[2], r[0])), [], 0.0
+        for i, _, at, takes, slots in own:
+            # The first moment from which so many slots are free, looked for at the arrival and at all ends.
+            moments = sorted({max(at, before)} | {e for _, e, _ in ran if e > max(at, before)})
+            start = next((t for t in moments if slots <= 4 - sum(n for s, e, n in ran if s <= t < e)), None)
+            start = start if start is not None and start - at <= 30 else None
+            assert got[i] == start
+            if start is not None:
+                ran.append((start, start + takes, slots))
+                before = start
+
+
+def test_protocol_faults(spark):
+    rows = [(1, 0, "meta"), (1, 1, "x"), (1, 2, "done"), (2, 0, "x"), (2, 1, "done"), (3, 0, "meta"), (4, 0, "meta"), (4, 1, "done"), (4, 2, "done"), (5, 0, "meta"), (5, 1, "done"), (5, 2, "x"), (6, 0, None)]
+    got = {r["s"]: r["fault"] for r in events.protocol(spark.createDataFrame(rows, "s int, k int, kind string"), "s", ["k"], "kind").collect()}
+    assert got == {1: None, 2: "begins without meta", 3: "no done", 4: "more than one done", 5: "goes on after done", 6: "begins without meta"}
+
+
+def test_neighbours_equal_brute_force(spark):
+    rng = np.random.default_rng(7)
+    x = rng.integers(0, 5, size=(60, 2)).astype(float)
+    df = spark.createDataFrame([(f"k{i:02d}", *map(float, v)) for i, v in enumerate(x)], "id string, a double, b double")
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    want = set()
+    for i in range(60):
+        d = np.round(((z - z[i]) ** 2).sum(axis=1), 9)
+        for j in sorted((j for j in range(60) if j != i), key=lambda j: (d[j], j))[:3]:
+            want.add((f"k{min(i, j):02d}", f"k{max(i, j):02d}"))
+    assert {tuple(r) for r in graph.nearest_neighbours(df, "id", ["a", "b"], 3).collect()} == want
