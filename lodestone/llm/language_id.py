@@ -155,7 +155,8 @@ class LanguageModel:
             own, bad = right & (labels == k), bad_best == k
             if own.sum() < 30 or bad.sum() < 30:
                 own, bad = right, np.ones(len(bad_p), dtype=bool)
-            self.least_score[k] = min(between(p[own], bad_p[bad], lost / 2, 0.25), 0.95)
+            # A text of two languages has no clear winner either: only what is less likely than not goes for its score.
+            self.least_score[k] = min(between(p[own], bad_p[bad], lost / 2, 0.0), 0.5)
             self.least_met[k] = between(met[own], bad_met[bad], lost / 2, 0.25)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
