@@ -1,8 +1,10 @@
 """Exact deduplication by deterministic block naming.
 
-Each normalised text is cut into fixed-size blocks. Distinct blocks are sorted and get integer names; then adjacent pairs
-of names are named in the same way, until one name is left for each document. Texts of one block count have equal names
-only if they are equal: names are given to sorted distinct values, never to hashes, so there are no collisions.
+Each normalised text is cut into fixed-size blocks. Distinct blocks are sorted (by two hashes and the block itself) and get
+integer names; then adjacent pairs of names are sorted (by a hash and the pair) and named in the same way, until one name is left for each document.
+Texts of one block count have equal names only if they are equal: names are given to sorted distinct values, never to hashes,
+so there are no collisions. A name is the value's section of the sort order and its place there, so names depend on the
+texts alone, not on partitions or on the order of the rows.
 
 Work at scale: block texts are shuffled once, already distinct within each task. Rows of a document carry two 64-bit
 hashes of a block to its name; if two distinct blocks share both hashes (that is looked for at each run), the rows of
@@ -17,10 +19,10 @@ table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, LAST_ID, materialize
+from .common import BLANKS, LAST_ID, materialize, release
 
 BLOCK = 4096
 
@@ -40,9 +42,16 @@ def hashes(c: Column, bits: int) -> tuple[Column, Column]:
     return (one, two) if bits == 64 else (F.pmod(one, F.lit(1 << bits)), F.lit(0).cast("long"))
 
 
-def named(distinct: DataFrame, order: list[str]) -> DataFrame:
-    """Sort distinct values and number them; the names are fixed by the checkpoint."""
-    return distinct.sortWithinPartitions(*order).withColumn("name", F.monotonically_increasing_id())
+#: Sections of the sort order, which are sorted on their own, and the bits for places in one.
+SECTIONS, PLACE_BITS = 4096, 40
+
+
+def named(distinct: DataFrame, h: str, order: list[str]) -> DataFrame:
+    """Distinct values with names in the order of a hash and of the values themselves. The hash's high bits are the section, so
+    sections are of like size whatever the values."""
+    w = Window.partitionBy("section").orderBy(h, *order)
+    section = F.shiftright(h, 52).cast("long") + SECTIONS // 2
+    return distinct.withColumn("section", section).withColumn("name", F.shiftleft("section", PLACE_BITS) + F.row_number().over(w)).drop("section")
 
 
 def block_identities(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK, hash_bits: int = 64) -> DataFrame:
@@ -50,10 +59,9 @@ def block_identities(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     h1, h2 = hashes(F.col("block"), hash_bits)
     source = docs.select(F.col(doc_id).alias("doc_id"), F.length(F.coalesce(F.col(text), F.lit(""))).alias("n_points"), normalised(text).alias("norm"))
     pieces = source.select(blocks_of(F.col("norm"), block).alias("blocks")).select(F.explode("blocks").alias("block"))
-    names = materialize(
-        named(pieces.select(h1.alias("h1"), h2.alias("h2"), "block").distinct(), ["h1", "h2", "block"]).select("h1", "h2", "name")
-    )
-    clash = bool(names.groupBy("h1", "h2").count().where("count > 1").take(1))
+    found = materialize(pieces.select(h1.alias("h1"), h2.alias("h2"), "block").distinct().select("h1", "h2"), "blocks")
+    clash = not found.groupBy("h1", "h2").count().where("count > 1").isEmpty()
+    names = None if clash else materialize(named(found, "h1", ["h2"]), "names")
     hashed = F.transform("blocks", lambda b: F.struct(*[h.alias(n) for h, n in zip(hashes(b, hash_bits), ("h1", "h2"))]))
     rows = materialize(
         source.select(
@@ -64,7 +72,7 @@ def block_identities(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     if clash:
         key = ["block"]
         exploded = rows.select("row_id", "n_blocks", F.posexplode("keys").alias("pos", "block"))
-        names = materialize(named(pieces.select("block").distinct(), ["block"]))
+        names = materialize(named(pieces.select(h1.alias("h1"), h2.alias("h2"), "block").distinct(), "h1", ["h2", "block"]).select("block", "name"), "names")
     else:
         key = ["h1", "h2"]
         exploded = rows.select("row_id", "n_blocks", F.posexplode("keys").alias("pos", "k")).select("row_id", "n_blocks", "pos", "k.*")
@@ -81,8 +89,9 @@ def block_identities(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
                 F.coalesce(F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))), F.lit(-1)).alias("r"),
             )
         )
-        fresh = materialize(named(pairs.select("l", "r").distinct(), ["l", "r"]))
+        fresh = materialize(named(pairs.select("l", "r").distinct().withColumn("h", F.xxhash64("l", "r")), "h", ["l", "r"]).drop("h"))
         level = materialize(pairs.join(fresh, ["l", "r"]).select("row_id", "n_blocks", "pos", "name"))
+        release(pairs, fresh)
         done = done.unionByName(level.where((F.col("n_blocks") > width) & (F.col("n_blocks") <= 2 * width)).select("row_id", "name"))
         width *= 2
     return rows.drop("keys").join(done, "row_id")

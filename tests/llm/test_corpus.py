@@ -543,6 +543,19 @@ def test_copies_equal_brute_force(spark, odd):
     assert exact_dedup.exact_duplicates(odd.limit(0)).count() == 0
 
 
+def test_block_names_depend_on_texts_alone(spark, odd):
+    def identities(df, partitions, **more):
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        try:
+            return sorted(((r["text_sha256"], r["n_blocks"], r["name"]) for r in exact_dedup.block_identities(df, **more).collect()), key=repr)
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+
+    for more in (dict(block=7), dict(block=64, hash_bits=3)):
+        assert identities(odd, 4, **more) == identities(odd.orderBy(F.desc("text")).repartition(3), 7, **more)
+
+
 # Embeddings
 
 
