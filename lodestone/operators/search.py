@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import words
 from lodestone.functions.values import bm25_idf, bm25_weight, cosine, dot, point_id, sql_key
+from lodestone.session import spread
 
 RRF_K = 60
 #: Query vectors of one pass over the rows, and digits of a score that count for ranking.
@@ -206,7 +207,7 @@ class TextIndex:
 
 def write_index(df: DataFrame, ident: str, text: str, path: str, buckets: int = 16) -> None:
     """Tokenises the corpus once. Empty documents count for the statistics and have no posting."""
-    rows = postings(df, ident, text)
+    rows = postings(spread(df.select(ident, text)), ident, text)
     bucket = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(buckets)).cast("int")
     rows.select("term", "doc_id", "tf", "doc_len", bucket.alias("bucket")).repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(4))).sortWithinPartitions("bucket", "term", "doc_id").write.partitionBy("bucket").parquet(f"{path}/postings")
     # The lengths are in the postings, so the texts are not split again; documents without a word have none.

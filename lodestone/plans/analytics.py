@@ -11,7 +11,7 @@ from lodestone.operators.components import connected_components
 from lodestone.plans.bindings import AMENITY_NAMES, KEYED, MARKET, listings, table, view, with_listings
 from lodestone.plans.registry import query, r4, rounded
 from lodestone.plans.relational import literals
-from lodestone.session import scratch
+from lodestone.session import scratch, spread
 from lodestone.sources import io
 
 G_MS = (KEYED, MARKET)
@@ -274,17 +274,17 @@ def c02_kept_rows(spark, d):
 
 @query()
 def c03_simhash_clusters(spark, d):
-    t = table(spark, d, "documents").select(F.col("doc_id").alias("listing_id"), "lang", V.simhash(X.norm(F.col("text"))).alias("simhash"))
+    t = spread(table(spark, d, "documents").select("doc_id", "lang", "text")).select(F.col("doc_id").alias("listing_id"), "lang", V.simhash(X.norm(F.col("text"))).alias("simhash"))
     return dedup.simhash_clusters(t, groups=["lang"])
 
 
-EDGES = "SELECT doc_id AS a, doc_id - doc_id % 7 AS b FROM documents WHERE doc_id % 7 <> 0 AND doc_id % 11 <> 3"
+EDGES = "SELECT doc_id AS a, doc_id - doc_id % 7 AS b FROM documents"
 
 
 @query(f"""WITH RECURSIVE e AS ({EDGES}), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(a, b) AS (SELECT a, a FROM s UNION SELECT r.a, s.b FROM r JOIN s ON r.b = s.a)
     SELECT a AS node, min(b) AS component FROM r GROUP BY 1""")
 def c03_components(spark, d):
-    e = table(spark, d, "documents").where("doc_id % 7 <> 0 AND doc_id % 11 <> 3").select(F.col("doc_id").alias("a"), (F.col("doc_id") - F.col("doc_id") % 7).alias("b"))
+    e = table(spark, d, "documents").select(F.col("doc_id").alias("a"), (F.col("doc_id") - F.col("doc_id") % 7).alias("b"))
     return connected_components(e, "a", "b")
 
 

@@ -180,3 +180,15 @@ def r02_bounded_slots(spark, d):
     """Four slots a user; an event asks for one to three of them for an hour and waits at most two."""
     e = table(spark, d, "events").withColumns({"at": F.col("ts").cast("timestamp").cast("double"), "takes": F.lit(3600.0), "slots": (F.col("event_id") % 3 + 1).cast("int")})
     return events.bounded_slots(e, "user_id", "at", "takes", "slots", "event_id", 4, 7200.0)
+
+
+@query("SELECT 0::BIGINT AS bad")
+def s19_cluster_integrity(spark, d):
+    """Every ward of a cluster, and every cluster of a ward, is a node."""
+    from lodestone.operators import graph
+    from lodestone.plans.analytics import ward_clusters
+
+    g, c = graph.keyed(view(spark, d)), ward_clusters(spark, d)
+    wards = graph.nodes(g, "Ward").select(F.lit("Ward").alias("label"), "key")
+    clusters = graph.cluster_nodes(g, c).select(F.lit("Cluster").alias("label"), "key")
+    return graph.dangling(graph.cluster_edges(c), wards.unionByName(clusters)).agg(F.count("*").alias("bad"))

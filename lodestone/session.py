@@ -58,6 +58,14 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return out
 
 
+def spread(df: DataFrame, per_core: int = 4 << 20) -> DataFrame:
+    """The rows of a small input dealt out to all cores, for stages that compute long on each row: a file of one row group is
+    one task otherwise. Inputs of more than `per_core` bytes a core have row groups enough and stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * per_core else df
+
+
 def release(*tables: DataFrame) -> None:
     """Delete the files of materialized tables that nothing reads any more."""
     for t in tables:

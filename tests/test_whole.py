@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from compare import connection
-from lodestone.plans import analytics, checks, extras, relational  # noqa: F401
+from lodestone.plans import analytics, cells, checks, extras, relational  # noqa: F401
 from lodestone.plans.registry import QUERIES
 
 
