@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, texts_of
+from .common import spread as spread_rows
 from .pieces import Encoded, PieceEncoder, byte_letters, encoder
 
 LEAF = 1 << 14
@@ -184,7 +185,7 @@ def encode_documents(
     spread: int = SPREAD,
 ) -> DataFrame:
     """doc_id and what `emit` makes of the ids of each whole text (`columns` is its schema)."""
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    source = spread_rows(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
     long = F.coalesce(F.length("text") > spread, F.lit(False))
     names = ["doc_id", *[c.split()[0] for c in columns.split(", ")]]
     schema = f"doc_id long, {columns}"

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.session import materialize, release  # noqa: F401
+from lodestone.session import materialize, release, spread  # noqa: F401
 
 #: Code points removed from the ends of lines and from whole texts: space, tab, LF, VT, FF, CR.
 BLANKS = r"[\x20\x09-\x0D]"

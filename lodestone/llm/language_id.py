@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, held_out, slices, trim, uniform
+from .common import claim, held_out, slices, spread, trim, uniform
 
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
@@ -292,7 +292,7 @@ def predict_languages(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(lang, pa.string()), pa.array(score), pa.array(reject)], schema=schema)
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), held_out(doc_id).alias("held_out"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+    return spread(rows).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
@@ -305,4 +305,4 @@ def keep_identified(docs: DataFrame, model: LanguageModel, text: str = "text") -
             _, _, reject = shared.value.predict(batch.column(at).to_pylist())
             yield batch.filter(pa.array(~reject))
 
-    return docs.mapInArrow(run, docs.schema)
+    return spread(docs).mapInArrow(run, docs.schema)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, bloom_filter, claim, columns_of, fresh, materialize, release, slices, texts_of
+from .common import LAST_ID, bloom_filter, claim, columns_of, fresh, materialize, release, slices, spread, texts_of
 
 STRIP = " \t\n\x0b\x0c\r"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -177,7 +177,7 @@ def probing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_lines(docs: DataFrame, doc_id: str, text: str, min_points: int, keys_per_shard: int, probes_per_lane: int, shards: int | None) -> DataFrame:
     """doc, drop (concatenated 16-byte hashes): the keys whose lines each document loses."""
     source = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("doc"), F.col(text).alias("text"))
-    keys = materialize(source.mapInArrow(keys_of(min_points), "h1 long, h2 long, doc long"), "line-keys")
+    keys = materialize(spread(source).mapInArrow(keys_of(min_points), "h1 long, h2 long, doc long"), "line-keys")
     several = F.min("doc") != F.max("doc")
     counted = keys.groupBy("h1", "h2").agg(F.when(several, F.count("*")).otherwise(1).alias("n"), F.min("doc").alias("first"), F.count("*").alias("probes"))
     shards = shards or max(8, -(-keys.count() // keys_per_shard))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, held_out, slices, texts_of, trim, uniform
+from .common import claim, held_out, slices, spread, texts_of, trim, uniform
 
 THRESHOLD = 0.7
 CACHE_WORDS = 250_000
@@ -197,7 +197,7 @@ def score_quality(docs: DataFrame, model: QualityModel, threshold: float = THRES
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= threshold).astype(np.int32))], schema=schema)
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), held_out(doc_id).alias("held_out"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return spread(rows).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
@@ -210,4 +210,4 @@ def keep_good(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD
             score = shared.value.score([t or "" for t in batch.column(at).to_pylist()])
             yield batch.filter(pa.array(score >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return spread(docs).mapInArrow(run, docs.schema)
