@@ -36,7 +36,7 @@ from .common import claim, held_out, slices, spread, trim, uniform
 
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
-CACHE_WORDS = 250_000
+CACHE_WORDS = 120_000
 _WORDS: dict[str, tuple[dict[str, int], list[np.ndarray]]] = {}
 
 
@@ -119,8 +119,8 @@ class LanguageModel:
             index.clear()
             table[0] = table[0][:0]
         fresh = list({w for ws in words for w in ws if w not in index})
-        for a in range(0, len(fresh), 20_000):
-            part = fresh[a : a + 20_000]
+        for a in range(0, len(fresh), 4_000):
+            part = fresh[a : a + 4_000]
             ids, owner = word_features(part, len(self.embed))
             order = np.argsort(owner, kind="stable")
             counts = np.bincount(owner, minlength=len(part))
@@ -290,6 +290,7 @@ def predict_languages(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_
         for batch in slices(batches):
             lang, score, reject = shared.value.predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(lang, pa.string()), pa.array(score), pa.array(reject)], schema=schema)
+        trim()
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), held_out(doc_id).alias("held_out"), F.col(text).alias("text"))
     return spread(rows).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
@@ -304,5 +305,6 @@ def keep_identified(docs: DataFrame, model: LanguageModel, text: str = "text") -
         for batch in slices(batches):
             _, _, reject = shared.value.predict(batch.column(at).to_pylist())
             yield batch.filter(pa.array(~reject))
+        trim()
 
     return spread(docs).mapInArrow(run, docs.schema)

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, bloom_filter, claim, columns_of, fresh, materialize, release, slices, spread, texts_of
+from .common import LAST_ID, bloom_filter, claim, columns_of, fresh, materialize, release, slices, spread, texts_of, trim
 from lodestone.operators.components import connected_components
 
 SHINGLE = 5
@@ -198,6 +198,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str, bands: int, rows: int) -
                 distinct, weight = np.unique(items, return_counts=True)
                 keys.append(band_keys(signature(distinct, weight.astype(np.float64), bands * rows), bands, rows))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c, _ in own], pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], schema=schema)
+        trim()
 
     source = docs.select(*text_key(text, doc_id), F.col(text).alias("text"))
     made = spread(source).mapInArrow(run, "doc long, x1 long, x2 long, f1 long, f2 long, keys array<long>")

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, spread, texts_of
+from .common import materialize, spread, texts_of, trim
 from .pieces import encoder
 
 LENGTH = 2048
@@ -46,6 +46,7 @@ def encoded(docs: DataFrame, path: str, end: int = END, doc_id: str = "doc_id",
                 at += int(n.sum())
                 ids = [(x.astype(np.uint16) if small else x.astype(np.uint32)).tobytes() for x in found]
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(np.full(len(n), part)), pa.array(start), pa.array(n), pa.array(ids, pa.binary())], schema=schema)
+        trim()
 
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return materialize(spread(source).mapInArrow(run, "doc_id long, part long, at long, n long, ids binary"))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import claim, held_out, slices, spread, texts_of, trim, uniform
 
 THRESHOLD = 0.7
-CACHE_WORDS = 250_000
+CACHE_WORDS = 120_000
 SYMBOLS = 40
 UPPER_RUN, CAPITAL, LOWER_RUN, DIGITS = (re.compile(p) for p in ("\x01{2,}", "\x01\x02*", "\x02+", "\x03+"))
 UNIT = re.compile("\x01{2,}|\x01\x02*|\x02+|\x03+|(.)\\1*")
@@ -209,5 +209,6 @@ def keep_good(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD
         for batch in slices(batches):
             score = shared.value.score([t or "" for t in batch.column(at).to_pylist()])
             yield batch.filter(pa.array(score >= threshold))
+        trim()
 
     return spread(docs).mapInArrow(run, docs.schema)
