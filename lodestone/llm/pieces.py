@@ -16,7 +16,7 @@ import numpy as np
 
 from .common import claim
 
-CACHE_PIECES = 300_000
+CACHE_PIECES = 450_000
 
 #: Characters up to U+024F (and general punctuation) by class, as in the patterns of both vocabularies.
 LETTER = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
