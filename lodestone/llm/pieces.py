@@ -23,6 +23,15 @@ LETTER = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 NUMBER = "0-9²³¹¼-¾"
 SPACE = "\t\n\x0b\x0c\r "
 OUTSIDE = re.compile("[^\t\n\x0b\x0c\r\x20-\x7e¡-ɏ‐-‧‰-⁞€]")
+def checked(kind: str) -> re.Pattern[str]:
+    """Matches a character outside the checked alphabet. Of the alphabet of lower-cased words, characters are left out whose
+    small form is not in it: their classes are unknown here."""
+    inside = [c for c in range(0x2070) if not OUTSIDE.match(chr(c)) and (kind == "byte" or not OUTSIDE.search(chr(c).lower()))]
+    firsts = [c for c, before in zip(inside, [-1, *inside]) if c != before + 1]
+    lasts = [c for c, after in zip(inside, [*inside[1:], -1]) if after != c + 1]
+    return re.compile("[^€" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in zip(firsts, lasts)) + "]")
+
+
 SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
 BYTE_PIECE = re.compile(f"{SHORT}| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^{SPACE}{LETTER}{NUMBER}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 WORD_PIECE = re.compile(f"{SHORT}|[{LETTER}]+|[{NUMBER}]|[^{SPACE}{LETTER}{NUMBER}]+")
@@ -65,6 +74,11 @@ class PieceEncoder:
         self.find = (BYTE_PIECE if kind == "byte" else WORD_PIECE).findall
         self.special = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.first_signs = {s[0] for s in self.special}
+        for t in self.tok.get_added_tokens_decoder().values():
+            if t.lstrip or t.rstrip or t.single_word or (t.normalized and self.tok.normalizer is not None):
+                raise ValueError(f"the added token {t.content} is not matched as it stands, so texts cannot be split at it")
+        self.outside = checked(kind).search
         self.cache: dict[str, bytes] = {}
         # The same model behind a split at blanks: pieces are in its byte letters already, so none holds a blank.
         self.model = Tokenizer(self.tok.model)
@@ -104,13 +118,13 @@ class PieceEncoder:
         return np.array(self.tok.encode(piece, add_special_tokens=False).ids, dtype=np.uint32).tobytes()
 
     def _plain(self, text: str) -> bytes:
-        if OUTSIDE.search(text):
+        if self.outside(text):
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype=np.uint32).tobytes()
         return b"".join(self._pieces(text))
 
     def segments(self, text: str) -> list[tuple[str, int | None]]:
         """Parts without special strings, each with the id of the special string behind it."""
-        if self.at_special is None or "<" not in text:
+        if not any(c in text for c in self.first_signs):
             return [(text, None)]
         parts = self.at_special.split(text)
         return [(parts[i], self.special[parts[i + 1]] if i + 1 < len(parts) else None) for i in range(0, len(parts), 2)]
@@ -123,7 +137,7 @@ class PieceEncoder:
 
     def encode_split(self, text: str) -> Encoded:
         """Ids with piece starts, for a text without special strings."""
-        if OUTSIDE.search(text):
+        if self.outside(text):
             e = self.tok.encode(text, add_special_tokens=False)
             words = np.array([-1 if w is None else w for w in e.word_ids], dtype=np.int64)
             return Encoded(np.array(e.ids, dtype=np.uint32), np.flatnonzero(np.diff(words, prepend=-2)))
