@@ -21,7 +21,9 @@ BLANKS = r"[\x20\x09-\x0D]"
 LAST_ID = (1 << 63) - 1
 #: Bits of a Bloom filter: 16 for each id, up to 16 MB in all; beyond, more rows pass it than need be.
 BLOOM_BITS, MAX_BLOOM_BITS, BLOOM_HASHES = 16, 1 << 27, 5
-CHUNK = 1 << 19
+CHUNK = 1 << 15
+#: A Bloom filter is filled by one task for so many ids, by MAX_FILLS tasks at most, so no more parts of it than that are moved.
+FILL_IDS, MAX_FILLS = 1 << 18, 512
 
 
 _CACHES: dict[str, Callable[[], None]] = {}
@@ -116,8 +118,10 @@ def bloom_places(ids: np.ndarray, bits: int) -> np.ndarray:
 
 
 def bloom_of(rows: DataFrame, column: str, bits_each: int = BLOOM_BITS, most: int = MAX_BLOOM_BITS) -> np.ndarray:
-    """A Bloom filter of a column of ids: at most `most` bits, put together from the tasks' filters in chunks."""
-    bits = 1 << max(12, min(most.bit_length() - 1, (rows.count() * bits_each).bit_length()))
+    """A Bloom filter of a column of ids: at most `most` bits. A bounded number of tasks fill filters of their own; these are
+    dealt out by chunk and merged one by one as they stream in, so a task holds its own chunks and no more."""
+    n = rows.count()
+    bits = 1 << max(12, min(most.bit_length() - 1, (n * bits_each).bit_length()))
     chunk = min(bits, CHUNK)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,14 +129,24 @@ def bloom_of(rows: DataFrame, column: str, bits_each: int = BLOOM_BITS, most: in
         for batch in batches:
             own[bloom_places(batch.column(0).to_numpy(), bits).ravel()] = True
         at = [k for k in range(bits // chunk) if own[k * chunk : (k + 1) * chunk].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([np.packbits(own[k * chunk : (k + 1) * chunk]).tobytes() for k in at], pa.binary())], names=["at", "part"])
-
-    def both(t: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x.as_buffer(), dtype=np.uint8) for x in t.column("part")]
-        return pa.table({"at": t.column("at").slice(0, 1), "part": pa.array([np.bitwise_or.reduce(parts).tobytes()], pa.binary())})
+        for a in range(0, len(at), 256):
+            some = at[a : a + 256]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([np.packbits(own[k * chunk : (k + 1) * chunk]).tobytes() for k in some], pa.binary())], names=["at", "part"])
 
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, x in zip(batch.column("at").to_pylist(), batch.column("part")):
+                part = np.frombuffer(x.as_buffer(), dtype=np.uint8)
+                if k in held:
+                    held[k] |= part
+                else:
+                    held[k] = part.copy()
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["at", "part"])
+
+    ids = rows.select(column).repartition(max(1, min(MAX_FILLS, n // FILL_IDS)))
     out = np.zeros(bits // 8, dtype=np.uint8)
-    for r in rows.select(column).mapInArrow(fill, "at int, part binary").groupBy("at").applyInArrow(both, "at int, part binary").collect():
+    for r in ids.mapInArrow(fill, "at int, part binary").repartition("at").mapInArrow(merge, "at int, part binary").collect():
         out[r["at"] * chunk // 8 : (r["at"] + 1) * chunk // 8] = np.frombuffer(bytes(r["part"]), dtype=np.uint8)
     return out
 
