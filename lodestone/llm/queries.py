@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embedding_dedup, exact_dedup, language_id, line_dedup, minhash, packing, quality, urls
+from . import bpe, chat, embedding_dedup, exact_dedup, fim, language_id, line_dedup, minhash, packing, quality, rank_bpe, resample, urls
 from .common import held_out, inline, table
 
 #: The listed rules of op7 (host, path, verdict).
@@ -26,6 +26,13 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def split_pattern() -> str:
+    """The split pattern of the public vocabularies; the operators take any."""
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language_id.predict_languages(docs, language_id.fit(docs, usable=~held_out("doc_id")))
@@ -72,18 +79,75 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pieces(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_bpe.digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"), split_pattern())
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id, op2_bpe, op3_line_dedup, op4_chat_format, op5_quality, op6_minhash_dedup, op7_url_filter, op8_exact_dedup,
-        op9_embedding_dedup, op10_packing,
+        op9_embedding_dedup, op10_packing, op11_importance, op12_rank_bpe, op13_fill_in_middle,
     )
 }
 
 BLANK_ENDS = r"regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', '')"
 UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+HASHED = "('0x' || substr(h, {at}, 8))::BIGINT"
+
 ORACLE_SQL = {
+    # DuckDB has no crc32: the table of its 256 steps and the fold over the bytes of each distinct feature are spelt out.
+    "op11_importance": f"""
+        WITH RECURSIVE bits(b, c, k) AS (
+            SELECT range, range, 0 FROM range(256) UNION ALL
+            SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+        steps AS (SELECT list(c ORDER BY b) AS t FROM bits WHERE k = 8),
+        texts AS (SELECT 's' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 't', item_id, text FROM benchmark),
+        split AS (SELECT side, id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{SMALL}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM texts),
+        runs AS (
+            SELECT side, id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]),
+                                                list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS feature FROM split),
+        counted AS (SELECT side, id, feature, count(*) AS n FROM runs GROUP BY ALL),
+        hexed AS (SELECT feature, hex(encode(feature)) AS x FROM (SELECT DISTINCT feature FROM counted)),
+        crcs AS (
+            SELECT feature, xor(list_reduce(list_transform(range(0, len(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT),
+                                        lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) % 10000 AS bucket FROM hexed, steps),
+        cells AS (SELECT side, id, bucket, sum(n) AS n FROM counted JOIN crcs USING (feature) GROUP BY ALL),
+        sums AS (
+            SELECT range AS bucket, coalesce(sum(n) FILTER (WHERE side = 's'), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (WHERE side = 't'), 0)::DOUBLE AS t
+            FROM range(10000) LEFT JOIN cells ON bucket = range GROUP BY range),
+        gain AS (SELECT bucket, floor(1000 * ln((t + 1) * (sum(s) OVER () + 10000) / ((s + 1) * (sum(t) OVER () + 10000))))::BIGINT AS g FROM sums),
+        weighed AS (SELECT id, sum(n)::BIGINT AS n_features, sum(n * g)::BIGINT AS weight FROM cells JOIN gain USING (bucket) WHERE side = 's' GROUP BY id),
+        scored AS (
+            SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+                   coalesce(weight, 0) + floor(-1000 * ln(-ln(({HASHED.format(at=1)} + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+            FROM (SELECT doc_id, sha256('42:' || doc_id) AS h FROM documents) JOIN (SELECT id, w FROM split WHERE side = 's') ON id = doc_id LEFT JOIN weighed USING (id)),
+        placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS candidates FROM scored WHERE n_words >= 20)
+        SELECT doc_id, n_features::BIGINT AS n_features, weight::BIGINT AS weight, score::BIGINT AS score, place AS rank
+        FROM scored LEFT JOIN (SELECT doc_id, place FROM placed WHERE place <= candidates * 5 // 100) USING (doc_id)""",
+    "op13_fill_in_middle": f"""
+        WITH texts AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || doc_id) AS h FROM documents),
+        cut AS (
+            SELECT *, least({HASHED.format(at=1)} % (n + 1), {HASHED.format(at=9)} % (n + 1)) AS a, greatest({HASHED.format(at=1)} % (n + 1), {HASHED.format(at=9)} % (n + 1)) AS b,
+                   CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR {HASHED.format(at=17)} % 100 >= 90 THEN 'plain'
+                        WHEN {HASHED.format(at=25)} % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+            FROM texts)
+        SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN t
+                   WHEN 'psm' THEN '<P>' || substr(t, 1, a) || '<S>' || substr(t, b + 1) || '<M>' || substr(t, a + 1, b - a)
+                   ELSE '<S>' || substr(t, b + 1) || '<P>' || substr(t, 1, a) || '<M>' || substr(t, a + 1, b - a) END) AS output_sha256,
+               sha256(t) AS restored_sha256
+        FROM cut""",
     "op3_line_dedup": rf"""
         WITH lines AS (
             SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
