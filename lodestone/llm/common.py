@@ -10,6 +10,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,6 +73,17 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(a, rows)
 
 
+def byte_parts(batch: pa.RecordBatch, column: str, size: int, rows: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about `size` bytes of a text column and of at most `rows` rows; a longer text is a part of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < len(batch):
+        before = int(ends[a - 1]) if a else 0
+        b = min(max(a + 1, int(np.searchsorted(ends, before + size, side="right"))), a + rows)
+        yield batch.slice(a, b - a)
+        a = b
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 

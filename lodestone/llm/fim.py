@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import spread
+from .common import byte_parts, spread
 
 #: Marks of the parts: prefix, suffix, middle.
 MARKS = ("<P>", "<S>", "<M>")
@@ -175,16 +175,6 @@ def restored(output: pa.Array, form: np.ndarray, rule: Rule) -> tuple[np.ndarray
     return joined(raw, np.stack((prefix, middle, suffix), axis=1), np.stack((prefix_end - prefix, end - middle, suffix_end - suffix), axis=1))
 
 
-def parts(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """A batch in parts of about PART bytes of text; a longer text is a part of its own."""
-    _, at = buffers(batch.column(column))
-    a = 0
-    while a < len(batch):
-        b = max(a + 1, int(np.searchsorted(at, at[a] + PART, side="right")) - 1)
-        yield batch.slice(a, b - a)
-        a = b
-
-
 def draws(doc_id: Column, seed: int) -> list[Column]:
     """The first four groups of eight hex digits of the hash of `seed:id`, as numbers."""
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))), 256)
@@ -200,7 +190,7 @@ def mapped(docs: DataFrame, rule: Rule, seed: int, doc_id: str, text: str, colum
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in parts(batch, "text"):
+            for part in byte_parts(batch, "text", PART):
                 cut = transformed(part.column("text"), [part.column(f"h{k}").to_numpy() for k in (1, 2, 3, 4)], rule)
                 plain = cut.form == 0
                 cols = [part.column("doc_id"), pa.array(cut.n), pa.array(FORMS[cut.form], pa.string()), pa.array(cut.prefix, mask=plain), pa.array(cut.middle, mask=plain)]
@@ -220,7 +210,7 @@ def restore(rows: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id", output
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in parts(batch, "output"):
+            for part in byte_parts(batch, "output", PART):
                 kinds = (pc.equal(part.column("form"), "psm").to_numpy(zero_copy_only=False) + 2 * pc.equal(part.column("form"), "spm").to_numpy(zero_copy_only=False)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), strings(*restored(part.column("output"), kinds, rule))], names=["doc_id", "text"])
 

@@ -1,7 +1,7 @@
 """Importance resampling towards a target distribution, from a persisted count matrix.
 
 Features are runs of one to `order` words; each falls into one of `buckets` by the crc32 of its bytes. The sparse matrix of
-documents by buckets is written once, as compressed sparse row blocks of about a hundred documents. Column sums of the
+documents by buckets is written once, as compressed sparse row blocks of up to ROWS documents or about PART bytes of text. Column sums of the
 source's and the target's matrix give two distributions and so a gain for each bucket; a product of each block with the gains
 gives the weights, without reading a text again. Adding Gumbel noise from a hash of the id to the weights and keeping the
 highest is sampling without replacement in proportion to exp(weight / 1000).
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release, slices, spread, texts_of
+from .common import byte_parts, materialize, release, spread, texts_of
 
 BUCKETS, ORDER, SEED, PERCENT, LEAST_WORDS = 10_000, 3, 42, 5, 20
 #: Words: runs of bytes that are digits, small letters or beyond ASCII, after A-Z are lower-cased.
@@ -187,10 +187,11 @@ def count_matrix(docs: DataFrame, buckets: int = BUCKETS, order: int = ORDER, do
     """The persisted matrix, one compressed sparse row block a row: doc_ids, n_words, n_features, indptr, indices, counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, ROWS):
-            indptr, indices, counts, n_words, n_features = csr(texts_of(part), buckets, order)
-            columns = [[part.column("doc_id").to_pylist()], [n_words], [n_features], [indptr], [narrow(indices)], [narrow(counts)]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, BLOCK)], schema=BLOCK)
+        for batch in batches:
+            for part in byte_parts(batch, "text", PART, ROWS):
+                indptr, indices, counts, n_words, n_features = csr(texts_of(part), buckets, order)
+                columns = [[part.column("doc_id").to_pylist()], [n_words], [n_features], [indptr], [narrow(indices)], [narrow(counts)]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, BLOCK)], schema=BLOCK)
 
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     types = "doc_ids array<long>, n_words array<long>, n_features array<long>, indptr array<long>, indices binary, counts binary"
