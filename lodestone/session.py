@@ -42,6 +42,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{os.urandom(6).hex()}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(found)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a path of the shared folder, by Hadoop's file systems."""
     found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
