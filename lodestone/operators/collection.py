@@ -177,7 +177,7 @@ def probes_of(c: Collection, queries: DataFrame, probes: int) -> DataFrame:
 
 def blocks(rows: DataFrame, columns: dict[str, str], size: int, prefix: str) -> DataFrame:
     """Rows of the same cell that follow each other in a task, packed: cell, and an array of each column."""
-    kinds = {"long": pa.int64(), "float": pa.float32(), "binary": pa.binary()}
+    kinds = {"long": pa.int64(), "float": pa.float32(), "double": pa.float64(), "binary": pa.binary()}
     types = [("cell", pa.int32()), *[(prefix + k, pa.list_(kinds[t])) for k, t in columns.items()]]
     schema = pa.schema(types)
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators.market import area_key
-from lodestone.operators.search import dense_batch
+from lodestone.operators.neighbours import nearest_rows
 from lodestone.session import materialize, release
 
 
@@ -169,18 +169,14 @@ def co_members(members: DataFrame, key: str) -> DataFrame:
     return members.join(F.broadcast(mine.limit(1)), "cluster_id").where(F.col("key") != key).select("key", "cluster_id")
 
 
-def nearest_neighbours(df: DataFrame, ident: str, features: list[str], k: int = 5) -> DataFrame:
-    """Undirected k-nearest-neighbour edges (a < b) by Euclidean distance on standardised features.
-
-    Every row is a query against all others: slices of a bounded number of rows are broadcast, one pass over the table for
-    each, and a task keeps the k nearest of each row of the slice. So memory is bounded for any table, and work is n * n
-    in matrix products; it is meant for dimensions. Ties go to the least id.
-    """
+def nearest_neighbours(df: DataFrame, ident: str, features: list[str], k: int = 5, **more) -> DataFrame:
+    """Undirected k-nearest-neighbour edges (a < b) by Euclidean distance on standardised features, exact; ties go to the least
+    id. Rows with a missing feature have no neighbour."""
     s = df.agg(*[x for f in features for x in (F.avg(f).alias(f"m_{f}"), F.stddev_pop(f).alias(f"s_{f}"))]).first()
     z = [((F.col(f).cast("double") - F.lit(s[f"m_{f}"])) / F.lit(s[f"s_{f}"] or 1.0)) for f in features]
     # Numbers in the order of the ids, so that ties are those of the ids whatever their type.
     rows = materialize(df.select(F.col(ident).alias("id"), F.array(*z).alias("z")).orderBy("id").withColumn("row", F.monotonically_increasing_id()), "profiles")
-    near = dense_batch(rows, rows, "row", "z", k, others=True, metric="euclidean").select("q", "doc_id")
+    near = nearest_rows(rows, "row", "z", k, len(features), **more).select("q", "doc_id")
     ids = rows.select("row", "id")
     pairs = near.join(ids.toDF("q", "id"), "q").join(ids.toDF("doc_id", "o"), "doc_id")
     return pairs.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()

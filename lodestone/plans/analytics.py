@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
 from lodestone.functions import values as V
-from lodestone.operators import clean, dedup, evaluation, graph, market, names, search, valuation
+from lodestone.operators import clean, communities, dedup, evaluation, graph, market, names, search, valuation
 from lodestone.operators.components import connected_components
 from lodestone.plans.bindings import AMENITY_NAMES, KEYED, MARKET, listings, table, view, with_listings
 from lodestone.plans.registry import query, r4, rounded
 from lodestone.plans.relational import literals
-from lodestone.session import scratch, spread
+from lodestone.session import materialize, scratch, spread
 from lodestone.sources import io
 
 G_MS = (KEYED, MARKET)
@@ -471,6 +471,33 @@ def c19_communities(spark, d):
     return graph.label_propagation(pairs)
 
 
+WARDS_SQL = "SELECT wk FROM g WHERE deal_type = 'sale' AND price_m2_mil IS NOT NULL AND wk IS NOT NULL GROUP BY 1 HAVING count(*) >= 8"
+
+
+def ward_graph(spark, d):
+    """Neighbours of the ward profiles: the log of the price, the log of the size and the share of every type."""
+    p = graph.ward_profiles(graph.keyed(view(spark, d)), KINDS).withColumn("log_m2", F.log("median_m2"))
+    return materialize(graph.nearest_neighbours(p, "wk", ["log_m2", "log_n", *[f"share_{k.lower()}" for k in KINDS]], 5), "ward-graph")
+
+
+@query(with_listings(f"SELECT count(*) AS wards, true AS connected, true AS above_propagation, true AS grouped FROM ({WARDS_SQL})", KEYED))
+def c19_modularity_communities(spark, d):
+    """The communities of the ward graph: each is connected, and their modularity is not below that of label propagation."""
+    pairs = ward_graph(spark, d)
+    found = communities.modular_communities(pairs)
+    own, other = (graph.modularity(pairs, x).first()["modularity"] for x in (found, graph.label_propagation(pairs)))
+    counts = found.agg(F.count("*").alias("wards"), (F.countDistinct("community") < F.count("*")).alias("grouped"))
+    return counts.select("wards", F.lit(communities.unconnected(pairs, found).isEmpty()).alias("connected"), F.lit(own >= other - 1e-12).alias("above_propagation"), "grouped")
+
+
+@query(with_listings(f"SELECT wk AS node, true AS named FROM ({WARDS_SQL})", KEYED))
+def c19_ward_communities(spark, d):
+    """Every ward once, with a community that is named by one of the wards."""
+    found = communities.modular_communities(ward_graph(spark, d))
+    names = found.select(F.col("node").alias("community"))
+    return found.join(names.withColumn("named", F.lit(True)), "community", "left").select("node", F.coalesce("named", F.lit(False)).alias("named"))
+
+
 @query("SELECT round(5.0 / 14, 6) AS modularity")
 def c20_modularity(spark, d):
     pairs = literals(spark, [(1, 2), (2, 3), (1, 3), (4, 5), (5, 6), (4, 6), (3, 4)], ["a", "b"])

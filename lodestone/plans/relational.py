@@ -376,6 +376,13 @@ def j13_nearest_neighbours(spark, d):
     return graph.nearest_neighbours(table(spark, d, "supplier"), "s_suppkey", ["s_acctbal", "s_nationkey"], 5)
 
 
+@query("""WITH z AS (SELECT c_custkey AS id, (c_acctbal - avg(c_acctbal) OVER ()) / stddev_pop(c_acctbal) OVER () AS x, (c_nationkey - avg(c_nationkey) OVER ()) / stddev_pop(c_nationkey) OVER () AS y FROM customer),
+    n AS (SELECT a.id, b.id AS o, row_number() OVER (PARTITION BY a.id ORDER BY (a.x - b.x) ** 2 + (a.y - b.y) ** 2, b.id) AS r FROM z a JOIN z b ON a.id <> b.id)
+    SELECT DISTINCT least(id, o) AS a, greatest(id, o) AS b FROM n WHERE r <= 5""")
+def j13_customer_neighbours(spark, d):
+    return graph.nearest_neighbours(table(spark, d, "customer"), "c_custkey", ["c_acctbal", "c_nationkey"], 5)
+
+
 @query("SELECT vec_id, label, len(embedding)::BIGINT AS dims FROM embeddings")
 def j14_row_aligned_join(spark, d):
     e = table(spark, d, "embeddings")
