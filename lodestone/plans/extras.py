@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone import schemas
 from lodestone.functions import text as X
 from lodestone.functions import values as V
-from lodestone.operators import evaluation, graph, market, reports, search, valuation
+from lodestone.operators import evaluation, explain, graph, market, reports, search, valuation
 from lodestone.plans.analytics import BM25_SQL, DENSE_SQL, KINDS, text_hits, vectors
 from lodestone.plans.bindings import AMENITY_NAMES, KEYED, MARKET, listings, table, view, with_listings
 from lodestone.plans.registry import query, r4, rounded
@@ -72,6 +72,33 @@ def a36_permutation_importance(spark, d):
     return literals(spark, [(k, float(x)) for k, x in found.items()], ["feature", "importance"])
 
 
+NUMERIC, CATEGORICAL = ["area_m2", "bedrooms"], ["property_type", "province"]
+
+
+def explained_rows(spark, d):
+    """All priced listings with the features and predictions of boosted trees, and the trees."""
+    v = view(spark, d).where("price_m2_mil IS NOT NULL").select("listing_id", "source_row", *NUMERIC, *CATEGORICAL, "month", "price_m2_mil").withColumn("is_valid", F.col("month") == "2000-12")
+    model = valuation.fit_price_model(v, "price_m2_mil", NUMERIC, CATEGORICAL, "is_valid", [dict(maxDepth=4, maxIter=4)])
+    ident = F.concat_ws("-", "listing_id", "source_row").alias("row")
+    return model.transform(v.na.fill(0.0, NUMERIC)).select(ident, "features", "prediction"), explain.read_ensemble(model.stages[-1])
+
+
+@query(with_listings("SELECT count(*) AS n_rows, count(*) AS n_adding_up, 4::BIGINT AS n_features FROM v_listings WHERE price_m2_mil IS NOT NULL"))
+def a36_contributions_add_up(spark, d):
+    """Contributions and base equal the prediction to 1e-6 on every row."""
+    rows, ensemble = explained_rows(spark, d)
+    out = explain.with_contributions(rows, ensemble)
+    adds = F.abs(explain.added_up(ensemble.base()) - F.col("prediction")) <= 1e-6
+    return out.agg(F.count("*").alias("n_rows"), F.count_if(adds).alias("n_adding_up"), F.max(F.size("contributions")).cast("long").alias("n_features"))
+
+
+@query(with_listings("SELECT feature, (SELECT least(count(*), 20000) FROM v_listings WHERE price_m2_mil IS NOT NULL) AS n_rows FROM (VALUES ('area_m2'), ('bedrooms'), ('property_type'), ('province')) t(feature)"))
+def a36_mean_contributions(spark, d):
+    """Features by mean absolute contribution over a sample of at most 20 000 rows."""
+    rows, ensemble = explained_rows(spark, d)
+    return explain.mean_contributions(rows, ensemble, [*NUMERIC, *CATEGORICAL], "row").select("feature", "n_rows")
+
+
 @query(f"WITH {DENSE_SQL} SELECT q, doc_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s QUALIFY rank <= 15")
 def w06_rank_positions(spark, d):
     return search.dense_batch(*vectors(spark, d), "vec_id", "embedding", 15).select("q", "doc_id", "rank")
