@@ -758,6 +758,12 @@ def r01_arrivals_in_window(spark, d):
     return limiter.arrivals_in_window(table(spark, d, "events"), "user_id", "ts", 3600).select("event_id", "arrivals")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT event_id, user_id AS k, epoch(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    r(k, n, event_id, hits, retry_after) AS (
+        SELECT DISTINCT k, 0::BIGINT, NULL::BIGINT, []::DOUBLE[], NULL::BIGINT FROM e
+        UNION ALL
+        SELECT k, n, event_id, CASE WHEN len(live) < 2 THEN list_append(live, t) ELSE live END, CASE WHEN len(live) >= 2 THEN greatest(1, ceil(3600 - (t - live[1])))::BIGINT END
+        FROM (SELECT e.k, e.n, e.event_id, e.t, list_filter(r.hits, lambda h: e.t - h <= 3600) AS live FROM r JOIN e ON e.k = r.k AND e.n = r.n + 1))
+    SELECT event_id, retry_after FROM r WHERE n > 0""")
 def r01_rate_limit(spark, d):
     return limiter.limit_rate(table(spark, d, "events"), "user_id", "ts", "event_id", 2, 3600.0)

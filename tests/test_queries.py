@@ -3,7 +3,7 @@
 import pytest
 
 from compare import connection, same_rows
-from lodestone.plans import analytics, cells, checks, extras, relational, vectors  # noqa: F401
+from lodestone.plans import analytics, cells, checks, extras, methods, relational, vectors  # noqa: F401
 from lodestone.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
