@@ -14,6 +14,7 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
     "spark.ui.enabled": "false",
 }
 
@@ -53,11 +54,20 @@ def delete(spark: SparkSession, path: str) -> None:
     found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 8 MB where the session has Spark's own 64 MB: a task holds a batch several times, in the JVM and in Python."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("67108864b", "64MB"):
+        spark.conf.set(key, SETTINGS[key])
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """Cut lineage with a written table: it outlives lost executors, is read by column, and tells its size to the optimizer."""
+    """Cut lineage with a written table: it outlives lost executors, is read by column, and tells its size to the optimizer. Row
+    groups are of 32 MB, since each writing task holds one."""
     spark = df.sparkSession
+    small_batches(spark)
     path = scratch(spark, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", str(32 << 20)).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
@@ -66,6 +76,7 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
 def spread(df: DataFrame, per_core: int = 4 << 20) -> DataFrame:
     """The rows of a small input dealt out to all cores, for stages that compute long on each row: a file of one row group is
     one task otherwise. Inputs of more than `per_core` bytes a core have row groups enough and stay as they are."""
+    small_batches(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size < cores * per_core else df
