@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import spatial
-from lodestone.plans.bindings import table
+from lodestone.operators import names, resampling, spatial
+from lodestone.plans.bindings import listings, table, with_listings
 from lodestone.plans import relational  # noqa: F401  (registers the SQL that is shared)
 from lodestone.plans.registry import ORACLES, query
 from lodestone.session import scratch
+from lodestone.sources import versions
 from lodestone.streaming import window_state
 
 # Areas: an eight-pointed ring with a square hole for each nation, and a wide one for each region.
@@ -100,3 +101,100 @@ def r01_limited_stream(spark, d):
         stream = spark.readStream.schema(events.schema).parquet(source)
         window_state.run_to_end(window_state.limit_with_state(stream, "user_id", "ts", "event_id", 2, 3600.0, "1 minute", 86_400.0), out, check)
     return spark.read.schema(window_state.OUTPUT).parquet(out).where("k <> '-1'").select(F.col("id").alias("event_id"), "retry_after")
+
+
+# Paired resampling
+
+REPLICATES, SEED = 400, 42
+WIDE = "18446744073709551616::UHUGEINT"
+
+
+def mixed(z: str, shift: int, factor: int) -> str:
+    return f"((xor({z}, {z} >> {shift})::UHUGEINT * {factor}::UHUGEINT) % {WIDE})::UBIGINT"
+
+
+def paired_sql(measures: str) -> str:
+    """The same weights by the same arithmetic, one row for each row and replicate."""
+    step = resampling.STEPS
+    start = f"((doc_id::UHUGEINT * {step[0]}::UHUGEINT) % {WIDE} + (range::UHUGEINT * {step[1]}::UHUGEINT) % {WIDE} + ({SEED}::UHUGEINT * {step[2]}::UHUGEINT) % {WIDE}) % {WIDE}"
+    weight = " + ".join(f"(draw >= {t}::UBIGINT)::INT" for t in resampling.DRAWS)
+    return f"""WITH m AS ({measures}), z0 AS (SELECT range AS boot, a, b, ({start})::UBIGINT AS z FROM m, range({REPLICATES})),
+        z1 AS (SELECT boot, a, b, {mixed("z", 30, resampling.MIX[0])} AS z FROM z0), z2 AS (SELECT boot, a, b, {mixed("z", 27, resampling.MIX[1])} AS z FROM z1),
+        w AS (SELECT boot, a, b, {weight} AS w FROM (SELECT boot, a, b, xor(z, z >> 31) >> 11 AS draw FROM z2)),
+        d AS (SELECT boot, (sum(w * a) - sum(w * b)) / sum(w) AS diff FROM w GROUP BY 1 HAVING sum(w) > 0), al AS (SELECT count(*) AS n, avg(a - b) AS diff FROM m)
+        SELECT any_value(al.n) AS n, round(any_value(al.diff), 6) AS diff, round(quantile_cont(d.diff, 0.025), 6) AS low, round(quantile_cont(d.diff, 0.975), 6) AS high,
+               round(avg(CASE WHEN al.diff > 0 THEN d.diff <= 0 WHEN al.diff < 0 THEN d.diff >= 0 ELSE true END::INT), 6) AS p_value FROM d, al"""
+
+
+def paired_row(rows):
+    found = resampling.paired_test(rows, "doc_id", "a", "b", REPLICATES, SEED)
+    return found.select("n", *[F.round(c, 6).alias(c) for c in ("diff", "low", "high", "p_value")])
+
+
+@query(paired_sql("SELECT doc_id, quality::DOUBLE AS a, toxic::DOUBLE AS b FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND toxic IS NOT NULL"))
+def c24_paired_labels(spark, d):
+    """The difference of the means of two labels of each document, its interval and its p value."""
+    return paired_row(table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id").select("doc_id", F.col("quality").alias("a"), F.col("toxic").alias("b")))
+
+
+@query(paired_sql("SELECT doc_id, ln(1 + n_chars) AS a, ln(1 + length(text)) * (1 + 0.01::DOUBLE * (doc_id % 3 - 1)) AS b FROM documents WHERE text IS NOT NULL AND n_chars IS NOT NULL"))
+def c24_paired_measures(spark, d):
+    """The same for two real measures of every document."""
+    t = table(spark, d, "documents")
+    return paired_row(t.select("doc_id", F.log1p("n_chars").alias("a"), (F.log1p(F.length("text")) * (1 + 0.01 * (F.col("doc_id") % 3 - 1))).alias("b")))
+
+
+# Names
+
+
+ASKED = "CASE p_partkey % 3 WHEN 0 THEN p_brand WHEN 1 THEN 'Chung cư ' || p_brand || ' ' || split_part(p_name, ' ', 1) ELSE 'Brand' END"
+SMALL = "replace(lower({}), '#', ' ')"
+
+
+@query(with_listings(f"""SELECT id, name, tier, rank FROM (SELECT id, name, (r).t AS tier, row_number() OVER (PARTITION BY id ORDER BY r, name)::INTEGER AS rank FROM (
+        SELECT id, name, min({{'t': tier, 'n': -n}}) AS r FROM (
+            SELECT id, project AS name, n, CASE WHEN key = q THEN 0 WHEN contains(' ' || key || ' ', ' ' || q || ' ') THEN 1 WHEN contains(' ' || q || ' ', ' ' || key || ' ') THEN 2 END AS tier
+            FROM (SELECT p_partkey AS id, {SMALL.format("replace(" + ASKED + ", 'Chung cư ', '')")} AS q FROM part),
+                 (SELECT project, count(*) AS n, {SMALL.format("project")} AS key FROM listings WHERE project IS NOT NULL GROUP BY project, district, province)) WHERE tier IS NOT NULL GROUP BY 1, 2)) WHERE rank <= 20"""))
+def c27_batch_names(spark, d):
+    """A text for every part, resolved against the projects of the listings in one plan."""
+    asked = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.expr(ASKED).alias("value"), F.lit(None).cast("string").alias("district"), F.lit(None).cast("string").alias("province"))
+    return names.resolve_all(names.vocabulary(listings(spark, d), "project"), asked)
+
+
+# Versions
+
+
+@query("""SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN label + 100 ELSE label END AS label, 4 AS version, true AS conflict FROM embeddings WHERE vec_id % 7 <> 0
+    UNION ALL SELECT vec_id + 1000000, label, 4, true FROM embeddings WHERE vec_id % 5 = 0""")
+def s16_versioned_upsert(spark, d):
+    """All vectors' labels: changed, removed, added, the addition done again, and compacted; a writer of an old version conflicts."""
+    rows = table(spark, d, "embeddings").select("vec_id", "label")
+    t = versions.VersionedTable(spark, scratch(spark, "versions"), "vec_id")
+    t.create(rows)
+    t.upsert(rows.where("vec_id % 3 = 0").withColumn("label", F.col("label") + 100))
+    t.remove(rows.where("vec_id % 7 = 0").select("vec_id"))
+    more = rows.where("vec_id % 5 = 0").withColumn("vec_id", F.col("vec_id") + 1_000_000)
+    t.upsert(more)
+    try:
+        t.upsert(more, at=2)
+        conflict = False
+    except versions.Conflict:
+        conflict = True
+    last = t.compact()
+    return t.read(last).withColumns({"version": F.lit(last), "conflict": F.lit(conflict)})
+
+
+@query("SELECT 'first' AS seen, count(*) AS n FROM embeddings UNION ALL SELECT 'second', count(*) FROM embeddings WHERE vec_id % 2 = 0")
+def s18_durable_name(spark, d):
+    """A name that is moved to another table: another session sees each target."""
+    rows, folder = table(spark, d, "embeddings").select("vec_id"), scratch(spark, "names")
+    other, out = spark.newSession(), None
+    for k, part in (("first", rows), ("second", rows.where("vec_id % 2 = 0"))):
+        path = scratch(spark, "target")
+        part.write.parquet(path)
+        versions.set_name(spark, folder, "vectors", path)
+        seen = other.read.parquet(versions.target_of(other, folder, "vectors")).count()
+        one = spark.range(1).select(F.lit(k).alias("seen"), F.lit(seen).cast("long").alias("n"))
+        out = one if out is None else out.unionByName(one)
+    return out
