@@ -272,6 +272,9 @@ def hybrid(lists: Sequence[DataFrame], k: int, depth: int = 20, by: Sequence[str
     both = parts[0]
     for p in parts[1:]:
         both = both.unionByName(p)
+    # Dealt out anew: Spark 4.1 takes a union of parts that are dealt by q as dealt by q itself, though adaptive execution may have
+    # merged the parts' partitions differently, and would then count a document of both lists as two.
+    both = both.repartition(*by, "doc_id")
     best = both.groupBy(*by, "doc_id").agg(F.min("rank").alias("best_rank"))
     return rrf(both, k, by=by).join(best, [*by, "doc_id"])
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
 from lodestone.functions import values as V
-from lodestone.operators import clean, communities, dedup, evaluation, graph, market, names, search, valuation
+from lodestone.operators import clean, communities, dedup, evaluation, graph, market, names, search, text_index, valuation
 from lodestone.operators.components import connected_components
 from lodestone.plans.bindings import AMENITY_NAMES, KEYED, MARKET, listings, table, view, with_listings
 from lodestone.plans.registry import query, r4, rounded
@@ -372,12 +372,16 @@ BM25_SQL = r"""toks AS (SELECT doc_id, lang, regexp_extract_all(lower(coalesce(t
     bm AS (SELECT q, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 9) AS score FROM tf JOIN df USING (term) JOIN qt USING (term), st WHERE lang IN ('en', 'de') GROUP BY 1, 2)"""
 
 
-def text_hits(spark, d, k):
-    """The first eight words of every fiftieth document against the index of all documents, which is written once for a table."""
+def documents_index(spark, d):
+    """The index of all documents with their language as payload, written once for a table."""
     docs = table(spark, d, "documents")
-    path = io.cached(spark, "text-index", [f"{d}/documents.parquet"], lambda to: search.write_index(docs, "doc_id", "text", to))
-    queries = docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("q"), F.slice(X.words(F.col("text")), 1, 8).alias("terms"))
-    return search.bm25_batch(search.read_index(spark, path), queries, k, docs.where(F.col("lang").isin("en", "de")).select("doc_id"))
+    return text_index.read_shards(spark, io.cached(spark, "text-shards", [f"{d}/documents.parquet"], lambda to: text_index.write_shards(docs, "doc_id", "text", to, ["lang"])))
+
+
+def text_hits(spark, d, k):
+    """The first eight words of every fiftieth document (a query is a few words long) against all documents of two languages."""
+    queries = table(spark, d, "documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("q"), F.slice(X.words(F.col("text")), 1, 8).alias("terms"))
+    return text_index.search_shards(documents_index(spark, d), queries, k, lambda doc: doc["lang"].isin("en", "de"))
 
 
 @query(f"WITH {BM25_SQL} SELECT q, doc_id, round(score, 5) AS score FROM bm QUALIFY row_number() OVER (PARTITION BY q ORDER BY bm.score DESC, doc_id) <= 10")
@@ -388,11 +392,7 @@ def c09_bm25_search(spark, d):
 @query(f"WITH {BM25_SQL} SELECT doc_id, round(sum(tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 5) AS weight FROM tf, st GROUP BY 1")
 def r05_weights_behind_a_barrier(spark, d):
     """Weights need the mean length of the whole corpus, so postings are written before any of them is made."""
-    docs = table(spark, d, "documents")
-    path = io.cached(spark, "text-index", [f"{d}/documents.parquet"], lambda to: search.write_index(docs, "doc_id", "text", to))
-    index = search.read_index(spark, path)
-    weight = V.bm25_weight(F.col("tf"), F.col("doc_len"), F.lit(index.mean_length))
-    return index.postings.groupBy("doc_id").agg(F.round(F.sum(weight), 5).alias("weight"))
+    return text_index.weights_of(documents_index(spark, d)).select("doc_id", F.round("weight", 5).alias("weight"))
 
 
 @query("SELECT * FROM (VALUES ('Y', 0.03252::DOUBLE), ('X', 0.03227), ('Z', 0.032)) t(doc_id, rrf)")
