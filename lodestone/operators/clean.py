@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
@@ -10,6 +10,79 @@ from lodestone.functions import values as V
 
 
 #: The cleaned columns whose non-null number breaks ties between duplicates.
+#: The provinces before July 2025, each with the province that it belongs to since.
+PROVINCES_2025 = {
+    "Hà Nội": "Hà Nội",
+    "Huế": "Huế",
+    "Lai Châu": "Lai Châu",
+    "Điện Biên": "Điện Biên",
+    "Sơn La": "Sơn La",
+    "Lạng Sơn": "Lạng Sơn",
+    "Quảng Ninh": "Quảng Ninh",
+    "Thanh Hóa": "Thanh Hóa",
+    "Nghệ An": "Nghệ An",
+    "Hà Tĩnh": "Hà Tĩnh",
+    "Cao Bằng": "Cao Bằng",
+    "Tuyên Quang": "Tuyên Quang",
+    "Hà Giang": "Tuyên Quang",
+    "Lào Cai": "Lào Cai",
+    "Yên Bái": "Lào Cai",
+    "Thái Nguyên": "Thái Nguyên",
+    "Bắc Kạn": "Thái Nguyên",
+    "Phú Thọ": "Phú Thọ",
+    "Vĩnh Phúc": "Phú Thọ",
+    "Hòa Bình": "Phú Thọ",
+    "Bắc Ninh": "Bắc Ninh",
+    "Bắc Giang": "Bắc Ninh",
+    "Hưng Yên": "Hưng Yên",
+    "Thái Bình": "Hưng Yên",
+    "Hải Phòng": "Hải Phòng",
+    "Hải Dương": "Hải Phòng",
+    "Ninh Bình": "Ninh Bình",
+    "Hà Nam": "Ninh Bình",
+    "Nam Định": "Ninh Bình",
+    "Quảng Trị": "Quảng Trị",
+    "Quảng Bình": "Quảng Trị",
+    "Đà Nẵng": "Đà Nẵng",
+    "Quảng Nam": "Đà Nẵng",
+    "Quảng Ngãi": "Quảng Ngãi",
+    "Kon Tum": "Quảng Ngãi",
+    "Gia Lai": "Gia Lai",
+    "Bình Định": "Gia Lai",
+    "Khánh Hòa": "Khánh Hòa",
+    "Ninh Thuận": "Khánh Hòa",
+    "Lâm Đồng": "Lâm Đồng",
+    "Đắk Nông": "Lâm Đồng",
+    "Bình Thuận": "Lâm Đồng",
+    "Đắk Lắk": "Đắk Lắk",
+    "Phú Yên": "Đắk Lắk",
+    "Hồ Chí Minh": "Hồ Chí Minh",
+    "Bình Dương": "Hồ Chí Minh",
+    "Bà Rịa - Vũng Tàu": "Hồ Chí Minh",
+    "Đồng Nai": "Đồng Nai",
+    "Bình Phước": "Đồng Nai",
+    "Tây Ninh": "Tây Ninh",
+    "Long An": "Tây Ninh",
+    "Cần Thơ": "Cần Thơ",
+    "Sóc Trăng": "Cần Thơ",
+    "Hậu Giang": "Cần Thơ",
+    "Vĩnh Long": "Vĩnh Long",
+    "Bến Tre": "Vĩnh Long",
+    "Trà Vinh": "Vĩnh Long",
+    "Đồng Tháp": "Đồng Tháp",
+    "Tiền Giang": "Đồng Tháp",
+    "Cà Mau": "Cà Mau",
+    "Bạc Liêu": "Cà Mau",
+    "An Giang": "An Giang",
+    "Kiên Giang": "An Giang",
+}
+
+
+def provinces_2025(spark: SparkSession) -> DataFrame:
+    """old, new: the table above, for clean()."""
+    return spark.range(1).select(F.explode(F.create_map(*[F.lit(x) for pair in PROVINCES_2025.items() for x in pair])).alias("old", "new"))
+
+
 COUNTED = (
     "title", "description", "province", "district", "ward", "street", "project", "price_vnd", "area_m2", "floors", "frontage_m", "depth_m",
     "road_width_m", "bedrooms", "bathrooms", "house_direction", "balcony_direction", "published_at",

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +42,10 @@ def scopes() -> dict[str, Column]:
 
 #: A group above this number of rows is not sorted as a whole: its quantiles are looked for in narrow ranges of values.
 SPLIT = 1_000_000
+#: Numbers of large groups that are broadcast (16 bytes each).
+MAX_LISTED = 1 << 20
+#: Rows of whole groups that a task orders at once.
+AT_ONCE = 1 << 18
 #: The quantiles of each measure.
 QUANTILES = {"price_m2_mil": (0.25, 0.5, 0.75), "price_vnd": (0.5,), "area_m2": (0.5,)}
 
@@ -59,17 +66,48 @@ def narrow(c: Column) -> Column:
     return F.when(c > 0, steps(c) + (1 << 20)).when(c < 0, -steps(-c) - (1 << 20)).otherwise(0)
 
 
-def quantiles_by_sorting(rows: DataFrame, measures: dict[str, tuple[float, ...]]) -> DataFrame:
-    """gid and the quantiles. `rows` has gid, n (rows of the group) and the measures; all is one exchange and a sort a measure,
-    which spill where they must."""
-    ranked = rows.withColumns({f"__{m}": F.row_number().over(Window.partitionBy("gid").orderBy(m)) for m in measures})
-    weight = {(m, q): share(F.col("n"), F.col(f"__{m}"), q) for m, qs in measures.items() for q in qs}
-    needed = reduce(lambda a, b: a | b, (w > 0 for w in weight.values()))
-    return ranked.where(needed).groupBy("gid").agg(*[F.sum(F.when(w > 0, w * F.col(m))).alias(slot(m, q)) for (m, q), w in weight.items()])
+def quantiles_in_batches(rows: DataFrame, measures: dict[str, tuple[float, ...]]) -> DataFrame:
+    """gid and the quantiles of groups that fit in memory. `rows` must be dealt by gid (by repartition(), whose partitions adaptive
+    execution never splits); the JVM sorts it by that number alone, and each
+    task orders the values of as many whole groups as a few batches hold, a measure at a time."""
+    names = [slot(m, q) for m, qs in measures.items() for q in qs]
+
+    def quantiles(gid: np.ndarray, values: dict[str, np.ndarray]) -> pa.RecordBatch:
+        starts = np.flatnonzero(np.concatenate(([True], gid[1:] != gid[:-1])))
+        counts = np.diff(np.append(starts, len(gid)))
+        out = []
+        for m, qs in measures.items():
+            v = values[m][np.lexsort((values[m], gid))]
+            for q in qs:
+                at = (counts - 1) * q
+                low = np.floor(at).astype(np.int64)
+                a, b = v[starts + low], v[starts + np.minimum(low + 1, counts - 1)]
+                out.append(a + (b - a) * (at - low))
+        return pa.RecordBatch.from_arrays([pa.array(gid[starts]), *map(pa.array, out)], names=["gid", *names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if len(batch):
+                held.append(batch)
+            if sum(map(len, held)) < AT_ONCE:
+                continue
+            t = pa.Table.from_batches(held)
+            gid = t.column("gid").to_numpy()
+            last = int(np.searchsorted(gid, gid[-1]))  # the last group may go on in the next batch
+            if last:
+                yield quantiles(gid[:last], {m: t.column(m).to_numpy()[:last] for m in measures})
+                held = t.slice(last).to_batches()
+        if held:
+            t = pa.Table.from_batches(held)
+            yield quantiles(t.column("gid").to_numpy(), {m: t.column(m).to_numpy() for m in measures})
+
+    sorted_ = rows.select("gid", *[F.col(m).cast("double").alias(m) for m in measures]).sortWithinPartitions("gid")
+    return sorted_.mapInArrow(run, ", ".join(["gid long", *[f"{n} double" for n in names]]))
 
 
 def quantiles_by_ranges(rows: DataFrame, measures: dict[str, tuple[float, ...]]) -> DataFrame:
-    """As quantiles_by_sorting, for large groups: rows are counted by range of values, the ranges that hold a rank that is asked
+    """As quantiles_in_batches, for large groups: rows are counted by range of values, the ranges that hold a rank that is asked
     for are found by running sums, and only their values are counted one by one. Counting starts before the exchange, so no
     group, and no value that many rows share, meets in one task."""
     each = rows.select("gid", "n", F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.col(m).cast("double").alias("v")) for m in measures])).alias("x")).select("gid", "n", "x.*").withColumn("r", narrow(F.col("v")))
@@ -91,8 +129,8 @@ def quantiles_by_ranges(rows: DataFrame, measures: dict[str, tuple[float, ...]])
 def market_stats(view: DataFrame, least: int = 5, deals: tuple[str, ...] = ("sale", "rent"), split: int = SPLIT) -> DataFrame:
     """Scope x area x type|ALL x month|ALL x deal, for groups of at least `least` rows.
 
-    Groups are counted first, by plain hash aggregates; rows of groups that are too small go no further. A row then travels as
-    the numbers of its groups and three values. Numbers are hashes of the keys; that they are distinct is checked, and another
+    Groups are counted first, by plain hash aggregates. A row then travels once for each of its groups, as the group's number and
+    three values; groups above `split` rows do not meet in a task. Numbers are hashes of the keys; that they are distinct is checked, and another
     seed is taken if not.
     """
     parts = ["scope", "area_key", "deal_type", "property_type", "month"]
@@ -113,11 +151,19 @@ def market_stats(view: DataFrame, least: int = 5, deals: tuple[str, ...] = ("sal
         own = groups.withColumn("gid", number(seed, F.when(F.col("__t") == 1, all_).otherwise(text("property_type")), F.when(F.col("__m") == 1, all_).otherwise(text("month"))))
         if own.groupBy("gid").count().where("count > 1").isEmpty():
             break
+    else:
+        raise ValueError("the numbers of two groups clash under every seed")
     each = F.array(*[number(seed, t, m) for t in (text("property_type"), None) for m in (text("month"), None)])
-    members = rows.select(F.explode(each).alias("gid"), *QUANTILES).join(own.select("gid", "n").hint("shuffle_hash"), "gid")
-    found = quantiles_by_sorting(members.where(F.col("n") <= split), QUANTILES)
-    if not own.where(F.col("n") > split).isEmpty():
-        found = found.unionByName(quantiles_by_ranges(members.where(F.col("n") > split), QUANTILES))
+    members = rows.select(F.explode(each).alias("gid"), *QUANTILES)
+    large = own.where(F.col("n") > split).select("gid", "n")
+    n_large = large.count()
+    if n_large:
+        # At most one group in `split` rows is large, so their list is short; beyond MAX_LISTED it is joined as any other table.
+        listed = F.broadcast(large) if n_large <= MAX_LISTED else large
+        found = quantiles_in_batches(members.join(listed, "gid", "left_anti").repartition("gid"), QUANTILES)
+        found = found.unionByName(quantiles_by_ranges(members.join(listed, "gid"), QUANTILES))
+    else:
+        found = quantiles_in_batches(members.repartition("gid"), QUANTILES)
     kind = F.when(F.col("__t") == 1, "ALL").otherwise(F.col("property_type"))
     mon = F.when(F.col("__m") == 1, "ALL").otherwise(F.col("month"))
     return own.join(found, "gid").select(

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
 from lodestone.functions import values as V
-from lodestone.operators import graph
+from lodestone.operators import clean, evaluation, graph
 from lodestone.plans.bindings import table
 from lodestone.plans.registry import query
+from lodestone.session import scratch
+from lodestone.sources import io
 
 PRICE = "o_totalprice * 100003.7"
 
@@ -104,3 +106,97 @@ def c20_modularity_of_suppliers(spark, d):
     pairs = steps.join(s.select(F.col("s_suppkey").alias("b")), "b", "left_semi").select("a", "b")
     label = s.select(F.col("s_suppkey").alias("node"), (F.col("s_nationkey") % 5).alias("community"))
     return graph.modularity(pairs, label).select(F.round("modularity", 6).alias("modularity"))
+
+
+@query("""SELECT n_nationkey, lower(replace(r_name, ' ', '_')) AS key, r_name AS name, 2 AS n_patterns, true AS matched FROM nation JOIN region ON n_regionkey = r_regionkey""")
+def s07_dictionary_of_regions(spark, d):
+    """A dictionary file of the regions, written, read back and matched with the nations' region names."""
+    path = scratch(spark, "dictionary")
+    key = F.lower(F.replace("r_name", F.lit(" "), F.lit("_")))
+    line = F.concat(key, F.lit(': {name: "'), F.col("r_name"), F.lit("\", patterns: ['"), F.lower("r_name"), F.lit("', '\\bnone\\b']}"))
+    rows = table(spark, d, "region")
+    rows.select(F.lit("# regions").alias("value")).limit(1).unionByName(rows.select(line.alias("value"))).coalesce(1).write.text(path)
+    found = io.read_dictionary(spark, path)
+    nations = table(spark, d, "nation").join(rows, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("r_name").alias("name"))
+    return nations.join(found, "name").select("n_nationkey", "key", "name", F.size("patterns").alias("n_patterns"), F.exists("patterns", lambda p: F.rlike(F.lower("name"), p)).alias("matched"))
+
+
+# DuckDB has no crc32: the table of its 256 steps and the fold over the bytes of each distinct word are spelt out.
+@query(r"""WITH RECURSIVE bits(b, c, k) AS (SELECT range, range, 0 FROM range(256) UNION ALL SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+    steps AS (SELECT list(c ORDER BY b) AS t FROM bits WHERE k = 8),
+    w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')) AS term FROM documents), h AS (SELECT term, hex(encode(term)) AS x FROM w)
+    SELECT term, xor(list_reduce(list_transform(range(0, len(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) & 2147483647 AS id FROM h, steps""")
+def x14_token_ids_of_documents(spark, d):
+    """The id of every distinct word of all documents."""
+    return table(spark, d, "documents").select(F.explode(X.words(F.col("text"))).alias("term")).distinct().withColumn("id", X.token_id(F.col("term")))
+
+
+PAIRS = "(VALUES " + ", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(clean.PROVINCES_2025.items())) + ") p(i, old, now)"
+
+
+@query(f"SELECT c_custkey, old, now FROM customer JOIN {PAIRS} ON i = c_custkey % 63 UNION ALL SELECT s_suppkey + 1000000000, s_name, s_name FROM supplier")
+def x04_provinces_2025(spark, d):
+    """Every customer's province of before 2025 and the one of today; names that are none stay as they are."""
+    names = F.array(*[F.lit(n) for n in clean.PROVINCES_2025])
+    old = table(spark, d, "customer").select("c_custkey", F.element_at(names, (F.col("c_custkey") % 63 + 1).cast("int")).alias("old"))
+    old = old.unionByName(table(spark, d, "supplier").select((F.col("s_suppkey") + 1_000_000_000).alias("c_custkey"), F.col("s_name").alias("old")))
+    return old.join(clean.provinces_2025(spark), "old", "left").select("c_custkey", "old", F.coalesce("new", "old").alias("now"))
+
+
+# Answers made of the orders, so that what should be found in them is known by arithmetic.
+LOW, HIGH, MILLION = "(o_custkey % 9 + 1)", "(o_custkey % 9 + 1 + o_orderkey % 5 + 1)", "(100 + o_custkey % 800)"
+SAID = f"""CASE o_orderkey % 4 WHEN 0 THEN concat('Tháng ', month(o_orderdate), '/', year(o_orderdate), ' và ', year(o_orderdate), '-', lpad(cast(month(o_orderdate) % 12 + 1 AS {{t}}), 2, '0'))
+    WHEN 1 THEN concat('khoảng ', {LOW}, ' đến ', {HIGH}, ' tỷ') WHEN 2 THEN concat({MILLION}, ' triệu') ELSE 'Không có dữ liệu.' END"""
+MONTH_OF = "concat(year(o_orderdate), '-', lpad(cast({} AS VARCHAR), 2, '0'))"
+
+
+@query(f"""SELECT o_orderkey, {SAID.format(t="VARCHAR")} AS said,
+    CASE WHEN o_orderkey % 4 = 0 THEN least({MONTH_OF.format("month(o_orderdate)")}, {MONTH_OF.format("month(o_orderdate) % 12 + 1")}) || ',' || greatest({MONTH_OF.format("month(o_orderdate)")}, {MONTH_OF.format("month(o_orderdate) % 12 + 1")}) ELSE '' END AS months,
+    CASE o_orderkey % 4 WHEN 1 THEN ({LOW} + {HIGH}) / 2.0::DOUBLE WHEN 2 THEN {MILLION} / 1000.0::DOUBLE END AS bn, o_orderkey % 4 = 3 AS refused FROM orders""")
+def x22_answers_of_orders(spark, d):
+    """Months, amounts and refusals in an answer for every order."""
+    f = table(spark, d, "orders").select("o_orderkey", F.expr(SAID.format(t="string")).alias("said")).withColumn("f", X.fold_answer("said"))
+    return f.select("o_orderkey", "said", F.array_join(F.sort_array(evaluation.answer_months(F.col("f"))), ",").alias("months"), evaluation.forecast_bn(F.col("f")).alias("bn"), evaluation.is_refusal(F.col("f")).alias("refused"))
+
+
+NUMBER, SHADE = "((o_custkey % 9 + 1) * 100)", "(CAST(floor(o_orderkey / 6) AS BIGINT) % 4)"
+OFF = f"(CASE {SHADE} WHEN 0 THEN 100 WHEN 1 THEN 103 WHEN 2 THEN 115 ELSE 160 END)"
+SCORED = {
+    "answer": f"""CASE o_orderkey % 6 WHEN 0 THEN concat('giá là ', CAST({NUMBER} * {OFF} / 100 AS BIGINT), ' triệu') WHEN 1 THEN CASE WHEN {SHADE} < 2 THEN 'Không có dữ liệu' ELSE 'Giá là 5' END
+        WHEN 2 THEN concat('Tháng ', CASE WHEN {SHADE} < 2 THEN month(o_orderdate) ELSE month(o_orderdate) % 12 + 1 END, '/', year(o_orderdate))
+        WHEN 3 THEN CASE WHEN {SHADE} < 2 THEN concat('Quận ', o_custkey % 4 + 1, ' cao hơn Quận ', o_custkey % 4 + 6) ELSE concat('Quận ', o_custkey % 4 + 6, ' cao hơn Quận ', o_custkey % 4 + 1) END WHEN 4 THEN 'x' ELSE '' END""",
+    "question": "CASE o_orderkey % 6 WHEN 3 THEN concat('Quận ', o_custkey % 4 + 1, ' hay Quận ', o_custkey % 4 + 6, '?') ELSE '?' END",
+    "category": "CASE o_orderkey % 6 WHEN 1 THEN 'unanswerable' WHEN 3 THEN 'comparison' ELSE 'lookup' END",
+    "gt_kind": "CASE o_orderkey % 6 WHEN 1 THEN 'refusal' WHEN 4 THEN 'ids' ELSE 'value' END",
+    "gt_value": f"CASE o_orderkey % 6 WHEN 0 THEN CAST({NUMBER} AS string) WHEN 2 THEN concat(year(o_orderdate), '-', lpad(CAST(month(o_orderdate) AS string), 2, '0')) WHEN 3 THEN concat('Quận ', o_custkey % 4 + 1) WHEN 5 THEN '7' END",
+    "value_tolerance": "CAST(NULL AS double)",
+    "recall_5": f"CASE WHEN o_orderkey % 6 = 4 THEN CAST(CASE {SHADE} WHEN 0 THEN 0.85 WHEN 1 THEN 0.8 WHEN 2 THEN 0.2 ELSE 0 END AS double) END",
+}
+
+
+@query(f"SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN [2, 2, 1, 0][{SHADE} + 1] WHEN 4 THEN [2, 2, 1, 0][{SHADE} + 1] WHEN 5 THEN 0 ELSE CASE WHEN {SHADE} < 2 THEN 2 ELSE 0 END END AS points FROM orders")
+def c23_scores_of_orders(spark, d):
+    """The rules' points for an answer to a question about every order."""
+    rows = table(spark, d, "orders").select("o_orderkey", *[F.expr(e).alias(k) for k, e in SCORED.items()])
+    return evaluation.score_answers(rows).select("o_orderkey", "points")
+
+
+JUDGED = {
+    "points": "CASE WHEN event_id % 29 = 0 THEN NULL ELSE event_id % 3 END", "error": "CASE WHEN event_id % 11 = 0 THEN 'boom' END",
+    "answer": "CASE WHEN event_id % 13 = 0 THEN '' WHEN event_id % 7 = 0 THEN 'Không có dữ liệu' ELSE 'x' END", "category": "CASE WHEN event_id % 5 = 0 THEN 'unanswerable' ELSE 'lookup' END",
+    "system": "CASE user_id % 3 WHEN 0 THEN 'hybrid' WHEN 1 THEN 'basic_rag' ELSE 'llm_only' END", "route": "'r'", "route_gold": "CASE WHEN user_id % 4 = 0 THEN 'g' ELSE 'r' END",
+    "cypher": "CASE WHEN event_id % 17 = 0 THEN 'MATCH' END", "gt_kind": "CASE WHEN event_id % 6 < 2 THEN 'ids' ELSE 'value' END", "recall_5": "CASE WHEN event_id % 4 > 0 THEN 0.5 END",
+    "n_unsupported": "CASE WHEN event_id % 19 = 0 THEN 1 ELSE 0 END", "faithfulness": "CASE WHEN event_id % 23 = 0 THEN 0.3 WHEN event_id % 23 = 1 THEN 0.5 END",
+}
+
+
+@query("WITH j AS (SELECT event_id, user_id % 5 = 0 AS wrong, " + ", ".join(f"{e} AS {k}" for k, e in JUDGED.items()) + """ FROM events)
+    SELECT event_id, CASE WHEN points IS NULL OR points = 2 THEN NULL WHEN error IS NOT NULL AND answer = '' THEN 'runtime_error' WHEN category = 'unanswerable' THEN 'refusal_missing'
+        WHEN system = 'hybrid' AND route <> route_gold THEN 'router_wrong' WHEN cypher IS NOT NULL AND error IS NOT NULL THEN 'cypher_error' WHEN gt_kind = 'ids' AND system = 'llm_only' THEN 'insufficient_context'
+        WHEN gt_kind = 'ids' AND coalesce(recall_5, 0) = 0 AND wrong THEN 'filter_wrong' WHEN gt_kind = 'ids' THEN 'retrieval_miss' WHEN n_unsupported > 0 THEN 'llm_hallucination'
+        WHEN answer = 'Không có dữ liệu' THEN 'insufficient_context' WHEN faithfulness < 0.5 THEN 'llm_hallucination' WHEN cypher IS NOT NULL THEN 'cypher_wrong_result' ELSE 'insufficient_context' END AS cause FROM j""")
+def c25_causes_of_events(spark, d):
+    """The cause of a bad answer for every event, by the first rule that fits."""
+    rows = table(spark, d, "events").select("event_id", "user_id", *[F.expr(e).alias(k) for k, e in JUDGED.items()])
+    rows = rows.withColumn("unsupported", F.array_repeat(F.lit(1).cast("long"), F.col("n_unsupported")))
+    return rows.select("event_id", evaluation.error_cause(F.col("user_id") % 5 == 0).alias("cause"))

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import names, resampling, spatial
+from lodestone.operators import names, resampling, segment, spatial
 from lodestone.plans.bindings import listings, table, with_listings
 from lodestone.plans import relational  # noqa: F401  (registers the SQL that is shared)
 from lodestone.plans.registry import ORACLES, query
-from lodestone.session import scratch
+from lodestone.session import materialize, scratch
 from lodestone.sources import versions
 from lodestone.streaming import window_state
 
@@ -198,3 +198,32 @@ def s18_durable_name(spark, d):
         one = spark.range(1).select(F.lit(k).alias("seen"), F.lit(seen).cast("long").alias("n"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+# Segmentation
+
+LEAST_COUNT, ATTRACTION = 5, 3.0
+RUNS_SQL = r"""runs AS (SELECT string_split_regex(r, ' +') AS s FROM (SELECT unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+(?: +[\p{L}\p{N}_]+)*')) AS r FROM documents)),
+    c AS (SELECT unit, len(string_split(unit, ' '))::INTEGER AS n, count(*) AS count FROM (SELECT unnest(s) AS unit FROM runs
+        UNION ALL SELECT unnest(list_transform(range(1, len(s)), lambda i: s[i] || ' ' || s[i + 1])) FROM runs
+        UNION ALL SELECT unnest(list_transform(range(1, len(s) - 1), lambda i: s[i] || ' ' || s[i + 1] || ' ' || s[i + 2])) FROM runs) GROUP BY 1)"""
+
+
+@query(f"""WITH {RUNS_SQL}, k AS (SELECT *, string_split(unit, ' ') AS w FROM c WHERE count >= {LEAST_COUNT}), total AS (SELECT sum(count)::DOUBLE AS t FROM c WHERE n = 1),
+    cuts AS (SELECT unit, n, count, array_to_string(w[1:i], ' ') AS a, array_to_string(w[i + 1:], ' ') AS b FROM (SELECT *, unnest(range(1, n)) AS i FROM k WHERE n > 1)),
+    scored AS (SELECT unit, n, cuts.count, min(ln(cuts.count * t / (ka.count * kb.count))) AS score FROM cuts JOIN (SELECT unit AS a, count FROM k) ka USING (a) JOIN (SELECT unit AS b, count FROM k) kb USING (b), total GROUP BY 1, 2, 3)
+    SELECT unit, n, count, round(score, 6) AS score FROM scored WHERE score >= {ATTRACTION} UNION ALL SELECT unit, n, count, 0 FROM k WHERE n = 1""")
+def x13_learnt_units(spark, d):
+    """The units of all documents: frequent syllables and runs of syllables that attract each other."""
+    counts = materialize(segment.run_counts(table(spark, d, "documents"), "text"), "runs")
+    return segment.learnt_units(counts, LEAST_COUNT, ATTRACTION).select("unit", "n", "count", F.round("score", 6).alias("score"))
+
+
+@query("SELECT doc_id, length(text) AS n_chars, true AS kept FROM documents WHERE text IS NOT NULL")
+def x13_segmented_documents(spark, d):
+    """Every document cut into units: all its characters are kept, but for underscores in place of blanks inside units."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    counts = materialize(segment.run_counts(docs, "text"), "runs")
+    out = segment.with_segments(docs.where("text IS NOT NULL"), segment.load_model(segment.learnt_units(counts, LEAST_COUNT, ATTRACTION)))
+    same = F.translate("segmented", "_", " ") == F.translate("text", "_", " ")
+    return out.select("doc_id", F.length("segmented").cast("long").alias("n_chars"), (same & (F.size("units") <= F.length("text"))).alias("kept"))

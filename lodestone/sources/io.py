@@ -39,6 +39,16 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
+def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
+    """key, name, patterns of a dictionary of lines `key: {name: "...", patterns: ['...', '...']}`; comments and blank lines go, a
+    key that comes twice or a line of another form is an error."""
+    lines = spark.read.text(path).where(~F.col("value").rlike(r"^\s*(#.*)?$"))
+    form = r"""^([A-Za-z0-9_]+):\s*\{name:\s*"([^"]*)",\s*patterns:\s*\[(.*)\]\s*\}\s*$"""
+    key = F.when(F.col("value").rlike(form), F.regexp_extract("value", form, 1)).otherwise(F.raise_error(F.concat(F.lit("no dictionary line: "), F.col("value"))).cast("string"))
+    found = lines.select(key.alias("key"), F.regexp_extract("value", form, 2).alias("name"), F.regexp_extract_all(F.regexp_extract("value", form, 3), F.lit("'([^']*)'"), 1).alias("patterns"))
+    return check_unique(found, "key")
+
+
 def read_questions(spark: SparkSession, path: str, schema: T.StructType, ident: str = "id") -> DataFrame:
     df = read_jsonl(spark, path, schema)
     twice = df.groupBy(ident).count().where("count > 1").take(1)
