@@ -1,10 +1,11 @@
 """Communities by modularity, on several levels.
 
-A level moves nodes to the neighbouring community that gains most, in rounds without conflicts; then communities are cut into
-their connected parts, each part becomes a node of the next level's smaller graph, and labels are read back through the levels
-at the end. Levels go on until no part is merged, and start anew from the labels reached until no node moves.
+A level moves nodes to the neighbouring community that gains most, in rounds without conflicts; then each community becomes a node
+of the next level's smaller graph, until none is merged. Labels are read back through the levels, and communities are cut into
+their connected parts, which never lowers modularity. Levels start anew from the labels reached, MAX_SWEEPS times at most or until
+no node moves.
 
-Conflicts: rounds are of two kinds in turn. In one, a hash of community and round lets about half of the communities only send,
+Conflicts: rounds are of two kinds, in turn while many nodes wait. In one, a hash of community and round lets about half of the communities only send,
 the others only receive. What a node gains by moving then changes with other moves of the round only through the sizes of its
 old and its new community: by at most k * K / 2m for other movers of total degree K (edges between movers can only help). A
 move is made if its gain exceeds that loss over all movers from its community and into its new one, or if it is the best one
@@ -25,7 +26,11 @@ from lodestone.session import materialize, release
 #: Gains (in units of edge weight) that count as gains.
 LEAST_GAIN = 1e-9
 #: Rounds of a level. A level that is cut short is still a partition with a higher modularity, and the next level goes on.
-MAX_ROUNDS, MAX_SWEEPS = 60, 3
+MAX_ROUNDS, MAX_SWEEPS = 60, 2
+#: Copies of the graph that are tried at once.
+TRIES = 4
+#: Nodes with a better community from which on rounds with colours pay.
+MANY = 500
 
 
 def symmetric(pairs: DataFrame) -> DataFrame:
@@ -42,7 +47,8 @@ def moved(edges: DataFrame, nodes: DataFrame, total: float, seed: int, coloured:
     to = edges.join(nodes.select(F.col("node").alias("b"), F.col("c").alias("to")), "b").groupBy("a", "to").agg(F.sum("w").alias("w"))
     own = nodes.join(size, "c").select(F.col("node").alias("a"), "k", "c", F.col("s").alias("own_size"))
     known = to.join(size.select(F.col("c").alias("to"), "s"), "to").join(own, "a")
-    cost = F.struct((F.col("k") * F.col("s") / total - F.col("w")).alias("cost"), F.col("to").alias("to"))
+    # Equal costs are told apart by a hash, so that copies of a graph (see below) go different ways.
+    cost = F.struct((F.col("k") * F.col("s") / total - F.col("w")).alias("cost"), F.xxhash64("to").alias("h"), F.col("to").alias("to"))
     other = F.col("to") != F.col("c")
     fits = other & (colour("c") == 0) & (colour("to") == 1) if coloured else other
     best = known.groupBy("a", "k", "c", "own_size").agg(F.sum(F.when(~other, F.col("w")).otherwise(0.0)).alias("inner"), F.min(F.when(other, cost)).alias("any"), F.min(F.when(fits, cost)).alias("now"))
@@ -58,7 +64,7 @@ def moved(edges: DataFrame, nodes: DataFrame, total: float, seed: int, coloured:
 
 
 def first() -> Column:
-    return F.min(F.struct((-F.col("gain")).alias("gain"), "a"))["a"]
+    return F.min(F.struct((-F.col("gain")).alias("gain"), F.xxhash64("a").alias("h"), "a"))["a"]
 
 
 def sent(movers: DataFrame, total: float) -> DataFrame:
@@ -78,14 +84,14 @@ def apart(movers: DataFrame, total: float) -> DataFrame:
 
 def settled(edges: DataFrame, nodes: DataFrame, total: float, rounds: int, seed: int) -> tuple[DataFrame, bool]:
     """Rounds until no node has a better community; also whether any node moved."""
-    any_, start = False, nodes
+    any_, start, waiting = False, nodes, nodes.count()
     for r in range(rounds):
-        new = moved(edges, nodes, total, seed + r, r % 2 == 0)
-        open_ = not new.where("open").isEmpty()
+        new = moved(edges, nodes, total, seed + r, r % 2 == 0 and waiting >= MANY)
+        waiting = new.where("open").count()
         if nodes is not start:
             release(nodes)
         nodes = new
-        if not open_:
+        if not waiting:
             break
         any_ = True
     return nodes, any_
@@ -107,44 +113,55 @@ def contracted(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame
     return materialize(e, "edges"), materialize(n, "nodes")
 
 
-def modular_communities(pairs: DataFrame, rounds: int = MAX_ROUNDS, sweeps: int = MAX_SWEEPS, seed: int = 0) -> DataFrame:
+def modular_communities(pairs: DataFrame, rounds: int = MAX_ROUNDS, sweeps: int = MAX_SWEEPS, seed: int = 0, tries: int = TRIES) -> DataFrame:
     """node, community of every node that occurs in a pair (a, b); a community is connected and named by one of its nodes.
-    No edge: no row."""
-    base = materialize(symmetric(pairs), "edges")
-    total = base.agg(F.sum("w")).first()[0]
+    No edge: no row. The graph is taken `tries` times at once, as copies that share the rounds but break ties in their own ways, and
+    the copy with the highest modularity is the answer; on a large graph, one copy costs least."""
+    copies = F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("copy")
+    own = lambda c: F.struct(F.col("copy"), F.col(c).alias("id")).alias(c)
+    base = materialize(symmetric(pairs).select("*", copies).select(own("a"), own("b"), "w"), "edges")
+    total = (base.agg(F.sum("w")).first()[0] or 0.0) / tries
     start = materialize(base.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("k")).withColumn("c", F.col("node")), "nodes")
     if not total:
-        return start.select("node", F.col("c").alias("community"))
+        return start.select("node.id", F.col("c.id").alias("community")).toDF("node", "community")
     nodes = start
     for sweep in range(sweeps):
         found, any_ = settled(base, nodes, total, rounds, seed + 1000 * sweep)
         if sweep and not any_:
             release(found)
             break
-        labels = connected_parts(base, found)
-        release(found, nodes)
+        labels, level = found, 1
         e, n = contracted(base, labels)
-        level = 1
         while not e.isEmpty():
-            found, any_ = settled(e, n, total, rounds, seed + 1000 * sweep + 100 * level)
-            parts = connected_parts(e, found) if any_ else found
+            parts, any_ = settled(e, n, total, rounds, seed + 1000 * sweep + 100 * level)
+            if not any_:
+                release(parts)
+                break
             through = parts.select(F.col("node").alias("c"), F.col("c").alias("up"))
             longer = materialize(labels.join(through, "c").select("node", "k", F.col("up").alias("c")), "labels")
-            smaller = contracted(e, parts) if any_ else None
-            release(found, parts, labels, e, n)
-            labels = longer
-            if smaller is None:
-                break
-            (e, n), level = smaller, level + 1
-        else:
-            release(e, n)
-        nodes = labels
-    release(base)
-    out = nodes.select("node", F.col("c").alias("community"))
+            smaller = contracted(e, parts)
+            release(parts, labels, e, n)
+            labels, (e, n), level = longer, smaller, level + 1
+        release(e, n, nodes)
+        nodes = connected_parts(base, labels)
+        release(labels)
+    best = best_copy(base, nodes, total)
+    out = nodes.where(F.col("node.copy") == best).select(F.col("node.id").alias("node"), F.col("c.id").alias("community"))
     out.stored_at = nodes.stored_at
+    release(base)
     return out
 
 
+def best_copy(edges: DataFrame, nodes: DataFrame, total: float) -> int:
+    """The copy of the graph with the highest modularity; ties go to the first."""
+    label = nodes.select("node", "c")
+    inner = edges.join(label.toDF("a", "ca"), "a").join(label.toDF("b", "cb"), "b").where("ca = cb").groupBy("a.copy").agg((F.sum("w") / total).alias("q"))
+    degree = nodes.groupBy("c").agg(F.sum("k").alias("s")).groupBy("c.copy").agg(F.sum(-F.pow(F.col("s") / total, 2)).alias("q"))
+    # Dealt out anew, as in search.hybrid().
+    sums = inner.unionByName(degree).repartition("copy").groupBy("copy").agg(F.round(F.sum("q"), 12).alias("q"))
+    return sums.agg(F.min(F.struct((-F.col("q")).alias("q"), "copy"))["copy"]).first()[0]
+
+
 def unconnected(pairs: DataFrame, label: DataFrame) -> DataFrame:
     """The communities (of `label`: node, community) that fall into several parts, with their number."""
     inner = pairs.join(label.toDF("a", "ca"), "a").join(label.toDF("b", "cb"), "b").where("ca = cb AND a <> b").select("a", "b")
