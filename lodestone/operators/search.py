@@ -1,14 +1,13 @@
 """Chunking, postings, BM25, dense search, rank fusion and hybrid retrieval over DataFrames.
 
 Filters come before any scoring, so they reach the scan. A single query travels as literals. Sets of query vectors are taken
-in slices of a bounded number, each of which is broadcast for one pass over the rows; text queries meet an index of postings
-by term, so documents are tokenised once, when the index is written.
+in slices of a bounded number, each of which is broadcast for one pass over the rows; sets of text queries are searched in
+text_index.py.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +16,6 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import words
 from lodestone.functions.values import bm25_idf, bm25_weight, cosine, dot, point_id, sql_key
-from lodestone.session import spread
 
 RRF_K = 60
 #: Query vectors of one pass over the rows, and digits of a score that count for ranking.
@@ -195,56 +193,6 @@ def dense_batch(items: DataFrame, queries: DataFrame, ident: str, vector: str, k
     return best_rows(out, k)
 
 
-@dataclass
-class TextIndex:
-    """Postings (term, doc_id, tf, doc_len) in buckets of terms, sorted by term, and the corpus's size and mean length."""
-
-    postings: DataFrame
-    documents: int
-    mean_length: float
-    buckets: int
-
-
-def write_index(df: DataFrame, ident: str, text: str, path: str, buckets: int = 16) -> None:
-    """Tokenises the corpus once. Empty documents count for the statistics and have no posting."""
-    rows = postings(spread(df.select(ident, text)), ident, text)
-    bucket = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(buckets)).cast("int")
-    rows.select("term", "doc_id", "tf", "doc_len", bucket.alias("bucket")).repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(4))).sortWithinPartitions("bucket", "term", "doc_id").write.partitionBy("bucket").parquet(f"{path}/postings")
-    # The lengths are in the postings, so the texts are not split again; documents without a word have none.
-    words_ = df.sparkSession.read.parquet(f"{path}/postings").groupBy("doc_id").agg(F.first("doc_len").alias("len")).agg(F.sum("len")).first()[0]
-    n = df.count()
-    if not n:
-        raise ValueError("no documents")
-    avg = (words_ or 0) / n
-    df.sparkSession.range(1).select(F.lit(n).cast("long").alias("documents"), F.lit(avg).alias("mean_length"), F.lit(buckets).alias("buckets")).coalesce(1).write.parquet(f"{path}/statistics")
-
-
-def read_index(spark, path: str) -> TextIndex:
-    s = spark.read.parquet(f"{path}/statistics").first()
-    return TextIndex(spark.read.parquet(f"{path}/postings"), s["documents"], s["mean_length"], s["buckets"])
-
-
-def bm25_batch(index: TextIndex, queries: DataFrame, k: int, allowed: DataFrame | None = None, few: int = 2000) -> DataFrame:
-    """q, doc_id, score, rank. `queries` has q and terms (array); repeated terms count once. `allowed` (doc_id, once each) is the
-    filter; document frequencies are those of the whole corpus. Up to `few` distinct terms are looked up by a predicate that
-    reaches the scan (buckets and row groups are skipped), more of them by a join."""
-    terms = queries.select("q", F.explode(F.array_distinct("terms")).alias("term"))
-    distinct = terms.select("term").distinct()
-    bucket = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(index.buckets)).cast("int")
-    some = [r["term"] for r in distinct.limit(few + 1).collect()]
-    if len(some) <= few:
-        own = [r["b"] for r in distinct.select(bucket.alias("b")).distinct().collect()]
-        held = index.postings.where(F.col("bucket").isin(own) & F.col("term").isin(some))
-    else:
-        held = index.postings.join(distinct.withColumn("bucket", bucket), ["bucket", "term"], "left_semi")
-    df = held.groupBy("term").agg(F.count("*").alias("df"))
-    asked = terms.join(df, "term").select("q", "term", bm25_idf(F.lit(float(index.documents)), F.col("df")).alias("idf"))
-    own = held if allowed is None else held.join(allowed.select("doc_id"), "doc_id", "left_semi")
-    weight = bm25_weight(F.col("tf"), F.col("doc_len"), F.lit(index.mean_length))
-    scored = own.join(asked, "term").groupBy("q", "doc_id").agg(F.round(F.sum(F.col("idf") * weight), DIGITS).alias("score"))
-    return best_rows(scored, k)
-
-
 def best_chunk(hits: DataFrame, group: str = "listing_id", chunk: str = "chunk_index") -> DataFrame:
     """One row per group: its best chunk."""
     w = Window.partitionBy(group).orderBy(F.desc("score"), chunk)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
 from lodestone.functions import values as V
-from lodestone.operators import clean, dedup, evaluation, filters, graph, market, names, search, valuation
+from lodestone.operators import clean, dedup, evaluation, filters, graph, market, names, search, text_index, valuation
 from lodestone.sources import io
 from lodestone.streaming import events
 
@@ -149,17 +149,14 @@ def test_batch_search_equals_brute_force(spark):
     assert [r["doc_id"] for r in search.dense_batch(df, df.where("id = 6"), "id", "v", 3).orderBy("rank").collect()] == [6, 7, 9]
 
 
-def test_index_search_by_predicate_equals_that_by_join(spark, tmp_path):
+def test_index_search_equals_that_of_one_query(spark, tmp_path):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    search.write_index(docs, "doc_id", "text", str(tmp_path / "index"))
-    index = search.read_index(spark, str(tmp_path / "index"))
+    text_index.write_shards(docs, "doc_id", "text", str(tmp_path / "index"))
     q = docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("q"), F.slice(X.words(F.col("text")), 1, 6).alias("terms"))
-    a, b = (sorted(map(tuple, search.bm25_batch(index, q, 5, few=few).collect())) for few in (2000, 0))
-    assert a == b and len(a) > 5
-    first = docs.where("doc_id = 20").first()
+    found = text_index.search_shards(text_index.read_shards(spark, str(tmp_path / "index")), q, 5).collect()
     terms = [r["terms"] for r in q.where("q = 20").collect()][0]
     alone = [(r["doc_id"], round(r["score"], 6)) for r in search.bm25(docs, "doc_id", "text", terms, 5).collect()]
-    assert first is not None and [(x[1], round(x[2], 6)) for x in sorted(a, key=lambda x: x[3]) if x[0] == 20] == alone
+    assert len(found) > 5 and [(r["doc_id"], round(r["score"], 6)) for r in sorted(found, key=lambda r: r["rank"]) if r["q"] == 20] == alone
 
 
 def test_ranked_metrics_equal_those_of_lists(spark):
