@@ -524,6 +524,15 @@ def test_urls_odd_rows(spark):
     assert sorted(((r["page_id"], r["host"], r["rule"], r["verdict"]) for r in wide.collect()), key=repr) == got
 
 
+def test_url_rules_are_those_of_the_contract(spark, tmp_path):
+    listed = "allow org/, block example.org/es/, block example.org/en/1, allow com/fr/, block com/de/"
+    verdicts = {rule: verdict for verdict, rule in (x.split(" ") for x in listed.split(", "))}
+    rows = [(i, f"http://www.{rule}2.html") for i, rule in enumerate(verdicts)]
+    spark.createDataFrame(rows, "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r["rule"]: r["verdict"] for r in QUERIES["op7_url_filter"](spark, str(tmp_path)).collect()}
+    assert got == verdicts
+
+
 # Exact copies
 
 
