@@ -3,8 +3,8 @@
 Hits wait in map state, in slots of event time, until the watermark has passed their slot; a timer at the slot's end then
 decides its hits in order of time (ties by id) against the accepted times of the window, which are list state. So decisions do
 not depend on how rows were dealt to micro-batches, and memory holds one slot of one key and at most the accepted hits of a
-window, however hot a key is: what waits is in the state store. A timer at the end of the window after the last accepted hit
-clears a key that has been idle since.
+window, however hot a key is: what waits is in the state store. A timer at the end of the last slot that the window after the
+last accepted hit meets clears a key that has been idle since.
 
 Hits behind the watermark are dropped, as always on streams. Hits behind no watermark yet stay in the state: a stream ends
 with a mark (a row of any key, later than all by the watermark's delay and a slot), or goes on.
@@ -69,11 +69,13 @@ class WindowLimiter(StatefulProcessor):
                     before.append(len(hits) - (wait[-1] is None))
                 self.waiting.removeKey((s,))
                 yield pd.DataFrame({"k": key[0], "id": [i for _, i in order], "retry_after": pd.array(wait, dtype="Int64"), "accepted_before": np.array(before, dtype=np.int32)})
-        if hits and now / 1000 - hits[-1] > self.window:
+        # A hit that waits may be older than the watermark: accepted times go once the last slot that their window meets is decided.
+        idle = self.end_of(int(np.floor((hits[-1] + self.window) / self.slot))) if hits else now
+        if hits and idle <= now:
             self.accepted.clear()
         elif hits:
             self.accepted.put([(t,) for t in hits])
-            self.handle.registerTimer(int(np.ceil((hits[-1] + self.window) * 1000)) + 1)
+            self.handle.registerTimer(idle)
 
     def close(self) -> None:
         pass

@@ -49,3 +49,17 @@ def test_restarts_give_the_plain_decisions(spark, run):
     state = spark.read.format("statestore").option("path", check).option("stateVarName", "accepted").load()
     assert {r["key"]["k"] if "k" in r["key"].asDict() else r["key"][0] for r in state.select("key").collect()} <= {"end"}  # idle keys are swept
     assert spark.read.format("statestore").option("path", check).option("stateVarName", "waiting").load().select("key").where("key.k <> 'end'").isEmpty()
+
+
+def test_waiting_hits_older_than_the_watermark_meet_the_window(spark, tmp_path):
+    """A slot longer than the window: hits at its start wait while the watermark is already past the window of the last slot's."""
+    source, out, check, schema = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check"), "id long, k string, t double"
+    rows = [(1, "a", 990.0), (2, "a", 995.0), (3, "a", 1010.0), (4, "other", 1500.0)]
+    for step in (rows, [(-1, "end", 10_000.0)], [(-2, "end", 20_000.0)]):
+        spark.createDataFrame(step, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source).withColumn("at", F.timestamp_millis((F.col("t") * 1000).cast("long")))
+        window_state.run_to_end(window_state.limit_with_state(stream, "k", "at", "id", 2, 60.0, "10 seconds", 1000.0), out, check)
+    got = {r["id"]: r["retry_after"] for r in spark.read.schema(window_state.OUTPUT).parquet(out).where("k <> 'end'").collect()}
+    assert got == plain(rows, 2, 60.0) and got[3] == 40
+    state = spark.read.format("statestore").option("path", check).option("stateVarName", "accepted").load()
+    assert state.select("key").where("key.k <> 'end'").isEmpty()
