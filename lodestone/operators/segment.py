@@ -19,35 +19,72 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from math import log
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.session import small_batches, spread
+
 #: Longest unit in syllables, units of a model at most (about 100 bytes each in a task), least count of a unit, least attraction.
 LONGEST, MAX_UNITS, LEAST, ATTRACTION = 3, 200_000, 5, 3.0
+#: Bytes of text that are counted at once in a task.
+CHUNK = 4 << 20
 #: What ends a run of syllables: all but letters, digits, underscores and blanks.
 OTHER = r"[^\p{L}\p{N}_ ]+"
 PY_SYLLABLE = re.compile(r"\w+")
 
 
 def syllable_runs(text: Column) -> Column:
-    """Arrays of syllables between other signs."""
-    runs = F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), OTHER), lambda r: F.trim(r))
-    return F.transform(F.filter(runs, lambda r: r != ""), lambda r: F.split(r, " +"))
+    """Arrays of runs between other signs: syllables with blanks between them."""
+    return F.filter(F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), OTHER), lambda r: F.trim(r)), lambda r: r != "")
+
+
+def counted(runs: pa.Array, longest: int) -> Iterator[pa.RecordBatch]:
+    """unit, n, count of the runs of one to `longest` syllables in an array of strings, a batch for each length."""
+    lists = pc.split_pattern_regex(runs, " +")
+    owner = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    coded = lists.flatten().dictionary_encode()
+    code, syllables = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+    at, ids = np.arange(len(code)), np.zeros(len(code), dtype=np.int64)
+    for n in range(1, longest + 1):
+        inside = at + n - 1 < len(code)
+        at, ids = at[inside], ids[inside]
+        same = owner[at] == owner[at + n - 1]
+        at, ids = at[same], ids[same]
+        # Runs get numbers of their own at each length, so that a number is below the product of two counts of syllables.
+        _, first, ids, counts = np.unique(ids * len(syllables) + code[at + n - 1], return_index=True, return_inverse=True, return_counts=True)
+        parts = [syllables.take(pa.array(code[at[first] + k])) for k in range(n)]
+        unit = parts[0] if n == 1 else pc.binary_join_element_wise(*parts, " ")
+        yield pa.RecordBatch.from_arrays([unit, pa.array(np.full(len(first), n, dtype=np.int32)), pa.array(counts.astype(np.int64))], names=["unit", "n", "count"])
 
 
 def run_counts(df: DataFrame, text: str, longest: int = LONGEST) -> DataFrame:
     """unit (syllables joined by one space), n (syllables), count: all runs of one to `longest` syllables. Counting begins inside the
-    tasks, so a frequent syllable is one row a task."""
-    runs = df.select(F.explode(syllable_runs(F.col(text))).alias("s"))
-    grams = lambda n: F.when(F.size("s") >= n, F.transform(F.sequence(F.lit(1), F.size("s") - (n - 1)), lambda i: F.struct(F.array_join(F.slice("s", i, n), " ").alias("unit"), F.lit(n).alias("n")))).otherwise(F.array().cast("array<struct<unit: string, n: int>>"))
-    each = runs.select(F.explode(F.concat(*[grams(n) for n in range(1, longest + 1)])).alias("g")).select("g.*")
-    return each.groupBy("unit", "n").agg(F.count("*").alias("count"))
-
-
-def learnt_units(counts: DataFrame, least: int = LEAST, attraction: float = ATTRACTION, most: int = MAX_UNITS) -> DataFrame:
+    tasks, in blocks of about CHUNK bytes of text, so a frequent syllable is one row a task."""
+    small_batches(df.sparkSession)
+    rows = spread(df.select(text)).select(syllable_runs(F.col(text)).alias("runs"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch.column("runs").flatten())
+            size += held[-1].nbytes
+            if size >= CHUNK:
+                yield from counted(pa.concat_arrays(held), longest)
+                held, size = [], 0
+        if size:
+            yield from counted(pa.concat_arrays(held), longest)
+
+    each = rows.mapInArrow(run, "unit string, n int, count long")
+    return each.groupBy("unit", "n").agg(F.sum("count").alias("count"))
+
+
+def learnt_units(counts: DataFrame, least: int = LEAST, attraction: float = ATTRACTION, most: int | None = None) -> DataFrame:
     """unit, n, count, score of the units: every frequent syllable, and every frequent run whose best split into two is still
-    unlikely by chance. Of more than `most`, the most frequent ones."""
+    unlikely by chance. If `most` is given, that many of the most frequent ones at most."""
     known = counts.where(F.col("count") >= least)
     total = counts.where("n = 1").agg(F.sum("count").cast("double").alias("total"))
     words = F.split("unit", " ")
@@ -58,7 +95,8 @@ def learnt_units(counts: DataFrame, least: int = LEAST, attraction: float = ATTR
     score = F.log(F.col("count") * F.col("total") / (F.col("n_a") * F.col("n_b")))
     best = met.groupBy("unit", "n", "count").agg(F.min(score).alias("score")).where(F.col("score") >= attraction)
     single = known.where("n = 1").withColumn("score", F.lit(0.0))
-    return single.unionByName(best).orderBy(F.desc("count"), "unit").limit(most)
+    units = single.unionByName(best)
+    return units if most is None else units.orderBy(F.desc("count"), "unit").limit(most)
 
 
 @dataclass
@@ -85,9 +123,9 @@ class Model:
         return out[::-1]
 
 
-def load_model(units: DataFrame, longest: int = LONGEST) -> Model:
-    """The model of learnt units (at most as many as learnt_units() keeps)."""
-    rows = units.select("unit", "count").collect()
+def load_model(units: DataFrame, longest: int = LONGEST, most: int = MAX_UNITS) -> Model:
+    """The model of the `most` most frequent of the learnt units."""
+    rows = units.select("unit", "count").orderBy(F.desc("count"), "unit").limit(most).collect()
     total = float(sum(r["count"] for r in rows)) or 1.0
     return Model({r["unit"]: log(r["count"] / total) for r in rows}, log(0.5 / total), longest)
 

@@ -36,6 +36,24 @@ def test_counts_equal_plain_ones(spark):
     assert segment.learnt_units(counts, 2, 1.0, most=3).count() == 3
 
 
+def test_all_units_are_learnt_and_the_model_is_bounded(spark):
+    counts = spark.range(segment.MAX_UNITS + 7).selectExpr("concat('s', id) AS unit", "1 AS n", "id + 5 AS count")
+    assert segment.learnt_units(counts).count() == segment.MAX_UNITS + 7
+    model = segment.load_model(segment.learnt_units(counts.limit(50)), most=3)
+    assert len(model.share) == 3
+
+
+def test_blocks_of_texts_add_up(spark, monkeypatch):
+    df = spark.createDataFrame([(t,) for t in TEXTS * 4], "text string").coalesce(1)
+    whole = {tuple(r) for r in segment.run_counts(df, "text").collect()}
+    monkeypatch.setattr(segment, "CHUNK", 1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        assert {tuple(r) for r in segment.run_counts(df, "text").collect()} == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def every_cut(model, syllables):
     best = None
     for marks in itertools.product([0, 1], repeat=len(syllables) - 1):
