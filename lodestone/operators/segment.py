@@ -35,6 +35,7 @@ CHUNK = 4 << 20
 #: What ends a run of syllables: all but letters, digits, underscores and blanks.
 OTHER = r"[^\p{L}\p{N}_ ]+"
 PY_SYLLABLE = re.compile(r"\w+")
+PY_RUN, PY_BLANKS = re.compile(r"\w+(?: +\w+)*"), re.compile(" +")
 
 
 def syllable_runs(text: Column) -> Column:
@@ -109,13 +110,17 @@ class Model:
 
     def cut(self, syllables: list[str]) -> list[int]:
         """Lengths (in syllables) of the units of the likeliest cut."""
-        n = len(syllables)
+        n, get, unknown = len(syllables), self.share.get, self.unknown
         best, back = [0.0] + [float("-inf")] * n, [0] * (n + 1)
         for end in range(1, n + 1):
-            for size in range(1, min(self.longest, end) + 1):
-                share = self.share.get(" ".join(syllables[end - size : end])) if size > 1 else self.share.get(syllables[end - 1], self.unknown)
-                if share is not None and best[end - size] + share >= best[end]:
-                    best[end], back[end] = best[end - size] + share, size
+            unit = syllables[end - 1]
+            top, size = best[end - 1] + get(unit, unknown), 1
+            for more in range(2, min(self.longest, end) + 1):
+                unit = f"{syllables[end - more]} {unit}"
+                share = get(unit)
+                if share is not None and best[end - more] + share >= top:
+                    top, size = best[end - more] + share, more
+            best[end], back[end] = top, size
         out = []
         while n:
             out.append(back[n])
@@ -132,22 +137,27 @@ def load_model(units: DataFrame, longest: int = LONGEST, most: int = MAX_UNITS)
 
 def segmented(model: Model, text: str) -> tuple[str, list[str]]:
     """The text with underscores inside units, and its units in lower case."""
-    spots = [(m.start(), m.end()) for m in PY_SYLLABLE.finditer(text)]
-    signs, units, a = list(text), [], 0
-    while a < len(spots):
-        b = a + 1
-        while b < len(spots) and text[spots[b - 1][1] : spots[b][0]].strip(" ") == "":
-            b += 1
-        syllables = [text[s:e].lower() for s, e in spots[a:b]]
-        at = 0
+    pieces, units, end = [], [], 0
+    for m in PY_RUN.finditer(text):
+        run = m.group()
+        signs, syllables = PY_BLANKS.split(run), PY_BLANKS.split(run.lower())
+        gaps = PY_BLANKS.findall(run)
+        pieces.append(text[end : m.start()])
+        end, at = m.end(), 0
         for size in model.cut(syllables):
-            units.append("_".join(syllables[at : at + size]))
-            for k in range(a + at, a + at + size - 1):
-                for i in range(spots[k][1], spots[k + 1][0]):
-                    signs[i] = "_"
+            if size == 1:
+                units.append(syllables[at])
+                pieces.append(signs[at])
+            else:
+                units.append("_".join(syllables[at : at + size]))
+                for k in range(at, at + size - 1):
+                    pieces += (signs[k], "_" * len(gaps[k]))
+                pieces.append(signs[at + size - 1])
             at += size
-        a = b
-    return "".join(signs), units
+            if at < len(signs):
+                pieces.append(gaps[at - 1])
+    pieces.append(text[end:])
+    return "".join(pieces), units
 
 
 def with_segments(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
