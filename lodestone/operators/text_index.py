@@ -23,14 +23,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import col
 
 from lodestone.functions.text import words
-from lodestone.functions.values import bm25_weight
 from lodestone.operators.search import DIGITS, Best, best_rows
-from lodestone.session import scratch, spread
+from lodestone.session import scratch, small_batches, spread
 
 #: Tokens and documents of a shard at most (a longer text is a shard of its own).
 MAX_TOKENS, MAX_DOCS = 1 << 20, 1 << 14
 #: Queries of one pass (they are sent to all tasks), and of a block of scores.
 PER_PASS, BLOCK = 4096, 128
+#: Bytes of a row group of shards.
+ROW_GROUP = 16 << 20
 K1, B = 1.2, 0.75
 
 
@@ -87,7 +88,9 @@ def write_shards(df: DataFrame, ident: str, text: str, path: str, payload: Seque
             yield out()
 
     made = rows.mapInArrow(run, f"docs array<{kind}>, terms array<string>, offsets array<int>, at array<int>, tf array<int>")
-    made.write.option("parquet.block.size", str(32 << 20)).parquet(f"{path}/shards")
+    # A shard is a row of some MB. Parquet looks at the size of a row group after 100 rows by default, and readers hold a row group.
+    each_row = {f"parquet.page.size.row.check.{end}": "1" for end in ("min", "max")}
+    made.write.options(**{"parquet.block.size": str(ROW_GROUP), **each_row}).parquet(f"{path}/shards")
     spark = df.sparkSession
     sums = spark.read.parquet(f"{path}/shards").select(F.size("docs").alias("n"), F.aggregate("docs", F.lit(0).cast("long"), lambda s, d: s + d["len"]).alias("len"))
     total = sums.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("documents"), (F.sum("len") / F.sum("n")).alias("mean_length"))
@@ -117,9 +120,26 @@ def postings(index: ShardedIndex) -> DataFrame:
 
 
 def weights_of(index: ShardedIndex) -> DataFrame:
-    """doc_id, weight: the sum of the weights of a document's terms; documents without a word have no row."""
-    p = postings(index)
-    return p.groupBy("doc_id").agg(F.sum(bm25_weight(col("tf"), col("doc_len"), F.lit(index.mean_length))).alias("weight"))
+    """doc_id, weight: the sum of the weights of a document's terms; documents without a word have no row. A document's postings
+    are in one shard, so they are added up inside it."""
+    mean = index.mean_length
+    small_batches(index.shards.sparkSession)
+    rows = index.shards.select(F.transform("docs", lambda d: d["id"]).alias("id"), F.transform("docs", lambda d: d["len"]).alias("len"), "at", "tf")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                ids, length, at, tf = (batch.column(c).slice(i, 1).flatten() for c in ("id", "len", "at", "tf"))
+                length, at = length.to_numpy(), at.to_numpy()
+                sums = np.bincount(at, posting_weights(tf.to_numpy().astype(np.float64), length[at], mean), len(ids))
+                some = pa.array(length > 0)
+                yield pa.RecordBatch.from_arrays([ids.filter(some), pa.array(sums).filter(some)], names=["doc_id", "weight"])
+
+    return rows.mapInArrow(run, "doc_id long, weight double").groupBy("doc_id").agg(F.sum("weight").alias("weight"))
+
+
+def posting_weights(tf: np.ndarray, length: np.ndarray, mean: float) -> np.ndarray:
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
 
 def search_shards(index: ShardedIndex, queries: DataFrame, k: int, where: Callable[[Column], Column] | None = None, per_pass: int = PER_PASS) -> DataFrame:
@@ -165,7 +185,7 @@ def score_shard(best: Best, part: Callable[[str], pa.Array], by_term: dict[str,
         return
     ids, length, offsets = part("id").to_numpy(zero_copy_only=False), part("len").to_numpy(), part("offsets").to_numpy()
     at, tf = part("at").to_numpy(), part("tf").to_numpy().astype(np.float64)
-    weights = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[at] / mean))
+    weights = posting_weights(tf, length[at], mean)
     queries, most, bound = len(best.scores), {}, np.zeros(len(best.scores))
     for j, q, idf in met:
         most[j] = weights[offsets[j] : offsets[j + 1]].max()

@@ -76,6 +76,24 @@ def test_postings_and_frequencies(spark, docs, frame):
     assert {r["term"]: r["df"] for r in text_index.frequencies(index, asked).collect()} == dict(df)
 
 
+def test_row_groups_of_shards_are_bounded(spark, docs, frame, tmp_path, monkeypatch):
+    """A row group ends with the shard that fills it, not after 100 shards; weights are those of the postings."""
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(text_index, "MAX_DOCS", 7)
+    monkeypatch.setattr(text_index, "ROW_GROUP", 1)
+    path = str(tmp_path / "index")
+    text_index.write_shards(frame.coalesce(1), "doc_id", "text", path)
+    metas = [pq.read_metadata(str(f)) for f in (tmp_path / "index" / "shards").glob("*.parquet")]
+    assert sum(m.num_rows for m in metas) > 50
+    assert max(m.row_group(i).num_rows for m in metas for i in range(m.num_row_groups)) <= 2
+    index = text_index.read_shards(spark, path)
+    toks = {i: re.findall(r"\w+", (t or "").lower()) for i, t, _ in docs}
+    mean = sum(map(len, toks.values())) / len(toks)
+    want = {i: sum(min(n, 65535) * 2.2 / (min(n, 65535) + 1.2 * (0.25 + 0.75 * len(w) / mean)) for n in Counter(w).values()) for i, w in toks.items() if w}
+    assert {r["doc_id"]: r["weight"] for r in text_index.weights_of(index).collect()} == pytest.approx(want)
+
+
 def test_queries_that_cannot_win_are_skipped(spark, monkeypatch):
     """The second shard's best possible score is below the first one's k-th."""
     docs = spark.createDataFrame([(i, "cat " * 5) for i in range(50)] + [(100 + i, "cat" + " dog" * 400) for i in range(50)], "doc_id long, text string").coalesce(1)
