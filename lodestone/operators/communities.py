@@ -5,14 +5,16 @@ of the next level's smaller graph, until none is merged. Labels are read back th
 their connected parts, which never lowers modularity. Levels start anew from the labels reached, MAX_SWEEPS times at most or until
 no node moves.
 
-Conflicts: rounds are of two kinds, in turn while many nodes wait. In one, a hash of community and round lets about half of the communities only send,
-the others only receive. What a node gains by moving then changes with other moves of the round only through the sizes of its
-old and its new community: by at most k * K / 2m for other movers of total degree K (edges between movers can only help). A
-move is made if its gain exceeds that loss over all movers from its community and into its new one, or if it is the best one
-of both, which then counts as the first; so many nodes move at once. In the other kind, all may send and receive, and a move is
-made if it is the best one of all that touch its two communities; so the best move of all is always made, and the last nodes
-need not wait for their colour. Either way modularity never falls, without windows or sorting: a round is a fixed number of
-joins and aggregates over edges and nodes.
+Conflicts: what a node gains by moving changes with other moves of the round in two ways. The sizes of its old and its new community
+change, by at most k * K / 2m for other movers of total degree K; and a neighbour may leave the community that the node moves to, or
+move to the one it leaves, at the cost of the edge. Moves have an order, the highest gain first, and a move is made if its gain exceeds
+what all earlier ones can cost it; the first one of both its communities is always made. So the moves of a round together never lower
+modularity, most of them are made at once, and there are no windows and no sorting: a round is a fixed number of joins and aggregates
+over edges and nodes. In the first round of a large level, where every node is alone and would follow one that leaves, a hash of
+community and round lets about half of the communities only send, the others only receive; then no edge can be lost.
+
+The last few moves of a level take as many rounds as the first thousands. So a level of a sweep that another one follows goes on to the
+next level while a small share of its nodes still waits; the last sweep settles every level.
 """
 
 from __future__ import annotations
@@ -29,8 +31,10 @@ LEAST_GAIN = 1e-9
 MAX_ROUNDS, MAX_SWEEPS = 60, 2
 #: Copies of the graph that are tried at once.
 TRIES = 4
-#: Nodes with a better community from which on rounds with colours pay.
+#: Nodes of a level from which on a first round with colours pays.
 MANY = 500
+#: Share of a level's nodes that may wait for the next sweep.
+LATE = 0.01
 
 
 def symmetric(pairs: DataFrame) -> DataFrame:
@@ -56,44 +60,50 @@ def moved(edges: DataFrame, nodes: DataFrame, total: float, seed: int, coloured:
     gain = lambda c: -F.col(f"{c}.cost") - stay
     wishes = best.select("a", "k", "c", F.col("now.to").alias("to"), gain("now").alias("gain"), F.coalesce(gain("any") > LEAST_GAIN, F.lit(False)).alias("open"))
     wishes = materialize(wishes, "wishes")
-    made = (sent if coloured else apart)(wishes.where(F.col("gain") > LEAST_GAIN), total).select(F.col("a").alias("node"), F.col("to").alias("new"))
+    movers = wishes.where(F.col("gain") > LEAST_GAIN)
+    made = allowed(movers, None if coloured else edges, total).select(F.col("a").alias("node"), F.col("to").alias("new"))
     rest = nodes.select("node", "k", "c").join(made, "node", "left").join(wishes.select(F.col("a").alias("node"), "open"), "node", "left")
     out = materialize(rest.select("node", "k", F.coalesce("new", "c").alias("c"), F.coalesce("open", F.lit(False)).alias("open")), "nodes")
     release(wishes)
     return out
 
 
-def first() -> Column:
-    return F.min(F.struct((-F.col("gain")).alias("gain"), F.xxhash64("a").alias("h"), "a"))["a"]
-
-
-def sent(movers: DataFrame, total: float) -> DataFrame:
-    """Of moves from sending to receiving communities, those that gain whatever the others do."""
-    out_ = movers.groupBy("c").agg(F.sum("k").alias("k_out"), first().alias("first_out"))
-    in_ = movers.groupBy("to").agg(F.sum("k").alias("k_in"), first().alias("first_in"))
-    loss = F.col("k") * (F.col("k_out") + F.col("k_in") - 2 * F.col("k")) / total
-    return movers.join(out_, "c").join(in_, "to").where((F.col("gain") > loss + LEAST_GAIN) | ((F.col("first_out") == F.col("a")) & (F.col("first_in") == F.col("a"))))
-
-
-def apart(movers: DataFrame, total: float) -> DataFrame:
-    """Moves that no other move touches: the best ones of both their communities."""
-    touched = movers.select("a", "gain", F.explode(F.array("c", "to")).alias("t")).groupBy("t").agg(first().alias("f"))
-    both = movers.join(touched.toDF("c", "f_out"), "c").join(touched.toDF("to", "f_in"), "to")
-    return both.where((F.col("f_out") == F.col("a")) & (F.col("f_in") == F.col("a")))
-
-
-def settled(edges: DataFrame, nodes: DataFrame, total: float, rounds: int, seed: int) -> tuple[DataFrame, bool]:
-    """Rounds until no node has a better community; also whether any node moved."""
-    any_, start, waiting = False, nodes, nodes.count()
+def place() -> Column:
+    """The order of moves: the highest gain first."""
+    return F.struct((-F.col("gain")).alias("gain"), F.xxhash64("a").alias("h"), "a")
+
+
+def allowed(movers: DataFrame, edges: DataFrame | None, total: float) -> DataFrame:
+    """Of moves that are to be made at once, those that gain more than they can lose by the moves before them. Without `edges`, no
+    move goes to a community that another one leaves."""
+    part = lambda t, out, into: F.struct(F.col(t).alias("t"), out.alias("out"), into.alias("into"))
+    none = F.lit(0.0)
+    each = movers.withColumn("place", place()).select("place", F.explode(F.array(part("c", F.col("k"), none), part("to", none, F.col("k")))).alias("x")).select("place", "x.*")
+    touched = each.groupBy("t").agg(F.sum("out").alias("out"), F.sum("into").alias("into"), F.min("place")["a"].alias("first"))
+    ends = movers.join(touched.select(F.col("t").alias("c"), "out", F.col("first").alias("first_out")), "c").join(touched.select(F.col("t").alias("to"), "into", F.col("first").alias("first_in")), "to")
+    loss = F.col("k") * (F.col("out") + F.col("into") - 2 * F.col("k")) / total
+    if edges is not None:
+        end = lambda x: movers.select(F.col("a").alias(x), F.col("c").alias(f"c{x}"), F.col("to").alias(f"to{x}"), place().alias(f"place{x}"))
+        lost = (F.col("toa") == F.col("cb")).cast("int") + (F.col("tob") == F.col("ca")).cast("int")
+        pairs = edges.join(end("a"), "a").join(end("b"), "b").where((F.col("placeb") < F.col("placea")) & (lost > 0))
+        ends = ends.join(pairs.groupBy("a").agg(F.sum(F.col("w") * lost).alias("lost")), "a", "left")
+        loss = loss + F.coalesce("lost", F.lit(0.0))
+    return ends.where((F.col("gain") > loss + LEAST_GAIN) | ((F.col("first_out") == F.col("a")) & (F.col("first_in") == F.col("a"))))
+
+
+def settled(edges: DataFrame, nodes: DataFrame, total: float, rounds: int, seed: int, alone: bool = True, late: float = 0.0) -> tuple[DataFrame, bool]:
+    """Rounds until no node, or no more than the share `late` of them, has a better community; also whether any node had one.
+    `alone`: each node is a community of its own."""
+    any_, start, n = False, nodes, nodes.count()
     for r in range(rounds):
-        new = moved(edges, nodes, total, seed + r, r % 2 == 0 and waiting >= MANY)
+        new = moved(edges, nodes, total, seed + r, alone and r == 0 and n >= MANY)
         waiting = new.where("open").count()
         if nodes is not start:
             release(nodes)
         nodes = new
-        if not waiting:
+        any_ = any_ or waiting > 0
+        if waiting <= late * n:
             break
-        any_ = True
     return nodes, any_
 
 
@@ -126,14 +136,15 @@ def modular_communities(pairs: DataFrame, rounds: int = MAX_ROUNDS, sweeps: int
         return start.select("node.id", F.col("c.id").alias("community")).toDF("node", "community")
     nodes = start
     for sweep in range(sweeps):
-        found, any_ = settled(base, nodes, total, rounds, seed + 1000 * sweep)
+        late = LATE if sweep + 1 < sweeps else 0.0
+        found, any_ = settled(base, nodes, total, rounds, seed + 1000 * sweep, not sweep, late)
         if sweep and not any_:
             release(found)
             break
         labels, level = found, 1
         e, n = contracted(base, labels)
         while not e.isEmpty():
-            parts, any_ = settled(e, n, total, rounds, seed + 1000 * sweep + 100 * level)
+            parts, any_ = settled(e, n, total, rounds, seed + 1000 * sweep + 100 * level, late=late)
             if not any_:
                 release(parts)
                 break

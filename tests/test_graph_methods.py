@@ -91,6 +91,14 @@ def test_rounds_never_lower_modularity(spark):
     assert before > 0.15
 
 
+def test_moves_into_one_community_are_made_together(spark):
+    cliques = [(a + 10 * c, b + 10 * c) for c in range(2) for a, b in itertools.combinations(range(6), 2)]
+    base = communities.symmetric(spark.createDataFrame(cliques + [(i, 100 + i) for i in range(4)], "a long, b long")).persist()
+    nodes = base.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("k")).withColumn("c", F.when(F.col("node") < 10, 0).when(F.col("node") < 20, 10).otherwise(F.col("node")))
+    got = {r["node"]: r["c"] for r in communities.moved(base, nodes, 68.0, 0, False).collect()}
+    assert [got[100 + i] for i in range(4)] == [0] * 4
+
+
 def test_no_edge_no_community(spark):
     assert communities.modular_communities(spark.createDataFrame([], "a long, b long")).isEmpty()
     assert communities.modular_communities(spark.createDataFrame([(3, 3)], "a long, b long")).isEmpty()
