@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -44,7 +44,7 @@ def scopes() -> dict[str, Column]:
 SPLIT = 1_000_000
 #: Numbers of large groups that are broadcast (16 bytes each).
 MAX_LISTED = 1 << 20
-#: Rows of whole groups that a task orders at once.
+#: Rows of whole areas that a task orders at once.
 AT_ONCE = 1 << 18
 #: The quantiles of each measure.
 QUANTILES = {"price_m2_mil": (0.25, 0.5, 0.75), "price_vnd": (0.5,), "area_m2": (0.5,)}
@@ -66,44 +66,67 @@ def narrow(c: Column) -> Column:
     return F.when(c > 0, steps(c) + (1 << 20)).when(c < 0, -steps(-c) - (1 << 20)).otherwise(0)
 
 
-def quantiles_in_batches(rows: DataFrame, measures: dict[str, tuple[float, ...]]) -> DataFrame:
-    """gid and the quantiles of groups that fit in memory. `rows` must be dealt by gid (by repartition(), whose partitions adaptive
-    execution never splits); the JVM sorts it by that number alone, and each
-    task orders the values of as many whole groups as a few batches hold, a measure at a time."""
+#: The sets of groups of an area and deal: by type, by month.
+SETS = ((True, True), (True, False), (False, True), (False, False))
+
+
+def quantiles_in_batches(rows: DataFrame, measures: dict[str, tuple[float, ...]], least: int) -> DataFrame:
+    """k, t, m, n and the quantiles of the groups of rows that meet in a carrier (k, c), which fits in memory. `sets` are the bits of
+    the SETS that a row counts for; a group by all types or months has ALL for their number. `rows` must be dealt by carrier (by
+    repartition(), whose partitions adaptive execution never splits); the JVM sorts it by carrier, and each task orders the
+    values of as many whole carriers as a few batches hold, a set and a measure at a time."""
     names = [slot(m, q) for m, qs in measures.items() for q in qs]
 
-    def quantiles(gid: np.ndarray, values: dict[str, np.ndarray]) -> pa.RecordBatch:
-        starts = np.flatnonzero(np.concatenate(([True], gid[1:] != gid[:-1])))
-        counts = np.diff(np.append(starts, len(gid)))
-        out = []
-        for m, qs in measures.items():
-            v = values[m][np.lexsort((values[m], gid))]
-            for q in qs:
-                at = (counts - 1) * q
-                low = np.floor(at).astype(np.int64)
-                a, b = v[starts + low], v[starts + np.minimum(low + 1, counts - 1)]
-                out.append(a + (b - a) * (at - low))
-        return pa.RecordBatch.from_arrays([pa.array(gid[starts]), *map(pa.array, out)], names=["gid", *names])
+    def quantiles(x: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        area = np.cumsum(np.concatenate(([0], (x["k"][1:] != x["k"][:-1]).astype(np.int64))))
+        (types, t), (months, m) = (np.unique(x[c], return_inverse=True) for c in "tm")
+        for i, (by_type, by_month) in enumerate(SETS):
+            at = np.flatnonzero(x["sets"] & (1 << i))
+            if not len(at):
+                continue
+            code = area[at]
+            if by_type:
+                code = code * len(types) + t[at]
+            if by_month:
+                code = code * len(months) + m[at]
+            order = np.argsort(code, kind="stable")
+            starts = np.flatnonzero(np.concatenate(([True], code[order][1:] != code[order][:-1])))
+            counts = np.diff(np.append(starts, len(at)))
+            whole = counts >= least
+            starts, counts, out = starts[whole], counts[whole], []
+            one = at[order[starts]]
+            for measure, qs in measures.items():
+                v = x[measure][at]
+                v = v[np.lexsort((v, code))]
+                for q in qs:
+                    rank = (counts - 1) * q
+                    low = np.floor(rank).astype(np.int64)
+                    lower, upper = v[starts + low], v[starts + np.minimum(low + 1, counts - 1)]
+                    out.append(lower + (upper - lower) * (rank - low))
+            all_ = np.full(len(one), ALL)
+            keys = [x["k"][one], x["t"][one] if by_type else all_, x["m"][one] if by_month else all_, counts]
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, keys + out)), names=["k", "t", "m", "n", *names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        columns = lambda t: {c: t.column(c).to_numpy() for c in t.column_names}
         for batch in batches:
             if len(batch):
                 held.append(batch)
             if sum(map(len, held)) < AT_ONCE:
                 continue
             t = pa.Table.from_batches(held)
-            gid = t.column("gid").to_numpy()
-            last = int(np.searchsorted(gid, gid[-1]))  # the last group may go on in the next batch
-            if last:
-                yield quantiles(gid[:last], {m: t.column(m).to_numpy()[:last] for m in measures})
+            k, c = t.column("k").to_numpy(), t.column("c").to_numpy()
+            ends = np.flatnonzero((k[1:] != k[:-1]) | (c[1:] != c[:-1]))
+            if len(ends):
+                last = int(ends[-1]) + 1  # the last carrier may go on in the next batch
+                yield from quantiles(columns(t.slice(0, last)))
                 held = t.slice(last).to_batches()
         if held:
-            t = pa.Table.from_batches(held)
-            yield quantiles(t.column("gid").to_numpy(), {m: t.column(m).to_numpy() for m in measures})
+            yield from quantiles(columns(pa.Table.from_batches(held)))
 
-    sorted_ = rows.select("gid", *[F.col(m).cast("double").alias(m) for m in measures]).sortWithinPartitions("gid")
-    return sorted_.mapInArrow(run, ", ".join(["gid long", *[f"{n} double" for n in names]]))
+    sorted_ = rows.select("k", "c", "t", "m", "sets", *[F.col(m).cast("double").alias(m) for m in measures]).sortWithinPartitions("k", "c")
+    return sorted_.mapInArrow(run, ", ".join(["k long, t long, m long, n long", *[f"{n} double" for n in names]]))
 
 
 def quantiles_by_ranges(rows: DataFrame, measures: dict[str, tuple[float, ...]]) -> DataFrame:
@@ -126,51 +149,101 @@ def quantiles_by_ranges(rows: DataFrame, measures: dict[str, tuple[float, ...]])
     return values.groupBy("gid").agg(*[F.sum(F.when(w > 0, w * F.col("v"))).alias(slot(m, q)) for (m, q), w in weight.items()])
 
 
-def market_stats(view: DataFrame, least: int = 5, deals: tuple[str, ...] = ("sale", "rent"), split: int = SPLIT) -> DataFrame:
-    """Scope x area x type|ALL x month|ALL x deal, for groups of at least `least` rows.
-
-    Groups are counted first, by plain hash aggregates. A row then travels once for each of its groups, as the group's number and
-    three values; groups above `split` rows do not meet in a task. Numbers are hashes of the keys; that they are distinct is checked, and another
+#: The number that stands for all types or all months.
+ALL = 0
+
+
+def number(seed: int, *c: Column) -> Column:
+    return F.xxhash64(F.lit(seed), *[F.coalesce(x, F.lit("\u0000")) for x in c])
+
+
+def group_number(t: Column, m: Column) -> Column:
+    return F.xxhash64("k", t, m)
+
+
+def carried(rows: DataFrame, sets: int, large: DataFrame | None, listed: bool = True) -> DataFrame:
+    """k, c, t, m, sets and measures: the carriers that a row (k, t, m, measures) is sent to, with the SETS (bits) it counts for there.
+    A row goes once, to its area, where all of it fits; else to its type and its month, as far as those fit. `large`: k, t, m."""
+    if large is None:
+        return rows.withColumns({"c": F.lit(0).cast("long"), "sets": F.lit(sets)})
+    own = rows
+    for i, (t, m) in enumerate(SETS):
+        one = large.where(F.col("t").__ne__(ALL) if t else F.col("t") == ALL).where(F.col("m").__ne__(ALL) if m else F.col("m") == ALL)
+        on = ["k", *["t"] * t, *["m"] * m]
+        one = one.select(*on, F.lit(True).alias(f"large{i}"))
+        own = own.join(F.broadcast(one) if listed else one, on, "left")
+    fits = lambda i: F.lit(bool(sets >> i & 1)) & F.col(f"large{i}").isNull()
+    finest, by_type, by_month = fits(0), fits(1), fits(2)
+    all_ = F.lit(ALL).cast("long")
+    send = lambda ok, c, bits: F.when(ok, F.struct(c.alias("c"), bits.cast("int").alias("sets")))
+    apart = F.array_compact(F.array(
+        send(by_month, group_number(all_, F.col("m")), F.lit(4) + finest.cast("int")),
+        send(by_type, group_number(F.col("t"), all_), F.lit(2) + (finest & ~by_month).cast("int")),
+        send(finest & ~by_month & ~by_type, group_number(F.col("t"), F.col("m")), F.lit(1)),
+    ))
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("c"), F.lit(sets).alias("sets")))
+    each = F.when(F.col("large3").isNull(), whole).otherwise(apart)
+    return own.withColumn("x", F.explode(each)).select(*rows.columns, "x.*")
+
+
+def market_stats(
+    view: DataFrame, least: int = 5, deals: tuple[str, ...] = ("sale", "rent"), split: int = SPLIT, of: tuple[str, ...] | None = None,
+    area: Callable[[Column], Column] | None = None, by: tuple[tuple[bool, bool], ...] = SETS, measures: dict[str, tuple[float, ...]] | None = None,
+) -> DataFrame:
+    """Scope x area x type|ALL x month|ALL x deal, for groups of at least `least` rows. Where only some are wanted: `of` names scopes,
+    `area` is a condition on area keys, `by` the SETS; with `measures` {} the groups come with their n alone.
+
+    Areas are counted first, by plain hash aggregates. A row then travels once for each scope, as the numbers of its area, type and
+    month and its values, and all groups of an area are made where its rows meet. An area above `split` rows is sent by month and by
+    type; groups that are above it themselves do not meet in a task. Numbers are hashes; that they are distinct is checked, and another
     seed is taken if not.
     """
-    parts = ["scope", "area_key", "deal_type", "property_type", "month"]
-    rows = view.where(F.col("price_m2_mil").isNotNull() & F.col("deal_type").isin(*deals)).select(
-        F.explode(F.array(*[F.struct(F.lit(s).alias("scope"), k.alias("area_key")) for s, k in scopes().items()])).alias("a"),
-        "deal_type", "property_type", "month", *QUANTILES,
-    ).select("a.*", "deal_type", "property_type", "month", *QUANTILES).where("area_key IS NOT NULL")
-    k = [F.col(c) for c in parts[:3]]
-    sets = [[*k, F.col("property_type"), F.col("month")], [*k, F.col("property_type")], [*k, F.col("month")], k]
-    # The finest groups are counted, and the others from their counts.
-    finest = rows.groupBy(*parts).agg(F.count("*").alias("c"))
-    counted = finest.groupingSets(sets, *[F.col(c) for c in parts]).agg(F.grouping("property_type").alias("__t"), F.grouping("month").alias("__m"), F.sum("c").alias("n"))
-    text = lambda c: F.coalesce(F.col(c), F.lit("\u0000"))
-    number = lambda seed, t, m: F.xxhash64(F.lit(seed), *k, F.lit("\u0001") if t is None else t, F.lit("\u0001") if m is None else m)
-    groups = materialize(counted.where(F.col("n") >= least), "groups")
+    measures = QUANTILES if measures is None else measures
+    sets = sum(1 << SETS.index(x) for x in set(by))
+    scope = {s: k for s, k in scopes().items() if of is None or s in of}
+    wanted = lambda a: a["area_key"].isNotNull() & (area(a["area_key"]) if area else F.lit(True))
+    deal = view.where(F.col("price_m2_mil").isNotNull() & F.col("deal_type").isin(*deals))
+    rows = deal.select(
+        F.explode(F.filter(F.array(*[F.struct(F.lit(s).alias("scope"), k.alias("area_key")) for s, k in scope.items()]), wanted)).alias("a"),
+        "deal_type", "property_type", "month", *measures,
+    ).select("a.*", "deal_type", "property_type", "month", *measures)
+    areas = materialize(rows.groupBy("scope", "area_key", "deal_type").agg(F.count("*").alias("size")), "areas")
+    texts = materialize(deal.select(F.explode(F.array("property_type", "month")).alias("text")).distinct(), "texts")
     for seed in range(8):
-        all_ = F.lit("\u0001")
-        own = groups.withColumn("gid", number(seed, F.when(F.col("__t") == 1, all_).otherwise(text("property_type")), F.when(F.col("__m") == 1, all_).otherwise(text("month"))))
-        if own.groupBy("gid").count().where("count > 1").isEmpty():
+        own = areas.withColumn("k", number(seed, F.col("scope"), F.col("area_key"), F.col("deal_type")))
+        text = texts.select("text", number(seed, F.col("text")).alias("number"))
+        clash = own.select("k").groupBy("k").count().unionByName(text.unionByName(own.sparkSession.range(1).select(F.lit(None).cast("string").alias("text"), F.lit(ALL).cast("long").alias("number"))).select(F.col("number").alias("k")).groupBy("k").count())
+        if clash.where("count > 1").isEmpty():
             break
     else:
         raise ValueError("the numbers of two groups clash under every seed")
-    each = F.array(*[number(seed, t, m) for t in (text("property_type"), None) for m in (text("month"), None)])
-    members = rows.select(F.explode(each).alias("gid"), *QUANTILES)
-    large = own.where(F.col("n") > split).select("gid", "n")
-    n_large = large.count()
-    if n_large:
-        # At most one group in `split` rows is large, so their list is short; beyond MAX_LISTED it is joined as any other table.
-        listed = F.broadcast(large) if n_large <= MAX_LISTED else large
-        found = quantiles_in_batches(members.join(listed, "gid", "left_anti").repartition("gid"), QUANTILES)
-        found = found.unionByName(quantiles_by_ranges(members.join(listed, "gid"), QUANTILES))
+    dealt = rows.select(number(seed, F.col("scope"), F.col("area_key"), F.col("deal_type")).alias("k"), number(seed, F.col("property_type")).alias("t"), number(seed, F.col("month")).alias("m"), *measures)
+    big = own.where(F.col("size") > split).select("k")
+    n_big = big.count()
+    if n_big:
+        # At most one area in `split` rows is large, so their list is short; beyond MAX_LISTED it is joined as any other table.
+        inside = dealt.join(F.broadcast(big) if n_big <= MAX_LISTED else big, "k").groupBy("k", "t", "m").agg(F.count("*").alias("c"))
+        pick = lambda c, use: F.col(c) if use else F.lit(ALL).cast("long").alias(c)
+        level = [inside.groupBy("k", pick("t", t), pick("m", m)).agg(F.sum("c").alias("n")).where(F.col("n") > split) for t, m in SETS]
+        large = materialize(reduce(DataFrame.unionByName, level).select("k", "t", "m", "n"), "large")
+        listed = large.count() <= MAX_LISTED
+        found = quantiles_in_batches(carried(dealt, sets, large.drop("n"), listed).repartition("k", "c"), measures, least)
+        asked = [F.array(F.when(F.lit(t), F.col("t")).otherwise(ALL), F.when(F.lit(m), F.col("m")).otherwise(ALL)) for i, (t, m) in enumerate(SETS) if sets >> i & 1]
+        members = dealt.select("k", *measures, F.explode(F.array(*asked)).alias("x")).select("k", F.col("x")[0].alias("t"), F.col("x")[1].alias("m"), *measures)
+        groups = large.where(F.col("n") >= least).withColumn("gid", F.xxhash64("k", "t", "m"))
+        if measures:
+            kept = quantiles_by_ranges(members.join(F.broadcast(groups) if listed else groups, ["k", "t", "m"]), measures)
+            groups = groups.join(kept, "gid")
+        else:
+            groups = groups.where(reduce(lambda a, b: a | b, ((F.col("t").__ne__(ALL) == F.lit(t)) & (F.col("m").__ne__(ALL) == F.lit(m)) for i, (t, m) in enumerate(SETS) if sets >> i & 1)))
+        found = found.unionByName(groups.drop("gid"))
     else:
-        found = quantiles_in_batches(members.repartition("gid"), QUANTILES)
-    kind = F.when(F.col("__t") == 1, "ALL").otherwise(F.col("property_type"))
-    mon = F.when(F.col("__m") == 1, "ALL").otherwise(F.col("month"))
-    return own.join(found, "gid").select(
-        "scope", "area_key", kind.alias("property_type"), mon.alias("month"), "deal_type", "n", F.col(slot("price_m2_mil", 0.5)).alias("median_price_m2_mil"),
-        F.col(slot("price_m2_mil", 0.25)).alias("p25_price_m2_mil"), F.col(slot("price_m2_mil", 0.75)).alias("p75_price_m2_mil"),
-        F.col(slot("price_vnd", 0.5)).alias("median_price_vnd"), F.col(slot("area_m2", 0.5)).alias("median_area_m2"),
-    ).where(F.col("month").isNotNull())
+        found = quantiles_in_batches(carried(dealt, sets, None).repartition("k", "c"), measures, least)
+    named = found.join(own.drop("size"), "k")
+    for c, out in (("t", "property_type"), ("m", "month")):
+        named = named.join(text.select(F.col("number").alias(c), F.col("text").alias(out)), c, "left").withColumn(out, F.when(F.col(c) == ALL, "ALL").otherwise(F.col(out)))
+    wide = {"median_price_m2_mil": ("price_m2_mil", 0.5), "p25_price_m2_mil": ("price_m2_mil", 0.25), "p75_price_m2_mil": ("price_m2_mil", 0.75), "median_price_vnd": ("price_vnd", 0.5), "median_area_m2": ("area_m2", 0.5)}
+    return named.select("scope", "area_key", "property_type", "month", "deal_type", "n", *[F.col(slot(*x)).alias(c) for c, x in wide.items() if x[1] in measures.get(x[0], ())]).where(F.col("month").isNotNull())
 
 
 def missing_rates(df: DataFrame, columns: list[str]) -> DataFrame:

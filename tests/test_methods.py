@@ -93,6 +93,30 @@ def test_market_cube_by_ranges_equals_that_by_sorting(spark):
     assert market.market_stats(v.limit(0)).count() == 0
 
 
+def test_rows_of_the_cube_travel_once_for_an_area_that_fits(spark):
+    rows = spark.createDataFrame([(1, 5, 7, 1.0), (1, 6, 7, 2.0), (2, 5, 8, 3.0)], "k long, t long, m long, price_m2_mil double")
+    assert sorted((r["k"], r["t"], r["c"], r["sets"]) for r in market.carried(rows, 15, None).collect()) == [(1, 5, 0, 15), (1, 6, 0, 15), (2, 5, 0, 15)]
+    large = spark.createDataFrame([(1, market.ALL, market.ALL)], "k long, t long, m long")
+    bits = sorted((r["k"], r["t"], r["sets"]) for r in market.carried(rows, 15, large).collect())
+    assert bits == [(1, 5, 2), (1, 5, 5), (1, 6, 2), (1, 6, 5), (2, 5, 15)]
+
+
+def test_wanted_groups_equal_those_of_the_whole_cube(spark):
+    from lodestone.plans.bindings import view
+
+    v = view(spark, "/root/testdata/sf0.001").persist()
+    whole = [r.asDict() for r in market.market_stats(v).collect()]
+    for split in (1 << 40, 60, 0):
+        some = market.market_stats(v, deals=("sale",), split=split, of=("province", "district"), area=lambda k: k.startswith("A"), by=((False, True),))
+        want = {(r["area_key"], r["month"]): r for r in whole if r["scope"] in ("province", "district") and r["area_key"].startswith("A") and r["deal_type"] == "sale" and r["property_type"] == "ALL" and r["month"] != "ALL"}
+        got = {(r["area_key"], r["month"]): r.asDict() for r in some.collect()}
+        assert got.keys() == want.keys() and len(got) > 5
+        assert all(got[k]["n"] == want[k]["n"] and got[k]["median_price_m2_mil"] == pytest.approx(want[k]["median_price_m2_mil"]) for k in got)
+        assert {(r["scope"], r["area_key"], r["property_type"], r["month"], r["deal_type"], r["n"]) for r in market.market_stats(v, split=split, measures={}).collect()} == {
+            (r["scope"], r["area_key"], r["property_type"], r["month"], r["deal_type"], r["n"]) for r in whole}
+    v.unpersist()
+
+
 def test_names_lose_prefixes_and_places(spark):
     rows = [("Chung cư Sunrise City", "Quận 7", "Hồ Chí Minh", 5), ("Khu đô thị Ecopark Hưng Yên", "Văn Giang", "Hưng Yên", 9), ("The Park", "Quận 1", "Hồ Chí Minh", 2), ("Can ho", "Quận 1", "Hồ Chí Minh", 1)]
     df = spark.createDataFrame([r[:3] for r in rows for _ in range(r[3])], "project string, district string, province string")
