@@ -253,7 +253,7 @@ def f18_row_cap(spark, d):
 @query(with_listings("SELECT area_key, n::BIGINT AS n FROM ms WHERE starts_with(area_key, (SELECT min(r_name) FROM region WHERE r_regionkey = 1) || '|') AND scope = 'district' AND month = 'ALL' AND property_type = 'ALL' AND deal_type = 'sale' AND n >= 20", KEYED, MARKET))
 def f19_prefix_and_exclusion(spark, d):
     top = table(spark, d, "region").where("r_regionkey = 1").first()["r_name"]
-    m = market.market_stats(view(spark, d))
+    m = market.market_stats(view(spark, d), deals=("sale",), of=("district",), area=lambda k: k.startswith(top + "|"), by=((False, False),), measures={})
     return m.where(F.col("area_key").startswith(top + "|") & (F.col("scope") == "district") & (F.col("month") == "ALL") & (F.col("property_type") == "ALL") & (F.col("deal_type") == "sale") & (F.col("n") >= 20)).select("area_key", "n")
 
 
