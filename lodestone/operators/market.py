@@ -48,6 +48,8 @@ MAX_LISTED = 1 << 20
 AT_ONCE = 1 << 18
 #: The quantiles of each measure.
 QUANTILES = {"price_m2_mil": (0.25, 0.5, 0.75), "price_vnd": (0.5,), "area_m2": (0.5,)}
+#: The one that series and comparisons read.
+MEDIAN = {"price_m2_mil": (0.5,)}
 
 
 def slot(measure: str, q: float) -> str:

@@ -622,13 +622,13 @@ def c27_names_within(spark, d):
 @query(with_listings("SELECT month, n, round(median_price_m2_mil, 4) AS median_price_m2_mil FROM ms WHERE area_key = (SELECT min(r_name) FROM region WHERE r_regionkey = 2) AND month <> 'ALL' AND property_type = 'ALL' AND deal_type = 'sale'", *G_MS))
 def c28_market_series(spark, d):
     top = table(spark, d, "region").where("r_regionkey = 2").first()["r_name"]
-    return rounded(market.series(market.market_stats(view(spark, d), deals=("sale",), area=lambda k: k == top, by=((False, True),)), top))
+    return rounded(market.series(market.market_stats(view(spark, d), deals=("sale",), area=lambda k: k == top, by=((False, True),), measures=market.MEDIAN), top))
 
 
 @query(with_listings("SELECT area_key, n, round(median_price_m2_mil, 4) AS median_price_m2_mil FROM ms WHERE scope = 'district' AND starts_with(area_key, (SELECT min(r_name) FROM region WHERE r_regionkey = 2) || '|') AND month = 'ALL' AND property_type = 'ALL' AND deal_type = 'sale' AND n >= 20 ORDER BY ms.median_price_m2_mil DESC, area_key LIMIT 10", *G_MS))
 def c28_child_areas(spark, d):
     top = table(spark, d, "region").where("r_regionkey = 2").first()["r_name"]
-    return rounded(market.children(market.market_stats(view(spark, d), deals=("sale",), of=("district",), area=lambda k: k.startswith(top + "|"), by=((False, False),)), top, "district"))
+    return rounded(market.children(market.market_stats(view(spark, d), deals=("sale",), of=("district",), area=lambda k: k.startswith(top + "|"), by=((False, False),), measures=market.MEDIAN), top, "district"))
 
 
 @query(with_listings("SELECT listing_id, source_row, (count(*) OVER (PARTITION BY dup_cluster_id) - 1)::BIGINT AS others FROM v_listings"))
@@ -677,13 +677,13 @@ def c35_rescore(spark, d):
 
 @query(with_listings("SELECT area_key, property_type, n, round(median_price_m2_mil, 4) AS med FROM ms WHERE scope = 'district' AND month = 'ALL' AND deal_type = 'sale' AND property_type = 'PROMO' AND n >= 20 ORDER BY median_price_m2_mil DESC, area_key LIMIT 1", *G_MS))
 def g01_dearest_district(spark, d):
-    m = market.market_stats(view(spark, d).where("property_type = 'PROMO'"), deals=("sale",), of=("district",), by=((True, False),)).where("scope = 'district' AND month = 'ALL' AND deal_type = 'sale' AND property_type = 'PROMO' AND n >= 20")
+    m = market.market_stats(view(spark, d).where("property_type = 'PROMO'"), deals=("sale",), of=("district",), by=((True, False),), measures=market.MEDIAN).where("scope = 'district' AND month = 'ALL' AND deal_type = 'sale' AND property_type = 'PROMO' AND n >= 20")
     return m.orderBy(F.desc("median_price_m2_mil"), "area_key").limit(1).select("area_key", "property_type", "n", r4("median_price_m2_mil").alias("med"))
 
 
 @query(with_listings("SELECT area_key, deal_type, n, round(median_price_m2_mil, 4) AS med FROM ms WHERE scope = 'province' AND month = 'ALL' AND property_type = 'ALL'", *G_MS))
 def g02_compare_areas(spark, d):
-    m = market.market_stats(view(spark, d), of=("province",), by=((False, False),)).where("scope = 'province' AND month = 'ALL' AND property_type = 'ALL'")
+    m = market.market_stats(view(spark, d), of=("province",), by=((False, False),), measures=market.MEDIAN).where("scope = 'province' AND month = 'ALL' AND property_type = 'ALL'")
     return m.select("area_key", "deal_type", "n", r4("median_price_m2_mil").alias("med"))
 
 
@@ -699,14 +699,14 @@ def g04_busiest_provinces(spark, d):
 def g05_project_against_district(spark, d):
     g = graph.keyed(view(spark, d))
     e = graph.edges(g, list(AMENITY_NAMES))
-    return rounded(graph.relative_to_parent(market.market_stats(view(spark, d), deals=("sale",), of=("project", "district"), by=((False, False),)), "project", "district", graph.hop(e, "IN_DISTRICT", "Project", "District")))
+    return rounded(graph.relative_to_parent(market.market_stats(view(spark, d), deals=("sale",), of=("project", "district"), by=((False, False),), measures=market.MEDIAN), "project", "district", graph.hop(e, "IN_DISTRICT", "Project", "District")))
 
 
 @query(with_listings("""SELECT c.area_key AS src, p.area_key AS dst, round((c.median_price_m2_mil - p.median_price_m2_mil) / p.median_price_m2_mil, 4) + 0.0 AS diff FROM ms c JOIN ms p ON p.scope = 'province' AND p.area_key = split_part(c.area_key, '|', 1)
     WHERE c.scope = 'district' AND c.month = 'ALL' AND c.property_type = 'ALL' AND c.deal_type = 'sale' AND p.month = 'ALL' AND p.property_type = 'ALL' AND p.deal_type = 'sale'""", *G_MS))
 def g06_district_against_province(spark, d):
     e = graph.edges(graph.keyed(view(spark, d)), list(AMENITY_NAMES))
-    return rounded(graph.relative_to_parent(market.market_stats(view(spark, d), deals=("sale",), of=("district", "province"), by=((False, False),)), "district", "province", graph.hop(e, "IN_PROVINCE", "District", "Province"))).select("src", "dst", "diff")
+    return rounded(graph.relative_to_parent(market.market_stats(view(spark, d), deals=("sale",), of=("district", "province"), by=((False, False),), measures=market.MEDIAN), "district", "province", graph.hop(e, "IN_PROVINCE", "District", "Province"))).select("src", "dst", "diff")
 
 
 @query(with_listings("SELECT dk AS dst, count(DISTINCT listing_id) AS n FROM g WHERE dk IS NOT NULL GROUP BY 1", KEYED))

@@ -259,7 +259,7 @@ def c36_failures(spark, d):
 @query(with_listings("SELECT month, n, round(median_price_m2_mil, 4) AS med FROM ms WHERE scope = 'district' AND area_key = (SELECT min(dk) FROM g) AND month <> 'ALL' AND property_type = 'ALL' AND deal_type = 'sale'", KEYED, MARKET))
 def g03_monthly_trend(spark, d):
     key = graph.keyed(view(spark, d)).agg(F.min("dk")).first()[0]
-    return market.series(market.market_stats(view(spark, d), deals=("sale",), area=lambda k: k == key, by=((False, True),)), key).select("month", "n", r4("median_price_m2_mil").alias("med"))
+    return market.series(market.market_stats(view(spark, d), deals=("sale",), area=lambda k: k == key, by=((False, True),), measures=market.MEDIAN), key).select("month", "n", r4("median_price_m2_mil").alias("med"))
 
 
 @query(with_listings("SELECT dk AS key, count(*) AS n_listings, round(median(price_m2_mil) FILTER (WHERE deal_type = 'sale'), 4) AS med, CASE WHEN n_nationkey < 20 THEN n_nationkey * 1.5 END AS lat FROM g JOIN nation ON n_name = district GROUP BY dk, n_nationkey", KEYED))
