@@ -72,13 +72,24 @@ def _finish(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+#: Characters of whole texts that simhash() takes apart at once; a longer text is taken by itself.
+AT_ONCE = 1 << 20
+
+
 @F.pandas_udf(T.LongType())
 def simhash(texts: pd.Series) -> pd.Series:
     """64-bit SimHash over three-word shingles of normalised text (one shingle below three words); null without a word.
 
-    A bit is set if more shingles have it than not; ties give 0. The distinct words of a batch are hashed once, and shingles
-    and votes are made for the batch as a whole, in parts of bounded size.
+    A bit is set if more shingles have it than not; ties give 0. A batch is worked on in parts of bounded size.
     """
+    sizes = np.array([len(t or "") for t in texts], dtype=np.int64)
+    part = (np.cumsum(sizes) - sizes) // AT_ONCE
+    ends = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(texts)] if len(texts) else [0, 0]
+    return pd.concat([simhash_of(texts.iloc[x:y]) for x, y in zip(ends, ends[1:])], ignore_index=True)
+
+
+def simhash_of(texts: pd.Series) -> pd.Series:
+    """The hashes of a part. Its distinct words are hashed once, and shingles and votes are made for the part as a whole."""
     found = [re.findall(r"\w+", t or "") for t in texts]
     number: dict[str, int] = {}
     ids = np.fromiter((number.setdefault(w, len(number)) for ws in found for w in ws), dtype=np.int64)

@@ -93,6 +93,19 @@ def test_market_cube_by_ranges_equals_that_by_sorting(spark):
     assert market.market_stats(v.limit(0)).count() == 0
 
 
+def test_simhash_takes_a_batch_in_parts(monkeypatch):
+    import pandas as pd
+    from lodestone.functions import values
+
+    texts = pd.Series(["one two three four five", None, "", "six", "seven eight nine ten " * 40, "one two three four five"])
+    whole = values.simhash.func(texts).tolist()
+    sizes, of = [], values.simhash_of
+    monkeypatch.setattr(values, "AT_ONCE", 30)
+    monkeypatch.setattr(values, "simhash_of", lambda t: sizes.append(len(t)) or of(t))
+    assert values.simhash.func(texts).tolist() == whole and len(sizes) > 1 and sum(sizes) == len(texts)
+    assert values.simhash.func(texts.iloc[:0]).tolist() == []
+
+
 def test_rows_of_the_cube_travel_once_for_an_area_that_fits(spark):
     rows = spark.createDataFrame([(1, 5, 7, 1.0), (1, 6, 7, 2.0), (2, 5, 8, 3.0)], "k long, t long, m long, price_m2_mil double")
     assert sorted((r["k"], r["t"], r["c"], r["sets"]) for r in market.carried(rows, 15, None).collect()) == [(1, 5, 0, 15), (1, 6, 0, 15), (2, 5, 0, 15)]
