@@ -93,6 +93,14 @@ def test_market_cube_by_ranges_equals_that_by_sorting(spark):
     assert market.market_stats(v.limit(0)).count() == 0
 
 
+def test_median_of_all_values(spark):
+    rng = random.Random(3)
+    for values in ([rng.choice([1.5, -2.0, 0.0, rng.random() * 1e6]) for _ in range(301)], [3.0], [1.0, 2.0], [None], []):
+        df = spark.createDataFrame([(v,) for v in values], "x double")
+        want = np.median([v for v in values if v is not None]) if any(v is not None for v in values) else None
+        assert market.median_of_all(df, "x").first()["median"] == (None if want is None else pytest.approx(want))
+
+
 def test_simhash_takes_a_batch_in_parts(monkeypatch):
     import pandas as pd
     from lodestone.functions import values
