@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -44,24 +46,35 @@ def kept_rows(mapped: DataFrame) -> DataFrame:
 
 
 def simhash_pairs(df: DataFrame, ident: str, groups: list[str], max_distance: int = 3, bands: int = 4, max_bucket: int | None = 500) -> tuple[DataFrame, DataFrame]:
-    """(pairs, skipped): ids within `max_distance` bits, and the buckets above the cap. Equal hashes are tied to their least id
-    first, so a bucket holds distinct hashes only. Null group values form groups of their own."""
-    width = 64 // bands
+    """(pairs, skipped): ids within `max_distance` bits with their distance, and the buckets above the cap. Equal hashes are tied to
+    their least id first, so a bucket holds distinct hashes only. Null group values form groups of their own.
+
+    Bits are dealt to bands in turn, so short hashes fill all bands. Without a cap a pair is made in the first band that it shares, so
+    pairs are not shuffled. Buckets are dealt to a fixed number of tasks, since few bytes of hashes may make many pairs."""
+    masks = [sum(1 << i for i in range(b, 64, bands)) for b in range(bands)]
+    masks = [m - (1 << 64) if m >> 63 else m for m in masks]
     keys = [F.coalesce(F.col(g).cast("string"), F.lit("\u0000")).alias(f"g{i}") for i, g in enumerate(groups)]
     names = [f"g{i}" for i in range(len(groups))]
     rows = df.where("simhash IS NOT NULL").select(F.col(ident).alias("id"), "simhash", *keys)
     same = rows.groupBy(*names, "simhash").agg(F.min("id").alias("rep"))
-    equal = rows.join(same, [*names, "simhash"]).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    equal = rows.join(same, [*names, "simhash"]).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(0).alias("distance"))
     each = same.select(*names, "rep", "simhash", F.explode(F.array(*[
-        F.struct(F.lit(b).alias("band"), F.shiftrightunsigned("simhash", b * width).bitwiseAND(F.lit((1 << width) - 1)).alias("v")) for b in range(bands)
+        F.struct(F.lit(b).alias("band"), F.col("simhash").bitwiseAND(F.lit(m)).alias("v")) for b, m in enumerate(masks)
     ])).alias("k")).select(*names, "rep", "simhash", "k.*")
     on = [*names, "band", "v"]
-    sized = each.join(each.groupBy(*on).agg(F.count("*").alias("n")).where("n > 1"), on)
-    skipped = sized.where(F.col("n") > max_bucket).select(*on).distinct() if max_bucket else sized.limit(0).select(*on)
-    ok = sized.where(F.col("n") <= max_bucket) if max_bucket else sized
-    left, right = (ok.select(*on, F.col("rep").alias(x), F.col("simhash").alias(f"h{x}")) for x in "ab")
-    near = left.join(right, on).where((F.col("a") < F.col("b")) & (hamming(F.col("ha"), F.col("hb")) <= max_distance)).select("a", "b").distinct()
-    return equal.unionByName(near), skipped
+    if max_bucket:
+        sized = each.join(each.groupBy(*on).agg(F.count("*").alias("n")).where("n > 1"), on)
+        skipped, ok = sized.where(F.col("n") > max_bucket).select(*on).distinct(), sized.where(F.col("n") <= max_bucket)
+    else:
+        skipped, ok = each.limit(0).select(*on), each
+    dealt = ok.select(*on, "rep", "simhash").repartition(8 * df.sparkSession.sparkContext.defaultParallelism, *on)
+    left, right = (dealt.select(*on, F.col("rep").alias(x), F.col("simhash").alias(f"h{x}")) for x in "ab")
+    apart = F.col("ha").bitwiseXOR(F.col("hb"))
+    # Under a cap, the bucket of an earlier band may be left out, so pairs are told apart afterwards.
+    first = reduce(lambda x, y: x & y, ((F.col("band") <= b) | (apart.bitwiseAND(F.lit(m)) != 0) for b, m in enumerate(masks)))
+    met = left.join(right, on).where((F.col("a") < F.col("b")) & (hamming(F.col("ha"), F.col("hb")) <= max_distance))
+    near = met.where(first) if not max_bucket else met.dropDuplicates(["a", "b"])
+    return equal.unionByName(near.select("a", "b", hamming(F.col("ha"), F.col("hb")).alias("distance"))), skipped
 
 
 def close_hashes(t: pa.Table, max_distance: int) -> pa.Table:

@@ -107,6 +107,18 @@ def test_simhash_skipped_buckets_are_told(spark):
     assert skipped.count() > 0
 
 
+def test_short_simhashes_fill_all_bands(spark):
+    hashes = [(i * 40503) % 65536 for i in range(400)]
+    df = spark.createDataFrame([(i, "ab"[i % 2], h) for i, h in enumerate(hashes)] + [(900, "a", hashes[0])], "listing_id long, g string, simhash long")
+    bits = {i: (i % 2, hashes[i]) for i in range(400)}
+    want = {(a, b, (bits[a][1] ^ bits[b][1]).bit_count()) for a in bits for b in bits if a < b and bits[a][0] == bits[b][0] and (bits[a][1] ^ bits[b][1]).bit_count() <= 3}
+    pairs, skipped = dedup.simhash_pairs(df, "listing_id", ["g"], max_bucket=None)
+    assert sorted(tuple(r) for r in pairs.collect()) == sorted(want | {(0, 900, 0)}) and skipped.isEmpty()
+    # Hashes of 16 bits are in buckets of a sixteenth of their group, not in one of all of it.
+    capped, skipped = dedup.simhash_pairs(df, "listing_id", ["g"], max_bucket=60)
+    assert skipped.isEmpty() and sorted(tuple(r) for r in capped.collect()) == sorted(want | {(0, 900, 0)})
+
+
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(100, 140)] + [(5, k) for k in range(6, 30)] + [(50, 50)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
