@@ -132,6 +132,19 @@ class Best:
             self.scores[q], self.ids[q] = s[order], i[order]
 
 
+    def add_some(self, queries: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        """As add(), for scores of some items of some queries; `queries` is in order."""
+        last, at = self.scores[queries, -1], self.ids[queries, -1]
+        good = (scores > last) | ((scores == last) & (ids < at))
+        queries, scores, ids = queries[good], scores[good], ids[good]
+        starts = np.flatnonzero(np.concatenate(([True], queries[1:] != queries[:-1]))) if len(queries) else []
+        for a, b in zip(starts, np.append(starts[1:], len(queries))):
+            q = queries[a]
+            s, i = np.concatenate((self.scores[q], scores[a:b])), np.concatenate((self.ids[q], ids[a:b]))
+            order = np.lexsort((i, -s))[: self.k]
+            self.scores[q], self.ids[q] = s[order], i[order]
+
+
 def vector_rows(vectors: pa.Array | pa.ChunkedArray, dims: int, unit: bool) -> tuple[np.ndarray, np.ndarray]:
     """The vectors that have `dims` finite components (as unit vectors, if they are not zero), and which rows these are."""
     rows = vectors.to_pylist()

@@ -3,9 +3,10 @@
 A shard is one row: its documents (id, length, payload), and the postings of its terms as flat arrays in the order of terms. A task
 makes shards of the documents as it reads them, so the index is written in one pass without a shuffle, and a shard holds a
 bounded number of postings. A search reads each shard once for a pass of queries: scores of a block of queries and all its
-documents are one array, to which each term adds an outer product. Each task keeps the best k of every query over its shards,
-so k rows a query leave a task, however common a term is; a query that cannot reach its k-th score in a shard (by the largest
-weight of each of its terms there) is not scored in it. Filters on payload are Columns over the documents' structs.
+documents are one array. Each task keeps the best k of every query over its shards, so k rows a query leave a task, however
+common a term is; a query that cannot reach its k-th score in a shard (by the largest weight of each of its terms there) is not
+scored in it, and terms that cannot reach it by themselves are only looked up. Filters on payload are Columns over the
+documents' structs.
 
 Document frequencies, their number and their mean length are those of the whole corpus.
 """
@@ -28,8 +29,8 @@ from lodestone.session import scratch, small_batches, spread
 
 #: Tokens and documents of a shard at most (a longer text is a shard of its own).
 MAX_TOKENS, MAX_DOCS = 1 << 20, 1 << 14
-#: Queries of one pass (they are sent to all tasks), and of a block of scores.
-PER_PASS, BLOCK = 4096, 128
+#: Queries of one pass (they are sent to all tasks), and scores or postings of a block of queries.
+PER_PASS, CELLS = 1 << 14, 1 << 20
 #: Bytes of a row group of shards.
 ROW_GROUP = 16 << 20
 K1, B = 1.2, 0.75
@@ -156,18 +157,19 @@ def search_shards(index: ShardedIndex, queries: DataFrame, k: int, where: Callab
     for p in range(passes):
         own = known.where(F.pmod(F.xxhash64(F.lit(11), "q"), F.lit(passes)) == p).collect()
         ids = np.array(sorted({r["q"] for r in own}), dtype=np.int64)
-        by_term: dict[str, list[tuple[int, float]]] = {}
-        for r in own:
-            by_term.setdefault(r["term"], []).append((int(np.searchsorted(ids, r["q"])), r["idf"]))
-        shared = spark.sparkContext.broadcast((ids, {t: (np.array([q for q, _ in x]), x[0][1]) for t, x in by_term.items()}))
+        own.sort(key=lambda r: r["term"])
+        terms = np.array([r["term"] for r in own], dtype=object)
+        starts = np.flatnonzero(np.concatenate(([True], terms[1:] != terms[:-1]))) if len(own) else np.zeros(0, dtype=np.int64)
+        shared = spark.sparkContext.broadcast((ids, Asked(
+            pa.array(terms[starts], pa.string()), np.array([own[i]["idf"] for i in starts], dtype=np.float64), np.append(starts, len(own)), np.searchsorted(ids, np.array([r["q"] for r in own], dtype=np.int64)))))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, by_term = shared.value
+            ids, asked = shared.value
             best = Best(len(ids), k)
             for batch in batches:
                 for i in range(len(batch)):
                     part = lambda c: batch.column(c).slice(i, 1).flatten()  # noqa: B023, E731
-                    score_shard(best, part, by_term, mean)
+                    score_shard(best, part, asked, mean)
             at, rank = np.nonzero(best.scores > -np.inf)
             yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(best.ids[at, rank]), pa.array(best.scores[at, rank])], names=["q", "doc_id", "score"])
 
@@ -175,38 +177,104 @@ def search_shards(index: ShardedIndex, queries: DataFrame, k: int, where: Callab
     return best_rows(spark.read.schema("q long, doc_id long, score double").parquet(path), k)
 
 
-def score_shard(best: Best, part: Callable[[str], pa.Array], by_term: dict[str, tuple[np.ndarray, float]], mean: float) -> None:
-    """Add a shard's documents to the best k of each query."""
-    terms = part("terms").to_pylist()
-    met = [(j, *by_term[t]) for j, t in enumerate(terms) if t in by_term]
+@dataclass
+class Asked:
+    """The terms of a pass in order, with their idf and queries: those of term i are queries[starts[i]:starts[i + 1]]."""
+
+    terms: pa.Array
+    idf: np.ndarray
+    starts: np.ndarray
+    queries: np.ndarray
+
+
+def flat(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The places of ranges, one range after the other."""
+    return np.repeat(starts - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum()) if len(counts) else np.zeros(0, dtype=np.int64)
+
+
+def score_shard(best: Best, part: Callable[[str], pa.Array], asked: Asked, mean: float) -> None:
+    """Add a shard's documents to the best k of each query.
+
+    Of a query's terms, those of the least bounds that cannot reach its k-th score together are left for later: only documents that
+    hold another term are looked at, and only those that reach the k-th score with these bounds are scored in full. So common terms
+    cost nothing but in the first shards of a task. Terms are added up in their order in either case.
+    """
     keep = part("keep").to_numpy(zero_copy_only=False)
     keep = np.array([x is True for x in keep]) if keep.dtype == object else keep.astype(bool)
-    if not met or not keep.any():
+    place = pc.index_in(part("terms"), value_set=asked.terms)
+    met = np.flatnonzero(place.is_valid().to_numpy(zero_copy_only=False))
+    if not len(met) or not keep.any():
+        return
+    place = place.take(pa.array(met)).to_numpy()
+    ids, length, offsets = part("id").to_numpy(zero_copy_only=False), part("len").to_numpy(), part("offsets").to_numpy().astype(np.int64)
+    # The postings of the terms asked for, in documents that the filter keeps.
+    counts = offsets[met + 1] - offsets[met]
+    own = flat(offsets[met], counts)
+    at, term = part("at").to_numpy()[own], np.repeat(np.arange(len(met)), counts)
+    kept = keep[at]
+    own, at, term = own[kept], at[kept].astype(np.int64), term[kept]
+    weights = posting_weights(part("tf").to_numpy()[own].astype(np.float64), length[at], mean)
+    starts = np.searchsorted(term, np.arange(len(met) + 1))
+    size, some = np.diff(starts), np.diff(starts) > 0
+    most = np.zeros(len(met))
+    if some.any():
+        most[some] = np.maximum.reduceat(weights, starts[:-1][some])
+    # One entry for each term of each query, in the order of queries and then of terms.
+    times = asked.starts[place + 1] - asked.starts[place]
+    t = np.repeat(np.arange(len(met)), times)
+    q = asked.queries[flat(asked.starts[place], times)]
+    q, t = (x[some[t]] for x in (q, t))
+    order = np.argsort(q, kind="stable")
+    q, t = q[order], t[order]
+    if not len(q):
         return
-    ids, length, offsets = part("id").to_numpy(zero_copy_only=False), part("len").to_numpy(), part("offsets").to_numpy()
-    at, tf = part("at").to_numpy(), part("tf").to_numpy().astype(np.float64)
-    weights = posting_weights(tf, length[at], mean)
-    queries, most, bound = len(best.scores), {}, np.zeros(len(best.scores))
-    for j, q, idf in met:
-        most[j] = weights[offsets[j] : offsets[j + 1]].max()
-        bound[q] += idf * most[j]
-    # Only queries that can still reach their k-th score here; a tie may go to a smaller id.
-    open_ = np.flatnonzero((bound > 0) & (np.round(bound, DIGITS) + 10.0**-DIGITS >= best.scores[:, -1]))
-    for a in range(0, len(open_), BLOCK):
-        block = open_[a : a + BLOCK]
-        place = np.full(queries, -1)
-        place[block] = np.arange(len(block))
-        scores = np.zeros((len(block), len(ids)))
-        for j, q, idf in met:
-            own = place[q]
-            own = own[own >= 0]
-            if len(own):
-                docs = at[offsets[j] : offsets[j + 1]]
-                scores[own[:, None], docs[None, :]] += idf * weights[offsets[j] : offsets[j + 1]][None, :]
-        scores = np.round(scores, DIGITS)
-        scores[:, ~keep] = -np.inf
-        scores[scores <= 0] = -np.inf
-        some = Best(len(block), best.k)
-        some.scores, some.ids = best.scores[block], best.ids[block]
-        some.add(scores, ids)
-        best.scores[block], best.ids[block] = some.scores, some.ids
+    idf = asked.idf[place[t]]
+    bound = idf * most[t]
+    first = np.concatenate(([True], q[1:] != q[:-1]))
+    rising = np.lexsort((bound, q))
+    sums = np.cumsum(bound[rising])
+    upto = sums - np.repeat((sums - bound[rising])[first], np.diff(np.append(np.flatnonzero(first), len(q))))
+    slack = 10.0**-DIGITS * 2
+    later = np.empty(len(q), dtype=bool)
+    later[rising] = upto + slack < best.scores[q[rising], -1]
+    rows, row = q[first], np.cumsum(first) - 1
+    rest = np.bincount(row, weights=bound * later, minlength=len(rows))
+    postponed = np.bincount(row, weights=later, minlength=len(rows)) > 0
+    begin = np.append(np.flatnonzero(first), len(q))
+    now = np.flatnonzero(~later)
+    cost = np.bincount(row[now], weights=size[t[now]], minlength=len(rows))
+    open_ = np.flatnonzero(cost > 0)
+    cuts = np.searchsorted(np.cumsum(np.maximum(cost[open_], len(ids))), np.arange(CELLS, CELLS + np.maximum(cost[open_], len(ids)).sum(), CELLS), side="left") + 1
+    cells = term * len(ids) + at
+    table = None
+    if len(met) * len(ids) <= 4 * CELLS:
+        table = np.zeros(len(met) * len(ids))
+        table[cells] = weights
+
+    def weight(key: np.ndarray) -> np.ndarray:
+        if table is not None:
+            return table[key]
+        found = np.minimum(np.searchsorted(cells, key), len(cells) - 1)
+        return np.where(cells[found] == key, weights[found], 0.0)
+
+    for a, b in zip(np.concatenate(([0], cuts)), cuts):
+        block = open_[a:b]
+        if not len(block):
+            continue
+        e = now[np.searchsorted(row[now], block[0]) : np.searchsorted(row[now], block[-1], side="right")]
+        local, n = np.searchsorted(block, row[e]), size[t[e]]
+        p = flat(starts[:-1][t[e]], n)
+        scores = np.bincount(np.repeat(local * len(ids), n) + at[p], weights=np.repeat(idf[e], n) * weights[p], minlength=len(block) * len(ids)).reshape(len(block), len(ids))
+        least = np.maximum(best.scores[rows[block], -1] - rest[block] - slack, 1e-300)
+        i, doc = np.nonzero(scores >= least[:, None])
+        full = scores[i, doc]
+        wide = np.flatnonzero(postponed[block[i]])
+        for c in range(0, len(wide), CELLS // 16):
+            few = wide[c : c + CELLS // 16]
+            r = block[i[few]]
+            m = begin[r + 1] - begin[r]
+            x, pair = flat(begin[r], m), np.repeat(np.arange(len(r)), m)
+            full[few] = np.bincount(pair, weights=idf[x] * weight(t[x] * len(ids) + doc[few][pair]), minlength=len(r))
+        full = np.round(full, DIGITS)
+        good = full > 0
+        best.add_some(rows[block[i[good]]], full[good], ids[doc[good]])

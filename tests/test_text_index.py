@@ -115,3 +115,37 @@ def test_hybrid_lists_name_a_document_once(spark):
     b = search.best_rows(spark.range(400).selectExpr("id % 20 AS q", "id AS doc_id", "cast(id % 89 as double) AS score"), 20)
     got = search.hybrid([a, b], 10, by=("q",)).collect()
     assert len({(r["q"], r["doc_id"]) for r in got}) == len(got) == 200
+
+
+def test_common_terms_are_only_looked_up(monkeypatch):
+    """Later shards score in full the documents that may reach the best k so far, not all that hold a common term."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    lists = [["the"] * rng.randint(1, 9) + rng.choices(WORDS[1:], k=rng.randint(5, 30)) + (["rare2"] if i % 40 == 0 else []) for i in range(1200)]
+    mean = sum(map(len, lists)) / len(lists)
+    terms = sorted({"the", "rare2", "cat", "mat"})
+    asked = [["the", "rare2"], ["cat", "the"], ["the"], ["mat", "rare2", "the"]]
+    df = {t: sum(t in x for x in lists) for t in terms}
+    idf = {t: math.log(1 + (1200 - df[t] + 0.5) / (df[t] + 0.5)) for t in terms}
+    queries = [[q for q, x in enumerate(asked) if t in x] for t in terms]
+    given = text_index.Asked(pa.array(terms), np.array([idf[t] for t in terms]), np.cumsum([0, *map(len, queries)]), np.concatenate(queries))
+    seen, add = [], search.Best.add_some
+    monkeypatch.setattr(search.Best, "add_some", lambda self, q, s, i: (seen.append(np.bincount(q, minlength=4)), add(self, q, s, i))[1])
+    for cells in (1 << 20, 300):
+        monkeypatch.setattr(text_index, "CELLS", cells)
+        best, per_shard = search.Best(4, 5), []
+        for a in range(0, 1200, 300):
+            t, offsets, at, tf = text_index.shard(pa.array(lists[a : a + 300]))
+            part = dict(terms=t, offsets=pa.array(offsets), at=pa.array(at), tf=pa.array(tf), id=pa.array(range(a, a + 300)), len=pa.array([len(x) for x in lists[a : a + 300]]), keep=pa.array([i % 3 > 0 for i in range(300)]))
+            seen.clear()
+            text_index.score_shard(best, part.__getitem__, given, mean)
+            per_shard.append(sum(seen, np.zeros(4, dtype=int)))
+        for q, own in enumerate(asked):
+            want = []
+            for i, x in enumerate(lists):
+                s = sum(idf[t] * x.count(t) * 2.2 / (x.count(t) + 1.2 * (0.25 + 0.75 * len(x) / mean)) for t in sorted(own))
+                want += [(-round(s, 9), i)] * (s > 0 and i % 3 > 0)
+            assert list(zip((-best.scores[q]).tolist(), best.ids[q].tolist())) == sorted(want)[:5]
+        assert per_shard[0][0] == 200 and all(x[0] < 20 for x in per_shard[1:])
