@@ -42,6 +42,8 @@ SAMPLE_PER_CELL = 64
 PROBE_SAMPLE, PROBE_K, TARGET = 256, 10, 0.97
 #: Rows and queries of a block.
 ROWS, QUERIES = 512, 256
+#: Numbers of a block of products with all centres, and rows of a batch of queries and cells.
+PRODUCTS, PROBED = 1 << 21, 1 << 13
 #: Up to so many probed cells are a predicate of the scan.
 FEW_CELLS = 1000
 NO_CELL = -1
@@ -108,8 +110,10 @@ def write_collection(df: DataFrame, ident: str, vector: str, path: str, dims: in
     def coded(vectors: pd.Series) -> pd.DataFrame:
         unit, ok = unit_vectors(vectors.tolist(), dims)
         cell = np.full(len(unit), NO_CELL, dtype=np.int32)
-        if len(shared.value):
-            cell[ok] = (unit[ok] @ shared.value.T).argmax(axis=1)
+        at = np.flatnonzero(ok)
+        step = max(1, PRODUCTS // max(1, len(shared.value)))
+        for a in range(0, len(at) if len(shared.value) else 0, step):
+            cell[at[a : a + step]] = (unit[at[a : a + step]] @ shared.value.T).argmax(axis=1)
         scale = np.abs(unit).max(axis=1, initial=0.0) / 127
         code = np.rint(unit / np.where(scale > 0, scale, 1.0)[:, None]).astype(np.int8)
         return pd.DataFrame({"cell": cell, "scale": scale.astype(np.float32), "code": [c.tobytes() for c in code]})
@@ -159,14 +163,20 @@ def count_range(c: Collection, low: int, high: int) -> int:
     return c.rows.where(F.col("id").between(low, high)).count()
 
 
+def queries_at_once(cells: int, probes: int) -> int:
+    """Queries whose products with all centres, and whose rows for all probed cells, are held at once."""
+    return max(1, min(QUERIES, PRODUCTS // max(1, cells), PROBED // max(1, probes)))
+
+
 def probes_of(c: Collection, queries: DataFrame, probes: int) -> DataFrame:
     """q, x (unit vector), cell: each query once for each of its nearest cells."""
     shared, dims, n = c.rows.sparkSession.sparkContext.broadcast(c.centres), c.dims, min(probes, len(c.centres))
+    step = queries_at_once(len(c.centres), n)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, len(batch), QUERIES):
-                part = batch.slice(a, QUERIES)
+            for a in range(0, len(batch), step):
+                part = batch.slice(a, step)
                 unit, ok = unit_vectors(part.column("x").to_pylist(), dims)
                 unit, q = unit[ok], np.repeat(part.column("q").to_numpy()[ok], n)
                 cells = np.argsort(-(unit @ shared.value.T), axis=1, kind="stable")[:, :n] if n else np.zeros((len(unit), 0))

@@ -84,3 +84,21 @@ def test_empty_collection(spark):
     assert collection.write_collection(none, "vec_id", "embedding", path, DIMS)
     c = collection.open_collection(spark, path)
     assert collection.search(c, spark.createDataFrame([(1, [1.0] * DIMS)], none.schema), "vec_id", "embedding", 3).isEmpty()
+
+
+def test_queries_with_all_cells_come_in_bounded_batches(spark, monkeypatch):
+    """A query that probes all cells is as many rows: few of them are held at once, however many cells there are."""
+    import numpy as np
+
+    assert collection.queries_at_once(40, 3) == collection.QUERIES
+    for cells in (500, 5000, collection.MAX_CELLS):
+        at_once = collection.queries_at_once(cells, cells)
+        assert at_once == 1 or at_once * cells <= min(collection.PRODUCTS, collection.PROBED)
+    monkeypatch.setattr(collection, "PROBED", 100)
+    centres = np.eye(30, dtype=np.float32)
+    made = collection.Collection("", 30, centres, spark.range(0), 1)
+    queries = spark.createDataFrame([(i, [float(j == i % 30) + 0.01 * (j == (i + 1) % 30) for j in range(30)]) for i in range(20)], "q long, x array<double>")
+    got = collection.probes_of(made, queries, 30).collect()
+    assert len(got) == 600 and len({(r["q"], r["cell"]) for r in got}) == 600
+    first = {r["q"]: r["cell"] for r in collection.probes_of(made, queries, 1).collect()}
+    assert first == {i: i % 30 for i in range(20)}
