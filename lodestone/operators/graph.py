@@ -109,10 +109,14 @@ def stat_edges(stats: DataFrame) -> DataFrame:
 
 
 def dangling(edge: DataFrame, node_keys: DataFrame) -> DataFrame:
-    """Edges with an end that no node (label, key) has; a sound graph has none."""
-    n = node_keys.select("label", "key").distinct()
-    ends = edge.select("type", F.col("src_label").alias("label"), F.col("src").alias("key")).unionByName(edge.select("type", F.col("dst_label").alias("label"), F.col("dst").alias("key")))
-    return ends.join(n, ["label", "key"], "left_anti")
+    """label, key, n: the ends of edges that no node (label, key) is, with the number of edges that end there; a sound graph has none.
+    Ends and nodes are met by one aggregate, which counts before it moves them, so an end of many edges is a row of each task."""
+    both = lambda label, key, *n: F.struct(label.alias("label"), key.alias("key"), *[F.lit(x).cast("long").alias(c) for c, x in zip(("n", "nodes"), n)])
+    c = F.col
+    ends = edge.select(F.explode(F.array(both(c("src_label"), c("src"), 1, 0), both(c("dst_label"), c("dst"), 1, 0))).alias("e")).select("e.*")
+    nodes_ = node_keys.where("label IS NOT NULL AND key IS NOT NULL").select(both(c("label"), c("key"), 0, 1).alias("e")).select("e.*")
+    met = ends.unionByName(nodes_).groupBy("label", "key").agg(F.sum("n").alias("n"), F.max("nodes").alias("nodes"))
+    return met.where("n > 0 AND nodes = 0").select("label", "key", "n")
 
 
 def hop(edge: DataFrame, kind: str | tuple[str, ...], src_label: str | None = None, dst_label: str | None = None) -> DataFrame:

@@ -191,4 +191,4 @@ def s19_cluster_integrity(spark, d):
     g, c = graph.keyed(view(spark, d)), ward_clusters(spark, d)
     wards = graph.nodes(g, "Ward").select(F.lit("Ward").alias("label"), "key")
     clusters = graph.cluster_nodes(g, c).select(F.lit("Cluster").alias("label"), "key")
-    return graph.dangling(graph.cluster_edges(c), wards.unionByName(clusters)).agg(F.count("*").alias("bad"))
+    return graph.dangling(graph.cluster_edges(c), wards.unionByName(clusters)).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("bad"))

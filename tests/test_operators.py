@@ -268,6 +268,14 @@ def test_sources(spark, tmp_path):
         io.markdown_block("x", "t", [])
 
 
+def test_dangling_ends_come_once_with_their_edges(spark):
+    rows = [("Listing", str(i), "OF_TYPE", "PropertyType", "flat" if i % 2 else "gone") for i in range(200)] + [("Listing", "7", "IN_WARD", "Ward", "w"), ("Listing", None, "IN_WARD", "Ward", "w")]
+    edge = spark.createDataFrame(rows, "src_label string, src string, type string, dst_label string, dst string")
+    keys = [("Listing", str(i)) for i in range(199)] + [("Ward", "w"), ("Ward", "w"), ("PropertyType", "flat"), ("Province", "gone"), ("Listing", None)]
+    found = graph.dangling(edge, spark.createDataFrame(keys, "label string, key string")).collect()
+    assert sorted(map(tuple, found), key=str) == sorted([("Listing", "199", 1), ("PropertyType", "gone", 100), ("Listing", None, 1)], key=str)
+
+
 def test_modularity_and_propagation(spark):
     pairs = spark.createDataFrame([(1, 2), (2, 3), (1, 3), (4, 5), (5, 6), (4, 6), (3, 4)], "a long, b long")
     lab = graph.label_propagation(pairs)
