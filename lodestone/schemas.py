@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 TYPES = {
     "string": T.StringType(), "double": T.DoubleType(), "float": T.FloatType(), "bigint": T.LongType(), "int": T.IntegerType(),
-    "smallint": T.ShortType(), "boolean": T.BooleanType(), "timestamp_ntz": T.TimestampNTZType(),
+    "smallint": T.ShortType(), "boolean": T.BooleanType(), "timestamp_ntz": T.TimestampNTZType(), "binary": T.BinaryType(),
 }
 
 

@@ -63,3 +63,23 @@ def test_waiting_hits_older_than_the_watermark_meet_the_window(spark, tmp_path):
     assert got == plain(rows, 2, 60.0) and got[3] == 40
     state = spark.read.format("statestore").option("path", check).option("stateVarName", "accepted").load()
     assert state.select("key").where("key.k <> 'end'").isEmpty()
+
+
+@pytest.mark.parametrize("lanes", [None, 3])
+def test_lanes_hold_many_keys(spark, tmp_path, lanes):
+    """Keys of a lane don't meet, and the state store has a row for each lane, slot and batch, not for each key."""
+    source, out, check, schema = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check"), "id long, k string, t double"
+    rng = random.Random(3)
+    rows = [(i, f"u{rng.randrange(60)}", round(rng.uniform(0, 200), 3)) for i in range(600)]
+    rows.sort(key=lambda r: r[2])
+    more = {"lanes": lanes} if lanes else {}
+    waiting = []
+    for step in (rows[:300], rows[300:], [(-1, "end", 10_000.0)], [(-2, "end", 20_000.0)]):
+        spark.createDataFrame(step, schema).coalesce(2).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source).withColumn("at", F.timestamp_millis(F.round(F.col("t") * 1000).cast("long")))
+        window_state.run_to_end(window_state.limit_with_state(stream, "k", "at", "id", 2, 60.0, "10 seconds", 20.0, **more), out, check)
+        waiting.append(spark.read.format("statestore").option("path", check).option("stateVarName", "waiting").load().count())
+    found = spark.read.schema(window_state.OUTPUT).parquet(out).where("k <> 'end'").collect()
+    assert {r["id"]: r["retry_after"] for r in found} == plain(rows, 2, 60.0) and len(found) == len(rows)
+    assert {(r["id"], r["k"]) for r in found} == {(i, k) for i, k, _ in rows}
+    assert waiting[0] > 20 if lanes is None else waiting[0] <= 3 * 11
