@@ -13,12 +13,24 @@ modularity, most of them are made at once, and there are no windows and no sorti
 over edges and nodes. In the first round of a large level, where every node is alone and would follow one that leaves, a hash of
 community and round lets about half of the communities only send, the others only receive; then no edge can be lost.
 
+Rounds cost jobs, so they are the way of last resort. Communities are dealt to parts of a bounded number of nodes, and a task moves
+the nodes of a part one after another, as long as any gains, on several levels. A part holds whole communities, so the gains of its
+moves are exact, and parts don't change each other's: all of them together never lower modularity. Communities that are near each
+other (regions around the least hash within a few steps) share a part, the regions differ each time, and the graph of the communities
+is taken on the same way until it fits one part. Then nodes move between the communities reached, dealt anew. A graph of one part is
+done by one job. Levels that hold a community above the size of a part, or that parts no longer shrink, take the rounds above.
+
 The last few moves of a level take as many rounds as the first thousands. So a level of a sweep that another one follows goes on to the
 next level while a small share of its nodes still waits; the last sweep settles every level.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections import deque
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +48,13 @@ MANY = 500
 #: Share of a level's nodes that may wait for the next sweep.
 LATE = 0.01
 
+#: Nodes, and edges by which a node counts as more than one, of a part that a task holds.
+PART, DEGREE = 20_000, 16
+#: Steps of a region around its least hash, and the share of a level's nodes that parts must merge to go on with parts.
+STEPS, SHRINK = 3, 0.05
+#: Orders of its nodes that a part tries, as long as they are not more nodes than a full part.
+ORDERS = 16
+
 
 def symmetric(pairs: DataFrame) -> DataFrame:
     """a, b, w in both directions; loops go, repeated pairs count once."""
@@ -123,10 +142,129 @@ def contracted(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame
     return materialize(e, "edges"), materialize(n, "nodes")
 
 
-def modular_communities(pairs: DataFrame, rounds: int = MAX_ROUNDS, sweeps: int = MAX_SWEEPS, seed: int = 0, tries: int = TRIES) -> DataFrame:
+def moved_alone(ends: list[list[tuple[int, float]]], k: list[float], c: list[int], total: float, rng: np.random.Generator) -> bool:
+    """Move nodes one after another, each to the neighbouring community that gains most, until none gains. `c` is changed."""
+    size = [0.0] * len(k)
+    for i, x in enumerate(c):
+        size[x] += k[i]
+    todo, waits, any_ = deque(rng.permutation(len(k)).tolist()), [True] * len(k), False
+    while todo:
+        i = todo.popleft()
+        waits[i], own, links = False, c[i], {}
+        for j, w in ends[i]:
+            links[c[j]] = links.get(c[j], 0.0) + w
+        size[own] -= k[i]
+        best, most = own, links.get(own, 0.0) - k[i] * size[own] / total + LEAST_GAIN
+        for x, w in links.items():
+            if x != own and w - k[i] * size[x] / total > most:
+                best, most = x, w - k[i] * size[x] / total
+        size[best] += k[i]
+        if best != own:
+            c[i], any_ = best, True
+            for j, _ in ends[i]:
+                if c[j] != best and not waits[j]:
+                    waits[j] = True
+                    todo.append(j)
+    return any_
+
+
+def settled_part(a: np.ndarray, b: np.ndarray, w: np.ndarray, k: np.ndarray, c: np.ndarray, total: float, rng: np.random.Generator) -> np.ndarray:
+    """Communities of the nodes of a part (edges once each), starting from `c`: levels and sweeps until no node moves."""
+    while True:
+        start, (ea, eb, ew), up, degree = c, (a, b, w), np.arange(len(k)), k
+        while True:
+            ends: list[list[tuple[int, float]]] = [[] for _ in degree]
+            for i, j, x in zip(ea.tolist(), eb.tolist(), ew.tolist()):
+                ends[i].append((j, x))
+                ends[j].append((i, x))
+            now = c.tolist() if degree is k else list(range(len(degree)))
+            if not moved_alone(ends, degree.tolist(), now, total, rng) and degree is not k:
+                break
+            names, own = np.unique(now, return_inverse=True)
+            up = own[up]
+            pair = own[ea] * len(names) + own[eb]
+            pairs, at = np.unique(pair[own[ea] != own[eb]], return_inverse=True)
+            ew = np.bincount(at, ew[own[ea] != own[eb]], len(pairs))
+            ea, eb, degree = pairs // len(names), pairs % len(names), np.bincount(own, degree, len(names))
+        # Names of communities are places of nodes: the first node of each.
+        c = np.unique(up, return_index=True)[1][up]
+        if same_sets(start, c):
+            return c
+
+
+def same_sets(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two labels, both named by any numbers, divide the nodes in the same way."""
+    both = len(np.unique(np.stack([x, y]), axis=1).T)
+    return both == len(np.unique(x)) == len(np.unique(y))
+
+
+def within_parts(edges: DataFrame, nodes: DataFrame, parts: DataFrame, total: float, seed: int) -> DataFrame:
+    """node, k, c after moves inside of parts (c, part: whole communities, of a bounded number of nodes each)."""
+    kind = nodes.schema["node"].dataType
+    ids = kind["id"].dataType.simpleString()
+    placed = nodes.join(parts, "c").select("part", "node", "k", "c")
+    side = lambda x: placed.select(F.col("node").alias(x), F.col("part").alias(f"part_{x}"))
+    inner = edges.where("a < b").join(side("a"), "a").join(side("b"), "b").where("part_a = part_b")
+    left = placed.select("node.copy", "part", F.col("node.id").alias("id"), "k", F.col("c.id").alias("c")).groupBy("copy", "part")
+    right = inner.select("a.copy", F.col("part_a").alias("part"), F.col("a.id").alias("a"), F.col("b.id").alias("b"), "w").groupBy("copy", "part")
+
+    def run(key: tuple, own: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("id", ignore_index=True)
+        place = pd.Index(own["id"])
+        e = e.assign(a=place.get_indexer(e["a"]), b=place.get_indexer(e["b"])).sort_values(["a", "b"])
+        rng = np.random.default_rng([zlib.crc32(repr([int(x) for x in key]).encode()), seed])
+        a, b, w, k, start = e["a"].to_numpy(), e["b"].to_numpy(), e["w"].to_numpy(), own["k"].to_numpy(), place.get_indexer(first_of(own))
+        found = (settled_part(a, b, w, k, start, total, rng) for _ in range(min(ORDERS, max(1, PART // len(own)))))
+        c = max(found, key=lambda c: 2 * w[c[a] == c[b]].sum() - (np.bincount(c, k) ** 2).sum() / total)
+        return pd.DataFrame({"copy": own["copy"], "id": own["id"], "k": own["k"], "c": own["id"].to_numpy()[c]})
+
+    out = left.cogroup(right).applyInPandas(run, f"copy int, id {ids}, k double, c {ids}")
+    own = lambda c: F.struct(F.col("copy"), F.col(c).alias("id"))
+    return materialize(out.select(own("id").alias("node"), "k", own("c").alias("c")), "nodes")
+
+
+def first_of(own: pd.DataFrame) -> pd.Series:
+    """Communities by their first node: a name may be that of a node elsewhere."""
+    return own.groupby("c")["id"].transform("first")
+
+
+def dealt_parts(edges: DataFrame, sizes: DataFrame, number: int, most: int, seed: int) -> DataFrame | None:
+    """c, part of communities (node, n: their nodes): those of a region share a part, if regions are small enough. None if a
+    community alone is above `most` nodes."""
+    if number == 1:
+        return sizes.select(F.col("node").alias("c"), F.lit(0).alias("part"))
+    hashed = lambda c: F.struct(F.xxhash64(F.lit(seed), c).alias("h"), F.col(c).alias("id"))
+    root = sizes.select("node", "n", hashed("node").alias("root"))
+    links = edges.select("a", "b").unionByName(sizes.select(F.col("node").alias("a"), F.col("node").alias("b")))
+    at = root.select("node", "root")
+    for _ in range(STEPS):
+        at = links.join(at.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("root").alias("root")).withColumnRenamed("a", "node")
+    part = lambda c: F.pmod(F.xxhash64(F.lit(seed + 1), c), F.lit(number)).cast("int").alias("part")
+    near = materialize(at.join(sizes, "node").select(F.col("node").alias("c"), part("root.id"), part("node").alias("alone"), "n"), "parts")
+    largest = lambda c: near.groupBy("c.copy", c).agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0]
+    for column in ("part", "alone"):
+        if largest(column) <= most:
+            out = near.select("c", F.col(column).alias("part"))
+            out.stored_at = near.stored_at
+            return out
+    release(near)
+    return None
+
+
+def part_round(edges: DataFrame, nodes: DataFrame, total: float, number: int, most: int, seed: int) -> DataFrame | None:
+    """One round of moves inside of parts; None if a community doesn't fit one."""
+    sizes = materialize(nodes.groupBy(F.col("c").alias("node")).agg(F.count("*").alias("n")), "sizes")
+    links = contracted(edges, nodes) if number > 1 else ()
+    parts = dealt_parts(links[0] if links else edges, sizes, number, most, seed)
+    out = None if parts is None else within_parts(edges, nodes, parts, total, seed)
+    release(sizes, *links, *([] if parts is None else [parts]))
+    return out
+
+
+def modular_communities(pairs: DataFrame, rounds: int = MAX_ROUNDS, sweeps: int = MAX_SWEEPS, seed: int = 0, tries: int = TRIES, part: int = PART) -> DataFrame:
     """node, community of every node that occurs in a pair (a, b); a community is connected and named by one of its nodes.
     No edge: no row. The graph is taken `tries` times at once, as copies that share the rounds but break ties in their own ways, and
-    the copy with the highest modularity is the answer; on a large graph, one copy costs least."""
+    the copy with the highest modularity is the answer; on a large graph, one copy costs least. `part`: nodes of a part."""
     copies = F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("copy")
     own = lambda c: F.struct(F.col("copy"), F.col(c).alias("id")).alias(c)
     base = materialize(symmetric(pairs).select("*", copies).select(own("a"), own("b"), "w"), "edges")
@@ -134,28 +272,39 @@ def modular_communities(pairs: DataFrame, rounds: int = MAX_ROUNDS, sweeps: int
     start = materialize(base.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("k")).withColumn("c", F.col("node")), "nodes")
     if not total:
         return start.select("node.id", F.col("c.id").alias("community")).toDF("node", "community")
+
+    def number(e: DataFrame, n: DataFrame) -> int:
+        return max(1, -(-max(n.count(), e.count() // DEGREE) // (tries * part)))
+
+    def moved_all(e: DataFrame, n: DataFrame, s: int) -> tuple[DataFrame, bool]:
+        """A level's moves, and whether all of it met in one part."""
+        parts = number(e, n)
+        out = part_round(e, n, total, parts, 2 * part, s)
+        return (settled(e, n, total, rounds, s, alone=False)[0], False) if out is None else (out, parts == 1)
+
     nodes = start
     for sweep in range(sweeps):
-        late = LATE if sweep + 1 < sweeps else 0.0
-        found, any_ = settled(base, nodes, total, rounds, seed + 1000 * sweep, not sweep, late)
-        if sweep and not any_:
-            release(found)
-            break
-        labels, level = found, 1
+        labels, whole = moved_all(base, nodes, seed + 1000 * sweep)
+        level = 1
         e, n = contracted(base, labels)
-        while not e.isEmpty():
-            parts, any_ = settled(e, n, total, rounds, seed + 1000 * sweep + 100 * level, late=late)
-            if not any_:
-                release(parts)
-                break
-            through = parts.select(F.col("node").alias("c"), F.col("c").alias("up"))
+        while not whole and not e.isEmpty():
+            found, whole = moved_all(e, n, seed + 1000 * sweep + 100 * level)
+            before, after = n.count(), found.select("c").distinct().count()
+            if not whole and after > (1 - SHRINK) * before:
+                rest, any_ = settled(e, found, total, rounds, seed + 1000 * sweep + 100 * level + 50, alone=False)
+                release(found)
+                found, whole = rest, not any_
+            through = found.select(F.col("node").alias("c"), F.col("c").alias("up"))
             longer = materialize(labels.join(through, "c").select("node", "k", F.col("up").alias("c")), "labels")
-            smaller = contracted(e, parts)
-            release(parts, labels, e, n)
+            smaller = contracted(e, found)
+            release(found, labels, e, n)
             labels, (e, n), level = longer, smaller, level + 1
         release(e, n, nodes)
-        nodes = connected_parts(base, labels)
-        release(labels)
+        nodes = labels
+        if level == 1 and whole:
+            break
+    labels, nodes = nodes, connected_parts(base, nodes)
+    release(labels)
     best = best_copy(base, nodes, total)
     out = nodes.where(F.col("node.copy") == best).select(F.col("node.id").alias("node"), F.col("c.id").alias("community"))
     out.stored_at = nodes.stored_at

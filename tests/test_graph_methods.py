@@ -142,3 +142,31 @@ def test_comparisons_grow_about_linearly(spark):
         assert neighbours.nearest_points(points, 5, 2, leaf=64, count=seen).count() == 5 * n
         counts.append(seen.value)
     assert counts[1] < 6 * counts[0] < 6 * 4000 * 4000 / 4
+
+
+@pytest.mark.parametrize("part", [60, 20_000])
+def test_communities_of_parts(spark, part):
+    """A ring of cliques, dealt to several parts and in one, which keeps all cliques whole with few jobs."""
+    edges = [(8 * i + a, 8 * i + b) for i in range(20) for a, b in itertools.combinations(range(8), 2)] + [(8 * i, 8 * ((i + 1) % 20) + 1) for i in range(20)]
+    pairs = spark.createDataFrame(edges, "a long, b long")
+    tracker, group = spark.sparkContext.statusTracker(), f"communities-{part}"
+    spark.sparkContext.setJobGroup(group, group)
+    label = communities.modular_communities(pairs, part=part)
+    got = {r["node"]: r["community"] for r in label.collect()}
+    jobs = len(tracker.getJobIdsForGroup(group))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    cliques = {i: i // 8 for i in range(160)}
+    assert set(got) == set(cliques) and quality(edges, got) >= quality(edges, cliques) - (0.03 if part == 60 else 1e-9)
+    assert communities.unconnected(pairs, label).isEmpty() and (part == 60 or all(len({got[8 * i + j] for j in range(8)}) == 1 for i in range(20)))
+    assert part == 60 or jobs < 100
+
+
+def test_moves_of_a_part_never_lower_modularity():
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        edges = sorted({tuple(sorted(x)) for x in rng.integers(0, 30, (60, 2)).tolist() if x[0] != x[1]})
+        a, b = np.array(edges).T
+        k = np.bincount(np.concatenate([a, b]), minlength=30).astype(float)
+        start = rng.integers(0, 30, 30)
+        c = communities.settled_part(a, b, np.ones(len(a)), k, start, 2.0 * len(a), rng)
+        assert quality(edges, dict(enumerate(c.tolist()))) >= quality(edges, dict(enumerate(start.tolist()))) - 1e-9
