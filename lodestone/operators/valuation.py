@@ -13,6 +13,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.values import verdict
+from lodestone.operators.market import narrow
+from lodestone.session import materialize, release
+
+#: Values of a group that are ordered in one aggregate. Of a larger group only the ranges of values that hold a rank asked for are.
+AT_ONCE = 100_000
 
 
 def time_split(month: Column, train_to: str, valid: str, test_from: str) -> dict[str, Column]:
@@ -39,13 +44,51 @@ def target_encode_oof(df: DataFrame, key: str, target: str, fold: str, weight: f
     return out.withColumn("encoded", F.coalesce("__e", "prior")).drop("__e", "prior")
 
 
-def baseline(train: DataFrame, rows: DataFrame, levels: list[list[str]], target: str, least: int = 5) -> DataFrame:
-    """Adds base and base_n: the median and count of the first level with enough rows; the global median has count 0."""
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: list[float], at_once: int = AT_ONCE) -> DataFrame:
+    """keys, n (rows) and q (an array of the interpolated quantiles of the values that are not null), of every group; no keys: one
+    group. A group of more than `at_once` values never meets in a task: its values are counted by ranges, and those of the
+    few ranges that hold a rank asked for are counted one by one."""
+    rows = df.select(*keys, (F.struct(*keys) if keys else F.lit(0)).alias("__k"), F.col(value).alias("__x"))
+    sizes = materialize(rows.groupBy("__k").agg(F.count("*").alias("n"), F.count("__x").alias("__m")), "sizes")
+    large = sizes.where(F.col("__m") > at_once)
+    names = [F.col(f"__k.{k}").alias(k) for k in keys]
+    few = rows.join(F.broadcast(large.select("__k")), "__k", "left_anti").groupBy("__k").agg(F.percentile("__x", F.array(*map(F.lit, qs))).alias("q"))
+    if large.isEmpty():
+        return few.join(sizes, "__k").select(*names, "n", "q")
+    big = rows.where("__x IS NOT NULL").select("__k", "__x").join(F.broadcast(large.select("__k", "__m")), "__k").withColumn("__bin", narrow(F.col("__x")))
+    place = [(F.col("__m") - 1) * F.lit(q) for q in qs]
+    bins = materialize(big.groupBy("__k", "__m", "__bin").agg(F.count("*").alias("c")), "ranges")
+    last = F.sum("c").over(Window.partitionBy("__k").orderBy("__bin"))
+    held = lambda rank: (rank > F.col("before")) & (rank <= F.col("upto"))
+    wanted = reduce(lambda a, b: a | b, [held(f(p) + 1) for p in place for f in (F.floor, F.ceil)])
+    chosen = bins.withColumn("upto", last).withColumn("before", F.col("upto") - F.col("c")).where(wanted).select("__k", "__bin", F.col("before").alias("start"))
+    values = big.join(F.broadcast(chosen), ["__k", "__bin"]).groupBy("__k", "__m", "__bin", "start", "__x").agg(F.count("*").alias("c"))
+    upto = F.col("start") + F.sum("c").over(Window.partitionBy("__k", "__bin").orderBy("__x"))
+    ranked = values.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("c"))
+    part = lambda p: F.sum(F.when(held(F.floor(p) + 1), F.col("__x") * (1 - (p - F.floor(p)))).otherwise(0.0) + F.when((p > F.floor(p)) & held(F.floor(p) + 2), F.col("__x") * (p - F.floor(p))).otherwise(0.0))
+    many = ranked.groupBy("__k").agg(F.array(*map(part, place)).alias("q"))
+    # Dealt out anew, as in search.hybrid().
+    out = materialize(few.unionByName(many).repartition("__k").join(sizes, "__k").select(*names, "n", "q"), "quantiles")
+    release(sizes, bins)
+    return out
+
+
+def level_medians(train: DataFrame, levels: list[list[str]], target: str, least: int = 5, at_once: int = AT_ONCE) -> list[DataFrame]:
+    """For baseline(): the median and count of each level's groups with enough rows, and last the median of all rows."""
+    known = [train.where(reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))) for keys in levels]
+    found = [exact_quantiles(rows, keys, target, [0.5], at_once).where(F.col("n") >= least).select(*keys, F.col("q")[0].alias(f"__m{i}"), F.col("n").alias(f"__n{i}")) for i, (rows, keys) in enumerate(zip(known, levels))]
+    # One row, also without rows to learn from.
+    return [*found, exact_quantiles(train, [], target, [0.5], at_once).agg(F.max(F.col("q")[0]).alias("__all"))]
+
+
+def baseline(train: DataFrame, rows: DataFrame, levels: list[list[str]], target: str, least: int = 5, medians: list[DataFrame] | None = None) -> DataFrame:
+    """Adds base and base_n: the median and count of the first level with enough rows; the global median has count 0. `medians`:
+    those of level_medians(), where they serve several times."""
+    *found, all_ = medians or level_medians(train, levels, target, least)
     out = rows
-    for i, keys in enumerate(levels):
-        med = train.where(reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))).groupBy(*keys).agg(F.median(target).alias(f"__m{i}"), F.count("*").alias(f"__n{i}")).where(F.col(f"__n{i}") >= least)
+    for keys, med in zip(levels, found):
         out = out.join(med, keys, "left")
-    out = out.join(F.broadcast(train.agg(F.median(target).alias("__all"))))
+    out = out.join(F.broadcast(all_))
     n = range(len(levels))
     return out.withColumns({"base": F.coalesce(*[F.col(f"__m{i}") for i in n], F.col("__all")), "base_n": F.coalesce(*[F.col(f"__n{i}") for i in n], F.lit(0))}).drop("__all", *[f"__{x}{i}" for i in n for x in "mn"])
 
@@ -59,11 +102,11 @@ def error_measures(df: DataFrame, truth: str, pred: str, by: str | None = None)
     return (df.groupBy(by) if by else df.groupBy()).agg(*aggs)
 
 
-def ratio_interval(df: DataFrame, truth: str, pred: str, kind: str) -> DataFrame:
+def ratio_interval(df: DataFrame, truth: str, pred: str, kind: str, at_once: int = AT_ONCE) -> DataFrame:
     """p10 and p90 of truth/prediction by kind and over all (ALL)."""
-    r = df.withColumn("__r", F.try_divide(truth, pred))
-    q = r.groupingSets([[F.col(kind)], []], F.col(kind)).agg(F.grouping(kind).alias("g"), F.percentile("__r", F.array(F.lit(0.1), F.lit(0.9))).alias("q"))
-    return q.select(F.when(F.col("g") == 1, "ALL").otherwise(F.col(kind)).alias("kind"), F.col("q")[0].alias("p10"), F.col("q")[1].alias("p90"))
+    r = df.select(F.col(kind).alias("kind"), F.try_divide(truth, pred).alias("__r"))
+    own, all_ = (exact_quantiles(r, keys, "__r", [0.1, 0.9], at_once) for keys in (["kind"], []))
+    return own.unionByName(all_.agg(F.max("q").alias("q")).select(F.lit("ALL").alias("kind"), "q"), allowMissingColumns=True).select("kind", F.col("q")[0].alias("p10"), F.col("q")[1].alias("p90"))
 
 
 def one_hot(c: str, keys: list[str]) -> dict[str, Column]:

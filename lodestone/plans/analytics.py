@@ -456,11 +456,14 @@ BASE_SQL = """SELECT s.*, coalesce(w.m, dd.m, p.m, (SELECT median(price_m2_mil)
     "al AS (SELECT quantile_cont(price_m2_mil / base, 0.1) AS lo, quantile_cont(price_m2_mil / base, 0.9) AS hi FROM past)"))
 def c18_valuation(spark, d):
     """Baseline of the place, interval of the ratios of a later period, verdict on the asking price of the last one."""
-    v = view(spark, d).where("price_m2_mil IS NOT NULL")
+    v = view(spark, d).where("price_m2_mil IS NOT NULL").select("listing_id", "source_row", "province", "district", "ward", "property_type", "area_m2", "month", "price_m2_mil")
+    v = materialize(v, "valued")
     levels = [["province", "district", "ward"], ["province", "district"], ["province"]]
     train, past, rows = v.where("month < '2000-01'"), v.where("month >= '2000-01' AND month < '2001-06'"), v.where("month >= '2001-06'")
-    interval = valuation.ratio_interval(valuation.baseline(train, past, levels, "price_m2_mil"), "price_m2_mil", "base", "property_type")
-    found = valuation.valuate(valuation.baseline(train, rows, levels, "price_m2_mil").withColumnRenamed("base", "predicted"), interval, "property_type", "price_m2_mil")
+    medians = valuation.level_medians(train, levels, "price_m2_mil")
+    ratios = materialize(valuation.baseline(train, past, levels, "price_m2_mil", medians=medians).select("property_type", "price_m2_mil", "base"), "ratios")
+    interval = valuation.ratio_interval(ratios, "price_m2_mil", "base", "property_type")
+    found = valuation.valuate(valuation.baseline(train, rows, levels, "price_m2_mil", medians=medians).withColumnRenamed("base", "predicted"), interval, "property_type", "price_m2_mil")
     return found.select("listing_id", "source_row", F.round(F.col("predicted") * 1e6 * F.col("area_m2"), 0).alias("predicted_vnd"), r4("low").alias("low"), r4("high").alias("high"), "verdict")
 
 

@@ -318,3 +318,18 @@ def test_neighbours_equal_brute_force(spark):
         for j in sorted((j for j in range(60) if j != i), key=lambda j: (d[j], j))[:3]:
             want.add((f"k{min(i, j):02d}", f"k{max(i, j):02d}"))
     assert {tuple(r) for r in graph.nearest_neighbours(df, "id", ["a", "b"], 3).collect()} == want
+
+
+@pytest.mark.parametrize("at_once", [10, 100_000])
+def test_quantiles_of_large_groups(spark, at_once):
+    """Groups above a bound are looked into by ranges of values, with the same quantiles; null values count as rows only."""
+    rng = np.random.default_rng(11)
+    rows = [("hot", float(x)) for x in np.round(rng.lognormal(0, 2, 500), 2)] + [("same", 3.5)] * 60 + [(None, float(x)) for x in range(-20, 21)] + [("few", 1.0), ("few", 4.0), ("hot", None), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    for keys in (["k"], []):
+        got = {r["k"] if keys else "all": r for r in valuation.exact_quantiles(df, keys, "x", [0.1, 0.5, 0.9], at_once).collect()}
+        assert set(got) == ({"hot", "same", None, "few", "none"} if keys else {"all"})
+        for k, r in got.items():
+            own = [x for g, x in rows if not keys or g == k]
+            values = [x for x in own if x is not None]
+            assert r["n"] == len(own) and (list(r["q"]) == pytest.approx(list(np.quantile(values, [0.1, 0.5, 0.9]))) if values else r["q"] is None)
